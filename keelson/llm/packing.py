@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, table
+from .words import chunks
 
 #: The tokenizer file's own split pattern and the characters on which its
 #: normaliser and Python's lower() agree; other texts go through it whole.
@@ -88,18 +89,6 @@ class WordTokenizer:
             at = cut
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 20):
-    """Slices of about ``chars`` characters, of one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of at most ``capacity`` tokens; ``part`` and ``nth`` number them within their length."""
     source = docs.select(id_col, *keep, F.col(text_col).alias("_text"))

@@ -6,6 +6,7 @@ from .htmltext import op10_html
 from .langid import op5_langid
 from .packing import op2_packing
 from .quality import OP7_SQL, op7_quality
+from .substrings import OP4_SQL, op4_substrings
 from .toxicity import op1_toxicity
 from .urlfilter import op9_urls
 from .warc import OP6_SQL, op6_warc
@@ -13,10 +14,11 @@ from .warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op4_substrings": op4_substrings,
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op9_urls": op9_urls,
     "op10_html": op10_html,
 }
-ORACLES = {"op6_warc": OP6_SQL, "op7_quality": OP7_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_quality": OP7_SQL}
