@@ -6,6 +6,7 @@ from .htmltext import op10_html
 from .langid import op5_langid
 from .packing import op2_packing
 from .quality import OP7_SQL, op7_quality
+from .signatures import OP8_SQL, op8_jaccard
 from .substrings import OP4_SQL, op4_substrings
 from .toxicity import op1_toxicity
 from .urlfilter import op9_urls
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_html": op10_html,
 }
-ORACLES = {"op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_quality": OP7_SQL}
+ORACLES = {"op8_jaccard": OP8_SQL, "op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_quality": OP7_SQL}
