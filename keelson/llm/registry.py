@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op3_decontam
 from .htmltext import op10_html
 from .langid import op5_langid
 from .packing import op2_packing
@@ -15,6 +16,7 @@ from .warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_decontam": op3_decontam,
     "op4_substrings": op4_substrings,
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
