@@ -12,8 +12,9 @@ What is packed and sent is only what can matter:
 * of equal super-k-mers one is sent, with their number; if there are several,
   all their windows are repeated;
 * the many different super-k-mers of a hot minimiser (the edges of a passage
-  that a third of all documents share) are cut into single windows, counted by
-  a pre-aggregated hash of the whole window and so spread over all tasks.
+  that a third of all documents share) are dealt into blocks. A block settles
+  the windows that occur twice in it; of each other window it tells a 128-bit
+  hash, and these are counted over all blocks.
 
 Texts are told apart by their MD5, so copies are worked on once, and missing
 or repeated ids do no harm.
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from .common import WORD, Workspace, table
 from .words import Runs, WordHasher, chunks, mix, signed, sliding_min
 
-HOT = 512
+BLOCK = 256
 SKM = ["mini", "fp", "wins"]
 
 
@@ -95,26 +96,29 @@ def super_kmers(docs: DataFrame, cutter: Cutter) -> DataFrame:
 
 
 def _packed(joined: DataFrame, window: int, mmer: int) -> DataFrame:
-    """(mini, fp, wins, n, hot, packed) of the wanted super-k-mers of (key, text, wanted) rows."""
+    """(mini, block, fp, wins, n, hot, packed) of the wanted super-k-mers of (key, text, wanted) rows."""
 
     def run(batches):
         cut, done = Cutter(window, mmer), set()
         for batch in batches:
             keys, texts, wanted = (c.to_pylist() for c in batch.columns)
             for lo, hi in chunks(texts):
-                ids = [i for i in range(lo, hi) if keys[i] not in done]
-                done.update(keys[i] for i in ids)
+                ids = []
+                for i in range(lo, hi):
+                    if keys[i] not in done:
+                        done.add(keys[i])
+                        ids.append(i)
                 hashes, ends = cut.hasher([texts[i] for i in ids])
                 rows = []
                 for i, begin in zip(ids, ends.tolist(), strict=False):
                     for w in wanted[i]:
                         at = begin + w["start"]
-                        rows.append((w["mini"], w["fp"], w["wins"], w["n"], w["hot"], hashes[at : at + w["wins"] + window - 1].astype("<u8").tobytes()))
+                        rows.append((w["mini"], w["fp"] % w["blocks"], w["fp"], w["wins"], w["n"], w["blocks"] > 1, hashes[at : at + w["wins"] + window - 1].astype("<u8").tobytes()))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mini", "fp", "wins", "n", "hot", "packed"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mini", "block", "fp", "wins", "n", "hot", "packed"])
 
-    return joined.mapInArrow(run, "mini long, fp long, wins int, n long, hot boolean, packed binary")
+    return joined.mapInArrow(run, "mini long, block long, fp long, wins int, n long, hot boolean, packed binary")
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -122,61 +126,61 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def count_bucket(packed: list[bytes], weights: list[int], window: int) -> list[np.ndarray]:
-    """For each super-k-mer of a bucket, which of its windows occur again in the bucket."""
+def count_bucket(packed: list[bytes], weights: list[int], window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each super-k-mer which of its windows occur again in the bucket, and which are the first of their kind."""
     views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint64), window) for p in packed]
-    sizes = [len(v) for v in views]
+    sizes = np.cumsum([len(v) for v in views])
     rows = np.ascontiguousarray(np.concatenate(views)).view(f"V{8 * window}").ravel()
     order = np.argsort(rows, kind="stable")
     same = np.concatenate([[False], rows[order[1:]] == rows[order[:-1]]])
     group = np.cumsum(~same) - 1
-    total = np.bincount(group, np.repeat(weights, sizes)[order])
-    again = np.zeros(len(rows), bool)
+    total = np.bincount(group, np.repeat(weights, np.diff(sizes, prepend=0))[order])
+    again, first = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     again[order] = total[group] > 1
-    return np.split(again, np.cumsum(sizes)[:-1])
+    first[order] = ~same
+    return np.split(again, sizes[:-1]), np.split(first, sizes[:-1])
 
 
 def _bucketed(packed: DataFrame, window: int) -> DataFrame:
-    """(mini, fp, wins, spans) of super-k-mers with repeated windows; rows come bucket by bucket."""
+    """Rows (mini, fp, wins, spans) of super-k-mers with windows repeated in their block.
+
+    Of hot minimisers also rows (w1, w2, n, nth): each kind of window of the
+    block, with n = 2 if it is repeated in it, else with its place. A block's
+    rows come one after another.
+    """
 
     def run(batches):
-        def answer(bucket):
-            again = count_bucket([r[4] for r in bucket], [r[3] for r in bucket], window)
-            return [(*r[:3], _ranges(flags)) for r, flags in zip(bucket, again, strict=True) if flags.any()]
+        names = ["mini", "fp", "wins", "spans", "w1", "w2", "n", "nth"]
+        span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
-        def batch_of(rows):
-            spans = pa.array([[{"lo": a, "hi": b} for a, b in r[3]] for r in rows], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), spans], ["mini", "fp", "wins", "spans"])
+        def answer(bucket):
+            again, first = count_bucket([r[6] for r in bucket], [r[4] for r in bucket], window)
+            ids = [pa.int64(), pa.int64(), pa.int32()]
+            hits = [(*r[2:4], _ranges(a)) for r, a in zip(bucket, again, strict=True) if a.any()]
+            if hits:
+                k = len(hits)
+                spans = pa.array([[{"lo": a, "hi": b} for a, b in h[2]] for h in hits], span)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[0][0]] * k, ids[0]), pa.array([h[0] for h in hits], ids[1]), pa.array([h[1] for h in hits], ids[2]), spans, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names)
+            if bucket[0][5]:
+                for r, a, f in zip(bucket, again, first, strict=True):
+                    at = np.flatnonzero(f)
+                    if len(at):
+                        hashes, k = np.frombuffer(r[6], np.uint64), len(at)
+                        one, two = Runs(hashes)(at, at + window), Runs(hashes, salt=1)(at, at + window)
+                        yield pa.RecordBatch.from_arrays([*(pa.array([v] * k, t) for v, t in zip((r[0], r[2], r[3]), ids, strict=True)), pa.nulls(k, span), pa.array(signed(one)), pa.array(signed(two)), pa.array(np.where(a[at], 2, 1)), pa.array(at, pa.int32())], names)
 
         bucket: list[tuple] = []
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket and bucket[0][0] != row[0]:
-                    out += answer(bucket)
+                if bucket and bucket[0][:2] != row[:2]:
+                    yield from answer(bucket)
                     bucket = []
                 bucket.append(row)
-            if out:
-                yield batch_of(out)
-        if bucket and (out := answer(bucket)):
-            yield batch_of(out)
-
-    rows = packed.select("mini", "fp", "wins", "n", "packed").repartition("mini").sortWithinPartitions("mini")
-    return rows.mapInArrow(run, "mini long, fp long, wins int, spans array<struct<lo:int,hi:int>>")
-
-
-def _single_windows(packed: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, mini, fp, wins, n, nth) of each window of hot buckets."""
-
-    def run(batches):
-        for batch in batches:
-            for mini, fp, wins, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.frombuffer(raw, np.uint64)
-                one, two = Runs(hashes).every(window), Runs(hashes, salt=1).every(window)
-                const = [pa.array([v] * wins, k) for v, k in ((mini, pa.int64()), (fp, pa.int64()), (wins, pa.int32()), (n, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(one)), pa.array(signed(two)), *const, pa.array(np.arange(wins), pa.int32())], ["w1", "w2", "mini", "fp", "wins", "n", "nth"])
+        if bucket:
+            yield from answer(bucket)
 
-    return packed.select("mini", "fp", "wins", "n", "packed").mapInArrow(run, "w1 long, w2 long, mini long, fp long, wins int, n long, nth int")
+    rows = packed.repartition("mini", "block").sortWithinPartitions("mini", "block")
+    return rows.mapInArrow(run, "mini long, fp long, wins int, spans array<struct<lo:int,hi:int>>, w1 long, w2 long, n long, nth int")
 
 
 def repeated_spans(docs: DataFrame, space: Workspace, window: int, mmer: int = 8) -> DataFrame:
@@ -191,19 +195,20 @@ def repeated_spans(docs: DataFrame, space: Workspace, window: int, mmer: int = 8
     space.drop("found", "often")
     # one row for each different super-k-mer
     kinds = space.keep(could.groupBy(*SKM).agg(F.sum("copies").alias("n"), F.max(F.col("times") > F.col("copies")).alias("inner"), F.min(F.struct("key", "start")).alias("at")), "kinds")
-    several = space.keep(kinds.groupBy("mini").agg(F.count("*").alias("_kinds"), F.max(F.col("inner") & (F.col("n") == 1)).alias("_inner"), F.min("n").alias("_least")).filter("_least = 1 and (_kinds > 1 or _inner)").select("mini", (F.col("_kinds") > HOT).alias("hot")), "several")
-    wanted = kinds.join(several, "mini").select("at.key", F.struct("mini", "fp", "wins", "n", "hot", "at.start").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    several = space.keep(kinds.groupBy("mini").agg(F.count("*").alias("_kinds"), F.max(F.col("inner") & (F.col("n") == 1)).alias("_inner"), F.min("n").alias("_least")).filter("_least = 1 and (_kinds > 1 or _inner)").select("mini", F.ceil(F.col("_kinds") / BLOCK).alias("blocks")), "several")
+    wanted = kinds.join(several, "mini").select("at.key", F.struct("mini", "fp", "wins", "n", "blocks", "at.start").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
     wanted = space.keep(wanted, "wanted")
     packed = space.keep(_packed(docs.join(wanted, "key").select("key", "text", "wanted"), window, mmer), "packed")
     space.drop("wanted")
-    buckets = _bucketed(packed.filter("not hot"), window)
-    single = space.keep(_single_windows(packed.filter("hot"), window), "single")
-    twice = space.keep(single.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").select("w1", "w2"), "twice")
-    again = single.join(twice, ["w1", "w2"], "left_semi").groupBy(*SKM).agg(F.transform(F.array_sort(F.collect_list("nth")), lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi"))).alias("spans"))
+    settled = space.keep(_bucketed(packed, window), "settled")
+    space.drop("packed")
+    open_windows = settled.filter("w1 is not null")
+    twice = space.keep(open_windows.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").select("w1", "w2"), "twice")
+    across = open_windows.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select(*SKM, F.array(F.struct(F.col("nth").alias("lo"), (F.col("nth") + 1).alias("hi"))).alias("spans"))
     whole = kinds.filter("n > 1").select(*SKM, F.array(F.struct(F.lit(0).alias("lo"), F.col("wins").alias("hi"))).alias("spans"))
-    partly = buckets.unionByName(again)
+    partly = settled.filter("w1 is null").select(*SKM, "spans").unionByName(across).groupBy(*SKM).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     marks = space.keep(whole.unionByName(partly.join(kinds.filter("n > 1").select(*SKM), SKM, "left_anti")), "marks")
-    space.drop("packed", "single", "twice")
+    space.drop("settled", "twice")
     hit = could.join(marks, SKM).groupBy("key", "start").agg(F.first("spans").alias("spans"))
     shifted = hit.select("key", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi"))).alias("spans"))
     out = space.keep(shifted.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")

@@ -24,10 +24,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes of words met by this process.
+KNOWN = Cache(xxhash.xxh3_64_intdigest)
+
+
 class WordHasher:
     def __init__(self, lower: bool = False) -> None:
         self.lower = lower
-        self.known = Cache(xxhash.xxh3_64_intdigest)
+        self.known = KNOWN
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all texts' words, and where each text's begin (one entry more than texts)."""
