@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, table
+from .common import WORD, sampled_ids, table
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
@@ -115,7 +115,7 @@ def plan(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule
 
 def order_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = 300) -> tuple[str, ...]:
     """Names of the rules in cascade order, measured on ``sample`` texts picked by hash."""
-    ids = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    ids = sampled_ids(docs, id_col, sample)
     names = [r.name for r in rules]
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, Workspace, fold, table
+from .common import Cache, Workspace, fold, sampled_ids, table
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -49,11 +49,6 @@ def text_words(text: str | None) -> set[str]:
     return set(TOKEN.findall(text.lower())) if text else set()
 
 
-def _sampled_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most ``most`` ids, the first by hash."""
-    return df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
-
-
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear nnPU classifier with logistic loss.
 
@@ -101,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     empty = ToxicityModel({}, np.zeros(0), math.log(prior / (1 - prior)), prior)
     if not toxic:
         return empty
-    ids = _sampled_ids(marked.filter("_toxic"), id_col, max_positive).withColumn("_kind", F.lit(1)).unionByName(_sampled_ids(docs, id_col, max_unlabelled).withColumn("_kind", F.lit(0)))
+    ids = sampled_ids(marked.filter("_toxic"), id_col, max_positive).withColumn("_kind", F.lit(1)).unionByName(sampled_ids(docs, id_col, max_unlabelled).withColumn("_kind", F.lit(0)))
     # both limits bound this side
     sample = Workspace(spark, "toxicity").keep(docs.join(F.broadcast(ids), id_col).select("_kind", text_col), "sample")
 
