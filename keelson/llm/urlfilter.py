@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, table
+from .common import Cache, Workspace, most_frequent, table
 
 TOKEN = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
@@ -92,10 +92,11 @@ class Segmenter:
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", size: int = 20000, longest: int = 24) -> dict[str, int]:
-    """Counts of the ``size`` most frequent words of all pages' visible text."""
+    """Counts of the most frequent words, at most ``size``, of all pages' visible text."""
     text = F.lower(F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1", " "), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= longest))
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()}
+    counted = Workspace(pages.sparkSession, "unigrams").keep(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    return {r["w"]: r["n"] for r in most_frequent(counted, "w", "n", size).collect()}
 
 
 @dataclass
@@ -121,7 +122,8 @@ def train(urls: DataFrame, counts: dict[str, int], size: int = 100000) -> UrlMod
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([a for a, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], ["token", "allow", "block"])
 
     summed = urls.filter(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    rows = summed.orderBy((F.col("token") == "").desc(), (F.col("allow") + F.col("block")).desc(), "token").limit(size + 1).collect()
+    counted = Workspace(urls.sparkSession, "urltokens").keep(summed.withColumn("n", F.col("allow") + F.col("block")), "tokens")
+    rows = most_frequent(counted, "token", "n", size + 1).collect()
     urls_of = next(((r["allow"], r["block"]) for r in rows if r["token"] == ""), (0, 0))
     rows = [r for r in rows if r["token"]]
     allow, block = sum(r["allow"] for r in rows) + len(rows) + 1, sum(r["block"] for r in rows) + len(rows) + 1
