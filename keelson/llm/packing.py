@@ -18,11 +18,12 @@ end token; an empty table gives no piece; repeated rows are packed each.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,9 @@ from pyspark.sql import types as T
 from .common import Workspace, table
 from .words import chunks
 
-#: The tokenizer file's own split pattern and the characters on which its
-#: normaliser and Python's lower() agree; other texts go through it whole.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+#: Characters on which the tokenizer's normaliser and Python's lower() agree and
+#: that either is white space to both or to neither; texts with others go through it whole.
+UNLIKE = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -46,47 +46,80 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """Token ids of whole texts, as ``Tokenizer.encode`` gives them without special tokens.
 
-    A word always has the same ids in this vocabulary, so they are remembered
-    by word. Words not met before are encoded together, apart by spaces, and
-    told apart by the tokens that end a word.
+    No token crosses white space, so ids are remembered by what stands between
+    white space. Words not met before are encoded together with a mark between
+    them that no such word contains.
     """
 
-    def __init__(self, path: str, size: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+    MARK = "\u2014"
+    _open: dict[str, WordTokenizer] = {}
+
+    def __init__(self, path: str, size: int = 300_000) -> None:
+        from tokenizers import Tokenizer, normalizers
 
         self.inner = Tokenizer.from_file(path)
-        vocab = self.inner.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
+        self.mark = np.asarray(self.inner.encode(self.MARK, add_special_tokens=False).ids, "<u4")
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = size
 
+    @classmethod
+    def at(cls, path: str) -> WordTokenizer:
+        """The process's own, which stays for the tasks to come."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [SPLIT.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = {w for ws in words if ws for w in ws}.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.size:
-                self.known = {}
-                new = {w for ws in words if ws for w in ws}
+        words: list[str] = []
+        ends: list[int] = []
+        for t in texts:
+            plain = not UNLIKE.search(t) and "<|" not in t
+            if plain:
+                words += t.split()
+            ends.append(len(words) if plain else -1)
+        if len(self.known) > self.size:
+            self.older, self.known = self.known, {}
+        parts = list(map(self.known.get, words))
+        missing = [i for i, p in enumerate(parts) if p is None]
+        if missing:
+            new = set()
+            for w in {words[i] for i in missing}:
+                if (p := self.older.get(w)) is not None:
+                    self.known[w] = p
+                else:
+                    new.add(w)
             self._learn(list(new))
-        get = self.known.__getitem__
-        return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        ids = np.asarray(self.inner.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
+            for i in missing:
+                parts[i] = self.known[words[i]]
+        out, at = [], 0
+        for t, end in zip(texts, ends, strict=True):
+            if end < 0:
+                out.append(self.whole(t))
+            else:
+                out.append(b"".join(parts[at:end]))
+                at = end
+        return out
+
+    def _learn(self, words: list[str], at_once: int = 128) -> None:
+        if len(self.mark) != 1:
             self.known.update((w, self.whole(w)) for w in words)
             return
-        raw, at = ids.tobytes(), 0
-        for w, cut in zip(words, (cuts * 4).tolist(), strict=True):
-            self.known[w] = raw[at:cut]
-            at = cut
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        between = f" {self.MARK} "
+        for group, found in zip(groups, self.bare.encode_batch_fast([between.join(g).lower() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(group, [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), len(raw)], strict=True):
+                self.known[w] = raw[at:cut]
+                at = cut + 4
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +131,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1
     schema = T.StructType(fields)
 
     def run(batches):
-        encoder = WordTokenizer(tokenizer)
+        encoder = WordTokenizer.at(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:

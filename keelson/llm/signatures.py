@@ -17,14 +17,16 @@ pair meets in some tree:
 2. Prefix filter: ordered by a corpus-wide count sketch (rare first), two
    similar sets share one of their first ``n - ceil(t n) + 1`` shingles. Only
    shingles that different sets share in their prefixes are kept.
-3. Blocks: every set goes with its shingles to a few buckets by the least hash
-   of its shared prefix, large buckets dealt into blocks by chance; a tree with
-   exact checks links what is similar there. That joins nearly all classes,
-   large groups of near copies included, at one visit per set and bucket.
+3. Blocks: every set of which a good part of the prefix is shared goes to a few
+   buckets by its least shingle hashes, large buckets dealt into blocks by
+   chance; a tree with exact checks links what is similar there. That joins
+   nearly all classes, large groups of near copies included, at one visit per
+   set and bucket.
 4. The exact rest: a prefix shingle matters now only if its sets lie in
    different components. Trees over the bitmaps of the shared prefixes give
    the pairs between components that could still be similar (buckets with
-   many sets as pairs of blocks), and those pairs are checked exactly.
+   many sets as pairs of blocks). Pairs that share as many prefix shingles as
+   similar sets must are checked exactly.
 
 No link between different classes is lost: step 4 looks at every prefix
 shingle that sets of two components share.
@@ -49,7 +51,9 @@ from .components import connected_components
 from .words import Runs, WordHasher, chunks, mix, signed
 
 SKETCH_BITS, CHUNK_BITS = 18, 14
-ROUNDS = 2
+ROUNDS = 3
+NEAR = 20
+SMALL = 6
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 19
 PAIR_ROWS = 2048
 PREFIX_WORDS64 = 4
@@ -210,12 +214,13 @@ def link_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _sets_and_sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, node) of every document, and rows (part, counts) of the count sketch."""
+    """(id, n, node, keys) of every document, and rows (part, counts) of the count sketch."""
 
     def run(batches):
         shingle, sketch = Shingler(size), np.zeros(1 << SKETCH_BITS, np.uint32)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["id", "n", "node", "part", "counts"]
+        names = ["id", "n", "node", "keys", "part", "counts"]
+        salts = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64))
         id_type = None
         for batch in batches:
             id_type = batch.schema.types[0]
@@ -224,14 +229,14 @@ def _sets_and_sketch(docs: DataFrame, size: int) -> DataFrame:
                 sets = shingle(texts[lo:hi])
                 sketch += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([[int(signed(np.array([mix(s ^ x).min()]))[0]) for x in salts] if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if id_type is not None:
             parts = sketch.reshape(-1, 1 << CHUNK_BITS)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n long, node long, part int, counts binary")
+    return docs.mapInArrow(run, f"id {id_type}, n long, node long, keys array<long>, part int, counts binary")
 
 
 def _merged_sketch(rows: DataFrame) -> np.ndarray:
@@ -323,30 +328,72 @@ def _block_links(full: DataFrame, percent: int) -> DataFrame:
     return placed.repartition("round", "key", "block").sortWithinPartitions("round", "key", "block").mapInArrow(run, "a long, b long")
 
 
+def _with_bits(nodes: DataFrame) -> DataFrame:
+    """(node, n, comp, ntoks, bits, toks): the bitmap of each set's shared prefix."""
+
+    def run(batches):
+        for batch in batches:
+            toks = batch.column(3)
+            sets = [np.array(t, np.int64).view(np.uint64) for t in toks.to_pylist()]
+            bits, _ = bitmaps(sets, PREFIX_WORDS64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in sets], pa.int64()), pa.array([b.astype("<u8").tobytes() for b in bits], pa.binary()), toks], ["node", "n", "comp", "ntoks", "bits", "toks"])
+
+    return nodes.select("node", "n", "comp", "toks").mapInArrow(run, "node long, n long, comp long, ntoks long, bits binary, toks array<long>")
+
+
+def _few_pairs(own: list[tuple], percent: int):
+    """The tree's tests on a bucket that is one small leaf."""
+    marks = [(r[3], r[4], r[5], int.from_bytes(r[7], "little"), r[6], r[8]) for r in own]
+    for k, (x, nx, cx, bx, tx, sx) in enumerate(marks):
+        for y, ny, cy, by, ty, sy in marks[:k]:
+            if cx != cy and 100 * nx >= percent * ny and 100 * ny >= percent * nx:
+                shown = (bx & by).bit_count() + min(tx - bx.bit_count(), ty - by.bit_count())
+                if shown >= -(-percent * (nx + ny) // (100 + percent)) - max(at_least(nx, percent), at_least(ny, percent)) + 1:
+                    yield (x, y, nx, ny, sx != sy) if x < y else (y, x, ny, nx, sx != sy)
+
+
 def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that the prefix bitmaps cannot rule out."""
+    """(a, b, na, nb) of sets in different components that the prefix bitmaps cannot rule out, for every shared shingle."""
 
     def run(batches):
+        out: list[tuple] = []
         for group in _grouped(batches, 3):
-            rows = {r[3]: r for r in group}
-            if len(rows) < 2:
-                continue
-            own = list(rows.values())
-            nodes = np.array([r[3] for r in own])
-            sizes = np.array([r[4] for r in own], np.int64)
-            comps = np.array([r[5] for r in own], np.int64)
-            bits = np.array([r[7] for r in own], np.int64).view(np.uint64).reshape(-1, PREFIX_WORDS64)
-            excess = np.array([r[6] for r in own], np.int64) - np.bitwise_count(bits).sum(1, dtype=np.int64)
-            # two different blocks: only pairs across them
-            side = np.array([r[8] for r in own])
             across = group[0][1] != group[0][2]
-            tree = SignatureTree(sizes, bits, excess, comps)
-            for i, j in tree.pairs(percent, lambda la, lb, ma, mb: prefix_needed_least(la, lb, ma, mb, percent), lambda *_: False):
-                keep = side[i] != side[j] if across else slice(None)
-                a, b = nodes[i[keep]], nodes[j[keep]]
-                yield _edges(np.minimum(a, b), np.maximum(a, b))
-
-    return rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2").mapInArrow(run, "a long, b long").distinct()
+            own = list({r[3]: r for r in group}.values())
+            if len(own) <= SMALL:
+                out += [p[:4] for p in _few_pairs(own, percent) if p[4] or not across]
+            else:
+                nodes = np.array([r[3] for r in own])
+                sizes = np.array([r[4] for r in own], np.int64)
+                comps = np.array([r[5] for r in own], np.int64)
+                bits = np.frombuffer(b"".join(r[7] for r in own), "<u8").astype(np.uint64).reshape(-1, PREFIX_WORDS64)
+                excess = np.array([r[6] for r in own], np.int64) - np.bitwise_count(bits).sum(1, dtype=np.int64)
+                side = np.array([r[8] for r in own])
+                tree = SignatureTree(sizes, bits, excess, comps)
+                for i, j in tree.pairs(percent, lambda la, lb, ma, mb: prefix_needed_least(la, lb, ma, mb, percent), lambda *_: False):
+                    # two different blocks: only pairs across them
+                    keep = side[i] != side[j] if across else slice(None)
+                    i, j = i[keep], j[keep]
+                    swap = nodes[i] > nodes[j]
+                    a, b = np.where(swap, j, i), np.where(swap, i, j)
+                    if len(a):
+                        yield _pairs(nodes[a], nodes[b], sizes[a], sizes[b])
+            if len(out) > 1 << 14:
+                yield _pairs(*zip(*out, strict=True))
+                out = []
+        if out:
+            yield _pairs(*zip(*out, strict=True))
+
+    return rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2").mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def _pairs(a, b, na, nb) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, na, nb)], ["a", "b", "na", "nb"])
+
+
+def _prefix_needed_sql(percent: int) -> str:
+    both = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    return f"greatest(1, {both} - greatest(({percent} * na + 99) div 100, ({percent} * nb + 99) div 100) + 1)"
 
 
 def prefix_needed_least(la, lb, ma, mb, percent: int):
@@ -371,11 +418,6 @@ def _checked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _bitmap_columns() -> F.Column:
-    words = [F.expr(f"aggregate(toks, 0L, (acc, t) -> acc | if(pmod(shiftrightunsigned(t, 6), {PREFIX_WORDS64}) = {w}, shiftleft(1L, cast(t & 63L as int)), 0L))") for w in range(PREFIX_WORDS64)]
-    return F.array(*words)
-
-
 def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each document.
 
@@ -387,34 +429,36 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     first = space.keep(_sets_and_sketch(source, shingle_words), "sets")
     sketch = spark.sparkContext.broadcast(_merged_sketch(first.filter("part is not null").select("part", "counts")))
-    sets = first.filter("part is null").select("id", "n", "node")
+    sets = first.filter("part is null").select("id", "n", "node", "keys")
+    lead = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
     prefixes = space.keep(_prefixes(source, shingle_words, percent, sketch), "prefixes")
     common = space.keep(prefixes.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("token"), "common")
     nodes = space.keep(prefixes.join(common, "token", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_set("token").alias("toks")), "nodes")
     space.drop("prefixes", "common")
 
-    keyed = nodes.select("node", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.array_min(F.transform("toks", lambda t, r=r: F.xxhash64(t, F.lit(r)))).alias("key")) for r in range(ROUNDS)))).alias("k")).select("node", "n", "k.*")
+    keyed = space.keep(nodes.filter(F.size("toks") * NEAR >= F.col("n")).select("node", "n").join(lead, "node").select("node", "n", "id", F.posexplode("keys").alias("round", "key")), "keyed")
     sizes = space.keep(keyed.groupBy("round", "key").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).filter("rows > 1").select("round", "key", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks")), "sizes")
-    placed = keyed.join(sizes, ["round", "key"]).select("node", F.struct("round", "key", F.pmod(F.xxhash64("node", "round"), "blocks").alias("block")).alias("p"))
-    places = placed.groupBy("node").agg(F.collect_list("p").alias("places"))
-    lead = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = space.keep(nodes.select("node").join(lead, "node").join(places, "node", "left"), "wanted")
+    placed = keyed.join(sizes, ["round", "key"]).select("node", "id", F.struct("round", "key", F.pmod(F.xxhash64("node", "round"), "blocks").alias("block")).alias("p"))
+    wanted = space.keep(placed.groupBy("id", "node").agg(F.collect_list("p").alias("places")), "wanted")
     full = space.keep(_full_sets(source.join(wanted, "id").select("text", "node", "places"), shingle_words), "full")
-    space.drop("sizes", "wanted")
-
+    space.drop("keyed", "sizes", "wanted")
     near = space.keep(_block_links(full, percent), "near")
+    space.drop("full")
     classes = connected_components(near, space, "near")
-    inside = space.keep(nodes.join(classes, "node", "left").select("node", "n", "toks", F.coalesce("label", "node").alias("comp")), "inside")
+
+    inside = space.keep(_with_bits(nodes.join(classes, "node", "left").select("node", "n", "toks", F.coalesce("label", "node").alias("comp"))), "inside")
     mixed = inside.select("comp", F.explode("toks").alias("token")).groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi")
     mixed = space.keep(mixed.select("token", F.ceil(F.col("_n") / PAIR_ROWS).cast("int").alias("blocks")), "mixed")
-    signed_rows = inside.select("node", "n", "comp", F.size("toks").alias("ntoks"), _bitmap_columns().alias("bits"), F.explode("toks").alias("token")).join(mixed, "token")
+    rows = inside.select("node", "n", "comp", "ntoks", "bits", F.explode("toks").alias("token")).join(mixed, "token")
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = signed_rows.withColumn("side", own).withColumn("other", other).select("token", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "node", "n", "comp", "ntoks", "bits", "side")
-    pairs = space.keep(_rest_pairs(dealt, percent), "pairs")
-    rest = space.keep(_checked(pairs, full.dropDuplicates(["node"]).select("node", "set"), percent), "rest")
-    space.drop("full", "inside", "mixed", "pairs")
+    dealt = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "node", "n", "comp", "ntoks", "bits", "side")
+    pairs = space.keep(_rest_pairs(dealt, percent).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared")).filter(f"_shared >= {_prefix_needed_sql(percent)}").select("a", "b"), "pairs")
+    ends = space.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(lead.select("node", "id"), "node").withColumn("places", F.lit(0)), "ends")
+    space.drop("inside", "mixed", "nodes")
+    others = space.keep(_full_sets(source.join(ends, "id").select("text", "node", "places"), shingle_words).dropDuplicates(["node"]).select("node", "set"), "others")
+    rest = space.keep(_checked(pairs, others, percent), "rest")
+    space.drop("pairs", "ends", "others")
     final = connected_components(near.unionByName(rest), space, "all")
     named = space.keep(sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(final, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = space.keep(named.groupBy("label").agg(F.min("id").alias("component_id")), "least")
