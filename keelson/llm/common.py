@@ -14,7 +14,18 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Texts reach Python in batches of at most so many rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sizes the batches of this session for long texts, so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus, to be read in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -98,7 +109,7 @@ class Workspace:
 class Cache(dict):
     """A dict that computes what it lacks and starts anew when it is full."""
 
-    def __init__(self, make, size: int = 1 << 19) -> None:
+    def __init__(self, make, size: int = 1 << 18) -> None:
         super().__init__()
         self.make, self.size = make, size
 

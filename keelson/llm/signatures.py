@@ -441,7 +441,7 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sizes = space.keep(keyed.groupBy("round", "key").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).filter("rows > 1").select("round", "key", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks")), "sizes")
     placed = keyed.join(sizes, ["round", "key"]).select("node", "id", F.struct("round", "key", F.pmod(F.xxhash64("node", "round"), "blocks").alias("block")).alias("p"))
     wanted = space.keep(placed.groupBy("id", "node").agg(F.collect_list("p").alias("places")), "wanted")
-    full = space.keep(_full_sets(source.join(wanted, "id").select("text", "node", "places"), shingle_words), "full")
+    full = space.keep(_full_sets(source.hint("merge").join(wanted, "id").select("text", "node", "places"), shingle_words), "full")
     space.drop("keyed", "sizes", "wanted")
     near = space.keep(_block_links(full, percent), "near")
     space.drop("full")
@@ -456,7 +456,7 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = space.keep(_rest_pairs(dealt, percent).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared")).filter(f"_shared >= {_prefix_needed_sql(percent)}").select("a", "b"), "pairs")
     ends = space.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(lead.select("node", "id"), "node").withColumn("places", F.lit(0)), "ends")
     space.drop("inside", "mixed", "nodes")
-    others = space.keep(_full_sets(source.join(ends, "id").select("text", "node", "places"), shingle_words).dropDuplicates(["node"]).select("node", "set"), "others")
+    others = space.keep(_full_sets(source.hint("merge").join(ends, "id").select("text", "node", "places"), shingle_words).dropDuplicates(["node"]).select("node", "set"), "others")
     rest = space.keep(_checked(pairs, others, percent), "rest")
     space.drop("pairs", "ends", "others")
     final = connected_components(near.unionByName(rest), space, "all")
