@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import decontam, packing, signatures, substrings, toxicity
-from keelson.llm.common import Workspace, table
+from keelson.llm.common import Workspace, small_batches, table
 
 WINDOW = 50
 
@@ -40,6 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by Jaccard similarity 0.8 of five-word shingles, the one with the least doc_id stays."""
+    small_batches(spark)
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5")))
     classes = Workspace(spark, "classes").keep(signatures.similar_classes(keyed, shingle_words=5, percent=80, id_col="_key").select("_key", (F.col("_key") == F.col("component_id")).alias("first")), "classes")
     kept = keyed.join(classes.filter("first").select("_key").distinct(), "_key", "left_semi")
@@ -53,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of fifty words or more that occur elsewhere are cut out."""
+    small_batches(spark)
     cut = substrings.dedup_substrings(_folded(docs), window=WINDOW, keep=("_rest",))
     rows = _unfolded(cut, docs)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
@@ -66,6 +68,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents in sequences of 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
