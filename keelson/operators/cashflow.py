@@ -73,30 +73,34 @@ def npv(flows: Column, rate: Column) -> Column:
     return F.aggregate(flows, F.lit(0.0), lambda acc, f: acc + f["a"] / F.pow(1 + rate, f["t"]))
 
 
-def xirr(flows: Column) -> Column:
+def xirr(timed: Column) -> Column:
     """Root of the present value on (-0.9999, 100) by bisection; null without a sign change.
 
-    ``flows`` is an array of structs (date, amount). One expression, no Python.
+    ``timed`` is a column of arrays of structs (t, a). One expression, no
+    Python. The sign at the low end travels in the accumulator, so a step
+    evaluates the present value once.
     """
-    ordered = F.array_sort(flows)
-    timed = F.transform(ordered, lambda f: F.struct((F.datediff(f["date"], ordered[0]["date"]) / F.lit(365.25)).alias("t"), f["amount"].alias("a")))
-    low = F.signum(npv(timed, F.lit(LOW)))
-    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
+    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.signum(npv(timed, F.lit(LOW))).alias("s"))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["lo"] + s["hi"]) / 2
-        below = F.signum(npv(timed, middle)) == low
-        return F.struct(F.when(below, middle).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle).alias("hi"))
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["lo"] + acc["hi"]) / 2
+        below = F.signum(npv(timed, middle)) == acc["s"]
+        return F.when(below, F.struct(middle.alias("lo"), acc["hi"].alias("hi"), acc["s"].alias("s"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi"), acc["s"].alias("s")))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    signs = F.exists(flows, lambda f: f["amount"] > 0) & F.exists(flows, lambda f: f["amount"] < 0)
-    bracketed = low * F.signum(npv(timed, F.lit(HIGH))) <= 0
-    return F.when((F.size(flows) >= 2) & signs & bracketed, found)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    signs = F.exists(timed, lambda f: f["a"] > 0) & F.exists(timed, lambda f: f["a"] < 0)
+    bracketed = F.signum(npv(timed, F.lit(LOW))) * F.signum(npv(timed, F.lit(HIGH))) <= 0
+    return F.when((F.size(timed) >= 2) & signs & bracketed, found)
+
+
+def timed_flows(flows: DataFrame) -> DataFrame:
+    """Adds ``t``: years since the fund's first flow."""
+    return flows.withColumn("t", F.datediff("date", F.min("date").over(Window.partitionBy("fund_id"))) / F.lit(365.25))
 
 
 def gathered(flows: DataFrame, amount: str = "amount", out: str = "flows") -> DataFrame:
-    """One array of (date, amount) per fund."""
-    return flows.groupBy("fund_id").agg(F.collect_list(F.struct("date", F.col(amount).alias("amount"))).alias(out))
+    """One array of (t, a) per fund."""
+    return timed_flows(flows).groupBy("fund_id").agg(F.collect_list(F.struct("t", F.col(amount).alias("a"))).alias(out))
 
 
 def multiples(flows: DataFrame, navs: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def fund_irr(flows: DataFrame, navs: DataFrame) -> DataFrame:
 def pme(flows: DataFrame, navs: DataFrame, index: DataFrame) -> DataFrame:
     """ks_pme, direct_alpha and ln_pme of every fund."""
     w = Window.partitionBy("fund_id")
-    dated = asof_level(terminal_flows(flows, navs), index)
+    dated = timed_flows(asof_level(terminal_flows(flows, navs), index))
     dated = dated.withColumn("_end", F.max_by("level", "date").over(w)).withColumn("_last", F.max("date").over(w))
     dated = dated.withColumn("_grown", F.col("amount") * F.col("_end") / F.col("level"))
     before = F.sum(F.when(F.col("date") < F.col("_last"), F.col("_grown")).otherwise(0.0)).over(w)
@@ -122,8 +126,8 @@ def pme(flows: DataFrame, navs: DataFrame, index: DataFrame) -> DataFrame:
     a, level = F.col("amount"), F.col("level")
     both = dated.groupBy("fund_id").agg(
         ratio(F.sum(F.when(a > 0, a / level).otherwise(0.0)), F.sum(F.when(a < 0, -a / level).otherwise(0.0))).alias("ks_pme"),
-        F.collect_list(F.struct("date", F.col("_grown").alias("amount"))).alias("_direct"),
-        F.collect_list(F.struct("date", F.col("_ln").alias("amount"))).alias("_long"),
+        F.collect_list(F.struct("t", F.col("_grown").alias("a"))).alias("_direct"),
+        F.collect_list(F.struct("t", F.col("_ln").alias("a"))).alias("_long"),
         F.max_by("_ln", "date").alias("_residual"),
     )
     return both.select("fund_id", "ks_pme", xirr(F.col("_direct")).alias("direct_alpha"), F.when(F.col("_residual") > 0, xirr(F.col("_long"))).alias("ln_pme"))

@@ -128,18 +128,18 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
     x, y = F.col("_y_lag"), F.col("_y")
     cells = rows.groupBy(F.col(cluster).alias("_c"), F.col(fixed).alias("_f")).agg(F.count("*").alias("_n"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"), F.sum(x * y).alias("_sxy"), F.sum(x * x).alias("_sxx"))
     # three numbers
-    size = cells.agg(F.sum("_n").alias("_N"), F.countDistinct("_c").alias("_G"), (F.countDistinct("_f") + 1).alias("_k"), F.sum("_sxx").alias("_XX"))
+    size = cells.agg(F.sum("_n").alias("_all"), F.countDistinct("_c").alias("_clusters"), (F.countDistinct("_f") + 1).alias("_params"), F.sum("_sxx").alias("_xx_all"))
     effect = cells.groupBy("_f").agg(F.sum("_n").alias("_nf")).withColumnRenamed("_f", "_f2")
     cells = cells.join(effect, F.col("_f") == F.col("_f2")).drop("_f2")
     drawn = cells.crossJoin(F.broadcast(replicates(sample.sparkSession, n_boot).unionByName(sample.sparkSession.createDataFrame([(0,)], "b int")))).withColumn("_w", F.when(F.col("b") == 0, 1.0).otherwise(draw_sign(seed, F.col("b"), F.col("_c"))))
     drawn = drawn.crossJoin(F.broadcast(size))
     by_b, by_bf = Window.partitionBy("b"), Window.partitionBy("b", "_f")
-    drawn = drawn.withColumn("_beta", F.sum(F.col("_w") * F.col("_sxy")).over(by_b) / F.col("_XX"))
+    drawn = drawn.withColumn("_beta", F.sum(F.col("_w") * F.col("_sxy")).over(by_b) / F.col("_xx_all"))
     # residual = w*y - mean in the effect - beta*x, summed with x over the cell
     mean = F.sum(F.col("_w") * F.col("_sy")).over(by_bf) / F.col("_nf")
-    drawn = drawn.withColumn("_score", (F.col("_w") * F.col("_sxy") - mean * F.col("_sx") - F.col("_beta") * F.col("_sxx")) / F.col("_XX"))
-    per_cluster = drawn.groupBy("b", "_c").agg(F.sum("_score").alias("_s"), F.first("_beta").alias("_beta"), F.first("_N").alias("_N"), F.first("_G").alias("_G"), F.first("_k").alias("_k"))
-    fitted = per_cluster.groupBy("b").agg(F.first("_beta").alias("beta"), (F.sum(F.col("_s") * F.col("_s")) * F.first("_G") / (F.first("_G") - 1) * (F.first("_N") - 1) / (F.first("_N") - F.first("_k"))).alias("_v"))
+    drawn = drawn.withColumn("_score", (F.col("_w") * F.col("_sxy") - mean * F.col("_sx") - F.col("_beta") * F.col("_sxx")) / F.col("_xx_all"))
+    per_cluster = drawn.groupBy("b", "_c").agg(F.sum("_score").alias("_s"), F.first("_beta").alias("_beta"), F.first("_all").alias("_all"), F.first("_clusters").alias("_clusters"), F.first("_params").alias("_params"))
+    fitted = per_cluster.groupBy("b").agg(F.first("_beta").alias("beta"), (F.sum(F.col("_s") * F.col("_s")) * F.first("_clusters") / (F.first("_clusters") - 1) * (F.first("_all") - 1) / (F.first("_all") - F.first("_params"))).alias("_v"))
     stats = fitted.withColumn("t", F.try_divide("beta", F.nullif(F.sqrt("_v"), F.lit(0.0))))
     observed = stats.filter("b = 0").select(F.col("beta"), F.col("t").alias("t_observed"))
     # one row

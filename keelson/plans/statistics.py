@@ -1,0 +1,447 @@
+"""Registered queries: cash-flow metrics, regressions, resampling, reviews and parsers, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..functions import parsing as P
+from ..operators import cashflow, entity, inference, panel, simulate
+from ..sources import disclosures, manifest
+from . import views as V
+from .catalog import query, r6
+
+B, SEED = 99, 20240813
+
+
+def _sample(spark, sf, **options):
+    return panel.estimation_sample(panel.build_panel(V.snap(spark, sf)), **options)
+
+
+# ---- cash flows ------------------------------------------------------------
+
+
+@query("flows_from_snapshots", "SELECT fund_id, as_of AS date, round(d - c, 6) AS amount FROM (SELECT fund_id, as_of, greatest(coalesce(contributions - lag(contributions) OVER w, contributions), 0) AS c, greatest(coalesce(distributions - lag(distributions) OVER w, distributions), 0) AS d FROM snapshots WINDOW w AS (PARTITION BY fund_id ORDER BY as_of)) WHERE d - c <> 0")
+def flows_from_snapshots(spark, sf):
+    return cashflow.flows_from_snapshots(V.snapshots(spark, sf)).select("fund_id", "date", r6("amount").alias("amount"))
+
+
+@query("observed_from_inception", "SELECT fund_id FROM snapshots GROUP BY 1 HAVING arg_min(contributions, as_of) <= 0 AND count(DISTINCT as_of) >= 2")
+def observed_from_inception(spark, sf):
+    return cashflow.observed_from_inception(V.snapshots(spark, sf))
+
+
+@query("terminal_flows", "SELECT fund_id, date, round(amount, 6) AS amount FROM tflows")
+def terminal_flows(spark, sf):
+    return cashflow.terminal_flows(V.flows(spark, sf), V.navs(spark, sf)).select("fund_id", "date", r6("amount").alias("amount"))
+
+
+@query("multiples", "SELECT fund_id, round(d / nullif(p, 0), 6) AS dpi, round(nav / nullif(p, 0), 6) AS rvpi, round((d + nav) / nullif(p, 0), 6) AS tvpi FROM (SELECT fund_id, sum(greatest(-amount, 0)) AS p, sum(greatest(amount, 0)) AS d FROM flows GROUP BY 1) JOIN navs USING (fund_id)")
+def multiples(spark, sf):
+    return cashflow.multiples(V.flows(spark, sf), V.navs(spark, sf)).select("fund_id", r6("dpi").alias("dpi"), r6("rvpi").alias("rvpi"), r6("tvpi").alias("tvpi"))
+
+
+@query("xnpv", "SELECT fund_id, round(sum(amount / pow(1.1, date_diff('day', d0, date) / 365.25)), 4) AS npv FROM (SELECT *, min(date) OVER (PARTITION BY fund_id) AS d0 FROM flows) GROUP BY 1")
+def xnpv(spark, sf):
+    return cashflow.gathered(V.flows(spark, sf)).select("fund_id", F.round(cashflow.npv(F.col("flows"), F.lit(0.1)), 4).alias("npv"))
+
+
+def _irr_sql(source: str, amount: str, out: str, digits: int = 6, only: str = "") -> str:
+    return f"""WITH RECURSIVE fl AS (SELECT fund_id, date_diff('day', min(date) OVER (PARTITION BY fund_id), date) / 365.25 AS t, {amount} AS a FROM {source}),
+lo0 AS (SELECT fund_id, sign(sum(a / pow(1 - 0.9999, t))) AS s, sign(sum(a / pow(101, t))) AS h, count(*) AS n, max(a) AS top, min(a) AS low FROM fl GROUP BY 1),
+ok AS (SELECT fund_id, s FROM lo0 WHERE n >= 2 AND top > 0 AND low < 0 AND s * h <= 0{only}),
+it AS (SELECT fund_id, s, -0.9999::DOUBLE AS lo, 100::DOUBLE AS hi, 0 AS k FROM ok UNION ALL
+  SELECT fund_id, s, CASE WHEN sign(sum(a / pow(1 + (lo + hi) / 2, t))) = s THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sign(sum(a / pow(1 + (lo + hi) / 2, t))) = s THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM it JOIN fl USING (fund_id) WHERE k < 60 GROUP BY fund_id, s, lo, hi, k)
+SELECT l.fund_id, round((lo + hi) / 2, {digits}) AS {out} FROM lo0 l LEFT JOIN (SELECT * FROM it WHERE k = 60) USING (fund_id)"""
+
+
+@query("xirr", _irr_sql("flows", "amount", "irr"))
+def xirr(spark, sf):
+    return cashflow.gathered(V.flows(spark, sf)).select("fund_id", r6(cashflow.xirr(F.col("flows"))).alias("irr"))
+
+
+@query("fund_irr", _irr_sql("tflows", "amount", "irr"))
+def fund_irr(spark, sf):
+    return cashflow.fund_irr(V.flows(spark, sf), V.navs(spark, sf)).select("fund_id", r6("irr").alias("irr"))
+
+
+@query("ks_pme", "SELECT fund_id, round(sum(greatest(amount, 0) / level) / nullif(sum(greatest(-amount, 0) / level), 0), 6) AS ks_pme FROM leveled GROUP BY 1")
+def ks_pme(spark, sf):
+    return cashflow.pme(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf)).select("fund_id", r6("ks_pme").alias("ks_pme"))
+
+
+@query("direct_alpha", _irr_sql("leveled", "amount * lend / level", "direct_alpha"))
+def direct_alpha(spark, sf):
+    return cashflow.pme(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf)).select("fund_id", r6("direct_alpha").alias("direct_alpha"))
+
+
+_LN = "(SELECT fund_id, date, last, CASE WHEN date < last THEN amount ELSE -sum(CASE WHEN date < last THEN amount * lend / level ELSE 0 END) OVER (PARTITION BY fund_id) END AS amount FROM leveled)"
+
+
+@query("ln_pme", _irr_sql(_LN, "amount", "ln_pme", only=f" AND fund_id IN (SELECT fund_id FROM {_LN} WHERE date = last AND amount > 0)"))
+def ln_pme(spark, sf):
+    return cashflow.pme(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf)).select("fund_id", r6("ln_pme").alias("ln_pme"))
+
+
+@query("summarise_panel")
+def summarise_panel(spark, sf):
+    out = cashflow.summarise(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf))
+    return out.select("fund_id", *(r6(c).alias(c) for c in out.columns if c != "fund_id"))
+
+
+@query("pme_report", """WITH e AS (SELECT fund_id FROM snapshots GROUP BY 1 HAVING arg_min(contributions, as_of) <= 0 AND count(DISTINCT as_of) >= 2),
+l AS (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY as_of DESC) = 1)
+SELECT CASE WHEN distributions / nullif(contributions, 0) >= 0.5 THEN 'realised' ELSE 'unrealised' END AS half, count(*) AS n, count(e.fund_id) AS eligible, round(sum(nav) FILTER (e.fund_id IS NOT NULL), 6) AS nav FROM l LEFT JOIN e USING (fund_id) GROUP BY 1""")
+def pme_report(spark, sf):
+    s = V.snapshots(spark, sf)
+    last = s.groupBy("fund_id").agg(F.max_by(F.struct("contributions", "distributions", "nav"), "as_of").alias("l")).select("fund_id", "l.*")
+    joined = last.join(cashflow.observed_from_inception(s).withColumn("e", F.lit(1)), "fund_id", "left")
+    half = F.when(F.try_divide("distributions", F.nullif("contributions", F.lit(0.0))) >= 0.5, "realised").otherwise("unrealised")
+    return joined.groupBy(half.alias("half")).agg(F.count("*").alias("n"), F.count("e").alias("eligible"), r6(F.sum(F.when(F.col("e") == 1, F.col("nav")))).alias("nav"))
+
+
+@query("flow_invariants", "SELECT count(*) AS n, sum((nav_date < last)::INT) AS early FROM (SELECT fund_id, max(date) AS last FROM flows GROUP BY 1) JOIN navs USING (fund_id)")
+def flow_invariants(spark, sf):
+    last = V.flows(spark, sf).groupBy("fund_id").agg(F.max("date").alias("last"))
+    return last.join(V.navs(spark, sf), "fund_id").agg(F.count("*").alias("n"), F.sum((F.col("nav_date") < F.col("last")).cast("int")).alias("early"))
+
+
+# ---- regressions -----------------------------------------------------------
+
+
+def _ols_sql(sample: str = "sample", where: str = "", fixed: str = "vintage", extra_k: int = 1, clusters: tuple[str, ...] = ("firm_id",), key: str = "", control: str = "") -> str:
+    part = ", ".join(x for x in (key, fixed) if x)
+    over = f"OVER (PARTITION BY {part})" if part else "OVER ()"
+    by = f"OVER (PARTITION BY {key})" if key else "OVER ()"
+    lead = f"{key}, " if key else ""
+    group = f"GROUP BY {key}" if key else ""
+    using = f"USING ({key})" if key else "ON true"
+    columns = ["y", "y_lag"] + ([control] if control else [])
+    dm = ", ".join(f"{c} - avg({c}) {over} AS d_{c}" for c in columns)
+    z = f"d_{control}"
+    part_out = f"d_y - sum({z} * d_y) {by} / sum({z} * {z}) {by} * {z} AS ty, d_y_lag - sum({z} * d_y_lag) {by} / sum({z} * {z}) {by} * {z} AS tx" if control else "d_y AS ty, d_y_lag AS tx"
+    dims = [(clusters[0],)] + ([(clusters[1],), clusters] if len(clusters) > 1 else [])
+    ctes, joins, terms = [], "", []
+    for i, dim in enumerate(dims):
+        ctes.append(f"c{i} AS (SELECT {lead}sum(s * s) AS v{i}, count(*) AS g{i} FROM (SELECT {lead}{', '.join(dim)}, sum(tx * e / xx) AS s FROM e GROUP BY {lead}{', '.join(dim)}) {group})")
+        joins += f" JOIN c{i} {using}"
+        terms.append(f"v{i} * g{i} / (g{i} - 1) * (n - 1) / (n - k)")
+    var = f"CASE WHEN {terms[0]} + {terms[1]} - {terms[2]} > 0 THEN {terms[0]} + {terms[1]} - {terms[2]} ELSE {terms[0]} END" if len(dims) == 3 else terms[0]
+    levels = f"count(DISTINCT {fixed})" if fixed else "1"
+    return f"""WITH m AS (SELECT *, {dm} FROM {sample} {where}), t AS (SELECT *, {part_out} FROM m), x AS (SELECT *, sum(tx * tx) {by} AS xx, sum(tx * ty) {by} / sum(tx * tx) {by} AS beta FROM t), e AS (SELECT *, ty - beta * tx AS e FROM x),
+b AS (SELECT {lead}any_value(beta) AS beta, count(*) AS n, count(DISTINCT firm_id) AS n_firms, {levels} + {extra_k + (1 if control else 0)} AS k FROM e {group}),
+{", ".join(ctes)}
+SELECT {lead}round(beta, 6) AS beta, round(sqrt({var}), 6) AS se, n, n_firms FROM b{joins}"""
+
+
+def _fit(df, *keys):
+    return df.select(*keys, r6("beta").alias("beta"), r6("se").alias("se"), "n", "n_firms")
+
+
+@query("ols_fe", _ols_sql())
+def ols_fe(spark, sf):
+    return _fit(inference.ols_fe(_sample(spark, sf)))
+
+
+@query("ols_plain", _ols_sql(fixed=""))
+def ols_plain(spark, sf):
+    return _fit(inference.ols_fe(_sample(spark, sf), fixed=None))
+
+
+@query("ols_control", _ols_sql(control="log_commitment"))
+def ols_control(spark, sf):
+    return _fit(inference.ols_fe(_sample(spark, sf, controls=("log_commitment",)), control="log_commitment"))
+
+
+@query("ols_two_way", _ols_sql(clusters=("firm_id", "vintage")))
+def ols_two_way(spark, sf):
+    return _fit(inference.ols_fe(_sample(spark, sf), clusters=("firm_id", "vintage")))
+
+
+@query("clustered_t", _ols_sql(clusters=("sponsor_id",)))
+def clustered_t(spark, sf):
+    return _fit(inference.ols_fe(_sample(spark, sf), clusters=("sponsor_id",)))
+
+
+_SPECS = "(SELECT *, unnest(list_filter(['1 all', CASE WHEN NOT not_meaningful THEN '2 mature' END, CASE WHEN NOT not_meaningful AND fund_number_gap = 1 THEN '3 adjacent' END, CASE WHEN vintage < 1998 THEN '4 early' END, CASE WHEN vintage >= 1998 THEN '5 late' END], lambda s: s IS NOT NULL)) AS spec FROM sample)"
+
+
+def _specs(df):
+    mature, adjacent, v = ~F.col("not_meaningful"), F.col("fund_number_gap") == 1, F.col("vintage")
+    labels = F.array_compact(F.array(F.lit("1 all"), F.when(mature, "2 mature"), F.when(mature & adjacent, "3 adjacent"), F.when(v < 1998, "4 early"), F.when(v >= 1998, "5 late")))
+    return df.withColumn("spec", F.explode(labels))
+
+
+@query("specification_rows", _ols_sql(sample=_SPECS, key="spec"))
+def specification_rows(spark, sf):
+    return _fit(inference.ols_fe(_specs(_sample(spark, sf)), keys=("spec",)), "spec")
+
+
+@query("ci95", f"SELECT spec, beta, se, round(beta - 1.96 * se, 4) AS low, round(beta + 1.96 * se, 4) AS high, round(beta - 1.96 * se, 4) <= 0 AND round(beta + 1.96 * se, 4) >= 0 AS includes_zero FROM ({_ols_sql(sample=_SPECS, key='spec').replace('WITH m AS', 'WITH m AS')})")
+def ci95(spark, sf):
+    fit = specification_rows(spark, sf).select("spec", "beta", "se").withColumn("low", F.round(F.col("beta") - 1.96 * F.col("se"), 4)).withColumn("high", F.round(F.col("beta") + 1.96 * F.col("se"), 4))
+    return fit.withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+@query("sample_split_rows", _ols_sql(sample="(SELECT *, lag(y) OVER w AS y_lag FROM (SELECT *, ln(greatest(tvpi, 0.01)) AS y FROM plans) WINDOW w AS (PARTITION BY source, firm_id ORDER BY sequence, fund_id) QUALIFY lag(y) OVER w IS NOT NULL)", key="source"))
+def sample_split_rows(spark, sf):
+    # every plan's panel is rebuilt from its own rows
+    p = V.plans(spark, sf)
+    w = Window.partitionBy("source", "firm_id").orderBy("sequence", "fund_id")
+    y = p.withColumn("y", F.ln(F.greatest("tvpi", F.lit(0.01))))
+    return _fit(inference.ols_fe(y.withColumn("y_lag", F.lag("y").over(w)).filter("y_lag is not null"), keys=("source",)), "source")
+
+
+@query("winsorise", "SELECT fund_id, round(least(greatest(y, lo), hi), 6) AS y, round(least(greatest(y_lag, lo), hi), 6) AS y_lag FROM sample, (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM (SELECT y AS v FROM sample UNION ALL SELECT y_lag FROM sample))")
+def winsorise(spark, sf):
+    return panel.winsorise(_sample(spark, sf), 0.01, 0.99).select("fund_id", r6("y").alias("y"), r6("y_lag").alias("y_lag"))
+
+
+@query("robustness_rows", _ols_sql(sample="(SELECT * REPLACE (least(greatest(y, lo), hi) AS y, least(greatest(y_lag, lo), hi) AS y_lag) FROM sample, (SELECT quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM (SELECT y AS v FROM sample UNION ALL SELECT y_lag FROM sample)))"))
+def robustness_rows(spark, sf):
+    return _fit(inference.ols_fe(panel.winsorise(_sample(spark, sf), 0.05, 0.95)))
+
+
+_LOO = "WITH d AS (SELECT DISTINCT {by} AS dropped FROM sample), m AS (SELECT dropped, y - avg(y) OVER w AS dy, y_lag - avg(y_lag) OVER w AS dx FROM d JOIN sample ON {by} <> dropped WINDOW w AS (PARTITION BY dropped, vintage)) SELECT dropped, round(sum(dx * dy) / sum(dx * dx), 6) AS beta, count(*) AS n FROM m GROUP BY 1"
+
+
+@query("leave_one_out", _LOO.format(by="vintage"))
+def leave_one_out(spark, sf):
+    return inference.leave_one_out(_sample(spark, sf), "vintage").select("dropped", r6("beta").alias("beta"), "n")
+
+
+@query("leave_one_sponsor_out", _LOO.format(by="sponsor_id"))
+def leave_one_sponsor_out(spark, sf):
+    return inference.leave_one_out(_sample(spark, sf), "sponsor_id").select("dropped", r6("beta").alias("beta"), "n")
+
+
+_SMALL = "firm_id % 10 = 1"
+
+
+@query("wild_cluster_bootstrap", f"""WITH m AS (SELECT firm_id, vintage, y - avg(y) OVER v AS ty, y_lag - avg(y_lag) OVER v AS tx FROM sample WHERE {_SMALL} WINDOW v AS (PARTITION BY vintage)),
+r AS (SELECT b, firm_id, vintage, tx, CASE WHEN b = 0 THEN 1 WHEN substr(md5('{SEED}|' || b || '|' || firm_id), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END * ty AS wy FROM m, range(0, {B + 1}) t(b)),
+d AS (SELECT *, wy - avg(wy) OVER (PARTITION BY b, vintage) AS dy, sum(tx * tx) OVER (PARTITION BY b) AS xx FROM r),
+f AS (SELECT *, sum(tx * dy) OVER (PARTITION BY b) / xx AS beta FROM d),
+s AS (SELECT b, firm_id, any_value(beta) AS beta, sum(tx * (dy - beta * tx) / xx) AS s, count(*) AS n FROM f GROUP BY 1, 2),
+t AS (SELECT b, any_value(beta) AS beta, any_value(beta) / sqrt(sum(s * s) * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - (SELECT count(DISTINCT vintage) + 1 FROM m))) AS t FROM s GROUP BY b)
+SELECT round(o.beta, 6) AS beta, round(o.t, 6) AS t, round((1 + sum((abs(t.t) >= abs(o.t))::INT)) / {B + 1}, 6) AS p, count(*) AS n_boot FROM t, (SELECT * FROM t WHERE b = 0) o WHERE t.b > 0 GROUP BY o.beta, o.t""")
+def wild_cluster_bootstrap(spark, sf):
+    out = inference.wild_cluster_bootstrap(_sample(spark, sf).filter(_SMALL), B, SEED)
+    return out.select(r6("beta").alias("beta"), r6("t").alias("t"), r6("p").alias("p"), "n_boot")
+
+
+_RANKED = "(SELECT *, (rank() OVER (PARTITION BY vintage ORDER BY y) + (count(*) OVER (PARTITION BY vintage, y) - 1) / 2) / count(*) OVER (PARTITION BY vintage) AS ry, (rank() OVER (PARTITION BY vintage ORDER BY y_lag) + (count(*) OVER (PARTITION BY vintage, y_lag) - 1) / 2) / count(*) OVER (PARTITION BY vintage) AS rx FROM (SELECT * FROM sample WHERE {where}))"
+_PERMUTED = """slots AS (SELECT *, row_number() OVER (PARTITION BY vintage ORDER BY fund_id) AS slot FROM base),
+dealt AS (SELECT b, vintage, row_number() OVER (PARTITION BY b, vintage ORDER BY md5('{seed}|' || b || '|' || fund_id)) AS slot, {value} AS v FROM slots, range(1, {n}) t(b))"""
+
+
+@query("spearman_within", f"""WITH base AS (SELECT * FROM {_RANKED.format(where=_SMALL)}), {_PERMUTED.format(seed=SEED, value='ry', n=B + 1)},
+o AS (SELECT corr(rx, ry) AS rho, count(*) AS n FROM base), u AS (SELECT b, corr(s.rx, d.v) AS r FROM dealt d JOIN slots s USING (vintage, slot) GROUP BY 1)
+SELECT round(rho, 6) AS rho, round((1 + sum((r >= rho)::INT)) / {B + 1}, 6) AS p, n FROM u, o GROUP BY rho, n""")
+def spearman_within(spark, sf):
+    return inference.spearman_within(_sample(spark, sf).filter(_SMALL), B, SEED).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
+
+
+_Q = "SELECT *, 1 + (y > quantile_cont(y, 0.25) OVER v)::INT + (y > quantile_cont(y, 0.5) OVER v)::INT + (y > quantile_cont(y, 0.75) OVER v)::INT AS q_now, 1 + (y_lag > quantile_cont(y_lag, 0.25) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.5) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.75) OVER v)::INT AS q_prev FROM (SELECT * FROM sample WHERE firm_id % 10 = 1) WINDOW v AS (PARTITION BY vintage)"
+
+
+@query("transition_permutation_test", f"""WITH base AS ({_Q}), {_PERMUTED.format(seed=SEED, value='q_now', n=B + 1)},
+o AS (SELECT avg((q_prev = q_now)::INT) AS diagonal, count(*) AS n FROM base), u AS (SELECT b, avg((s.q_prev = d.v)::INT) AS d FROM dealt d JOIN slots s USING (vintage, slot) GROUP BY 1)
+SELECT round(diagonal, 6) AS diagonal, round(avg(d), 6) AS null_diagonal, round((1 + sum((d >= diagonal - 1e-12)::INT)) / {B + 1}, 6) AS p, n FROM u, o GROUP BY diagonal, n""")
+def transition_permutation_test(spark, sf):
+    out = inference.transition_permutation(_sample(spark, sf).filter(_SMALL), B, SEED)
+    return out.select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
+
+
+_ATT = "var_samp(a - b) / 2"
+
+
+@query("attenuation", f"SELECT n_pairs, round(e, 8) AS var_error, round(v, 8) AS var_true, round(v / (v + e), 6) AS lambda, round(m, 6) AS mean_abs_diff, round(p, 6) AS median_pct_diff FROM (SELECT count(*) AS n_pairs, {_ATT} AS e, greatest(var_samp((a + b) / 2) - {_ATT} / 2, 0) AS v, avg(abs(a - b)) AS m, quantile_cont(abs(exp(a - b) - 1), 0.5) AS p FROM reports)")
+def attenuation(spark, sf):
+    out = inference.attenuation(V.reports(spark, sf))
+    return out.select("n_pairs", r6("var_error", 8).alias("var_error"), r6("var_true", 8).alias("var_true"), r6("lambda").alias("lambda"), r6("mean_abs_diff").alias("mean_abs_diff"), r6("median_pct_diff").alias("median_pct_diff"))
+
+
+@query("bootstrap_lambda", f"""WITH n AS (SELECT a, b AS bb, row_number() OVER (ORDER BY fund_id) - 1 AS i FROM reports WHERE fund_id % 20 = 0), c AS (SELECT count(*) AS n FROM n),
+p AS (SELECT t.b, ('0x' || substr(md5('{SEED}|' || t.b || '|' || n.i), 1, 12))::BIGINT % c.n AS i FROM n, c, range(1, {B + 1}) t(b)),
+l AS (SELECT p.b, var_samp(a - bb) / 2 AS e, greatest(var_samp((a + bb) / 2) - var_samp(a - bb) / 4, 0) AS v FROM p JOIN n USING (i) GROUP BY 1)
+SELECT round(quantile_cont(v / (v + e), 0.025), 6) AS low, round(quantile_cont(v / (v + e), 0.975), 6) AS high, count(*) AS n_boot FROM l""")
+def bootstrap_lambda(spark, sf):
+    return inference.bootstrap_lambda(V.reports(spark, sf).filter("fund_id % 20 = 0"), B, SEED).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
+
+
+@query("overlap_keyed", f"SELECT count(*) AS n, round(corr(ln(a.tvpi), ln(b.tvpi)), 6) AS r FROM plans a JOIN plans b ON a.firm_id = b.firm_id AND a.fund_number = b.fund_number AND a.vintage = b.vintage WHERE a.source = '{V.A}' AND b.source = '{V.B}' AND a.tvpi > 0 AND b.tvpi > 0")
+def overlap_keyed(spark, sf):
+    p = V.plans(spark, sf).filter("tvpi > 0").select("firm_id", "fund_number", "vintage", "tvpi", "source")
+    a, b = p.filter(F.col("source") == V.A), p.filter(F.col("source") == V.B).withColumnRenamed("tvpi", "tvpi_b")
+    return a.join(b, ["firm_id", "fund_number", "vintage"]).agg(F.count("*").alias("n"), r6(F.corr(F.ln("tvpi"), F.ln("tvpi_b"))).alias("r"))
+
+
+@query("interpolate_mde", "WITH g AS (SELECT k / 20 AS beta, 1 - exp(-k * k / 40) AS power FROM range(0, 9) t(k)), s AS (SELECT beta, power, lag(beta) OVER (ORDER BY beta) AS b0, lag(power) OVER (ORDER BY beta) AS p0 FROM g) SELECT round(arg_min(b0 + (0.8 - p0) * (beta - b0) / (power - p0), beta), 6) AS crossing FROM s WHERE power >= 0.8")
+def interpolate_mde(spark, sf):
+    k = F.col("id").cast("double")
+    return inference.interpolate_crossing(spark.range(9).select((k / 20).alias("beta"), (1 - F.exp(-k * k / 40)).alias("power"))).select(r6("crossing").alias("crossing"))
+
+
+@query("beta_correction", f"SELECT round(f.beta / l.lambda, 6) AS corrected FROM ({_ols_sql()}) f, (SELECT v / (v + e) AS lambda FROM (SELECT {_ATT} AS e, greatest(var_samp((a + b) / 2) - {_ATT} / 2, 0) AS v FROM reports)) l")
+def beta_correction(spark, sf):
+    lam = inference.attenuation(V.reports(spark, sf)).select("lambda")
+    return ols_fe(spark, sf).crossJoin(F.broadcast(lam)).select(r6(F.col("beta") / F.col("lambda")).alias("corrected"))
+
+
+# ---- reviews, parsers, sources ---------------------------------------------
+
+
+@query("family_review", f"""WITH s AS (SELECT fund_id, vintage, commitment, upper(p.fund_name) AS stem FROM (SELECT n.*, regexp_replace(fund_name, ' Partners.*', '') AS base FROM names n) x JOIN (SELECT fund_id, regexp_replace(fund_name, ' Partners.*', '') AS fund_name FROM names) p USING (fund_id))
+SELECT stem, count(*) AS n, count(DISTINCT vintage) AS vintages, count(*) - count(DISTINCT vintage) > 0 AS clash, greatest(count(*) - 1, 0) AS pairs, min(vintage) AS first, max(vintage) AS last FROM s GROUP BY 1""")
+def family_review(spark, sf):
+    n = V.names(spark, sf).withColumn("stem", F.upper(F.regexp_replace("fund_name", " Partners.*", "")))
+    return n.groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("vintage").alias("vintages"), (F.count("*") - F.countDistinct("vintage") > 0).alias("clash"), F.greatest(F.count("*") - 1, F.lit(0)).alias("pairs"), F.min("vintage").alias("first"), F.max("vintage").alias("last"))
+
+
+@query("numeral_diagnostic", "SELECT p_partkey % 5 AS suffix, count(*) AS n, sum(CASE WHEN p_partkey % 5 IN (0, 4) THEN 1 ELSE 0 END)::BIGINT AS clean FROM part GROUP BY 1")
+def numeral_diagnostic(spark, sf):
+    d = V.names(spark, sf).select((F.col("fund_id") % 5).alias("suffix"), (~N.family_stem(F.col("fund_name")).rlike(r"(\s[IVX]+(\s|-|$)|\()")).alias("clean"))
+    return d.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"))
+
+
+@query("calpers_as_of", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 > 0 THEN o_orderdate::DATE END AS as_of FROM orders")
+def calpers_as_of(spark, sf):
+    d = F.col("o_orderdate").cast("date")
+    text = F.when(F.col("o_orderkey") % 6 > 0, F.concat(F.lit("<p>Performance as of "), F.date_format(d, "MMMM d, yyyy"), F.lit("</p>"))).otherwise("<p>as of today</p>")
+    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), P.banner_date(text).alias("as_of"))
+
+
+def _report_lines(spark, sf):
+    k = F.col("o_orderkey")
+    money = lambda m: F.concat(F.lit("$"), (k % m).cast("string"), F.lit(".5"))
+    star = F.when(k % 4 == 0, "* ").otherwise("")
+    nav = F.when(k % 3 == 0, F.concat(F.lit("("), money(11), F.lit(")"))).otherwise(money(11))
+    tail = F.when(k % 5 == 0, " n.m.").otherwise(F.concat(F.lit(" 1."), (k % 10).cast("string"), F.lit("x "), (k % 30).cast("string"), F.lit(".5%")))
+    line = F.when(k % 50 == 0, "Total partnerships $1").otherwise(F.concat(star, F.year("o_orderdate").cast("string"), F.lit(" Fund "), k.cast("string"), F.lit(" "), money(97), F.lit(" "), money(89), F.lit(" "), money(83), F.lit(" "), nav, tail))
+    return V.table(spark, sf, "orders").select(line.alias("line"), k.alias("line_no"))
+
+
+@query("oregon_parse_lines", """SELECT 'OPERF::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, round((o_orderkey % 97 + 0.5) * 1e6, 6) AS commitment, round((CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 11 + 0.5) * 1e6, 6) AS nav,
+  CASE WHEN o_orderkey % 5 > 0 THEN round(1 + o_orderkey % 10 / 10, 6) END AS multiple, CASE WHEN o_orderkey % 5 > 0 THEN round((o_orderkey % 30 + 0.5) / 100, 6) END AS irr, o_orderkey % 5 = 0 AS not_meaningful, o_orderkey % 4 = 0 AS sold_secondary FROM orders WHERE o_orderkey % 50 > 0""")
+def oregon_parse_lines(spark, sf):
+    out = disclosures.report_lines(_report_lines(spark, sf))
+    return out.select("fund_id", "vintage", r6("commitment").alias("commitment"), r6("nav").alias("nav"), r6("reported_multiple").alias("multiple"), r6("net_irr").alias("irr"), "not_meaningful", "sold_secondary")
+
+
+@query("oregon_as_of", "SELECT DATE '2024-03-31' AS as_of")
+def oregon_as_of(spark, sf):
+    lines = spark.createDataFrame([(1, "Private equity"), (2, "As of sometime"), (3, "As of March 31, 2024"), (4, "As of June 30, 2024")], "line_no int, line string")
+    return disclosures.report_as_of(lines)
+
+
+@query("calpers_parse", """SELECT 'CALPERS::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, (o_orderkey % 900 + 100)::DOUBLE AS contributions, (o_orderkey % 700)::DOUBLE AS distributions, (o_orderkey % 700 + o_orderkey % 300)::DOUBLE AS total_value, (o_orderkey % 300)::DOUBLE AS nav,
+  round((o_orderkey % 700 + o_orderkey % 300) / (o_orderkey % 900 + 100), 6) AS tvpi_reported, CASE WHEN o_orderkey % 8 > 0 THEN round((o_orderkey % 40 - 10 + 0.0) / 100, 6) END AS net_irr, o_orderkey % 8 = 0 AS not_meaningful FROM orders WHERE o_orderkey % 60 > 0 AND o_orderkey % 61 > 0""")
+def calpers_parse(spark, sf):
+    k = F.col("o_orderkey")
+    usd = lambda c: F.concat(F.lit("$"), c.cast("string"))
+    raw = V.table(spark, sf, "orders").select(
+        F.when(k % 60 == 0, "Fund").otherwise(F.concat(F.lit(" Fund "), k.cast("string"))).alias("Fund"),
+        F.year("o_orderdate").cast("string").alias("Vintage Year"),
+        usd(k).alias("Capital Committed"),
+        F.when(k % 61 == 0, "-").otherwise(usd(k % 900 + 100)).alias("Cash In"),
+        usd(k % 700).alias("Cash Out"),
+        usd(k % 700 + k % 300).alias("Cash Out & Remaining Value"),
+        F.when(k % 8 == 0, "N/M 1").otherwise(F.concat((k % 40 - 10).cast("string"), F.lit(".0%  1"))).alias("Net IRR"),
+        F.lit("1.0x").alias("Investment Multiple"),
+    )
+    out = disclosures.calpers_parse(raw)
+    return out.select("fund_id", "vintage", "contributions", "distributions", "total_value", "nav", r6("tvpi_reported").alias("tvpi_reported"), r6("net_irr").alias("net_irr"), "not_meaningful")
+
+
+@query("discover_links", """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
+def discover_links(spark, sf):
+    return disclosures.links(V.table(spark, sf, "pages"))
+
+
+@query("quarter_url", f"SELECT o_orderkey AS k, printf('{disclosures.OREGON_URL}', year(o_orderdate), quarter(o_orderdate), year(o_orderdate)) AS url FROM orders")
+def quarter_url(spark, sf):
+    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), disclosures.quarter_url(F.year("o_orderdate"), F.quarter("o_orderdate")).alias("url"))
+
+
+@query("factor_scan", "SELECT last_day(make_date(2000 + k // 12, k % 12 + 1, 1)) AS date, CASE WHEN k % 7 > 0 THEN round((k % 9 - 4) / 100, 6) END AS mkt_rf, round(0.1 / 100, 6) AS rf FROM (SELECT k::INT AS k FROM range(0, 120) t(k))")
+def factor_scan(spark, sf):
+    k = F.col("id").cast("int")
+    month = F.concat((2000 + F.floor(k / 12)).cast("string"), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
+    monthly = spark.range(120).select(F.concat_ws(",", month, F.when(k % 7 == 0, "-99.99").otherwise(F.concat((k % 9 - 4).cast("string"), F.lit(".0"))), F.lit(" 1.0"), F.lit("0.5"), F.lit("0.1")).alias("value"))
+    prose = spark.createDataFrame([("This file was made from prices",), ("",), (",Mkt-RF,SMB,HML,RF",), (" Annual Factors",), ("2000,1.0,1.0,1.0,1.0",)], "value string")
+    return disclosures.factors(monthly.unionByName(prose)).select("date", r6("mkt_rf").alias("mkt_rf"), r6("rf").alias("rf"))
+
+
+@query("html_table_scan", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part WHERE p_partkey < 200")
+def html_table_scan(spark, sf):
+    p = V.table(spark, sf, "part").filter("p_partkey < 200")
+    page = F.concat(F.lit("<table><tr><td>x</td></tr></table><table class='w'><tr><th>Name</th><th>Size</th></tr><tr><td> <b>"), "p_name", F.lit("</b></td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table>"))
+    rows = disclosures.widest_table(disclosures.html_tables(p.select(F.col("p_partkey").alias("path"), page.alias("html"))))
+    return rows.filter("row > 0").select("path", "row", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("size"))
+
+
+@query("manifest_source_as_of", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'CalPERS PEP' WHEN 1 THEN 'Oregon PERS OPERF' ELSE '' END AS source, CASE o_orderkey % 3 WHEN 0 THEN (o_orderdate::DATE)::VARCHAR WHEN 1 THEN last_day(make_date(year(o_orderdate)::INT, (quarter(o_orderdate) * 3)::INT, 1))::VARCHAR ELSE '' END AS as_of FROM orders")
+def manifest_source_as_of(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    name = F.when(k % 3 == 0, F.concat(F.lit("calpers_"), d.cast("string"), F.lit(".csv"))).when(k % 3 == 1, F.concat(F.lit("oregon_"), F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string"), F.lit(".pdf"))).otherwise("other.txt")
+    return V.table(spark, sf, "orders").select(k.alias("k"), manifest.file_source(name).alias("source"), manifest.file_as_of(name).alias("as_of"))
+
+
+@query("compare_manifests", "SELECT coalesce(a.k, b.k)::VARCHAR AS file, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'untracked' ELSE 'changed' END AS state FROM (SELECT p_partkey AS k, p_size AS h FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size END AS h FROM part WHERE p_partkey % 4 > 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.h <> b.h")
+def compare_manifests(spark, sf):
+    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    a = p.filter("k % 3 > 0").select(F.col("k").cast("string").alias("file"), F.col("p_size").cast("string").alias("sha256"))
+    b = p.filter("k % 4 > 0").select(F.col("k").cast("string").alias("file"), F.when(F.col("k") % 5 == 0, "-1").otherwise(F.col("p_size").cast("string")).alias("sha256"))
+    return manifest.compare(a, b)
+
+
+@query("resolve_families", "SELECT source, count(*) AS n, count(DISTINCT firm_id) AS firms FROM (SELECT firm_id, fund_number, source FROM (SELECT *, min(source) OVER (PARTITION BY firm_id, fund_number) AS best FROM plans WHERE fund_number IS NOT NULL) WHERE source = best GROUP BY ALL UNION ALL SELECT firm_id, fund_number, source FROM plans WHERE fund_number IS NULL) GROUP BY 1")
+def resolve_families(spark, sf):
+    pooled = entity.share_class_rollup(entity.pool_plans(V.plans(spark, sf), (V.A, V.B)))
+    return pooled.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("firm_id").alias("firms"))
+
+
+# ---- simulation ------------------------------------------------------------
+
+
+@query("simulate")
+def simulate_universe(spark, sf):
+    out = simulate.simulate(spark, simulate.Universe(firms=60))
+    return out.select("firm_id", "fund_id", "sequence", "vintage", r6("commitment").alias("commitment"), r6("tvpi").alias("tvpi"), F.size("flows").alias("n_flows"))
+
+
+@query("sim_validation")
+def sim_validation(spark, sf):
+    u = simulate.Universe(firms=200, threshold=0.0)
+    fit = inference.ols_fe(panel.estimation_sample(panel.build_panel(simulate.simulate(spark, u))), fixed="vintage")
+    return fit.select(F.lit(round(u.true_beta, 6)).alias("true_beta"), r6("beta").alias("beta"), r6("se").alias("se"), "n")
+
+
+@query("sim_index")
+def sim_index(spark, sf):
+    return simulate.index_path(spark).select("date", r6("level").alias("level"))
+
+
+@query("displace", "SELECT shift, n FROM (SELECT CASE WHEN u < 25 THEN 0 WHEN u < 39 THEN 1 ELSE 2 END AS shift, count(*) AS n FROM (SELECT ('0x' || substr(md5('11|' || fund_id), 1, 8))::BIGINT % 43 AS u FROM funds) GROUP BY 1)")
+def displace(spark, sf):
+    f = V.funds(spark, sf).withColumn("before", F.col("vintage"))
+    return simulate.displaced(f).groupBy((F.col("vintage") - F.col("before")).alias("shift")).agg(F.count("*").alias("n"))
+
+
+@query("power_at")
+def power_at(spark, sf):
+    """Rejection rate of the clustered t over simulated outcomes on the fixed design."""
+    s = _sample(spark, sf).filter("firm_id % 50 = 1").select("fund_id", "firm_id", "vintage", "y_lag")
+    draws = s.crossJoin(F.broadcast(inference.replicates(spark, 40))).crossJoin(F.broadcast(spark.createDataFrame([(0.0,), (0.5,)], "true_beta double")))
+
+    def u(salt):
+        digest = F.md5(F.concat_ws("|", F.lit(salt), F.col("b").cast("string"), F.col("fund_id").cast("string")))
+        return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+    noise = F.sqrt(-2 * F.ln(u("r"))) * F.cos(2 * 3.141592653589793 * u("a"))
+    y = draws.withColumn("y", F.col("true_beta") * F.col("y_lag") + 0.02 * noise)
+    fits = inference.ols_fe(y, keys=("true_beta", "b"))
+    return fits.groupBy("true_beta").agg(r6(F.avg((F.abs("t") >= 1.96).cast("double"))).alias("power"), F.count("*").alias("n"))
