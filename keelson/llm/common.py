@@ -94,6 +94,10 @@ class Workspace:
         self._release_shuffles()
         return self.spark.read.schema(schema).parquet(out)
 
+    def stored_bytes(self, name: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, table
-from .words import chunks
+from .words import chunks, hash_runs
 
 #: Characters on which the tokenizer's normaliser and Python's lower() agree and
 #: that either is white space to both or to neither; texts with others go through it whole.
@@ -43,30 +43,41 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes that are not white space, in texts without the characters above.
+IN_WORD = np.array([b not in b"\t\n\r " for b in range(256)])
+
+
 class WordTokenizer:
     """Token ids of whole texts, as ``Tokenizer.encode`` gives them without special tokens.
 
     No token crosses white space, so ids are remembered by what stands between
-    white space. Words not met before are encoded together with a mark between
-    them that no such word contains.
+    white space, in a direct-mapped table of 64-bit hashes that numpy reads for
+    all words of a chunk at once. Words not met before are encoded together
+    with a mark after each that no such word contains.
     """
 
     MARK = "\u2014"
     _open: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, size: int = 300_000) -> None:
+    def __init__(self, path: str, slots: int = 1 << 20, room: int = 1 << 23) -> None:
         from tokenizers import Tokenizer, normalizers
 
         self.inner = Tokenizer.from_file(path)
-        self.mark = np.asarray(self.inner.encode(self.MARK, add_special_tokens=False).ids, "<u4")
+        mark = self.inner.encode(self.MARK, add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("the mark is not one token of this vocabulary")
+        self.mark = mark[0]
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.size = size
+        self.slots, self.room = slots, room
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.count = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @classmethod
-    def at(cls, path: str) -> WordTokenizer:
+    def at_path(cls, path: str) -> WordTokenizer:
         """The process's own, which stays for the tasks to come."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in cls._open:
@@ -78,48 +89,44 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words: list[str] = []
-        ends: list[int] = []
-        for t in texts:
-            plain = not UNLIKE.search(t) and "<|" not in t
-            if plain:
-                words += t.split()
-            ends.append(len(words) if plain else -1)
-        if len(self.known) > self.size:
-            self.older, self.known = self.known, {}
-        parts = list(map(self.known.get, words))
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if missing:
-            new = set()
-            for w in {words[i] for i in missing}:
-                if (p := self.older.get(w)) is not None:
-                    self.known[w] = p
-                else:
-                    new.add(w)
-            self._learn(list(new))
-            for i in missing:
-                parts[i] = self.known[words[i]]
-        out, at = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            if end < 0:
-                out.append(self.whole(t))
-            else:
-                out.append(b"".join(parts[at:end]))
-                at = end
+        if self.used > self.room:
+            self._forget()
+        plain = [not UNLIKE.search(t) and "<|" not in t for t in texts]
+        raws = [t.encode() for t, p in zip(texts, plain, strict=True) if p]
+        data = b" ".join([*raws, b""])
+        start, end, hashes = hash_runs(np.frombuffer(data, np.uint8), IN_WORD)
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        at, count = self.at[slot], self.count[slot]
+        missing = np.flatnonzero(self.keys[slot] != hashes)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            place = missing[first]
+            new_at, new_count = self._learn([data[a:b].decode() for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)])
+            at[missing], count[missing] = new_at[which], new_count[which]
+            self.keys[slot[place]], self.at[slot[place]], self.count[slot[place]] = new, new_at, new_count
+        before = np.append(0, np.cumsum(count))
+        flat = self.ids[np.repeat(at - before[:-1], count) + np.arange(before[-1])].astype("<u4").tobytes()
+        cuts = (4 * before[np.searchsorted(start, np.append(0, np.cumsum([len(r) + 1 for r in raws])))]).tolist()
+        out, i = [], 0
+        for t, p in zip(texts, plain, strict=True):
+            out.append(flat[cuts[i] : cuts[i + 1]] if p else self.whole(t))
+            i += p
         return out
 
-    def _learn(self, words: list[str], at_once: int = 128) -> None:
-        if len(self.mark) != 1:
-            self.known.update((w, self.whole(w)) for w in words)
-            return
-        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
-        between = f" {self.MARK} "
-        for group, found in zip(groups, self.bare.encode_batch_fast([between.join(g).lower() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(found.ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(group, [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), len(raw)], strict=True):
-                self.known[w] = raw[at:cut]
-                at = cut + 4
+    def _learn(self, words: list[str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words' ids are kept from now on, and how many they are."""
+        after = f" {self.MARK} "
+        groups = [after.join(words[i : i + at_once]).lower() + after for i in range(0, len(words), at_once)]
+        ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in self.bare.encode_batch_fast(groups, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark)
+        count = np.diff(marks, prepend=-1) - 1
+        ids = np.delete(ids, marks)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(ids)), np.uint32)])
+        at = self.used + np.cumsum(count) - count
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return at, count
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -131,7 +138,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1
     schema = T.StructType(fields)
 
     def run(batches):
-        encoder = WordTokenizer.at(tokenizer)
+        encoder = WordTokenizer.at_path(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:

@@ -9,9 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
-
-from .common import Cache
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -24,24 +21,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Hashes of words met by this process.
-KNOWN = Cache(xxhash.xxh3_64_intdigest)
+#: Bytes other than ASCII white space.
+IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 
 
 class WordHasher:
     def __init__(self, lower: bool = False) -> None:
         self.lower = lower
-        self.known = KNOWN
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all texts' words, and where each text's begin (one entry more than texts)."""
-        get, parts, ends = self.known.__getitem__, [], [0]
-        for text in texts:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            words = (raw.lower() if self.lower else raw).split()
-            parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
-            ends.append(ends[-1] + len(words))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(ends, np.int64)
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = b" ".join([*raws, b""])
+        # of bytes, only A-Z have a lower case
+        start, _, hashes = hash_runs(np.frombuffer(data.lower() if self.lower else data, np.uint8), IN_WORD)
+        return hashes, np.searchsorted(start, np.append(0, np.cumsum([len(r) + 1 for r in raws])))
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each run of bytes that ``inside`` (of 256) marks."""
+    n = len(data)
+    if len(_powers[0]) < n + 1:
+        _powers[0] = np.append(np.uint64(1), np.cumprod(np.full(n, BASE)))
+        _powers[1] = np.append(np.uint64(1), np.cumprod(np.full(n, INVERSE)))
+    edges = np.flatnonzero(np.diff(inside[data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    start, end = edges[::2], edges[1::2]
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n]))
+    return start, end, mix((sums[end] - sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
 
 
 class Runs:
