@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import Workspace, table
 from .urlfilter import host_path
 
+#: Templates of all hosts up to this stored size are broadcast; beyond it pages are joined with salts.
+BROADCAST_BYTES, SALTS = 8 << 20, 64
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -230,8 +232,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     source = source.withColumn("_host", host_path(F.col("_url"))[0])
     # a host's template holds at most twice what one page has, whatever the number of its pages
-    tree = style_tree(source, "_host", "_html")
-    joined = source.join(tree.withColumnRenamed("host", "_host"), "_host", "left").select("_id", "_url", "_html", "template")
+    space = Workspace(pages.sparkSession, "styletree")
+    tree = space.keep(style_tree(source, "_host", "_html").withColumnRenamed("host", "_host"), "tree")
+    if space.stored_bytes("tree") <= BROADCAST_BYTES:
+        # checked size: no page is shuffled
+        joined = source.join(F.broadcast(tree), "_host", "left")
+    else:
+        # a host's pages are dealt over SALTS tasks
+        salted = source.withColumn("_salt", F.pmod(F.xxhash64("_html", "_id"), F.lit(SALTS)))
+        copies = tree.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(copies, ["_host", "_salt"], "left")
+    joined = joined.select("_id", "_url", "_html", "template")
     schema = T.StructType([T.StructField(id_col, joined.schema["_id"].dataType), T.StructField(url_col, joined.schema["_url"].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
