@@ -86,3 +86,12 @@ def append_only_sink(df: DataFrame, path: str) -> None:
 
 def csv_sink(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/keelson-{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from keelson.plans import catalog, statistics  # noqa: F401
+from keelson.plans import catalog, regimes, statistics  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
