@@ -3,9 +3,9 @@
 No design matrix is built. By the Frisch-Waugh-Lovell theorem the slope of
 ``y`` on ``y_lag`` with group effects is that of the demeaned columns, and the
 clustered variance of one coefficient needs only the sums of h * e over
-clusters, where h is the demeaned regressor over its sum of squares. Every
-step is a window or a grouped sum, keyed by specification or replicate, so
-hundreds of fits are one query.
+clusters, where h is the demeaned regressor over its sum of squares. Both follow
+from sums over (effect, cluster) cells, so every step is a grouped sum, keyed by
+specification or replicate, and hundreds of fits are one query.
 
 Random signs and shuffles come from md5 of (seed, replicate, key): results do
 not depend on partitioning or row order.
@@ -18,50 +18,79 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import normal_two_sided
 
-ALL = "_all"
+ONE = "_one"
 
 
-def _by(keys: list[str], *more: str) -> Window:
-    return Window.partitionBy(*[F.col(k) for k in keys], *[F.col(m) for m in more])
+def _sums(columns: tuple[str, ...]) -> dict[str, Column]:
+    """n, sums and sums of products of the columns."""
+    out = {"_n": F.count("*")} | {f"_s_{u}": F.sum(u) for u in columns}
+    return out | {f"_s_{u}_{v}": F.sum(F.col(u) * F.col(v)) for i, u in enumerate(columns) for v in columns[i:]}
 
 
-def demeaned(sample: DataFrame, keys: list[str], fixed: str | None, columns: tuple[str, ...] = ("y", "y_lag")) -> DataFrame:
-    """``_c`` for each column c: less its mean in (keys, fixed)."""
-    w = _by(keys, *([fixed] if fixed else [])) if keys or fixed else Window.partitionBy(F.lit(0))
-    return sample.withColumns({f"_{c}": F.col(c) - F.avg(c).over(w) for c in columns})
+def _added(columns: tuple[str, ...]) -> list[Column]:
+    return [F.sum(c).alias(c) for c in _sums(columns)]
 
 
-def partialled(sample: DataFrame, keys: list[str], fixed: str | None, control: str | None) -> DataFrame:
-    """Demeaned y and y_lag, with the control's share taken out."""
-    rows = demeaned(sample, keys, fixed, ("y", "y_lag", *([control] if control else [])))
-    if control:
-        w = _by(keys) if keys else Window.partitionBy(F.lit(0))
-        z = F.col(f"_{control}")
-        zz = F.nullif(F.sum(z * z).over(w), F.lit(0.0))
-        rows = rows.withColumns({f"_{c}": F.col(f"_{c}") - F.coalesce(F.sum(z * F.col(f"_{c}")).over(w) / zz, F.lit(0.0)) * z for c in ("y", "y_lag")})
-    return rows
+def cells(sample: DataFrame, by: list[str], columns: tuple[str, ...] = ("y", "y_lag")) -> DataFrame:
+    """The sums of every cell of ``by``: all that fits and clustered variances need."""
+    return sample.groupBy(*by).agg(*(e.alias(c) for c, e in _sums(columns).items()))
+
+
+def demeaned_cells(cell: DataFrame, keys: list[str], fixed: str, columns: tuple[str, ...] = ("y", "y_lag")) -> DataFrame:
+    """Adds to cells the products ``_d_u_v`` and sums ``_d_u`` of columns less their means in (keys, fixed)."""
+    groups = cell.groupBy(*keys, fixed).agg(*_added(columns)).select(*keys, fixed, F.col("_n").alias("_nf"), *((F.col(f"_s_{u}") / F.col("_n")).alias(f"_m_{u}") for u in columns))
+    rows = cell.join(groups, [*keys, fixed])
+    n = F.col("_n")
+    product = {f"_d_{u}_{v}": F.col(f"_s_{u}_{v}") - F.col(f"_m_{u}") * F.col(f"_s_{v}") - F.col(f"_m_{v}") * F.col(f"_s_{u}") + n * F.col(f"_m_{u}") * F.col(f"_m_{v}") for i, u in enumerate(columns) for v in columns[i:]}
+    return rows.withColumns(product | {f"_d_{u}": F.col(f"_s_{u}") - n * F.col(f"_m_{u}") for u in columns})
+
+
+def _div(a, b) -> Column:
+    return F.try_divide(F.col(a) if isinstance(a, str) else a, F.nullif(F.col(b) if isinstance(b, str) else b, F.lit(0.0)))
 
 
 def ols_fe(sample: DataFrame, keys: tuple[str, ...] = (), fixed: str | None = "vintage", clusters: tuple[str, ...] = ("firm_id",), control: str | None = None) -> DataFrame:
     """beta, se, t, p, r2, n, n_firms and clusters used, one row per key.
 
-    With two clusters the variance is V1 + V2 - V12; where that is not
-    positive, the first cluster alone counts and ``fallback`` is true.
+    The sample is read once, into sums over (keys, fixed effect, clusters)
+    cells that are combined before any shuffle; no task ever holds a key's or
+    an effect's rows. With two clusters the variance is V1 + V2 - V12; where
+    that is not positive, the first cluster alone counts and ``fallback`` is
+    true.
     """
-    keys_ = list(keys) or [ALL]
-    rows = sample if keys else sample.withColumn(ALL, F.lit(1))
-    whole = _by(keys_)
-    # the raw y's own mean, for r2
-    rows = partialled(rows.withColumn("_total", F.col("y") - F.avg("y").over(whole)), keys_, fixed, control)
-    x, y = F.col("_y_lag"), F.col("_y")
-    rows = rows.withColumn("_xx", F.sum(x * x).over(whole)).withColumn("_beta", F.try_divide(F.sum(x * y).over(whole), F.nullif("_xx", F.lit(0.0))))
-    rows = rows.withColumn("_e", y - F.col("_beta") * x).withColumn("_score", F.try_divide(x * F.col("_e"), F.nullif("_xx", F.lit(0.0))))
-    base = rows.groupBy(*keys_).agg(F.first("_beta").alias("beta"), F.count("*").alias("n"), F.countDistinct("firm_id").alias("n_firms"), (F.countDistinct(fixed) if fixed else F.lit(1)).alias("_levels"), F.sum(F.col("_e") * F.col("_e")).alias("_sse"), F.sum(F.col("_total") * F.col("_total")).alias("_sst"))
+    rows = sample.withColumn(ONE, F.lit(1))
+    keys_, effect = list(keys) or [ONE], fixed or ONE
+    columns = ("y", "y_lag", *([control] if control else []))
+    finest = list(dict.fromkeys([*keys_, effect, *clusters, "firm_id"]))
+    cell = demeaned_cells(cells(rows, finest, columns), keys_, effect, columns)
+    d = lambda u, v: f"_d_{u}_{v}" if columns.index(u) <= columns.index(v) else f"_d_{v}_{u}"
+    pairs = sorted({d(u, v) for u in columns for v in columns})
+    total = cell.groupBy(*keys_).agg(*(F.sum(c).alias(f"_t{c}") for c in pairs), F.sum("_n").alias("n"), F.sum("_s_y").alias("_sy"), F.sum("_s_y_y").alias("_syy"), F.countDistinct("firm_id").alias("n_firms"), F.countDistinct(effect).alias("_levels"))
+    t = lambda u, v: F.col(f"_t{d(u, v)}")
+    if control:
+        total = total.withColumns({"_gx": F.coalesce(_div(t("y_lag", control), t(control, control)), F.lit(0.0)), "_gy": F.coalesce(_div(t("y", control), t(control, control)), F.lit(0.0))})
+
+    def partial(get) -> tuple[Column, Column, Column]:
+        """Products xx, xy, yy after the control's share."""
+        xx, xy, yy = get("y_lag", "y_lag"), get("y", "y_lag"), get("y", "y")
+        if control:
+            gx, gy, zz = F.col("_gx"), F.col("_gy"), get(control, control)
+            xx = xx - 2 * gx * get("y_lag", control) + gx * gx * zz
+            xy = xy - gx * get("y", control) - gy * get("y_lag", control) + gx * gy * zz
+            yy = yy - 2 * gy * get("y", control) + gy * gy * zz
+        return xx, xy, yy
+
+    xx, xy, yy = partial(t)
+    total = total.withColumns({"_xx": xx, "_xy": xy, "_yy": yy}).withColumn("beta", _div("_xy", "_xx"))
+    total = total.select(*keys_, "n", "n_firms", "_levels", "_xx", "beta", (F.col("_yy") - F.col("beta") * F.col("_xy")).alias("_sse"), (F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")).alias("_sst"), *(["_gx", "_gy"] if control else []))
+    own = cell.join(total.select(*keys_, "_xx", "beta", *(["_gx", "_gy"] if control else [])), keys_)
+    xx, xy, _ = partial(lambda u, v: F.col(d(u, v)))
+    scored = own.withColumn("_score", _div(xy - F.col("beta") * xx, "_xx"))
     k = F.col("_levels") + 1 + (1 if control else 0)
     dims = [(clusters[0],), *([(clusters[1],), clusters] if len(clusters) > 1 else [])]
-    out = base
+    out = total
     for i, dim in enumerate(dims):
-        sums = rows.groupBy(*keys_, *dim).agg(F.sum("_score").alias("_s")).groupBy(*keys_).agg(F.sum(F.col("_s") * F.col("_s")).alias(f"_v{i}"), F.count("*").alias(f"_g{i}"))
+        sums = scored.groupBy(*keys_, *dim).agg(F.sum("_score").alias("_s")).groupBy(*keys_).agg(F.sum(F.col("_s") * F.col("_s")).alias(f"_v{i}"), F.count("*").alias(f"_g{i}"))
         out = out.join(sums, keys_)
 
     def variance(i: int) -> Column:
@@ -70,9 +99,8 @@ def ols_fe(sample: DataFrame, keys: tuple[str, ...] = (), fixed: str | None = "v
 
     both = variance(0) + variance(1) - variance(2) if len(dims) == 3 else variance(0)
     fallback = F.coalesce(both <= 0, F.lit(True)) if len(dims) == 3 else F.lit(False)
-    se = F.sqrt(F.when(fallback, variance(0)).otherwise(both))
-    out = out.withColumn("fallback", fallback).withColumn("se", se).withColumn("t", F.try_divide("beta", F.nullif("se", F.lit(0.0))))
-    return out.select(*keys, "beta", "se", "t", normal_two_sided(F.col("t")).alias("p"), (1 - F.try_divide("_sse", F.nullif("_sst", F.lit(0.0)))).alias("r2"), "n", "n_firms", F.col("_g0").alias("n_clusters"), "fallback")
+    out = out.withColumn("fallback", fallback).withColumn("se", F.sqrt(F.when(fallback, variance(0)).otherwise(both))).withColumn("t", _div("beta", "se"))
+    return out.select(*keys, "beta", "se", "t", normal_two_sided(F.col("t")).alias("p"), (1 - _div("_sse", "_sst")).alias("r2"), "n", "n_firms", F.col("_g0").alias("n_clusters"), "fallback")
 
 
 def leave_one_out(sample: DataFrame, by: str, fixed: str | None = "vintage", cluster: str = "firm_id") -> DataFrame:
@@ -124,14 +152,11 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
     to those cells and each replicate reads cells, not rows; the t statistic
     follows from cell sums of x*x, x*y and y by effect.
     """
-    rows = demeaned(sample, [], fixed)
-    x, y = F.col("_y_lag"), F.col("_y")
-    cells = rows.groupBy(F.col(cluster).alias("_c"), F.col(fixed).alias("_f")).agg(F.count("*").alias("_n"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"), F.sum(x * y).alias("_sxy"), F.sum(x * x).alias("_sxx"))
-    # three numbers
-    size = cells.agg(F.sum("_n").alias("_all"), F.countDistinct("_c").alias("_clusters"), (F.countDistinct("_f") + 1).alias("_params"), F.sum("_sxx").alias("_xx_all"))
-    effect = cells.groupBy("_f").agg(F.sum("_n").alias("_nf")).withColumnRenamed("_f", "_f2")
-    cells = cells.join(effect, F.col("_f") == F.col("_f2")).drop("_f2")
-    drawn = cells.crossJoin(F.broadcast(replicates(sample.sparkSession, n_boot).unionByName(sample.sparkSession.createDataFrame([(0,)], "b int")))).withColumn("_w", F.when(F.col("b") == 0, 1.0).otherwise(draw_sign(seed, F.col("b"), F.col("_c"))))
+    rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
+    cell = rows.select(F.col(cluster).alias("_c"), F.col(fixed).alias("_f"), "_n", "_nf", F.col("_d_y_lag").alias("_sx"), F.col("_d_y").alias("_sy"), F.col("_d_y_y_lag").alias("_sxy"), F.col("_d_y_lag_y_lag").alias("_sxx"))
+    # four numbers
+    size = cell.agg(F.sum("_n").alias("_all"), F.countDistinct("_c").alias("_clusters"), (F.countDistinct("_f") + 1).alias("_params"), F.sum("_sxx").alias("_xx_all"))
+    drawn = cell.crossJoin(F.broadcast(replicates(sample.sparkSession, n_boot).unionByName(sample.sparkSession.createDataFrame([(0,)], "b int")))).withColumn("_w", F.when(F.col("b") == 0, 1.0).otherwise(draw_sign(seed, F.col("b"), F.col("_c"))))
     drawn = drawn.crossJoin(F.broadcast(size))
     by_b, by_bf = Window.partitionBy("b"), Window.partitionBy("b", "_f")
     drawn = drawn.withColumn("_beta", F.sum(F.col("_w") * F.col("_sxy")).over(by_b) / F.col("_xx_all"))
