@@ -219,9 +219,26 @@ def attenuation(pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, .
     return sums.withColumn("lambda", F.try_divide(F.col("var_true"), F.nullif(F.col("var_true") + F.col("var_error"), F.lit(0.0))))
 
 
+def numbered_rows(df: DataFrame, key: str, ranges: int = 1024, out: str = "_i") -> DataFrame:
+    """Numbers rows from 0 in the order of a numeric key, without one task for all.
+
+    Rows are numbered within ranges of the key; the ranges' counts, of which
+    there are ``ranges`` at most, give the offsets.
+    """
+    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    # one row
+    part = F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * ranges)
+    split = df.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi")
+    counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    # at most `ranges` rows
+    return split.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def bootstrap_lambda(pairs: DataFrame, n: int = 9999, seed: int = 20240813, key: str = "fund_id") -> DataFrame:
     """Pair-bootstrap percentile interval of the reliability."""
-    numbered = pairs.withColumn("_i", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    numbered = numbered_rows(pairs, key)
     total = numbered.agg(F.count("*").alias("_n"))
     # one row; n rows
     slots = numbered.select(F.col("_i").alias("_j")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(replicates(pairs.sparkSession, n)))

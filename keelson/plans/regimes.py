@@ -74,6 +74,20 @@ def raw_table(spark, sf):
     return restored.groupBy("source").agg(F.count("*").alias("n"), F.count("sold_secondary").alias("flagged"))
 
 
+@query("stream_flows", "SELECT fund_id, as_of AS date, round(d - c, 6) AS amount FROM (SELECT fund_id, as_of, greatest(coalesce(contributions - lag(contributions) OVER w, contributions), 0) AS c, greatest(coalesce(distributions - lag(distributions) OVER w, distributions), 0) AS d FROM snapshots WINDOW w AS (PARTITION BY fund_id ORDER BY as_of)) WHERE d - c <> 0")
+def stream_flows(spark, sf):
+    """Snapshots arrive file by file; the flows are those of the batch."""
+    from ..streaming.differencing import stream_flows as differenced
+
+    path = readers.scratch_dir(spark, "stream")
+    rows = V.snapshots(spark, sf).select("fund_id", "as_of", "contributions", "distributions")
+    rows.coalesce(1).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    running = differenced(arriving).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema("fund_id long, date date, amount double").parquet(f"{path}/out").select("fund_id", "date", r6("amount").alias("amount"))
+
+
 # ---- filters and projections of the overlap study --------------------------
 
 
