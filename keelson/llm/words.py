@@ -41,8 +41,31 @@ class WordHasher:
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+BLOCK = 1 << 22
+
+
 def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each run of bytes that ``inside`` (of 256) marks."""
+    """Start, end and 64-bit hash of each run of bytes that ``inside`` (of 256) marks.
+
+    Very long data are taken in blocks that end between runs.
+    """
+    parts, at, n = [], 0, len(data)
+    while at < n or not parts:
+        end = min(n, at + BLOCK)
+        if end < n:
+            gaps = np.flatnonzero(~inside[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                beyond = ~inside[data[end:]]
+                end = end + int(beyond.argmax()) + 1 if beyond.any() else n
+        start, stop, hashes = _hash_block(data[at:end], inside)
+        parts.append((start + at, stop + at, hashes))
+        at = max(end, at + 1)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hash_block(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if len(_powers[0]) < n + 1:
         _powers[0] = np.append(np.uint64(1), np.cumprod(np.full(n, BASE)))
