@@ -72,12 +72,16 @@ def average_rank(value: str, group: str) -> Column:
 
 
 def quartile(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    """Quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values."""
-    w = Window.partitionBy(group)
-    cuts = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    marked = df.withColumn("_cuts", cuts).withColumn("_kinds", F.size(F.collect_set(value).over(w)))
+    """Quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values.
+
+    The cuts are aggregates, combined before the shuffle and joined back, so no
+    task holds a group's rows.
+    """
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    cuts = df.groupBy(F.col(group).alias("_group")).agg(F.percentile(value, quarters).alias("_cuts"), F.countDistinct(value).alias("_kinds"))
+    marked = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")))
     above = [(F.col(value) > F.col("_cuts")[i]).cast("int") for i in range(3)]
-    return marked.withColumn(out, F.when((F.col("_kinds") >= 4) & F.col(value).isNotNull(), 1 + above[0] + above[1] + above[2])).drop("_cuts", "_kinds")
+    return marked.withColumn(out, F.when((F.col("_kinds") >= 4) & F.col(value).isNotNull(), 1 + above[0] + above[1] + above[2])).drop("_group", "_cuts", "_kinds")
 
 
 def transitions(sample: DataFrame, group: str = "vintage") -> DataFrame:
