@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,11 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sizes the batches of this session for long texts, so that workers stay small."""
+    """Sizes the batches of this session for long texts, so that workers stay small, and lets workers find this package."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -78,13 +84,20 @@ class Workspace:
     """Tables written to the shared folder, which cut the lineage.
 
     ``keep`` writes a DataFrame as Parquet and reads it again with the schema
-    it had; ``drop`` removes what is no longer needed. The rows survive the
-    loss of any executor.
+    it had; ``drop`` removes what is no longer needed, and the rest goes when
+    the driver's JVM ends. The rows survive the loss of any executor.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        store, path = self._place("")
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+    def _place(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         out = f"{self.path}/{name}"
@@ -95,14 +108,13 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(out)
 
     def stored_bytes(self, name: str) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        store, path = self._place(name)
+        return store.getContentSummary(path).getLength()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            store, path = self._place(name)
+            store.delete(path, True)
 
     def _release_shuffles(self) -> None:
         """Spark deletes the files of a shuffle once the driver forgets its plan."""
