@@ -89,9 +89,13 @@ def csv_sink(df: DataFrame, path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
+    """A new folder below the one that driver and executors share; it goes when the driver's JVM ends."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/keelson-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/keelson-{uuid.uuid4().hex}/{name}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path.getParent())
+    store.deleteOnExit(path.getParent())
+    return path.toString()
