@@ -272,6 +272,31 @@ def bootstrap_lambda(spark, sf):
     return inference.bootstrap_lambda(V.reports(spark, sf).filter("fund_id % 20 = 0"), B, SEED).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
 
 
+# The four above keep to subsets and 99 draws, as their SQL does. Here they are over all
+# rows with the operators' own number of draws; SQL is too slow for that, so tests/test_whole.py
+# has them against brute force.
+
+
+@query("wild_cluster_bootstrap_whole")
+def wild_cluster_bootstrap_whole(spark, sf):
+    return inference.wild_cluster_bootstrap(_sample(spark, sf)).select(r6("beta").alias("beta"), r6("t").alias("t"), r6("p").alias("p"), "n_boot")
+
+
+@query("spearman_within_whole")
+def spearman_within_whole(spark, sf):
+    return inference.spearman_within(_sample(spark, sf)).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
+
+
+@query("transition_permutation_test_whole")
+def transition_permutation_test_whole(spark, sf):
+    return inference.transition_permutation(_sample(spark, sf)).select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
+
+
+@query("bootstrap_lambda_whole")
+def bootstrap_lambda_whole(spark, sf):
+    return inference.bootstrap_lambda(V.reports(spark, sf)).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
+
+
 @query("overlap_keyed", f"SELECT count(*) AS n, round(corr(ln(a.tvpi), ln(b.tvpi)), 6) AS r FROM plans a JOIN plans b ON a.firm_id = b.firm_id AND a.fund_number = b.fund_number AND a.vintage = b.vintage WHERE a.source = '{V.A}' AND b.source = '{V.B}' AND a.tvpi > 0 AND b.tvpi > 0")
 def overlap_keyed(spark, sf):
     p = V.plans(spark, sf).filter("tvpi > 0").select("firm_id", "fund_number", "vintage", "tvpi", "source")
