@@ -3,7 +3,8 @@
 The DOMs of a host's pages are merged into one tree, whose nodes are paths of
 tag, class and id. Every node holds the distribution of its presentations
 (the tags of its children) and of its contents (its text) over the host's
-pages. A node's importance is the larger of the two entropies, taken to the
+different pages: copies of a page count once, else they would make its article
+template. A node's importance is the larger of the two entropies, taken to the
 base of the number of pages: 0 if all pages agree, 1 if all differ. Branches of
 low importance are template, and so are text blocks that most pages of the
 host carry; both are removed from each page.
@@ -217,7 +218,9 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str, least_pages: int
             columns = list(zip(*seen, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "kind", "node", "value", "n"])
 
-    counted = pages.select(host_col, html_col).mapInArrow(run, "host string, kind string, node string, value long, n long").groupBy("host", "kind", "node", "value").agg(F.sum("n").alias("n"))
+    # copies go before the shuffle already, so that many of one page are no hot spot
+    different = pages.select(host_col, html_col).distinct()
+    counted = different.mapInArrow(run, "host string, kind string, node string, value long, n long").groupBy("host", "kind", "node", "value").agg(F.sum("n").alias("n"))
     n = F.col("n")
     merged = counted.groupBy("host", "kind", "node").agg(F.sum(n).alias("pages"), F.sum(n * F.ln(n)).alias("nlogn"))
     merged = merged.filter(F.col("pages") >= least_pages).withColumn("entropy", (F.ln("pages") - F.col("nlogn") / F.col("pages")) / F.ln("pages"))

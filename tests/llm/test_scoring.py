@@ -200,3 +200,19 @@ def test_template_blocks_of_a_site_go(frame, monkeypatch, most):
     got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(frame("page_id long, url string, html string", rows).withColumn("text", F.lit("clash"))).collect()}
     assert all(got[i] == (b, len(b)) for i, b in enumerate(bodies))
     assert got[100][0] == "Welcome to the site" and got[101] == ("", 0)
+
+
+@pytest.mark.parametrize("article", ["<article>", "<article id='post-7'>"])
+def test_copies_of_a_page_are_no_template(frame, article):
+    rng = random.Random(5)
+    words = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(20))
+    page = lambda opening, body: f"<body><div class='top'>Welcome</div>{opening}<p>{body}</p><p>About this site</p></article></body>"
+    copied, bodies = words(), [words() for _ in range(9)]
+    rows = [(i, f"http://site.org/{i}", page(article, copied)) for i in range(30)]
+    rows += [(100 + i, f"http://site.org/{100 + i}", page("<article>", b)) for i, b in enumerate(bodies)]
+    rows += [(200 + i, f"http://copies.org/{i}", page(article, copied)) for i in range(10)]
+    got = {r.page_id: r.text for r in htmltext.extract(frame("page_id long, url string, html string", rows)).collect()}
+    # what the site's different pages share still goes; a site of one page has no template
+    assert [got[i] for i in range(30)] == [copied] * 30
+    assert [got[100 + i] for i in range(9)] == bodies
+    assert [got[200 + i] for i in range(10)] == [f"{copied} About this site"] * 10
