@@ -13,12 +13,19 @@ not depend on partitioning or row order.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normal_two_sided
 
 ONE = "_one"
+#: Clusters whose signs one task holds at a time in the power study, and simulations it goes through.
+CLUSTERS, SIMULATIONS = 20_000, 10
 
 
 def _sums(columns: tuple[str, ...]) -> dict[str, Column]:
@@ -171,6 +178,81 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
     return stats.filter("b > 0").crossJoin(F.broadcast(observed.withColumnRenamed("beta", "beta_observed"))).groupBy().agg(F.first("beta_observed").alias("beta"), F.first("t_observed").alias("t"), ((1 + F.sum((F.abs("t") >= F.abs("t_observed")).cast("int"))) / (n_boot + 1)).alias("p"), F.count("*").alias("n_boot"))
 
 
+def draw_signs(seed: int, simulation: int, key: str, n: int) -> np.ndarray:
+    """n signs of a cluster: the bits of the md5 digests of (seed, simulation, block, key)."""
+    raw = b"".join(hashlib.md5(f"{seed}|{simulation}|{block}|{key}".encode()).digest() for block in range(-(-n // 128)))
+    return np.unpackbits(np.frombuffer(raw, np.uint8))[:n] * 2.0 - 1.0
+
+
+def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boot: int = 499, seed: int = 20240813, fixed: str = "vintage", cluster: str = "firm_id") -> DataFrame:
+    """(true_beta, power, n): share of n simulations that the wild cluster bootstrap rejects at 5 %.
+
+    Outcomes are beta * y_lag plus the restricted fit (the mean in each fixed
+    effect) plus its residuals with one sign for a whole cluster, so dependence
+    within clusters stays. All betas share the signs, as all of them start from
+    one seed. The fits and variances of all draws follow from sums over clusters
+    that are linear in the draws' signs; clusters are added up in chunks, so no
+    task holds them all. The means of the simulated outcomes, one for each
+    simulation and effect, come to the driver.
+    """
+    rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
+    cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_nf").cast("double").alias("nf"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
+    # n_sims rows
+    signed = cell.crossJoin(F.broadcast(replicates(sample.sparkSession, n_sims))).withColumn("y", F.col("y") * draw_sign(seed, F.col("b"), F.col("c")))
+    means = signed.groupBy("b", "f").agg((F.sum("y") / F.first("nf")).alias("m")).toPandas()
+    mean = means.pivot(index="b", columns="f", values="m")
+    effects, of = list(mean.columns), dict(zip(mean.index, mean.to_numpy(), strict=True))
+    k, chunks = len(effects), cell.select("c").distinct().count() // CLUSTERS + 1
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over a chunk's clusters for some simulations."""
+        at, keys = pd.factorize(pdf["c"])
+        effect = pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()
+
+        def dense(column: str) -> np.ndarray:
+            out = np.zeros((len(keys), k))
+            out[at, effect] = pdf[column]
+            return out
+
+        n, x, y, xy, xx = map(dense, ("n", "x", "y", "xy", "xx"))
+        xx = xx.sum(1)
+        # a simulated outcome is beta * (x, xx) + (own, cross)
+        slope = [xx[:, None], (xx * xx)[:, None], x, xx[:, None] * x]
+        fixed_sums = np.concatenate([[xx.sum(), xx @ xx, len(keys)], n.sum(0), xx @ x, (x.T @ x).ravel()])
+        out = []
+        for b in range(first := int(pdf["block"].iloc[0]) * SIMULATIONS + 1, min(first + SIMULATIONS, n_sims + 1)):
+            v = np.array([1.0 if hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest()[0] in "02468ace" else -1.0 for c in keys])
+            own, cross = v[:, None] * y - n * of[b], v * xy.sum(1) - x @ of[b]
+            signs = np.vstack([np.ones(len(keys)), np.array([draw_signs(seed, b, c, n_boot) for c in keys]).T])
+            drawn = signs @ np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
+            out.append((b, np.concatenate([fixed_sums, [xx @ cross, cross @ cross], drawn.ravel()])))
+        return pd.DataFrame(out, columns=["b", "sums"])
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Whether each beta is rejected in a simulation."""
+        sums = np.sum(np.stack(pdf["sums"].to_list()), axis=0)
+        (xx, xx2, clusters), nf, xxx, gram, (xc, cc), drawn = np.split(sums, np.cumsum([3, k, k, k * k, 2]))
+        gram, (by_slope, by_own) = gram.reshape(k, k), np.split(drawn.reshape(n_boot + 1, -1), 2, axis=1)
+        out = []
+        for beta in betas:
+            drawn = beta * by_slope + by_own
+            estimate, r, m, q = drawn[:, 0] / xx, drawn[:, 1], drawn[:, 2 : 2 + k] / nf, drawn[:, 2 + k :]
+            squares = beta * beta * xx2 + 2 * beta * xc + cc + np.einsum("bf,fg,bg->b", m, gram, m) + estimate**2 * xx2 - 2 * (m * q).sum(1) - 2 * estimate * r + 2 * estimate * (m @ xxx)
+            with np.errstate(all="ignore"):
+                t = np.abs(estimate) / np.sqrt(squares / xx**2 * clusters / (clusters - 1) * (nf.sum() - 1) / (nf.sum() - k - 1))
+            null = t[1:][np.isfinite(t[1:])]
+            # draws with all signs equal give the observed t but for rounding
+            p = (1 + (null >= t[0] * (1 - 1e-9)).sum()) / (len(null) + 1)
+            out.append((beta, float(p < 0.05)))
+        return pd.DataFrame(out, columns=["true_beta", "rejected"])
+
+    # n_sims / SIMULATIONS rows
+    blocks = F.broadcast(sample.sparkSession.range(-(-n_sims // SIMULATIONS)).withColumnRenamed("id", "block"))
+    many = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks))).crossJoin(blocks)
+    added = many.groupBy("block", "chunk").applyInPandas(lambda p: partial(p), "b int, sums array<double>")
+    return added.groupBy("b").applyInPandas(lambda p: finish(p), "true_beta double, rejected double").groupBy("true_beta").agg(F.avg("rejected").alias("power"), F.count("*").alias("n"))
+
+
 def permuted(sample: DataFrame, value: str, n: int, seed: int, group: str = "vintage", key: str = "fund_id") -> DataFrame:
     """(b, group, slot, value): values dealt anew within each group, for b = 1..n; slot is the row's number in its group."""
     w = Window.partitionBy(group).orderBy(key)

@@ -458,15 +458,7 @@ def displace(spark, sf):
 
 @query("power_at")
 def power_at(spark, sf):
-    """Rejection rate of the clustered t over simulated outcomes on the fixed design."""
-    s = _sample(spark, sf).filter("firm_id % 50 = 1").select("fund_id", "firm_id", "vintage", "y_lag")
-    draws = s.crossJoin(F.broadcast(inference.replicates(spark, 40))).crossJoin(F.broadcast(spark.createDataFrame([(0.0,), (0.5,)], "true_beta double")))
-
-    def u(salt):
-        digest = F.md5(F.concat_ws("|", F.lit(salt), F.col("b").cast("string"), F.col("fund_id").cast("string")))
-        return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-
-    noise = F.sqrt(-2 * F.ln(u("r"))) * F.cos(2 * 3.141592653589793 * u("a"))
-    y = draws.withColumn("y", F.col("true_beta") * F.col("y_lag") + 0.02 * noise)
-    fits = inference.ols_fe(y, keys=("true_beta", "b"))
-    return fits.groupBy("true_beta").agg(r6(F.avg((F.abs("t") >= 1.96).cast("double"))).alias("power"), F.count("*").alias("n"))
+    """Power of the wild cluster bootstrap over the reference's grid, for both clusterings of the whole sample."""
+    s = _sample(spark, sf)
+    by = [inference.power_at(s, [i / 10 for i in range(9)], cluster=c).withColumn("clustered_on", F.lit(c)) for c in ("firm_id", "sponsor_id")]
+    return by[0].unionByName(by[1]).select("clustered_on", "true_beta", r6("power").alias("power"), "n")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keelson.operators import inference
 from keelson.plans import catalog, regimes, statistics  # noqa: F401
 from keelson.plans import views as V
 
@@ -105,3 +106,31 @@ def test_bootstrap_lambda_draws_from_every_pair(spark, small):
     low, high = np.quantile(true / (true + error), [0.025, 0.975])
     got = catalog.QUERIES["bootstrap_lambda_whole"](spark, small).collect()[0]
     assert (got.low, got.high, got.n_boot) == (pytest.approx(low, abs=2e-6), pytest.approx(high, abs=2e-6), DRAWS)
+
+
+def test_power_is_the_rejection_rate_of_the_bootstrap(spark, small, sample):
+    y, x, vintage = (sample[c].to_numpy() for c in ("y", "y_lag", "vintage"))
+    rows = catalog.QUERIES["power_at"](spark, small).collect()
+    assert len(rows) == 18 and {r.n for r in rows} == {300}
+    got = {(r.clustered_on, r.true_beta): r.power for r in rows}
+    for cluster in ("firm_id", "sponsor_id"):
+        firm = sample[cluster].to_numpy()
+        residual = clustered(y[:, None], x, vintage, firm)[2][:, 0]
+        rejected = dict.fromkeys((i / 10 for i in range(9)), 0)
+        for s in range(1, 301):
+            v = np.array([1.0 if digest(s, f)[0] in "02468ace" else -1.0 for f in firm])
+            bits = {f: "".join(f"{int(digest(s, block, f), 16):0128b}" for block in range(4))[:499] for f in np.unique(firm)}
+            w = np.array([[1.0 if bit == "1" else -1.0 for bit in bits[f]] for f in firm])
+            for beta in rejected:
+                _, t, null = clustered((beta * x + (y - residual) + v * residual)[:, None], x, vintage, firm)
+                _, drawn, _ = clustered(null * w, x, vintage, firm)
+                rejected[beta] += (1 + (abs(drawn) >= abs(t[0]) * (1 - 1e-9)).sum()) / 500 < 0.05
+        assert {b: got[cluster, b] for b in rejected} == {b: pytest.approx(n / 300, abs=2e-6) for b, n in rejected.items()}
+
+
+def test_power_adds_up_chunks_of_clusters(spark, small, monkeypatch):
+    s = statistics._sample(spark, small)
+    run = lambda: {r.true_beta: r.power for r in inference.power_at(s, [0.0, 0.5], 30, 99).collect()}
+    whole = run()
+    monkeypatch.setattr(inference, "CLUSTERS", 3)
+    assert run() == whole
