@@ -298,12 +298,21 @@ def anti_uncovered(spark, sf):
     return suspects.join(_overrides(spark, sf).select(F.col("firm_id_raw").alias("firm_id")), "firm_id", "left_anti")
 
 
+def _faults(p):
+    o = p.select(F.col("p_size").alias("firm_id_raw"), (F.col("p_size") % 7 + 40).alias("firm_id_canonical"), F.when(F.col("p_partkey") % 50 == 0, "other").otherwise("merge").alias("decision"))
+    return entity.override_faults(o)
+
+
 @query("override_faults", """WITH o AS (SELECT p_size AS k, p_size % 7 + 40 AS c, CASE WHEN p_partkey % 50 = 0 THEN 'other' ELSE 'merge' END AS d FROM part WHERE p_partkey < 60)
 SELECT 'repeated' AS fault, k AS key FROM o GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'decision', k FROM o WHERE d NOT IN ('merge', 'keep_separate') UNION ALL SELECT DISTINCT 'chained', c FROM o WHERE d = 'merge' AND c IN (SELECT k FROM o WHERE d = 'merge')""")
 def override_faults(spark, sf):
-    p = V.table(spark, sf, "part").filter("p_partkey < 60")
-    o = p.select(F.col("p_size").alias("firm_id_raw"), (F.col("p_size") % 7 + 40).alias("firm_id_canonical"), F.when(F.col("p_partkey") % 50 == 0, "other").otherwise("merge").alias("decision"))
-    return entity.override_faults(o)
+    return _faults(V.table(spark, sf, "part").filter("p_partkey < 60"))
+
+
+@query("override_faults_whole", """WITH o AS (SELECT p_size AS k, p_size % 7 + 40 AS c, CASE WHEN p_partkey % 50 = 0 THEN 'other' ELSE 'merge' END AS d FROM part)
+SELECT 'repeated' AS fault, k AS key FROM o GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'decision', k FROM o WHERE d NOT IN ('merge', 'keep_separate') UNION ALL SELECT DISTINCT 'chained', c FROM o WHERE d = 'merge' AND c IN (SELECT k FROM o WHERE d = 'merge')""")
+def override_faults_whole(spark, sf):
+    return _faults(V.table(spark, sf, "part"))
 
 
 @query("theta_prefix_self", "WITH s AS (SELECT DISTINCT upper(fund_name) AS stem FROM names) SELECT a.stem, b.stem AS longer FROM s a JOIN s b ON starts_with(b.stem, a.stem || ' ')")

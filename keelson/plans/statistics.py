@@ -400,14 +400,22 @@ def factor_scan(spark, sf):
     return disclosures.factors(monthly.unionByName(prose)).select("date", r6("mkt_rf").alias("mkt_rf"), r6("rf").alias("rf"))
 
 
-@query("html_table_scan", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part WHERE p_partkey < 200")
-def html_table_scan(spark, sf):
-    p = V.table(spark, sf, "part").filter("p_partkey < 200")
+def _scanned(p):
     page = F.concat(F.lit("<table><tr><td>x</td></tr></table><table class='w'><tr><th>Name</th><th>Size</th></tr><tr><td> <b>"), "p_name", F.lit("</b></td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table>"))
     rows = disclosures.widest_table(disclosures.html_tables(p.select(F.col("p_partkey").alias("path"), page.alias("html"))))
     return rows.filter("row > 0").select("path", "row", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("size"))
 
 
+@query("html_table_scan", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part WHERE p_partkey < 200")
+def html_table_scan(spark, sf):
+    return _scanned(V.table(spark, sf, "part").filter("p_partkey < 200"))
+
+
+@query("html_table_scan_whole", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part")
+def html_table_scan_whole(spark, sf):
+    return _scanned(V.table(spark, sf, "part"))
+
+
 @query("manifest_source_as_of", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'CalPERS PEP' WHEN 1 THEN 'Oregon PERS OPERF' ELSE '' END AS source, CASE o_orderkey % 3 WHEN 0 THEN (o_orderdate::DATE)::VARCHAR WHEN 1 THEN last_day(make_date(year(o_orderdate)::INT, (quarter(o_orderdate) * 3)::INT, 1))::VARCHAR ELSE '' END AS as_of FROM orders")
 def manifest_source_as_of(spark, sf):
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")

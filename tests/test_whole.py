@@ -134,3 +134,25 @@ def test_power_adds_up_chunks_of_clusters(spark, small, monkeypatch):
     whole = run()
     monkeypatch.setattr(inference, "CLUSTERS", 3)
     assert run() == whole
+
+
+@pytest.fixture
+def parts(spark, tmp_path):
+    """300 parts with keys beyond those of the smallest tables; the last alone has size 1000."""
+    rows = [(k, f"part {k}", 1000 if k == 449 else k % 50) for k in range(150, 450)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path), rows
+
+
+def test_every_part_is_scanned(spark, parts):
+    to, rows = parts
+    got = {(r.path, r.row, r["name"], r.size) for r in catalog.QUERIES["html_table_scan_whole"](spark, to).collect()}
+    assert got == {(k, 1, name, str(size)) for k, name, size in rows}
+
+
+def test_faults_of_every_override(spark, parts):
+    to, rows = parts
+    got = sorted(tuple(r) for r in catalog.QUERIES["override_faults_whole"](spark, to).collect())
+    sizes, merged = [size for *_, size in rows], {size for k, _, size in rows if k % 50}
+    want = [("repeated", s) for s in set(sizes) if sizes.count(s) > 1] + [("decision", size) for k, _, size in rows if k % 50 == 0] + [("chained", c) for c in {s % 7 + 40 for s in merged} & merged]
+    assert got == sorted(want)
