@@ -95,6 +95,37 @@ def displaced(panel: DataFrame, seed: int = 11, shifts: tuple[tuple[int, int], .
     return panel.withColumn("vintage", F.col("vintage") + move)
 
 
+def vintage_panels(spark: SparkSession, betas: tuple[float, ...] = (0.0, 0.25, 0.5), replications: int = 400, families: int = 39, skill_sd: float = 0.18, idio_sd: float = 0.34, vintage_sd: float = 0.20, years: int = 4, seed: int = 20240813) -> DataFrame:
+    """(true_beta, rep, labels, fund_id, firm_id, sequence, vintage, commitment, tvpi): small panels with a known slope and vintage shocks.
+
+    Each panel is there twice: with its true vintages and with displaced ones.
+    All slopes share the random numbers.
+    """
+    schema = "true_beta double, rep int, labels string, fund_id string, firm_id string, sequence int, vintage int, commitment double, tvpi double"
+    span, upto = range(1998, 2024), (25 / 43, 39 / 43)
+
+    def panels(batches):
+        for batch in batches:
+            rows = []
+            for rep in batch["id"]:
+                shock = {v: vintage_sd * normal(seed, rep, "vintage", v) for v in span}
+                for i in range(families):
+                    start = span[int((len(span) - 2 * years) * uniform(seed, rep, i, "start"))]
+                    funds = 2 if uniform(seed, rep, i, "funds") < 0.75 else 3
+                    skill, own = skill_sd * normal(seed, rep, i, "skill"), [idio_sd * normal(seed, rep, i, k) for k in range(funds)]
+                    moved = [sum(uniform(seed, rep, i, k, "shift") >= x for x in upto) for k in range(funds)]
+                    for beta in betas:
+                        latent = skill
+                        for k in range(funds):
+                            vintage, latent = start + years * k, beta * latent + own[k]
+                            firm, tvpi = f"{beta}|{rep}|{i}", math.exp(latent + shock[vintage])
+                            for labels, shift in (("true", 0), ("displaced", moved[k])):
+                                rows.append((beta, rep, labels, f"{labels}|{firm}|{k}", f"{labels}|{firm}", k + 1, vintage + shift, 100.0, tvpi))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.range(1, replications + 1).mapInPandas(lambda b: panels(b), schema)
+
+
 def index_path(spark: SparkSession, quarters: int = 120, start: str = "1995-03-31", drift: float = 0.02, sd: float = 0.08, base: float = 100.0, seed: int = 3) -> DataFrame:
     """Quarterly levels of a geometric random walk."""
     from pyspark.sql import Window

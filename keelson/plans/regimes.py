@@ -186,11 +186,10 @@ def round_row(spark, sf):
 
 @query("vintage_error_study")
 def vintage_error_study(spark, sf):
-    """Slope on true vintages and on displaced ones, over hash-seeded replicates."""
-    u = simulate.Universe(firms=80, threshold=0.0)
-    base = panel.build_panel(simulate.simulate(spark, u).drop("flows"))
-    shifted = base.withColumn("kind", F.lit("true"))
-    for rep in range(3):
-        shifted = shifted.unionByName(simulate.displaced(base, seed=rep).withColumn("kind", F.lit(f"displaced {rep}")))
-    fits = inference.ols_fe(panel.estimation_sample(shifted), keys=("kind",))
-    return fits.select("kind", r6("beta").alias("beta"), r6("se").alias("se"), "n")
+    """Slopes on true and on displaced vintages, their gap and how often it is positive, over 400 replications a slope."""
+    sample = panel.estimation_sample(panel.build_panel(simulate.vintage_panels(spark)))
+    fits = inference.ols_fe(sample, keys=("true_beta", "rep", "labels"))
+    beta = lambda labels: F.max(F.when(F.col("labels") == labels, F.col("beta")))
+    both = fits.groupBy("true_beta", "rep").agg(beta("true").alias("true"), beta("displaced").alias("displaced")).withColumn("bias", F.col("displaced") - F.col("true")).filter("bias is not null")
+    means = {"beta_true": F.avg("true"), "beta_displaced": F.avg("displaced"), "bias": F.avg("bias"), "bias_se": F.stddev_samp("bias") / F.sqrt(F.count("*")), "inflated": F.avg((F.col("bias") > 0).cast("double"))}
+    return both.groupBy("true_beta").agg(*(r6(e).alias(c) for c, e in means.items()), F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -448,9 +450,12 @@ def simulate_universe(spark, sf):
 
 @query("sim_validation")
 def sim_validation(spark, sf):
-    u = simulate.Universe(firms=200, threshold=0.0)
-    fit = inference.ols_fe(panel.estimation_sample(panel.build_panel(simulate.simulate(spark, u))), fixed="vintage")
-    return fit.select(F.lit(round(u.true_beta, 6)).alias("true_beta"), r6("beta").alias("beta"), r6("se").alias("se"), "n")
+    """Estimated against true slope for the reference's six skill settings."""
+    worlds = [simulate.Universe(firms=260, skill_sd=x, idio_sd=0.34, threshold=0.0) for x in (0.0, 0.08, 0.14, 0.18, 0.24, 0.30)]
+    # firms of different settings are different families
+    funds = [simulate.simulate(spark, u).drop("flows").withColumns({"firm_id": F.col("firm_id") + i * u.firms, "skill_sd": F.lit(u.skill_sd), "true_beta": F.lit(round(u.true_beta, 6))}) for i, u in enumerate(worlds)]
+    sample = panel.estimation_sample(panel.build_panel(functools.reduce(DataFrame.unionByName, funds)))
+    return inference.ols_fe(sample, keys=("skill_sd", "true_beta")).select("skill_sd", "true_beta", r6("beta").alias("beta"), r6("se").alias("se"), "n")
 
 
 @query("sim_index")

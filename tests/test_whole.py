@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.operators import inference
+from keelson.operators import inference, simulate
 from keelson.plans import catalog, regimes, statistics  # noqa: F401
 from keelson.plans import views as V
 
@@ -156,3 +156,25 @@ def test_faults_of_every_override(spark, parts):
     sizes, merged = [size for *_, size in rows], {size for k, _, size in rows if k % 50}
     want = [("repeated", s) for s in set(sizes) if sizes.count(s) > 1] + [("decision", size) for k, _, size in rows if k % 50 == 0] + [("chained", c) for c in {s % 7 + 40 for s in merged} & merged]
     assert got == sorted(want)
+
+
+def test_vintage_error_study_has_all_replications(spark):
+    got = {r.true_beta: r for r in catalog.QUERIES["vintage_error_study"](spark, SF).collect()}
+    assert {b: r.n for b, r in got.items()} == {0.0: 400, 0.25: 400, 0.5: 400}
+    # wrong vintages attenuate: for the largest slope by more than the study's own error
+    assert got[0.5].bias + 3 * got[0.5].bias_se < 0 and got[0.5].inflated < 0.5
+    assert all(r.bias == pytest.approx(r.beta_displaced - r.beta_true, abs=3e-6) for r in got.values())
+
+
+def test_vintage_panels_hold_their_slope_and_shifts(spark):
+    rows = simulate.vintage_panels(spark, (0.5,), 20).toPandas()
+    both = rows[rows.labels == "true"].merge(rows[rows.labels == "displaced"], on=["rep", "sequence", "tvpi"])
+    assert len(both) * 2 == len(rows) and set(rows.groupby(["rep", "labels"]).firm_id.nunique()) == {39}
+    shares = (both.vintage_y - both.vintage_x).value_counts(normalize=True)
+    assert [shares[i] for i in (0, 1, 2)] == pytest.approx([25 / 43, 14 / 43, 4 / 43], abs=0.04)
+
+
+def test_sim_validation_lands_on_six_true_slopes(spark):
+    got = catalog.QUERIES["sim_validation"](spark, SF).collect()
+    assert sorted(r.skill_sd for r in got) == [0.0, 0.08, 0.14, 0.18, 0.24, 0.30]
+    assert all(abs(r.beta - r.true_beta) < 4 * r.se and r.n == 260 * 5 for r in got)
