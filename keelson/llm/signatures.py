@@ -33,8 +33,12 @@ shingle that sets of two components share.
 
 Defined results: null or empty text, or text without words, has the empty set
 and links with nothing; a null id gets its set's size and, if linked, its
-component, but never names one; a component whose ids are all null has a null
-id; rows that repeat an id stay apart if their texts differ.
+component, which links through it hold together, but never names one; a
+component whose ids are all null has a null id; rows that repeat an id stay
+apart if their texts differ, and copies are linked; a similarity of exactly
+``percent`` links; an empty table gives an empty table; a very long text is one
+set like any other; further columns, also named like those of the result, do
+not matter.
 """
 
 from __future__ import annotations
@@ -48,13 +52,13 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 from .components import connected_components
-from .words import Runs, WordHasher, chunks, mix, signed
+from .words import Words, chunks, every_run, mix, signed
 
 SKETCH_BITS, CHUNK_BITS = 18, 14
 ROUNDS = 3
 NEAR = 20
 SMALL = 6
-BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 19
+BLOCK_ROWS, BLOCK_WORDS = 128, 1 << 18
 PAIR_ROWS = 2048
 PREFIX_WORDS64 = 4
 
@@ -64,19 +68,18 @@ PREFIX_WORDS64 = 4
 
 class Shingler:
     def __init__(self, size: int) -> None:
-        self.size, self.hasher = size, WordHasher(lower=True)
+        self.size, self.words = size, Words(lower=True)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
-        hashes, ends = self.hasher(texts)
-        runs = Runs(hashes)
-        every = runs.every(self.size)
+        hashes, ends = self.words.hashes(texts)
+        every = every_run(hashes, self.size)
         out = []
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if hi - lo >= self.size:
                 out.append(np.unique(every[lo : hi - self.size + 1]))
             else:
-                out.append(runs(np.array([lo]), np.array([hi])) if hi > lo else every[:0])
+                out.append(every_run(hashes[lo:hi], hi - lo) if hi > lo else every[:0])
         return out
 
 
@@ -286,12 +289,13 @@ def _full_sets(joined: DataFrame, size: int) -> DataFrame:
     """(node, places, set) of (text, node, places) rows whose text has that node."""
 
     def run(batches):
-        shingle = Shingler(size)
+        shingle, seen = Shingler(size), set()
         for batch in batches:
             texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 sets = shingle(texts[lo:hi])
-                at = [i for i, s in zip(range(lo, hi), sets, strict=True) if node_of(s) == nodes[i]]
+                # rows that repeat id and text come along; one is enough
+                at = [i for i, s in zip(range(lo, hi), sets, strict=True) if nodes[i] not in seen and node_of(s) == nodes[i] and not seen.add(nodes[i])]
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array([sets[i - lo].astype("<u8").tobytes() for i in at], pa.binary())], ["node", "places", "set"])
 
     return joined.mapInArrow(run, f"node long, places {joined.schema['places'].dataType.simpleString()}, set binary")
@@ -426,11 +430,13 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     spark = docs.sparkSession
     space = Workspace(spark, "signatures")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows are told apart by id and content; missing ids come last in that order
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("md5"))
+    source = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     first = space.keep(_sets_and_sketch(source, shingle_words), "sets")
     sketch = spark.sparkContext.broadcast(_merged_sketch(first.filter("part is not null").select("part", "counts")))
     sets = first.filter("part is null").select("id", "n", "node", "keys")
-    lead = sets.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    lead = sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
     prefixes = space.keep(_prefixes(source, shingle_words, percent, sketch), "prefixes")
     common = space.keep(prefixes.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("token"), "common")
@@ -465,7 +471,7 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     answer = space.keep(named.join(least, "label").select("node", "component_id"), "answer")
     joined = sets.join(answer, "node", "left")
     sketch.unpersist()
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return joined.select(F.col("id.id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id.id", "id.id").alias("component_id"))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -3,14 +3,15 @@
 A window is ``window`` consecutive words. Its minimiser is the least hash of
 the runs of ``mmer`` words in it. Consecutive windows with the same minimiser
 form a super-k-mer, which goes to the minimiser's bucket as one packed string
-of word hashes; there its windows are sorted and counted exactly. Equal
-windows have equal minimisers, so no other bucket can hold a copy.
+of its words; there its windows are sorted and counted exactly, word by word.
+Equal windows have equal minimisers, so no other bucket can hold a copy.
 
 What is packed and sent is only what can matter:
 
 * a minimiser that occurs once in the corpus has no repeated window;
 * of equal super-k-mers one is sent, with their number; if there are several,
-  all their windows are repeated;
+  all their windows are repeated. They are told apart by 128 bits that are
+  made from 128-bit digests of their words;
 * the many different super-k-mers of a hot minimiser (the edges of a passage
   that a third of all documents share) are dealt into blocks. A block settles
   the windows that occur twice in it; of each other window it tells a 128-bit
@@ -19,8 +20,11 @@ What is packed and sent is only what can matter:
 Texts are told apart by their MD5, so copies are worked on once, and missing
 or repeated ids do no harm.
 
-Defined results: null text has no words; a text shorter than a window loses
-nothing; repeated rows count as copies of each other.
+Defined results: null text has no words and stays null; a text shorter than a
+window loses nothing; repeated rows count as copies of each other, whatever
+their ids; very long texts are cut into super-k-mers piece by piece, with the
+same result; an empty table gives an empty table; further columns, also named
+like those of the result, do not matter.
 """
 
 from __future__ import annotations
@@ -34,28 +38,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, Workspace, table
-from .words import Runs, WordHasher, chunks, mix, signed, sliding_min
+from .words import Words, chunks, every_run, mix, runs_of, signed, sliding_min
 
 BLOCK = 256
-SKM = ["mini", "fp", "wins"]
+#: Windows of one text that are cut into super-k-mers at a time.
+PIECE = 1 << 16
+SKM = ["mini", "fp", "fp2", "wins"]
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each run of ``size`` words, from the words' two."""
+    return every_run(hashes[:, 0], size), every_run(hashes[:, 1], size)
 
 
 class Cutter:
     """Super-k-mers of many texts."""
 
     def __init__(self, window: int, mmer: int) -> None:
-        self.window, self.mmer, self.hasher = window, mmer, WordHasher()
+        self.window, self.mmer, self.words = window, mmer, Words()
 
     def __call__(self, texts: list[str | None]):
-        """Word hashes, and columns text number, start in the text, windows, minimiser, its occurrences, fingerprint, start in all words."""
-        hashes, ends = self.hasher(texts)
-        runs = Runs(hashes)
+        """Columns text number, start in the text, windows, minimiser, its occurrences, and two fingerprints, piece by piece."""
+        ids, ends = self.words(texts)
+        if len(ids) <= PIECE:
+            yield from self._cut(0, 0, self.words.table[ids], ends)
+            return
+        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            for at in range(lo, hi - self.window + 1, PIECE):
+                end = min(hi, at + PIECE + self.window - 1)
+                yield from self._cut(i, at - lo, self.words.table[ids[at:end]], np.array([0, end - at]))
+
+    def _cut(self, text_before: int, words_before: int, hashes: np.ndarray, ends: np.ndarray):
         counts = np.maximum(np.diff(ends) - self.window + 1, 0)
         if not counts.sum():
-            return hashes, [np.zeros(0, np.int64)] * 7
-        grams = mix(runs.every(self.mmer) ^ np.uint64(0xD6E8FEB86659FD93))
+            return
+        grams = mix(every_run(hashes[:, 0], self.mmer) ^ np.uint64(0xD6E8FEB86659FD93))
         least = sliding_min(grams, self.window - self.mmer + 1)
-        text = np.repeat(np.arange(len(texts)), counts)
+        text = np.repeat(np.arange(len(counts)), counts)
         first = np.cumsum(counts) - counts
         at = np.arange(len(text)) - first[text] + ends[:-1][text]
         mini = least[at]
@@ -64,13 +84,16 @@ class Cutter:
         head = np.flatnonzero(new)
         wins = np.diff(np.append(head, len(text)))
         start = at[head]
-        end = start + wins + self.window - 1
         value = mini[head]
         # how often the minimiser itself occurs in the super-k-mer
-        owner = np.repeat(np.arange(len(head)), wins + self.window - self.mmer)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(wins + self.window - self.mmer) - (wins + self.window - self.mmer), wins + self.window - self.mmer) + start[owner]
+        spans = wins + self.window - self.mmer
+        owner = np.repeat(np.arange(len(head)), spans)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(spans) - spans, spans) + start[owner]
         times = np.bincount(owner, grams[place] == value[owner], minlength=len(head)).astype(np.int64)
-        return hashes, [text[head], start - ends[:-1][text[head]], wins, signed(value), times, signed(runs(start, end)), start]
+        # a fingerprint sums mixed hashes of the windows and their places
+        nth = (np.arange(len(text)) - np.repeat(head, wins)).astype(np.uint64) * STEP
+        prints = [signed(np.add.reduceat(mix(h[at] + nth), head)) for h in window_hashes(hashes, self.window)]
+        yield [text[head] + text_before, start - ends[:-1][text[head]] + words_before, wins, signed(value), times, *prints]
 
 
 def text_key(col) -> F.Column:
@@ -78,7 +101,7 @@ def text_key(col) -> F.Column:
 
 
 def super_kmers(docs: DataFrame, cutter: Cutter) -> DataFrame:
-    """(mini, fp, wins, key, start, times, copies) of every text; copies in one batch are counted together."""
+    """(mini, fp, fp2, wins, key, start, times, copies) of every text; copies in one batch are counted together."""
     window, mmer = cutter.window, cutter.mmer
 
     def run(batches):
@@ -89,36 +112,40 @@ def super_kmers(docs: DataFrame, cutter: Cutter) -> DataFrame:
                 copies.setdefault(key, [text, 0])[1] += 1
             keys, texts, n = list(copies), [t for t, _ in copies.values()], np.array([c for _, c in copies.values()], np.int64)
             for lo, hi in chunks(texts):
-                _, (text, start, wins, mini, times, fp, _) = cut(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(fp), pa.array(wins, pa.int32()), pa.array(keys[lo:hi], pa.binary()).take(pa.array(text)), pa.array(start, pa.int32()), pa.array(times * n[lo:hi][text] if len(text) else times), pa.array(n[lo:hi][text] if len(text) else times)], ["mini", "fp", "wins", "key", "start", "times", "copies"])
+                own = pa.array(keys[lo:hi], pa.binary())
+                for text, start, wins, mini, times, fp, fp2 in cut(texts[lo:hi]):
+                    yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(fp), pa.array(fp2), pa.array(wins, pa.int32()), own.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(times * n[lo:hi][text]), pa.array(n[lo:hi][text])], ["mini", "fp", "fp2", "wins", "key", "start", "times", "copies"])
 
-    return docs.mapInArrow(run, "mini long, fp long, wins int, key binary, start int, times long, copies long")
+    return docs.mapInArrow(run, "mini long, fp long, fp2 long, wins int, key binary, start int, times long, copies long")
 
 
-def _packed(joined: DataFrame, window: int, mmer: int) -> DataFrame:
-    """(mini, block, fp, wins, n, hot, packed) of the wanted super-k-mers of (key, text, wanted) rows."""
+def _packed(joined: DataFrame, window: int) -> DataFrame:
+    """(mini, block, fp, fp2, wins, n, hot, packed) of the wanted super-k-mers of (key, text, wanted) rows."""
 
     def run(batches):
-        cut, done = Cutter(window, mmer), set()
+        done = set()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
-            keys, texts, wanted = (c.to_pylist() for c in batch.columns)
-            for lo, hi in chunks(texts):
-                ids = []
-                for i in range(lo, hi):
-                    if keys[i] not in done:
-                        done.add(keys[i])
-                        ids.append(i)
-                hashes, ends = cut.hasher([texts[i] for i in ids])
-                rows = []
-                for i, begin in zip(ids, ends.tolist(), strict=False):
-                    for w in wanted[i]:
-                        at = begin + w["start"]
-                        rows.append((w["mini"], w["fp"] % w["blocks"], w["fp"], w["wins"], w["n"], w["blocks"] > 1, hashes[at : at + w["wins"] + window - 1].astype("<u8").tobytes()))
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mini", "block", "fp", "wins", "n", "hot", "packed"])
-
-    return joined.mapInArrow(run, "mini long, block long, fp long, wins int, n long, hot boolean, packed binary")
+            rows: list[tuple] = []
+            size = 0
+            for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key in done:
+                    continue
+                done.add(key)
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                starts, ends = runs_of(np.frombuffer(raw, np.uint8))
+                for w in wanted:
+                    at = w["start"]
+                    words = raw[starts[at] : ends[at + w["wins"] + window - 2]]
+                    rows.append((w["mini"], w["fp"] % w["blocks"], w["fp"], w["fp2"], w["wins"], w["n"], w["blocks"] > 1, b" ".join(words.split())))
+                    size += len(words)
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mini", "block", "fp", "fp2", "wins", "n", "hot", "packed"])
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mini", "block", "fp", "fp2", "wins", "n", "hot", "packed"])
+
+    return joined.mapInArrow(run, "mini long, block long, fp long, fp2 long, wins int, n long, hot boolean, packed binary")
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -127,10 +154,14 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def count_bucket(packed: list[bytes], weights: list[int], window: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each super-k-mer which of its windows occur again in the bucket, and which are the first of their kind."""
-    views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint64), window) for p in packed]
+    """For each super-k-mer which of its windows occur again in the bucket, and which are the first of their kind.
+
+    Words are numbered in the bucket, so windows are equal if all their words are.
+    """
+    ids, ends = Words().number(packed)
+    views = [np.lib.stride_tricks.sliding_window_view(ids[a:b], window) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     sizes = np.cumsum([len(v) for v in views])
-    rows = np.ascontiguousarray(np.concatenate(views)).view(f"V{8 * window}").ravel()
+    rows = np.ascontiguousarray(np.concatenate(views)).view(f"V{4 * window}").ravel()
     order = np.argsort(rows, kind="stable")
     same = np.concatenate([[False], rows[order[1:]] == rows[order[:-1]]])
     group = np.cumsum(~same) - 1
@@ -142,7 +173,7 @@ def count_bucket(packed: list[bytes], weights: list[int], window: int) -> tuple[
 
 
 def _bucketed(packed: DataFrame, window: int) -> DataFrame:
-    """Rows (mini, fp, wins, spans) of super-k-mers with windows repeated in their block.
+    """Rows (mini, fp, fp2, wins, spans) of super-k-mers with windows repeated in their block.
 
     Of hot minimisers also rows (w1, w2, n, nth): each kind of window of the
     block, with n = 2 if it is repeated in it, else with its place. A block's
@@ -150,24 +181,26 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches):
-        names = ["mini", "fp", "wins", "spans", "w1", "w2", "n", "nth"]
+        names = [*SKM, "spans", "w1", "w2", "n", "nth"]
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        known = Words()
 
         def answer(bucket):
-            again, first = count_bucket([r[6] for r in bucket], [r[4] for r in bucket], window)
-            ids = [pa.int64(), pa.int64(), pa.int32()]
-            hits = [(*r[2:4], _ranges(a)) for r, a in zip(bucket, again, strict=True) if a.any()]
+            again, first = count_bucket([r[7] for r in bucket], [r[5] for r in bucket], window)
+            hits = [((r[0], *r[2:5]), _ranges(a)) for r, a in zip(bucket, again, strict=True) if a.any()]
             if hits:
                 k = len(hits)
-                spans = pa.array([[{"lo": a, "hi": b} for a, b in h[2]] for h in hits], span)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[0][0]] * k, ids[0]), pa.array([h[0] for h in hits], ids[1]), pa.array([h[1] for h in hits], ids[2]), spans, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names)
-            if bucket[0][5]:
+                spans = pa.array([[{"lo": a, "hi": b} for a, b in h] for _, h in hits], span)
+                yield pa.RecordBatch.from_arrays([*(pa.array([h[i] for h, _ in hits], t) for i, t in enumerate(ids)), spans, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names)
+            if bucket[0][6]:
                 for r, a, f in zip(bucket, again, first, strict=True):
                     at = np.flatnonzero(f)
                     if len(at):
-                        hashes, k = np.frombuffer(r[6], np.uint64), len(at)
-                        one, two = Runs(hashes)(at, at + window), Runs(hashes, salt=1)(at, at + window)
-                        yield pa.RecordBatch.from_arrays([*(pa.array([v] * k, t) for v, t in zip((r[0], r[2], r[3]), ids, strict=True)), pa.nulls(k, span), pa.array(signed(one)), pa.array(signed(two)), pa.array(np.where(a[at], 2, 1)), pa.array(at, pa.int32())], names)
+                        k = len(at)
+                        numbers, _ = known.numbered([r[7]])
+                        one, two = (h[at] for h in window_hashes(known.table[numbers], window))
+                        yield pa.RecordBatch.from_arrays([*(pa.array([v] * k, t) for v, t in zip((r[0], *r[2:5]), ids, strict=True)), pa.nulls(k, span), pa.array(signed(one)), pa.array(signed(two)), pa.array(np.where(a[at], 2, 1)), pa.array(at, pa.int32())], names)
 
         bucket: list[tuple] = []
         for batch in batches:
@@ -180,7 +213,7 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
             yield from answer(bucket)
 
     rows = packed.repartition("mini", "block").sortWithinPartitions("mini", "block")
-    return rows.mapInArrow(run, "mini long, fp long, wins int, spans array<struct<lo:int,hi:int>>, w1 long, w2 long, n long, nth int")
+    return rows.mapInArrow(run, "mini long, fp long, fp2 long, wins int, spans array<struct<lo:int,hi:int>>, w1 long, w2 long, n long, nth int")
 
 
 def repeated_spans(docs: DataFrame, space: Workspace, window: int, mmer: int = 8) -> DataFrame:
@@ -196,9 +229,9 @@ def repeated_spans(docs: DataFrame, space: Workspace, window: int, mmer: int = 8
     # one row for each different super-k-mer
     kinds = space.keep(could.groupBy(*SKM).agg(F.sum("copies").alias("n"), F.max(F.col("times") > F.col("copies")).alias("inner"), F.min(F.struct("key", "start")).alias("at")), "kinds")
     several = space.keep(kinds.groupBy("mini").agg(F.count("*").alias("_kinds"), F.max(F.col("inner") & (F.col("n") == 1)).alias("_inner"), F.min("n").alias("_least")).filter("_least = 1 and (_kinds > 1 or _inner)").select("mini", F.ceil(F.col("_kinds") / BLOCK).alias("blocks")), "several")
-    wanted = kinds.join(several, "mini").select("at.key", F.struct("mini", "fp", "wins", "n", "blocks", "at.start").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    wanted = kinds.join(several, "mini").select("at.key", F.struct("mini", "fp", "fp2", "wins", "n", "blocks", "at.start").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
     wanted = space.keep(wanted, "wanted")
-    packed = space.keep(_packed(docs.join(wanted, "key").select("key", "text", "wanted"), window, mmer), "packed")
+    packed = space.keep(_packed(docs.join(wanted, "key").select("key", "text", "wanted"), window), "packed")
     space.drop("wanted")
     settled = space.keep(_bucketed(packed, window), "settled")
     space.drop("packed")

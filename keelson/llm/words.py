@@ -1,17 +1,24 @@
-"""Hashes of words and of runs of words, for many texts at a time.
+"""Words of texts as numbers and hashes, and hashes of runs of words, for many texts at a time.
 
-Words are the longest runs of anything but ASCII white space. Arithmetic is
-on unsigned 64-bit integers and wraps.
+Words are the longest runs of anything but ASCII white space. Each word has a
+number within the process, which tells it apart exactly, and the 128 bits of
+its BLAKE2b digest, on which all that crosses processes is built. No hash here
+is a polynomial: each step mixes what it joined before it goes on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+STEP = np.uint64(0x9E3779B97F4A7C15)
+GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of one text that are split into words at a time.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,85 +28,126 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes other than ASCII white space.
-IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+def digests(words: list[bytes]) -> np.ndarray:
+    """Two unsigned 64-bit integers of each word."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").astype(np.uint64).reshape(-1, 2)
 
 
-class WordHasher:
-    def __init__(self, lower: bool = False) -> None:
-        self.lower = lower
+class _Numbers(dict):
+    """Numbers words in the order they come."""
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all texts' words, and where each text's begin (one entry more than texts)."""
-        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        data = b" ".join([*raws, b""])
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Words:
+    """Numbers the words of texts; ``table`` has the digests of all words known.
+
+    Numbers hold until the next call, which starts anew when ``room`` words are
+    known. ``spaced`` maps the bytes of a text, so that others than white space
+    can part words.
+    """
+
+    def __init__(self, lower: bool = False, room: int = 1 << 17, spaced: bytes | None = None) -> None:
+        self.lower, self.room, self.spaced = lower, room, spaced
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.table = _Numbers(), np.zeros((0, 2), np.uint64)
+
+    def raw(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8", "surrogatepass")
         # of bytes, only A-Z have a lower case
-        start, _, hashes = hash_runs(np.frombuffer(data.lower() if self.lower else data, np.uint8), IN_WORD)
-        return hashes, np.searchsorted(start, np.append(0, np.cumsum([len(r) + 1 for r in raws])))
+        return raw.translate(self.spaced) if self.spaced else raw.lower() if self.lower else raw
+
+    def number(self, raws: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of these bytes, and where each one's begin (one entry more than there are)."""
+        if len(self.numbers) > self.room:
+            self._forget()
+        known, parts, counts, pending = self.numbers.__getitem__, [], [], []
+        for raw in raws:
+            n = 0
+            for words in split(raw):
+                n += len(words)
+                pending += words
+                if len(pending) > 1 << 15:
+                    parts.append(np.fromiter(map(known, pending), np.int32, len(pending)))
+                    pending = []
+            counts.append(n)
+        parts.append(np.fromiter(map(known, pending), np.int32, len(pending)))
+        return np.concatenate(parts), np.append(0, np.cumsum(counts, dtype=np.int64))
+
+    def unseen(self, known: int) -> list[bytes]:
+        """The words whose numbers begin at ``known``."""
+        return list(islice(self.numbers, known, None)) if len(self.numbers) > known else []
 
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words, and where each text's begin; ``table`` knows all of them then."""
+        return self.numbered(map(self.raw, texts))
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    def numbered(self, raws: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends = self.number(raws)
+        if new := self.unseen(len(self.table)):
+            self.table = np.concatenate([self.table, digests(new)])
+        return ids, ends
 
+    def hashes(self, texts: list[str | None], lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits of each word's digest in place of its number."""
+        ids, ends = self(texts)
+        return self.table[ids, lane], ends
 
-BLOCK = 1 << 22
 
+def split(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, block by block if it is very long."""
+    at = 0
+    while len(raw) - at > BLOCK:
+        gap = GAP.search(raw, at + BLOCK)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end].split()
+        at = end
+    yield raw[at:].split() if at else raw.split()
 
-def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each run of bytes that ``inside`` (of 256) marks.
 
-    Very long data are taken in blocks that end between runs.
-    """
-    parts, at, n = [], 0, len(data)
-    while at < n or not parts:
-        end = min(n, at + BLOCK)
-        if end < n:
-            gaps = np.flatnonzero(~inside[data[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-            else:
-                beyond = ~inside[data[end:]]
-                end = end + int(beyond.argmax()) + 1 if beyond.any() else n
-        start, stop, hashes = _hash_block(data[at:end], inside)
-        parts.append((start + at, stop + at, hashes))
-        at = max(end, at + 1)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _hash_block(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data)
-    if len(_powers[0]) < n + 1:
-        _powers[0] = np.append(np.uint64(1), np.cumprod(np.full(n, BASE)))
-        _powers[1] = np.append(np.uint64(1), np.cumprod(np.full(n, INVERSE)))
-    edges = np.flatnonzero(np.diff(inside[data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    start, end = edges[::2], edges[1::2]
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n]))
-    return start, end, mix((sums[end] - sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
-
-
-class Runs:
-    """Hash of any run of consecutive words in constant time."""
-
-    def __init__(self, hashes: np.ndarray, salt: int = 0) -> None:
-        n = len(hashes)
-        h = mix(hashes + np.uint64(salt))
-        power = np.ones(n + 1, np.uint64)
-        inverse = np.ones(n + 1, np.uint64)
-        if n:
-            power[1:] = np.cumprod(np.full(n, BASE))
-            inverse[1:] = np.cumprod(np.full(n, INVERSE))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n])])
-        self.inverse = inverse
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-
-    def every(self, size: int) -> np.ndarray:
-        """Of all runs of ``size`` words, by start."""
-        n = len(self.sums) - 1
-        if n < size:
-            return np.zeros(0, np.uint64)
-        start = np.arange(n - size + 1)
-        return self(start, start + size)
+#: Bytes other than ASCII white space.
+IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+
+
+def runs_of(data: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that ``inside`` (of 256) marks."""
+    starts, ends, before = [], [], False
+    for at in range(0, len(data), BLOCK):
+        marked = inside[data[at : at + BLOCK]]
+        edges = np.flatnonzero(np.diff(marked.view(np.int8), prepend=np.int8(before))) + at
+        opens = ~np.bool_(before)
+        starts.append(edges[0 if opens else 1 :: 2])
+        ends.append(edges[1 if opens else 0 :: 2])
+        before = bool(marked[-1])
+    if before:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * STEP + (right ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
+def every_run(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` neighbours, by start: joins of runs of powers of two."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, width, out, done = mix(hashes + np.uint64(size)), 1, None, 0
+    while True:
+        if size & width:
+            part = power[done : done + n]
+            out = part if out is None else _join(out, part)
+            done += width
+        if done == size:
+            return out
+        power = _join(power[:-width], power[width:])
+        width *= 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -114,7 +162,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Slices of about ``chars`` characters, of one text at least."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -19,6 +19,14 @@ from keelson.llm.common import WORD, Workspace
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two sequences on which polynomial hashes modulo 2**64 agree."""
+    one, two = [a], [b]
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
 def words(rng, n, k=40):
     return [f"v{rng.randint(0, k)}" for _ in range(n)]
 
@@ -55,7 +63,7 @@ def test_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(1)
     texts = ["", "Hello WORLD's 12 don't", "İstanbul ΣΑΣ", "e\u0301 a\xa0b", "<|endoftext|> x", "日本 — a", "—", "' s", "!'s"]
     texts += ["".join(rng.choice("aB'stre vld1 \n!<|>é\tßǄ—") for _ in range(50)) for _ in range(500)]
-    own = packing.WordTokenizer(packing.public_tokenizer(), slots=64, room=500)
+    own = packing.WordTokenizer(packing.public_tokenizer(), room=50)
     for lo in range(0, len(texts), 50):
         part = texts[lo : lo + 50]
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
@@ -102,6 +110,13 @@ def test_packed_documents(frame, tokenizer):
     assert packing.pack_documents(frame(DOCS, [])).count() == 0
 
 
+def test_words_with_equal_polynomials_keep_their_ids(tokenizer):
+    own = packing.WordTokenizer(packing.public_tokenizer())
+    for n in (1024, 2048):
+        for word in map("".join, thue_morse(n)):
+            assert own.encode([word, f"x {word}"]) == [own.whole(word), own.whole(f"x {word}")]
+
+
 # ---- WARC ------------------------------------------------------------------
 
 
@@ -160,6 +175,24 @@ def test_substrings_against_brute_force(frame, monkeypatch, block):
     assert sorted((r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in got) == brute_substrings(rows, 35)
 
 
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_substrings_of_words_with_equal_polynomials(frame, n):
+    around = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*around[:20], "".join(x), *around[20:34]]), "en", "s", 0) for i, x in enumerate(thue_morse(n))]
+    # the words themselves in that order, all under one minimiser
+    rows += [(10 + i, " ".join(x), "en", "s", 0) for i, x in enumerate(thue_morse(n, "p q r s t u v w", "p q r s t u v x"))]
+    got = substrings.dedup_substrings(frame(DOCS, rows), window=35).collect()
+    assert sorted((r.n_words, r.n_removed, " ".join(WORD.findall(r.text))) for r in got) == brute_substrings(rows, 35)
+    assert all(r.n_removed == 0 for r in got if r.doc_id < 10)
+
+
+def test_a_long_text_in_pieces(frame, monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 50)
+    rows = corpus(2)
+    got = substrings.dedup_substrings(frame(DOCS, rows), window=35).collect()
+    assert sorted((r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in got) == brute_substrings(rows, 35)
+
+
 def test_cutting_keeps_the_white_space_around():
     assert substrings.cut_words("a  b\nc d\te", [(1, 3)]) == "a d\te"
     assert substrings.cut_words(" a b c", [(0, 2)]) == "c"
@@ -207,6 +240,23 @@ def test_classes_against_brute_force(frame, monkeypatch, size, percent, rounds,
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_classes(rows, size, percent)
 
 
+def test_missing_ids_hold_links(frame):
+    rng = random.Random(3)
+    one = words(rng, 200, 5000)
+    two = [*one[:-8], *words(rng, 8, 5000)]
+    three = [*words(rng, 8, 5000), *two[8:]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in ((1, one), (None, two), (3, three), (None, two), (None, words(rng, 50, 5000)))]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in signatures.similar_classes(frame(DOCS, rows), 4, 85).collect()}
+    assert got == {(1, 197): 1, (None, 197): 1, (3, 197): 1, (None, 47): None}
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_sets_of_words_with_equal_polynomials(frame, n):
+    rows = [(i, "a b c " + "".join(x), "en", "s", 0) for i, x in enumerate(thue_morse(n))]
+    got = signatures.similar_classes(frame(DOCS, rows), 4, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1)]
+
+
 @pytest.mark.parametrize("percent", [85, 60])
 def test_tree_finds_every_similar_pair(percent):
     rng = np.random.default_rng(percent)

@@ -9,33 +9,56 @@ import pytest
 from keelson.llm import words as W
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words (or lists) on which every polynomial hash modulo 2**64 agrees, once n is about 1024."""
+    one, two = [a], [b]
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
 @pytest.mark.parametrize("block", [W.BLOCK, 7, 1])
-def test_hashes_of_runs(monkeypatch, block):
+def test_words_of_bytes(monkeypatch, block):
     monkeypatch.setattr(W, "BLOCK", block)
-    rng, seen = random.Random(block), {}
+    rng, words, seen = random.Random(block), W.Words(room=20), {}
     for _ in range(200):
-        text = "".join(rng.choice("ab \n\té\xa0") for _ in range(rng.randint(0, 40)))
-        data = text.encode()
-        start, end, hashes = W.hash_runs(np.frombuffer(data, np.uint8), W.IN_WORD)
-        assert [data[a:b] for a, b in zip(start, end, strict=True)] == re.findall(rb"[^\x20\x09-\x0D]+", data)
-        for a, b, h in zip(start, end, hashes.tolist(), strict=True):
-            assert seen.setdefault(data[a:b], h) == h
-    assert len(set(seen.values())) == len(seen)
+        texts = ["".join(rng.choice("ab \n\té\xa0") for _ in range(rng.randint(0, 40))) for _ in range(3)]
+        want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in texts]
+        ids, ends = words(texts)
+        assert ends.tolist() == [0, *np.cumsum([len(w) for w in want])]
+        for word, i in zip([w for ws in want for w in ws], ids, strict=True):
+            assert seen.setdefault(word, tuple(words.table[i])) == tuple(words.table[i])
+        for t, w in zip(texts, want, strict=True):
+            start, end = W.runs_of(np.frombuffer(t.encode(), np.uint8))
+            assert [t.encode()[a:b] for a, b in zip(start, end, strict=True)] == w
+    assert len({a for a, _ in seen.values()}) == len({b for _, b in seen.values()}) == len(seen)
 
 
 def test_words_of_texts():
-    hashes, ends = W.WordHasher(lower=True)(["A b", None, "", " É a\x0b", "é"])
+    hashes, ends = W.Words(lower=True).hashes(["A b", None, "", " É a\x0b", "é"])
     assert ends.tolist() == [0, 2, 2, 2, 4, 5]
     assert hashes[0] == hashes[3] and hashes[2] != hashes[4]
 
 
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_no_polynomial(n):
+    one, two = ("".join(x) for x in thue_morse(n))
+    table = W.digests([one.encode(), two.encode()])
+    assert (table[0] != table[1]).all()
+    hashes, ends = W.Words().hashes([" ".join(x) for x in thue_morse(n)])
+    assert W.every_run(hashes[:n], n) != W.every_run(hashes[n:], n)
+
+
 def test_runs_and_minima():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 5, 60).astype(np.uint64)
-    every = W.Runs(h).every(4)
-    for i in range(57):
-        for j in range(57):
-            assert (every[i] == every[j]) == (h[i : i + 4] == h[j : j + 4]).all()
+    for size in (1, 2, 3, 4, 5, 7, 8):
+        every = W.every_run(h, size)
+        assert len(every) == 61 - size
+        for i in range(len(every)):
+            for j in range(len(every)):
+                assert (every[i] == every[j]) == (h[i : i + size] == h[j : j + size]).all()
+    assert len(W.every_run(h, 61)) == 0
     x = rng.integers(0, 99, 50)
     for width in (1, 2, 5, 28):
         assert W.sliding_min(x, width).tolist() == [x[i : i + width].min() for i in range(51 - width)]
