@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -182,11 +183,60 @@ def test_article_of_a_page():
     assert htmltext.main_text(PAGE.replace("article", "div")) == "Big & bold One two three Four é five Six Seven"
 
 
-@pytest.mark.parametrize("source", [None, "", "<", "<p", "<!--", "a < b & c", "<script>", "<b>" * 5000 + "x", "</p></div>x", "<p>a<!-- x --><p>b", "plain"])
-def test_any_source_gives_a_text(source):
-    want = {"a < b & c": "a < b & c", "</p></div>x": "x", "<p>a<!-- x --><p>b": "a b", "plain": "plain", "<b>" * 5000 + "x": "x"}
-    assert htmltext.main_text(source) == want.get(source, htmltext.main_text(source))
-    assert isinstance(htmltext.main_text(source), str)
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (None, ""), ("", ""), ("<", "<"), ("<p", ""), ("<!--", ""), ("<!--> a", "a"), ("a < b & c", "a < b & c"), ("<script>x", ""), ("<b>" * 5000 + "x", "x"), ("</p></div>x", "x"), ("<p>a<!-- x --><p>b", "a b"), ("plain", "plain"),
+        ("<p don't>rest</p>", "rest"), ('<p title="a>b">c</p>', "c"), ("<p>a<p title='unclosed>b", "a"), ("<ul><li>a<li>b</ul>c", "a b c"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
+        ('<article><p class="search">The search for gold</p></article>', "The search for gold"), ('<article><p id="ad-hoc">a</p><section class="related-work">b</section><blockquote class="reply">c</blockquote></article>', "a b c"),
+        ("<main><p>m</p></main><article>teaser</article>", "m"), ("<form><article>a</article>b</form>", "a"), ("<article>a<nav>b</nav><aside>c</aside><div class='ad big'>d</div><section class='comments'>e</section></article>", "a"),
+        ("<main><h1>t</h1><article>a</article><div class='share'>s</div></main>", "t a"),
+    ],
+)
+def test_any_source_gives_a_text(source, want):
+    assert htmltext.main_text(source) == want
+
+
+@pytest.mark.parametrize("source", ['<a "' * 500000, "<b>" * 300000, "<b>" * 200000 + "<p></p>" * 100000, "<table>" + "<b>" * 200000 + "<td>" * 200000, "<b>" * 200000 + "</i>" * 200000, "<x y='" * 300000, "<" * 2000000, "<p>long &amp; " * 150000])
+def test_very_long_pages_take_linear_time(source):
+    began = time.process_time()
+    htmltext.main_text(source)
+    assert time.process_time() - began < 20
+
+
+def site(rng, i, host="site.org", article=lambda p: f"<div class='body'>{p}</div>"):
+    """A page without names: a menu whose words change, an advert of changing length, a text, a fixed line."""
+    words = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    paragraphs = [words(rng.randint(15, 40)) for _ in range(rng.randint(1, 4))]
+    menu = "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for _ in range(rng.randint(3, 6)))
+    page = f"<body><ul>{menu}</ul><div class='x1'>Home {i} Docs {i + 1}</div>{article(''.join(f'<p>{p}</p>' for p in paragraphs))}<div class='x2'>All rights with {host}</div></body>"
+    return (i, f"http://{host}/{i}", page), " ".join(paragraphs)
+
+
+def test_the_tree_removes_what_no_name_gives_away(frame):
+    rng = random.Random(6)
+    pages, want = zip(*(site(rng, i) for i in range(30)), strict=True)
+    df = frame("page_id long, url string, html string", list(pages))
+    for names in (True, False):
+        got = {r.page_id: r.text for r in htmltext.extract(df, names=names).collect()}
+        assert [got[i] for i in range(30)] == list(want)
+    # with the tree disabled every page has more
+    assert all(htmltext.main_text(html) != w and w in htmltext.main_text(html) for (_, _, html), w in zip(pages, want, strict=True))
+
+
+def test_beside_marked_articles_the_tree_weighs(frame):
+    rng = random.Random(7)
+    article = lambda p: f"<div class='promo2'>w{rng.randint(0, 9999)} w{rng.randint(0, 9999)}</div><article id='post-{rng.randint(0, 999)}'>{p}<p>The same closing line.</p></article>"
+    pages, want = zip(*(site(rng, i, article=article) for i in range(20)), strict=True)
+    other, text = site(rng, 100, "lone.org", article)
+    got = {r.page_id: r.text for r in htmltext.extract(frame("page_id long, url string, html string", [*pages, other]), names=False).collect()}
+    assert [got[i] for i in range(20)] == [f"{w} The same closing line." for w in want]
+    # a host of one page is judged by kinds
+    assert got[100].endswith(f"{text} The same closing line.") and "All rights" not in got[100]
+
+
+def test_no_pages(frame):
+    assert htmltext.extract(frame("page_id long, url string, html string", [])).count() == 0
 
 
 @pytest.mark.parametrize("most", [htmltext.BROADCAST_BYTES, 0])
@@ -212,7 +262,7 @@ def test_copies_of_a_page_are_no_template(frame, article):
     rows += [(100 + i, f"http://site.org/{100 + i}", page("<article>", b)) for i, b in enumerate(bodies)]
     rows += [(200 + i, f"http://copies.org/{i}", page(article, copied)) for i in range(10)]
     got = {r.page_id: r.text for r in htmltext.extract(frame("page_id long, url string, html string", rows)).collect()}
-    # what the site's different pages share still goes; a site of one page has no template
-    assert [got[i] for i in range(30)] == [copied] * 30
-    assert [got[100 + i] for i in range(9)] == bodies
+    # no part of an article goes, nor does a site of one page lose its own
+    assert [got[i] for i in range(30)] == [f"{copied} About this site"] * 30
+    assert [got[100 + i] for i in range(9)] == [f"{b} About this site" for b in bodies]
     assert [got[200 + i] for i in range(10)] == [f"{copied} About this site"] * 10
