@@ -40,17 +40,23 @@ def fold(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % F.lit(mod)
 
 
+_local: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where the setting is
-    absent (tests, local mode) a local folder of this process is used.
+    ``spark.checkpoint.dir`` names it on a cluster, where its absence is an
+    error. In local mode, as in tests, a folder of this process takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="keelson-"))
+    return _local[0]
 
 
 def sampled_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -59,27 +65,13 @@ def sampled_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     A hash threshold leaves about twice as many, so what partitions send to be
     sorted stays bounded however many they are.
     """
-    ids = df.select(id_col)
+    ids = df.select(id_col).filter(F.col(id_col).isNotNull())
     share = 2 * most / max(1, ids.count())
     if share < 1:
         ids = ids.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40)) < int(share * (1 << 40)))
     return ids.distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
-def most_frequent(counted: DataFrame, name_col: str, n_col: str, most: int) -> DataFrame:
-    """The rows whose count is large enough for at most ``most`` rows; rows with the first count beyond are all left out.
-
-    ``counted`` is read twice: from storage, if it is dear. The histogram of
-    counts has about as many rows as the root of their sum at most.
-    """
-    rows, least = 0, None
-    for r in sorted(counted.groupBy(n_col).agg(F.count("*").alias("_rows")).collect(), key=lambda r: -r[n_col]):
-        if rows + r["_rows"] > most:
-            break
-        rows, least = rows + r["_rows"], r[n_col]
-    return counted.filter(F.col(n_col) >= least) if least is not None else counted.limit(0)
-
-
 class Workspace:
     """Tables written to the shared folder, which cut the lineage.
 

@@ -11,7 +11,10 @@ of the id; prediction reads every whole text.
 
 Defined results: null text, or text without a letter, is ``und`` with score
 0; with no training text at all every text is ``und``; ties go to the
-language that sorts first.
+language that sorts first, ties of n-grams to the lesser; repeated rows are
+trained on each and have equal results; texts of any length are read whole; an
+empty table gives an empty table; further columns, also named like those of
+the result, do not matter.
 """
 
 from __future__ import annotations

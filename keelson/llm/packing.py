@@ -13,7 +13,10 @@ the number alone tells a piece its sequence and offset, so placing is a
 lookup with no group of pieces in one place.
 
 Defined results: null text counts as empty; an empty text is one piece of one
-end token; an empty table gives no piece; repeated rows are packed each.
+end token; an empty table gives no piece; repeated rows are packed each; of
+combinations that fill a gap alike the one with the largest length comes
+first; a text of any length is cut into as many pieces as it needs; further
+columns, also named like those of the result, do not matter.
 """
 
 from __future__ import annotations

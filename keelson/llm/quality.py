@@ -1,12 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a cheap test of a text. On a small sample of texts every rule is
-timed and its rejections are counted; the cascade then asks the rules by
-falling rejection per second and stops at the first that rejects. The verdict
-is the conjunction of all rules, so the order never changes it.
+Each rule is a cheap test of a text. On a small sample every rule's cost and
+rejections are measured as the cascade will meet them: on texts that passed the
+base test, with the base counts at hand. The rule that rejects most per second
+comes first; the next one is chosen by what it rejects of the texts left, and
+so on. The verdict is the conjunction of all rules, so the order never changes
+it.
 
 Defined results: a null or empty text has no words, all counts 0, and fails
-the base test.
+the base test; repeated rows are judged each; rules that tie keep the order
+they are given in, as do all where no text is left; texts of any length are
+read whole; an empty table gives an empty table; further columns, also named
+like those of the result, do not matter.
 """
 
 from __future__ import annotations
@@ -103,33 +108,53 @@ def base_failed(t: Text) -> bool:
     return t.n_words < 50 or 100 * t.n_repeat_words > 50 * t.n_words
 
 
-def plan(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """The rules by falling rejection per cost on ``texts``."""
-    scored = []
-    for i, rule in enumerate(rules):
+def measure(text: str | None, rules: tuple[Rule, ...]) -> list[tuple[bool, float]] | None:
+    """Whether each rule rejects the text and the seconds it takes, the base counts known; none for a text that fails the base test."""
+    ready = Text(text)
+    if base_failed(ready):
+        return None
+    for name in BASE:
+        getattr(ready, name)
+    out = []
+    for rule in rules:
+        own = Text(text)
+        own.__dict__.update(ready.__dict__)
         began = time.perf_counter()
-        rejected = sum(not rule.passes(Text(x)) for x in texts)
-        scored.append((-(rejected + 0.5) / (time.perf_counter() - began + 1e-9), i, rule))
-    return tuple(rule for *_, rule in sorted(scored, key=lambda x: x[:2]))
+        rejects = not rule.passes(own)
+        out.append((rejects, time.perf_counter() - began))
+    return out
+
+
+def arrange(measured: list[list[tuple[bool, float]]], rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    """Names of the rules, each the one that rejects most per second of the texts that those before it leave."""
+    left, order, open_rules = measured, [], list(range(len(rules)))
+    while open_rules:
+        gain = {i: (sum(m[i][0] for m in left) + (0.5 if left else 0.0)) / (sum(m[i][1] for m in left) + 1e-9) for i in open_rules}
+        best = max(open_rules, key=lambda i: (gain[i], -i))
+        order.append(rules[best].name)
+        open_rules.remove(best)
+        left = [m for m in left if not m[best][0]]
+    return tuple(order)
+
+
+def plan(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[str, ...]:
+    """The cascade order measured on ``texts``."""
+    return arrange([m for x in texts if (m := measure(x, rules)) is not None], rules)
 
 
 def order_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = 300) -> tuple[str, ...]:
     """Names of the rules in cascade order, measured on ``sample`` texts picked by hash."""
     ids = sampled_ids(docs, id_col, sample)
-    names = [r.name for r in rules]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, name in enumerate(names):
-                began = time.perf_counter()
-                rejected = sum(not rules[i].passes(Text(x)) for x in texts)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rejected], pa.int64()), pa.array([time.perf_counter() - began])], ["rule", "rejected", "seconds"])
-
-    # sample ids bound this side
-    drawn = docs.join(F.broadcast(ids), id_col, "left_semi").select(text_col)
-    got = {r["rule"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-9) for r in drawn.mapInArrow(run, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}
-    return tuple(sorted(names, key=lambda n: (-got.get(n, 0.0), names.index(n))))
+            found = [m for x in batch.column(0).to_pylist() if (m := measure(x, rules)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([[r for r, _ in m] for m in found], pa.list_(pa.bool_())), pa.array([[s for _, s in m] for m in found], pa.list_(pa.float64()))], ["rejects", "seconds"])
+
+    # sample ids bound the small side, and a text for each id the rows; they are measured where they are
+    drawn = docs.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias("text")).select("text")
+    rows = drawn.mapInArrow(run, "rejects array<boolean>, seconds array<double>").collect()
+    return arrange([list(zip(r["rejects"], r["seconds"], strict=True)) for r in rows], rules)
 
 
 def judge(docs: DataFrame, order: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

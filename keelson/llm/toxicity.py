@@ -5,12 +5,18 @@ unlabelled, whatever its label says. A linear classifier over word and
 word-prefix features is fitted in numpy by minimising the class-prior-corrected
 risk ``prior * R_p+ + max(0, R_u- - prior * R_p-)`` (Kiryo et al. 2017).
 
-The fit uses a bounded sample (``max_positive`` and ``max_unlabelled`` rows,
-picked by a hash of the id); scoring covers every whole text.
+The fit uses a bounded sample (``max_positive`` and ``max_unlabelled`` ids,
+picked by a hash, and one text of each id); every feature of the sampled
+positives that is ``min_positive`` times among them and significantly commoner
+than among the unlabelled counts. Scoring covers every whole text.
 
 Defined results: null or empty text scores the model's bias; with no positive
-example at all the model has no feature and scores the prior; a null id is
-never used for training and is reported with ``held_out`` false.
+example at all, or none that differs, the model has no feature and scores the
+prior; a null id is never used for training and is reported with ``held_out``
+false; of an id's texts that with the least hash is trained on, and repeated
+rows have equal scores; a score of 0.5 counts as toxic; texts of any length are
+read whole; an empty table gives an empty table; further columns, also named
+like those of the result, do not matter.
 """
 
 from __future__ import annotations
@@ -49,7 +55,32 @@ def text_words(text: str | None) -> set[str]:
     return set(TOKEN.findall(text.lower())) if text else set()
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+class Rows:
+    """A matrix of zeros and ones by its ones."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]) -> None:
+        self.row, self.column, self.shape = row, column, shape
+
+    @classmethod
+    def of(cls, found: list[list[int]], width: int) -> Rows:
+        return cls(np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([i for f in found for i in f], np.int64), (len(found), width))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        """Some rows, each as often as it is named."""
+        order = np.argsort(self.row, kind="stable")
+        begin = np.searchsorted(self.row[order], np.arange(self.shape[0] + 1))
+        n = (begin[1:] - begin[:-1])[rows]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[:-1][rows], n)
+        return Rows(np.repeat(np.arange(len(rows)), n), self.column[order][place], (len(rows), self.shape[1]))
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.column], minlength=self.shape[0])
+
+    def sums(self, slope: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, slope[self.row], minlength=self.shape[1])
+
+
+def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear nnPU classifier with logistic loss.
 
     Full-batch Adam. When the corrected negative risk falls below zero, the
@@ -58,16 +89,16 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior:
     theta = np.zeros(x.shape[1] + 1)
     theta[-1] = math.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
     m = v = np.zeros_like(theta)
-    xp, xu = x[positive], x[unlabelled]
+    xp, xu = x.take(positive), x.take(unlabelled)
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def grad(rows, slope):
-        return np.append(rows.T @ slope, slope.sum()) / max(len(rows), 1)
+        return np.append(rows.sums(slope), slope.sum()) / max(rows.shape[0], 1)
 
     for t in range(1, steps + 1):
-        zp, zu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
+        zp, zu = xp.dot(theta[:-1]) + theta[-1], xu.dot(theta[:-1]) + theta[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_negative = grad(xu, sigmoid(zu)) - prior * grad(xp, sigmoid(zp))
         g = -g_negative if negative < 0 else prior * grad(xp, sigmoid(zp) - 1) + g_negative
@@ -77,7 +108,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior:
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, max_features: int = 512, min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
     """Fits a model; ``trainable`` is a filter on the id that both tables pass.
 
     ``prior`` (share of toxic texts among the unlabelled) is taken from the
@@ -97,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     if not toxic:
         return empty
     ids = sampled_ids(marked.filter("_toxic"), id_col, max_positive).withColumn("_kind", F.lit(1)).unionByName(sampled_ids(docs, id_col, max_unlabelled).withColumn("_kind", F.lit(0)))
-    # both limits bound this side
-    sample = Workspace(spark, "toxicity").keep(docs.join(F.broadcast(ids), id_col).select("_kind", text_col), "sample")
+    # both limits bound this side, and one text of each id the rows
+    sample = Workspace(spark, "toxicity").keep(docs.join(F.broadcast(ids), id_col).groupBy("_kind", id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col)).select("_kind", text_col), "sample")
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -117,10 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     n_unl, n_pos = (r := sample.agg(F.coalesce(F.sum(1 - F.col("_kind")), F.lit(0)), F.coalesce(F.sum("_kind"), F.lit(0))).first())[0], r[1]
     if not n_pos or not n_unl:
         return empty
+    # what is collected are words of at most max_positive texts
     gap = F.col("pos") / n_pos - F.col("unl") / n_unl
     spread = F.sqrt((F.col("pos") / n_pos + 1 / n_pos) / n_pos + (F.col("unl") / n_unl + 1 / n_unl) / n_unl)
     counted = sample.mapInArrow(count, "feature string, unl long, pos long").groupBy("feature").agg(F.sum("unl").alias("unl"), F.sum("pos").alias("pos"))
-    chosen = counted.filter((F.col("pos") >= min_positive) & (F.col("pos") / n_pos > 3 * F.col("unl") / n_unl)).withColumn("z", gap / spread).filter("z > 3").orderBy(F.desc("z"), "feature").limit(max_features).collect()
+    chosen = counted.filter((F.col("pos") >= min_positive) & (F.col("pos") / n_pos > 3 * F.col("unl") / n_unl)).withColumn("z", gap / spread).filter("z > 3").orderBy("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(chosen)}
     if not index:
         return empty
@@ -135,18 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     for r in sorted(got, key=lambda r: (r["kind"], r["found"])):
         x += [r["found"]] * r["count"]
         kinds += [r["kind"]] * r["count"]
-    dense = np.zeros((len(x), len(index)), dtype=np.float32)
-    for i, found in enumerate(x):
-        dense[i, found] = 1
     kinds = np.array(kinds)
-    weights, bias = fit_nnpu(dense, kinds == 1, kinds == 0, prior)
+    weights, bias = fit_nnpu(Rows.of(x, len(index)), np.flatnonzero(kinds == 1), np.flatnonzero(kinds == 0), prior)
     return ToxicityModel(index, weights, bias, prior, {"n_positive": int(n_pos), "n_unlabelled": int(n_unl)})
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``score`` of each whole text."""
     weights, bias = model.weights, model.bias
-    # at most max_features entries travel with the task
+    # features of at most max_positive texts travel with the task
     index = model.features
     source = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])

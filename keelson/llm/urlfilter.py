@@ -2,19 +2,24 @@
 
 Concatenated host names are split into words by unigram Viterbi, and
 multinomial naive Bayes scores the tokens of the segmented host and of the
-path. The unigram counts come from the visible words of the pages; the
-classes are learned from the URLs that a rule decides.
+path. The unigram counts come from the visible words of all pages; the classes
+are learned from the URLs that a rule decides. All counts stay in tables: a
+label is joined with the counts of its own substrings, a URL with the odds of
+its own tokens, so neither vocabulary is cut.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule and gets the model's verdict on no tokens (the commoner class).
 Without both classes among the ruled URLs the model answers ``allow``. Ties
-go to ``allow``.
+go to ``allow``, and of splits of equal cost to the one whose last word is
+longest. A label of more than 63 characters is no name of the DNS and stays
+whole. Repeated rows have equal verdicts and count as often as they come in
+training; an empty table gives an empty table; columns beyond id, URL and html
+do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, Workspace, most_frequent, table
+from .common import Workspace, table
 
-TOKEN = re.compile(r"[^\W_]+")
-DIGITS = re.compile(r"\d+")
+TOKEN = r"[\p{L}\p{N}]+"
+#: Characters of a label of the DNS at most.
+LONGEST = 63
 
 
 @dataclass(frozen=True)
@@ -63,16 +69,18 @@ def matched_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES)
 
 
 class Segmenter:
-    """Unigram Viterbi: the likeliest split of a name into known words or single unknown characters."""
+    """Unigram Viterbi: the likeliest split of a name into known words or single unknown characters.
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + len(counts) + 1
+    ``total`` is the sum of all words' counts and their number, if ``counts`` are not all.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = (sum(counts.values()) + len(counts) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         self.unknown = math.log(total) + 10
-        self.known: Cache = Cache(self._split, 1 << 17)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for j in range(1, len(name) + 1):
             options = [(best[j - 1] + self.cost.get(name[j - 1], self.unknown), j - 1)]
@@ -86,73 +94,86 @@ class Segmenter:
             j = back[j]
         return tuple(reversed(out))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        words = [w for label in TOKEN.findall(host) for w in self.known[DIGITS.sub("0", label)]]
-        return [f"h:{w}" for w in words] + [f"p:{DIGITS.sub('0', w.lower())}" for w in TOKEN.findall(path)]
-
 
-def unigrams(pages: DataFrame, html_col: str = "html", size: int = 20000, longest: int = 24) -> dict[str, int]:
-    """Counts of the most frequent words, at most ``size``, of all pages' visible text."""
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): how often each word that a label could hold is in the pages' visible text."""
     text = F.lower(F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1", " "), r"<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= longest))
-    counted = Workspace(pages.sparkSession, "unigrams").keep(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    return {r["w"]: r["n"] for r in most_frequent(counted, "w", "n", size).collect()}
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= LONGEST))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), lambda t: F.regexp_replace(t, r"\d+", "0"))
+
+
+def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """(label, words) of each different label, by the counts (w, n) of its own substrings."""
+    # one row
+    total = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).alias("_total")).first()[0]
+    short = labels.filter(F.length("label") <= LONGEST)
+    piece = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.sequence(F.lit(1), F.length("label") - i + 1), lambda k: F.substring("label", i, k)))))
+    own = short.select("label", piece.alias("w")).distinct().join(counts, "w").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("own"))
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            words = [list(Segmenter(dict(own or ()), total).split(x)) if len(x) <= LONGEST else [x] for x, own in zip(labels, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
+
+    return labels.join(own, "label", "left").mapInArrow(run, "label string, words array<string>")
+
+
+def url_tokens(urls: DataFrame, counts: DataFrame, space: Workspace) -> DataFrame:
+    """``urls`` (host, path, ...) with ``tokens``: h: words of the segmented host, p: tokens of the path."""
+    hosts = urls.select("host").distinct().withColumn("label", F.explode(_tokens(F.col("host"))))
+    labels = space.keep(segmented(space.keep(hosts.select("label").distinct(), "labels"), counts), "segmented")
+    words = space.keep(hosts.join(labels, "label").groupBy(F.col("host").alias("_host")).agg(F.flatten(F.collect_list("words")).alias("_words")), "hostwords")
+    joined = urls.join(words, F.col("host") == F.col("_host"), "left")
+    named = F.transform(F.coalesce("_words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w))
+    return joined.withColumn("tokens", F.concat(named, F.transform(_tokens(F.col("path")), lambda w: F.concat(F.lit("p:"), w)))).drop("_host", "_words")
 
 
 @dataclass
 class UrlModel:
-    counts: dict[str, int]
-    block_log_odds: dict[str, float]
+    """(token, odds) of all tokens of ruled URLs, odds being the log odds of block; what an unseen token and no token have."""
+
+    odds: DataFrame
     unseen: float
     prior: float
     both: bool
 
 
-def train(urls: DataFrame, counts: dict[str, int], size: int = 100000) -> UrlModel:
-    """Naive Bayes from ``host``, ``path``, ``ruled`` (allow or block): add-one counts of at most ``size`` tokens."""
+def train(urls: DataFrame, space: Workspace) -> UrlModel:
+    """Naive Bayes from ``tokens``, ``n`` and ``ruled`` (allow or block): add-one counts of all tokens."""
+    ruled = urls.filter(F.col("ruled").isNotNull())
+    of = lambda verdict: F.coalesce(F.sum(F.when(F.col("ruled") == verdict, F.col("n"))), F.lit(0)).alias(verdict)
+    counted = space.keep(ruled.select("ruled", "n", F.explode("tokens").alias("token")).groupBy("token").agg(of("allow"), of("block")), "tokens")
+    # one row each
+    size = counted.agg(F.count("*").alias("k"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
+    seen = ruled.agg(of("allow"), of("block")).first()
+    allow, block = size["allow"] + size["k"] + 1, size["block"] + size["k"] + 1
+    odds = F.ln((F.col("block") + 1) / block) - F.ln((F.col("allow") + 1) / allow)
+    return UrlModel(counted.select("token", odds.alias("odds")), math.log(allow / block), math.log((seen["block"] + 1) / (seen["allow"] + 1)), bool(seen["allow"] and seen["block"]))
 
-    def count(batches):
-        segment = Segmenter(counts)
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for host, path, ruled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = int(ruled == "block")
-                for t in ["", *segment.tokens(host, path)]:
-                    seen.setdefault(t, [0, 0])[k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([a for a, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], ["token", "allow", "block"])
-
-    summed = urls.filter(F.col("ruled").isNotNull()).select("host", "path", "ruled").mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    counted = Workspace(urls.sparkSession, "urltokens").keep(summed.withColumn("n", F.col("allow") + F.col("block")), "tokens")
-    rows = most_frequent(counted, "token", "n", size + 1).collect()
-    urls_of = next(((r["allow"], r["block"]) for r in rows if r["token"] == ""), (0, 0))
-    rows = [r for r in rows if r["token"]]
-    allow, block = sum(r["allow"] for r in rows) + len(rows) + 1, sum(r["block"] for r in rows) + len(rows) + 1
-    odds = {r["token"]: math.log((r["block"] + 1) / block) - math.log((r["allow"] + 1) / allow) for r in rows}
-    return UrlModel(counts, odds, math.log(allow / block), math.log((urls_of[1] + 1) / (urls_of[0] + 1)), all(urls_of))
-
-
-def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", vocabulary: int = 20000) -> DataFrame:
+
+def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``host``, ``path``, ``rule`` and ``verdict`` of each URL."""
-    named = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("_url"))
+    space = Workspace(pages.sparkSession, "urls")
+    named = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     host, path = host_path(F.col("_url"))
-    parts = named.select(id_col, host.alias("host"), path.alias("path"))
+    parts = named.select("_id", host.alias("host"), path.alias("path"))
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
-    parts = parts.select(id_col, "host", "path", rule.alias("rule"), ruled.alias("ruled"))
-    model = train(parts, unigrams(pages, html_col, vocabulary))
-    schema = T.StructType([*parts.schema.fields[:4], T.StructField("verdict", T.StringType())])
-
-    def run(batches):
-        segment = Segmenter(model.counts)
-        for batch in batches:
-            verdicts = []
-            for host, path, ruled in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                if ruled is None:
-                    odds = model.prior + sum(model.block_log_odds.get(t, model.unseen) for t in segment.tokens(host, path))
-                    ruled = "block" if model.both and odds > 0 else "allow"
-                verdicts.append(ruled)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string())], [*batch.schema.names[:4], "verdict"])
-
-    return parts.mapInArrow(run, schema)
+    parts = parts.select("_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
+    urls = parts.groupBy("host", "path", "ruled").agg(F.count("*").alias("n"))
+    tokens = space.keep(url_tokens(urls, space.keep(unigrams(pages, html_col), "words"), space), "urls")
+    model = train(tokens, space)
+    open_urls = tokens.filter(F.col("ruled").isNull()).select("host", "path", F.explode_outer("tokens").alias("token"))
+    scored = open_urls.join(model.odds, "token", "left").groupBy("host", "path").agg(F.sum(F.when(F.col("token").isNull(), 0.0).otherwise(F.coalesce("odds", F.lit(model.unseen)))).alias("_odds"))
+    # sums in another order differ in their last digits
+    blocked = F.lit(model.both) & (F.round(F.col("_odds") + model.prior, 9) > 0)
+    scores = space.keep(scored.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.when(blocked, "block").otherwise("allow").alias("_verdict")), "scores")
+    joined = parts.join(scores, F.col("ruled").isNull() & (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    return joined.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "_verdict").alias("verdict"))
 
 
 def op9_urls(spark, sf_dir: str) -> DataFrame:

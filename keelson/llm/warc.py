@@ -16,7 +16,8 @@ do no harm. Packages are written to the folder that all executors share.
 Defined results: null html is an empty payload; a null URL has no target; rows
 that repeat the largest id of a group are all responses; a null id counts as
 smallest and is never referred to unless alone with null ids (then all are
-responses).
+responses); an empty table makes no package; a page of any length is one
+record; columns beyond id, URL and html do not matter, whatever their names.
 """
 
 from __future__ import annotations

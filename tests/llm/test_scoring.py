@@ -44,13 +44,54 @@ def test_toxicity_learns_from_the_training_rows_alone(frame):
     assert all((got[i] >= 0.5) == (i % 8 == 0) for i in range(400))
 
 
+def brute_nnpu(x, positive, unlabelled, prior, steps=400, rate=0.05, l2=1e-4):
+    """Adam on the non-negative risk, written out; the gradients are differences of risks."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    one = np.hstack([x, np.ones((len(x), 1))])
+    theta = np.zeros(one.shape[1])
+    theta[-1] = math.log(prior / (1 - prior))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, steps + 1):
+        zp, zu = one[positive] @ theta, one[unlabelled] @ theta
+        as_negative = lambda rows, z: (rows * sigmoid(z)[:, None]).mean(0)
+        negative = as_negative(one[unlabelled], zu) - prior * as_negative(one[positive], zp)
+        if np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean() < 0:
+            g = -negative
+        else:
+            g = negative - prior * (one[positive] * sigmoid(-zp)[:, None]).mean(0)
+        g = g + l2 * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        theta = theta - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta
+
+
+def test_scores_are_those_of_the_features(frame):
+    docs, labels = toxic_corpus()
+    d = frame(DOCS, docs)
+    model = toxicity.train(d, frame("doc_id long, quality int, toxic int", labels))
+    for r in toxicity.score(d, model, keep=("text",)).collect():
+        found = {f for w in re.findall(r"\w+", r.text.lower()) for f in ["w" + w, *(f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k)]}
+        assert r.score == pytest.approx(1 / (1 + math.exp(-model.bias - sum(model.weights[model.features[f]] for f in found if f in model.features))))
+
+
+def test_a_repeated_id_trains_once(frame):
+    docs, labels = toxic_corpus()
+    lab = frame("doc_id long, quality int, toxic int", labels)
+    more = [(8, f"other {i} vile", "en", "s", 0) for i in range(300)]
+    model = toxicity.train(frame(DOCS, docs + more), lab)
+    assert model.params["n_positive"] == sum(t for _, _, t in labels) and model.params["n_unlabelled"] == 400
+
+
 def test_nnpu_risk_corrects_the_prior():
     rng = np.random.default_rng(0)
     n = 4000
     toxic = rng.random(n) < 0.1
     x = (rng.random((n, 5)) < np.where(toxic[:, None], 0.6, 0.02)).astype(float)
     positive = np.flatnonzero(toxic)[:100]
-    w, b = toxicity.fit_nnpu(x, positive, np.arange(n), prior=0.1)
+    rows = toxicity.Rows(*np.nonzero(x), x.shape)
+    w, b = toxicity.fit_nnpu(rows, positive, np.arange(n), prior=0.1)
+    assert np.allclose(rows.take(positive).dot(w), x[positive] @ w) and np.allclose(rows.take(positive).sums(np.ones(100)), x[positive].sum(0))
+    assert np.allclose(brute_nnpu(x, positive, np.arange(n), 0.1), np.append(w, b))
     score = 1 / (1 + np.exp(-(x @ w + b)))
     assert ((score >= 0.5) == toxic).mean() > 0.97
     assert 0.05 < score.mean() < 0.2
@@ -120,8 +161,18 @@ def test_quality_order_never_changes_the_verdict(frame):
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(one) == key(two) and one.count() == len(rows)
     assert not one.filter("doc_id in (1, 2)").filter("kept or n_words > 0 or not base_failed").count()
-    order = quality.plan(["#" * 100] * 20)
-    assert order[0].name in {"mean_word_length", "symbols", "letter_words", "letters"}
+
+
+def test_rules_are_measured_as_the_cascade_meets_them():
+    good = " ".join(f"word{'abcdefghij'[j % 10]}{j}" for j in range(80))
+    # lines repeat only in texts that the base test rejects; symbols reject some of the others
+    texts = ["same\n" * 60] * 40 + [good + " #" * 20] * 10 + [good] * 30
+    assert quality.plan(texts)[0] == "symbols"
+    # a rule that rejects what an earlier one has rejected comes last
+    slow = lambda n, f: lambda t: [f(t) for _ in range(n)][-1]
+    rules = tuple(quality.Rule(name, slow(n, f)) for name, n, f in (("a", 50, lambda t: "#" not in t.text), ("b", 200, lambda t: "#" not in t.text), ("c", 400, lambda t: "wordb1" not in t.text or "#" in t.text)))
+    assert quality.plan(texts, rules) == ("a", "c", "b")
+    assert quality.plan([], rules) == ("a", "b", "c")
 
 
 URLS = [
@@ -161,7 +212,44 @@ def test_segmentation_is_the_likeliest_split():
 
     cost = lambda ws: sum(-math.log(counts[w] / total) if w in counts else s.unknown for w in ws)
     for name in ("redapple", "redappleshop", "xred", "qq"):
-        assert cost(s.known[name]) == pytest.approx(min(map(cost, splits(name))))
+        assert cost(s.split(name)) == pytest.approx(min(map(cost, splits(name))))
+        own = {w: n for w, n in counts.items() if w in name}
+        assert urlfilter.Segmenter(own, total - 1).split(name) == s.split(name)
+
+
+def brute_verdicts(rows, words):
+    """Naive Bayes over dictionaries."""
+    segment = urlfilter.Segmenter(words)
+
+    def tokens(host, path):
+        low = lambda x: [re.sub(r"\d+", "0", t) for t in re.findall(r"[^\W_]+", x.lower())]
+        return [f"h:{w}" for label in low(host) for w in (segment.split(label) if len(label) <= 63 else [label])] + [f"p:{t}" for t in low(path)]
+
+    seen = {k: Counter() for k in ("allow", "block")}
+    urls = Counter(r for *_, r in rows if r)
+    for host, path, ruled in rows:
+        if ruled:
+            seen[ruled].update(tokens(host, path))
+    known = set(seen["allow"]) | set(seen["block"])
+    size = {k: c.total() + len(known) + 1 for k, c in seen.items()}
+    odds = lambda t: math.log((seen["block"][t] + 1) / size["block"]) - math.log((seen["allow"][t] + 1) / size["allow"])
+    prior = math.log((urls["block"] + 1) / (urls["allow"] + 1))
+    return [ruled or ("block" if urls["allow"] and urls["block"] and prior + sum(map(odds, tokens(host, path))) > 0 else "allow") for host, path, ruled in rows]
+
+
+def test_verdicts_against_brute_force(frame):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["red", "apple", "cheap", "pills", "garden", "x9", "qzx"])
+    rows = []
+    for i in range(150):
+        host = f"{word()}{word()}.{rng.choice(['com', 'net', 'org', 'info'])}"
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es'])}/{word()}-{rng.randint(0, 50)}?q", f"<p>{word()} {word()} {word()}</p>"))
+    rows += [(200, f"http://{'a' * 70}.info/pills", ""), (201, None, None), (1, rows[1][1], "<p>again</p>")]
+    words = Counter(w for *_, h in rows for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", h or "").lower()))
+    got = urlfilter.filter_urls(frame("page_id long, url string, html string", rows).withColumn("token", F.lit("clash"))).collect()
+    ruled = {"com/en/": "block", "net/de/": "allow", "org/es/": "block"}
+    assert [r.verdict for r in got] == brute_verdicts([(r.host, r.path, ruled.get(r.rule)) for r in got], words) and len(got) == len(rows)
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
 def test_unruled_urls_follow_their_tokens(frame):
