@@ -6,7 +6,8 @@ its article template; digits in names, and numbers in texts, count as 0). A node
 those pages,
 
 * its presentations: the sequences of tags below it,
-* its contents: the words on each page that are not links.
+* its contents: the words on each page that are not links; of a page's marked
+  articles, which together are one node, the whole text.
 
 Each has an entropy-based importance to the base of the number of pages: 0 if
 all pages agree, 1 if all differ; words count by the pages they are on. A
@@ -110,8 +111,8 @@ class Node:
         self.path, self.name = parent.path, parent.name
 
 
-def named(text: str) -> int:
-    return int.from_bytes(digests([text.encode("utf-8", "surrogatepass")])[0, 0].tobytes(), "little") & MASK
+def named(label: str) -> int:
+    return int.from_bytes(digests([DIGITS.sub("0", label).encode("utf-8", "surrogatepass")])[0, 0].tobytes(), "little") & MASK
 
 
 #: Hashes of labels and kinds.
@@ -131,7 +132,7 @@ def _label(node: Node, attributes: dict[str, str]) -> None:
     # what holds a name gives it to all below, up to an article
     node.name = "" if tag in ("html", "body", "main", "article") else name or node.name
     node.kind = f"{tag if tag in KINDS else '?'}.{node.name}"
-    x = (node.parent.path * 0x9E3779B97F4A7C15 ^ LABELS[DIGITS.sub("0", label)]) & 0xFFFFFFFFFFFFFFFF
+    x = (node.parent.path * 0x9E3779B97F4A7C15 ^ LABELS[label]) & 0xFFFFFFFFFFFFFFFF
     x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
     node.path = (x ^ x >> 29) & MASK
 
@@ -165,7 +166,7 @@ def parse(source: str | None) -> Node:
         if lt > text:
             at.children.append(source[text:lt])
         tag, pos, attributes, slash = m[0].lower(), m.end(), {}, False
-        while True:
+        while not (bare := source.startswith(">", pos)):
             a = ATTRIBUTE.match(source, pos)
             if a is None or a[4] == "" or a[6] == "":
                 # the page ends within the tag
@@ -177,6 +178,8 @@ def parse(source: str | None) -> Node:
             key = a[2].lower()
             if key in ("class", "id", "role") and key not in attributes:
                 attributes[key] = entities.unescape(a[3] or a[5] or a[7] or "")
+        if bare:
+            pos += 1
         text = pos
         if closing:
             if open_tags.get(tag):
@@ -328,13 +331,14 @@ def block_digest(text: str) -> int:
     return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
 
 
-def observe(pages: list[tuple[str, str | None]], known: Words) -> tuple[list, ...]:
+def observe(pages: list[tuple[str, str | None, float]], known: Words) -> tuple[list, ...]:
     """Columns host, node, kind, what, value, n: what some pages tell of their hosts' trees.
 
-    ``what`` is s (presentation), w (a word's pages), v (words, value 1 off an
-    article), b (a block's pages) or p (pages, value 1 if marked).
+    ``what`` is s (presentation), w (a word's or an article's pages), v (words,
+    value 1 off an article), b (a block's pages) or p (pages, value 1 if marked).
+    A page has a weight, that of copies being one together.
     """
-    counts: dict[tuple, int] = {}
+    counts: dict[tuple, float] = {}
     texts: list[str] = []
     owners: list[int] = []
     keys: dict[tuple, int] = {}
@@ -343,7 +347,8 @@ def observe(pages: list[tuple[str, str | None]], known: Words) -> tuple[list, ..
     def add(*key):
         counts[key[:-1]] = counts.get(key[:-1], 0) + key[-1]
 
-    for number, (host, source) in enumerate(pages):
+    for number, (host, source, weight) in enumerate(pages):
+        article: list[str] = []
         style: dict[tuple[int, str], list[str]] = {}
         blocks: set[int] = set()
         zones = set()
@@ -353,18 +358,22 @@ def observe(pages: list[tuple[str, str | None]], known: Words) -> tuple[list, ..
             key = (host, ARTICLE, "") if inside else (host, node.path, node.kind)
             style.setdefault(key[1:], []).append(node.tag + "".join(c.tag for c in node.children if not isinstance(c, str)))
             own = max(0, len(words) - links)
-            add(*key, "v", int(zone == OFF), own)
-            if own:
+            add(*key, "v", int(zone == OFF), own * weight)
+            if inside:
+                article += words
+            elif own:
                 texts.append(NUMBER.sub("0", " ".join(words)))
                 owners.append(keys.setdefault(key, len(keys)))
                 page_of.append(number)
             if zone in (FREE, NEAR):
                 blocks.add(block_digest(" ".join(words)))
         for (path, kind), tags in style.items():
-            add(host, path, kind, "s", zlib.crc32("|".join(tags).encode()), 1)
+            add(host, path, kind, "s", zlib.crc32("|".join(tags).encode()), weight)
+        if article:
+            add(host, ARTICLE, "", "w", block_digest(" ".join(article)), weight)
         for b in blocks:
-            add(host, 0, "", "b", b, 1)
-        add(host, 0, "", "p", int(OFF in zones or IN in zones), 1)
+            add(host, 0, "", "b", b, weight)
+        add(host, 0, "", "p", int(OFF in zones or IN in zones), weight)
     columns = tuple(list(c) for c in zip(*counts, strict=True)) if counts else ([], [], [], [], [])
     columns = (*columns, list(counts.values()))
     if texts:
@@ -374,7 +383,8 @@ def observe(pages: list[tuple[str, str | None]], known: Words) -> tuple[list, ..
         n = len(values)
         # once for a page and node, then counted over pages
         once = np.unique((np.array(page_of)[place] * len(keys) + np.array(owners)[place]) * n + word)
-        pairs, pages_with = np.unique(once // n % len(keys) * n + once % n, return_counts=True)
+        pairs, of = np.unique(once // n % len(keys) * n + once % n, return_inverse=True)
+        pages_with = np.bincount(of, np.array([w for *_, w in pages])[once // n // len(keys)])
         names = list(keys)
         for i, column in enumerate(columns[:3]):
             column += [names[k][i] for k in (pairs // n).tolist()]
@@ -388,19 +398,25 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str, space: Workspace)
     """(host, low, off, spared, blocks) of every host, and (kind, low, off, spared) over all hosts."""
 
     def run(batches):
-        kinds, known = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()], Words()
+        kinds, known = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()], Words()
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             for lo in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(observe(rows[lo : lo + 256], known), kinds, strict=True)], ["host", "node", "kind", "what", "value", "n"])
 
-    # copies go before the shuffle already, so that many of one page are no hot spot
-    different = pages.select(host_col, html_col).distinct()
-    counted = different.mapInArrow(run, "host string, node long, kind string, what string, value long, n long").groupBy("host", "node", "kind", "what", "value").agg(F.sum("n").alias("n"))
+    # copies of a page count as one page; only those that have any are looked up
+    digest = F.unhex(F.md5(F.coalesce(F.col(html_col), F.lit(""))))
+    copies = space.keep(pages.groupBy(F.col(host_col).alias("_h"), digest.alias("_d")).agg(F.count("*").alias("_copies")).filter("_copies > 1"), "copies")
+    if space.stored_bytes("copies") <= BROADCAST_BYTES:
+        # checked size: no page is shuffled
+        copies = F.broadcast(copies)
+    weighted = pages.join(copies, (F.col(host_col) == F.col("_h")) & (digest == F.col("_d")), "left").select(host_col, html_col, (1 / F.coalesce("_copies", F.lit(1))).alias("weight"))
+    counted = weighted.mapInArrow(run, "host string, node long, kind string, what string, value long, n double").groupBy("host", "node", "kind", "what", "value").agg(F.round(F.sum("n"), 6).alias("n"))
+    counted = space.keep(counted, "counted")
     n, what = F.col("n"), F.col("what")
-    only = lambda w, x: F.coalesce(F.sum(F.when(what == w, x)), F.lit(0))
+    only = lambda w, x: F.coalesce(F.sum(F.when(what == w, x)), F.lit(0.0))
     sums = {"pages": only("s", n), "_sln": only("s", n * F.ln(n)), "_words": only("w", n), "_wln": only("w", n * F.ln(n)), "volume": only("v", n), "off_volume": only("v", n * F.col("value"))}
-    merged = counted.filter(what.isin("s", "w", "v")).groupBy("host", "node", "kind").agg(*(e.alias(c) for c, e in sums.items())).filter(F.col("pages") >= LEAST)
+    merged = counted.filter(what.isin("s", "w", "v")).groupBy("host", "node", "kind").agg(*(e.alias(c) for c, e in sums.items())).filter(F.col("pages") > LEAST - 0.5)
     content = F.when(F.col("_words") > 0, 1 - F.col("_wln") / (F.col("_words") * F.ln("pages"))).otherwise(0.0)
     style = 1 - F.col("_sln") / (F.col("pages") * F.ln("pages"))
     judged = merged.select("host", "node", "kind", "volume", "off_volume", (CONTENT * content + (1 - CONTENT) * style).alias("importance"), (~F.col("kind").endswith(".")).alias("named"))
@@ -416,7 +432,7 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str, space: Workspace)
     nodes = verdict.groupBy("host").agg(*(F.collect_set(F.when(c, F.col("node"))).alias(name) for name, c in (("low", F.col("low")), ("off", F.col("off") & ~F.col("low")), ("spared", (F.col("named") | (F.col("off_volume") > 0)) & ~F.col("low") & ~F.col("off")))))
     carried = counted.filter(what == "b").select("host", "value", n.alias("_n"))
     size = counted.filter(what == "p").groupBy("host").agg(F.sum(n).alias("_pages"))
-    common = carried.join(size, "host").filter((F.col("_pages") >= LEAST) & (F.col("_n") >= BLOCK_SHARE * F.col("_pages"))).groupBy("host").agg(F.collect_set("value").alias("blocks"))
+    common = carried.join(size, "host").filter((F.col("_pages") > LEAST - 0.5) & (F.col("_n") >= BLOCK_SHARE * F.col("_pages"))).groupBy("host").agg(F.collect_set("value").alias("blocks"))
     return nodes.join(common, "host", "full"), kinds
 
 
