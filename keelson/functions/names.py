@@ -76,6 +76,17 @@ def stranded_number(name: Column) -> Column:
     return F.coalesce(F.substring_index(F.try_element_at(_numbered(name), F.lit(1)), "-", 1), F.lit(""))
 
 
+def orphan_number(stem: Column) -> Column:
+    """The first token after the stem's first that still carries a number, '' if there is none."""
+    later = F.filter(F.slice(F.split(F.trim(stem), r"\s+"), 2, 1000), lambda t: token_number(t).isNotNull())
+    return F.coalesce(F.try_element_at(later, F.lit(1)), F.lit(""))
+
+
+def dangling(stem: Column) -> Column:
+    """Whether a stem ends in a separator or a connective."""
+    return F.trim(stem).rlike(r"(?:[-&/]|\bNO|\bTHE|\bAND|\bOF)\s*$")
+
+
 def removed_tail(name: Column) -> Column:
     """What the stem leaves off the end of the upper-case name without punctuation."""
     whole, stem = F.upper(F.trim(without_punctuation(name))), family_stem(name)

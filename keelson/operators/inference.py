@@ -7,8 +7,9 @@ clusters, where h is the demeaned regressor over its sum of squares. Both follow
 from sums over (effect, cluster) cells, so every step is a grouped sum, keyed by
 specification or replicate, and hundreds of fits are one query.
 
-Random signs and shuffles come from md5 of (seed, replicate, key): results do
-not depend on partitioning or row order.
+Random signs come from md5 of (seed, draw, key), shuffles and picks from a
+generator for each draw over ordered rows: results do not depend on
+partitioning or row order.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ from ..functions.numbers import normal_two_sided
 ONE = "_one"
 #: Clusters whose signs one task holds at a time in the power study, and simulations it goes through.
 CLUSTERS, SIMULATIONS = 20_000, 10
+#: Clusters of a task of the wild bootstrap, and of one product with their signs; chunks whose sums are added up at once.
+TASK, STEP, FAN_IN = 4_000, 500, 32
+#: Rows whose ranks or pairs are broadcast for resampling (16 bytes each); beyond it draws are keyed rows.
+VECTOR_ROWS = 1 << 22
+#: Draws of one task over broadcast rows.
+DRAWS = 128
 
 
 def _sums(columns: tuple[str, ...]) -> dict[str, Column]:
@@ -152,30 +159,64 @@ def replicates(spark, n: int) -> DataFrame:
 
 
 def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20240813, fixed: str = "vintage", cluster: str = "firm_id") -> DataFrame:
-    """t, p of H0: no persistence, with Rademacher signs by cluster.
+    """beta, t, p of H0: no persistence, with Rademacher signs by cluster.
 
-    The restricted fit is the mean in each fixed effect. A replicate's slope
-    needs sums over (cluster, fixed) cells only, so the sample is first summed
-    to those cells and each replicate reads cells, not rows; the t statistic
-    follows from cell sums of x*x, x*y and y by effect.
+    The restricted fit is the mean in each fixed effect. A draw's slope and
+    variance follow from sums over clusters that are linear in the draw's signs,
+    so the sample is summed to (cluster, effect) cells, and chunks of clusters
+    are multiplied with their signs and added up. Draws whose t is not finite
+    are left out of p; without any finite draw p is null.
     """
     rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
-    cell = rows.select(F.col(cluster).alias("_c"), F.col(fixed).alias("_f"), "_n", "_nf", F.col("_d_y_lag").alias("_sx"), F.col("_d_y").alias("_sy"), F.col("_d_y_y_lag").alias("_sxy"), F.col("_d_y_lag_y_lag").alias("_sxx"))
-    # four numbers
-    size = cell.agg(F.sum("_n").alias("_all"), F.countDistinct("_c").alias("_clusters"), (F.countDistinct("_f") + 1).alias("_params"), F.sum("_sxx").alias("_xx_all"))
-    drawn = cell.crossJoin(F.broadcast(replicates(sample.sparkSession, n_boot).unionByName(sample.sparkSession.createDataFrame([(0,)], "b int")))).withColumn("_w", F.when(F.col("b") == 0, 1.0).otherwise(draw_sign(seed, F.col("b"), F.col("_c"))))
-    drawn = drawn.crossJoin(F.broadcast(size))
-    by_b, by_bf = Window.partitionBy("b"), Window.partitionBy("b", "_f")
-    drawn = drawn.withColumn("_beta", F.sum(F.col("_w") * F.col("_sxy")).over(by_b) / F.col("_xx_all"))
-    # residual = w*y - mean in the effect - beta*x, summed with x over the cell
-    mean = F.sum(F.col("_w") * F.col("_sy")).over(by_bf) / F.col("_nf")
-    drawn = drawn.withColumn("_score", (F.col("_w") * F.col("_sxy") - mean * F.col("_sx") - F.col("_beta") * F.col("_sxx")) / F.col("_xx_all"))
-    per_cluster = drawn.groupBy("b", "_c").agg(F.sum("_score").alias("_s"), F.first("_beta").alias("_beta"), F.first("_all").alias("_all"), F.first("_clusters").alias("_clusters"), F.first("_params").alias("_params"))
-    fitted = per_cluster.groupBy("b").agg(F.first("_beta").alias("beta"), (F.sum(F.col("_s") * F.col("_s")) * F.first("_clusters") / (F.first("_clusters") - 1) * (F.first("_all") - 1) / (F.first("_all") - F.first("_params"))).alias("_v"))
-    stats = fitted.withColumn("t", F.try_divide("beta", F.nullif(F.sqrt("_v"), F.lit(0.0))))
-    observed = stats.filter("b = 0").select(F.col("beta"), F.col("t").alias("t_observed"))
-    # one row
-    return stats.filter("b > 0").crossJoin(F.broadcast(observed.withColumnRenamed("beta", "beta_observed"))).groupBy().agg(F.first("beta_observed").alias("beta"), F.first("t_observed").alias("t"), ((1 + F.sum((F.abs("t") >= F.abs("t_observed")).cast("int"))) / (n_boot + 1)).alias("p"), F.count("*").alias("n_boot"))
+    cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
+    # fixed effects are few: the operator estimates one parameter for each
+    effects = sorted(r["f"] for r in cell.select("f").distinct().collect())
+    k = len(effects)
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over some clusters, for the sample itself and all draws."""
+        at, keys = pd.factorize(pdf["c"])
+        effect = pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()
+        total = np.zeros(3 + 2 * k + k * k)
+        drawn = np.zeros((n_boot + 1, 2 + 2 * k))
+
+        def dense(column: str, lo: int, hi: int) -> np.ndarray:
+            inside = (at >= lo) & (at < hi)
+            out = np.zeros((hi - lo, k))
+            out[at[inside] - lo, effect[inside]] = pdf[column].to_numpy()[inside]
+            return out
+
+        for lo in range(0, len(keys), STEP):
+            hi = min(len(keys), lo + STEP)
+            n, x, y, xy, xx = (dense(c, lo, hi) for c in ("n", "x", "y", "xy", "xx"))
+            xy, xx = xy.sum(1), xx.sum(1)
+            total += np.concatenate([[xx.sum(), xx @ xx, xy @ xy], n.sum(0), xx @ x, (x.T @ x).ravel()])
+            signs = np.vstack([np.ones(hi - lo), np.array([draw_signs(seed, 0, c, n_boot) for c in keys[lo:hi]]).T])
+            drawn += signs @ np.hstack([xy[:, None], (xy * xx)[:, None], y, xy[:, None] * x])
+        return pd.DataFrame({"clusters": [len(keys)], "total": [total], "drawn": [drawn.ravel()]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, drawn = np.sum(np.stack(pdf["total"].to_list()), axis=0), np.sum(np.stack(pdf["drawn"].to_list()), axis=0).reshape(n_boot + 1, -1)
+        (xx, xx2, aa), nf, xxx, gram = np.split(total, np.cumsum([3, k, k]))
+        clusters, gram = int(pdf["clusters"].sum()), gram.reshape(k, k)
+        beta, r, m, q = drawn[:, 0] / xx if xx else np.full(n_boot + 1, np.nan), drawn[:, 1], drawn[:, 2 : 2 + k] / nf, drawn[:, 2 + k :]
+        squares = aa + np.einsum("bf,fg,bg->b", m, gram, m) + beta**2 * xx2 - 2 * (m * q).sum(1) - 2 * beta * r + 2 * beta * (m @ xxx)
+        with np.errstate(all="ignore"):
+            t = beta / np.sqrt(squares / xx**2 * clusters / (clusters - 1) * (nf.sum() - 1) / (nf.sum() - k - 1)) if clusters > 1 and nf.sum() > k + 1 else np.full(n_boot + 1, np.nan)
+        null = np.abs(t[1:][np.isfinite(t[1:])])
+        # draws with all signs equal give the observed t but for rounding
+        p = (1 + (null >= abs(t[0]) * (1 - 1e-9)).sum()) / (len(null) + 1) if len(null) and np.isfinite(t[0]) else None
+        number = lambda v: float(v) if np.isfinite(v) else None
+        return pd.DataFrame([(number(beta[0]), number(t[0]), p, len(null))], columns=["beta", "t", "p", "n_boot"])
+
+    # clusters are dealt so that a task holds TASK of them
+    chunks = cell.select("c").distinct().count() // TASK + 1
+    added = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks))).groupBy("chunk").applyInPandas(lambda p: partial(p), "clusters long, total array<double>, drawn array<double>")
+    while chunks > FAN_IN:
+        # sums of many chunks are added up by and by
+        chunks = -(-chunks // FAN_IN)
+        added = added.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks))).groupBy("chunk").applyInPandas(lambda p: pd.DataFrame({"clusters": [p["clusters"].sum()], "total": [np.sum(np.stack(p["total"].to_list()), axis=0)], "drawn": [np.sum(np.stack(p["drawn"].to_list()), axis=0)]}), "clusters long, total array<double>, drawn array<double>")
+    return added.groupBy().applyInPandas(lambda p: finish(p), "beta double, t double, p double, n_boot long")
 
 
 def draw_signs(seed: int, simulation: int, key: str, n: int) -> np.ndarray:
@@ -267,15 +308,65 @@ def _slotted(sample: DataFrame, group: str, key: str) -> DataFrame:
     return sample.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key)))
 
 
+def _vectors(rows: DataFrame, columns: list[str], order: list[str], group: str | None = None) -> list[np.ndarray] | None:
+    """The columns in order, and where groups begin; none if the rows are too many to be broadcast."""
+    if rows.count() > VECTOR_ROWS:
+        return None
+    pdf = rows.select(*order, *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns))).toPandas().sort_values(order, ignore_index=True)
+    starts = np.flatnonzero(np.append(True, pdf[group].to_numpy()[1:] != pdf[group].to_numpy()[:-1])) if group and len(pdf) else np.zeros(1, np.int64)
+    return [*(pdf[f"_x{i}"].to_numpy(dtype=float) for i in range(len(columns))), starts]
+
+
+def _draws(spark, n: int, statistic, schema: str) -> DataFrame:
+    """The statistic of every draw's own generator, blocks of draws in tasks."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.concat([pd.DataFrame([statistic(int(b)) for b in range(int(block) * DRAWS + 1, min(n, (int(block) + 1) * DRAWS) + 1)], columns=[c.split()[0] for c in schema.split(", ")]) for block in pdf["id"]])
+
+    blocks = -(-n // DRAWS)
+    return spark.range(0, blocks, 1, min(blocks, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
+
+
+def _shuffled(values: np.ndarray, starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Values dealt anew within each group, in the groups' order."""
+    return np.concatenate([rng.permutation(part) for part in np.split(values, starts[1:])])
+
+
+def permuted_statistics(rows: DataFrame, moved: str, held: str, n: int, seed: int, group: str, key: str, agreement: bool) -> DataFrame:
+    """(b, r) of each draw: the correlation of ``held`` with ``moved`` dealt anew within groups, or the share of rows on which they agree.
+
+    Draw b uses numpy's default generator seeded with (seed, b) on rows ordered
+    by group and key. Rows too many to be broadcast are dealt as keyed rows by
+    md5: the same statistic of other random numbers.
+    """
+    vectors = _vectors(rows, [moved, held], [group, key], group)
+    if vectors is None:
+        joined = permuted(rows, moved, n, seed, group, key).join(_slotted(rows, group, key).select(group, "slot", F.col(held).alias("_held")), [group, "slot"])
+        return joined.groupBy("b").agg((F.avg((F.col("_held") == F.col("value")).cast("double")) if agreement else F.corr("_held", "value")).alias("r"))
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def statistic(b: int) -> tuple[int, float | None]:
+        x, y, starts = shared.value
+        drawn = _shuffled(x, starts, np.random.default_rng([seed, b]))
+        if agreement:
+            return b, float((drawn == y).mean())
+        spread = x.std() * y.std()
+        return b, float(((drawn - x.mean()) @ (y - y.mean())) / len(x) / spread) if spread else None
+
+    return _draws(spark, n, statistic, "b int, r double")
+
+
 def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, group: str = "vintage", key: str = "fund_id") -> DataFrame:
     """Correlation of within-group percentile ranks and its one-sided permutation p; null below eight rows."""
-    from .panel import average_rank
+    from .ranks import average_rank
 
-    ranked = sample.withColumn("rx", average_rank("y_lag", group)).withColumn("ry", average_rank("y", group))
+    ranked = average_rank(average_rank(sample.select(group, key, "y", "y_lag"), "y_lag", group, "rx"), "y", group, "ry")
     observed = ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
-    null = permuted(ranked, "ry", n, seed, group, key).join(_slotted(ranked, group, key).select(group, "slot", "rx"), [group, "slot"]).groupBy("b").agg(F.corr("rx", "value").alias("r"))
-    # one row
-    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("rho").alias("_rho"), F.first("n").alias("n"), ((1 + F.sum((F.col("r") >= F.col("rho")).cast("int"))) / (n + 1)).alias("_p"))
+    null = permuted_statistics(ranked, "ry", "rx", n, seed, group, key, agreement=False)
+    # one row; equal correlations are sums in another order
+    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("rho").alias("_rho"), F.first("n").alias("n"), ((1 + F.sum((F.col("r") >= F.col("rho") - 1e-12).cast("int"))) / (n + 1)).alias("_p"))
     enough = F.col("n") >= 8
     return p.select(F.when(enough, F.col("_rho")).alias("rho"), F.when(enough, F.col("_p")).alias("p"), "n")
 
@@ -284,20 +375,25 @@ def transition_permutation(sample: DataFrame, n: int = 9999, seed: int = 2024081
     """Share of funds in their predecessor's quartile, its mean under shuffling, and the one-sided p."""
     from .panel import quartile
 
-    both = quartile(quartile(sample, "y_lag", group, "q_prev"), "y", group, "q_now").filter("q_prev is not null and q_now is not null")
+    both = quartile(quartile(sample.select(group, key, "y", "y_lag"), "y_lag", group, "q_prev"), "y", group, "q_now").filter("q_prev is not null and q_now is not null")
     observed = both.agg(F.avg((F.col("q_prev") == F.col("q_now")).cast("double")).alias("diagonal"), F.count("*").alias("n"))
-    null = permuted(both, "q_now", n, seed, group, key).join(_slotted(both, group, key).select(group, "slot", "q_prev"), [group, "slot"]).groupBy("b").agg(F.avg((F.col("q_prev") == F.col("value")).cast("double")).alias("d"))
+    null = permuted_statistics(both, "q_now", "q_prev", n, seed, group, key, agreement=True)
     # one row
-    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("diagonal").alias("_d"), F.first("n").alias("n"), F.avg("d").alias("_null"), ((1 + F.sum((F.col("d") >= F.col("diagonal") - 1e-12).cast("int"))) / (n + 1)).alias("_p"))
+    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("diagonal").alias("_d"), F.first("n").alias("n"), F.avg("r").alias("_null"), ((1 + F.sum((F.col("r") >= F.col("diagonal") - 1e-12).cast("int"))) / (n + 1)).alias("_p"))
     enough = F.col("n") >= 4
     return p.select(F.when(enough, F.col("_d")).alias("diagonal"), F.when(enough, F.col("_null")).alias("null_diagonal"), F.when(enough, F.col("_p")).alias("p"), "n")
 
 
 def attenuation(pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
     """Reliability of two noisy reports of the same value."""
+    from .ranks import quantiles
+
     d, mean = F.col(a) - F.col(b), (F.col(a) + F.col(b)) / 2
     error = F.var_samp(d) / 2
-    sums = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), error.alias("var_error"), F.greatest(F.var_samp(mean) - error / 2, F.lit(0.0)).alias("var_true"), F.sqrt(error).alias("sd_error"), F.avg(F.abs(d)).alias("mean_abs_diff"), F.percentile(F.abs(F.expm1(d)), F.lit(0.5)).alias("median_pct_diff"))
+    sums = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), error.alias("var_error"), F.greatest(F.var_samp(mean) - error / 2, F.lit(0.0)).alias("var_true"), F.sqrt(error).alias("sd_error"), F.avg(F.abs(d)).alias("mean_abs_diff"))
+    if not keys:
+        # one row each
+        sums = sums.crossJoin(F.broadcast(quantiles(pairs.select(F.abs(F.expm1(d)).alias("_x")), "_x", (0.5,)).select(F.col("q0").alias("median_pct_diff"))))
     return sums.withColumn("lambda", F.try_divide(F.col("var_true"), F.nullif(F.col("var_true") + F.col("var_error"), F.lit(0.0))))
 
 
@@ -320,14 +416,36 @@ def numbered_rows(df: DataFrame, key: str, ranges: int = 1024, out: str = "_i")
 
 def bootstrap_lambda(pairs: DataFrame, n: int = 9999, seed: int = 20240813, key: str = "fund_id") -> DataFrame:
     """Pair-bootstrap percentile interval of the reliability."""
+    vectors = _vectors(pairs, ["a", "b"], [key])
+    if vectors is None:
+        lam = _keyed_lambdas(pairs, n, seed, key)
+    else:
+        spark = pairs.sparkSession
+        shared = spark.sparkContext.broadcast(vectors)
+
+        def statistic(b: int) -> tuple[int, float | None]:
+            one, two, _ = shared.value
+            pick = np.random.default_rng([seed, b]).integers(len(one), size=len(one))
+            if len(one) < 2:
+                return b, None
+            error = (one - two)[pick].var(ddof=1) / 2
+            true = max(((one + two) / 2)[pick].var(ddof=1) - error / 2, 0.0)
+            return b, float(true / (true + error)) if true + error else None
+
+        lam = _draws(spark, n, statistic, "b int, lambda double")
+    # n rows
+    return lam.agg(F.percentile("lambda", F.lit(0.025)).alias("low"), F.percentile("lambda", F.lit(0.975)).alias("high"), F.count("*").alias("n_boot"))
+
+
+def _keyed_lambdas(pairs: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """(b, lambda) of draws with replacement as keyed rows, by md5."""
     numbered = numbered_rows(pairs, key)
     total = numbered.agg(F.count("*").alias("_n"))
     # one row; n rows
     slots = numbered.select(F.col("_i").alias("_j")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(replicates(pairs.sparkSession, n)))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("_j").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("_n")
     drawn = slots.select("b", pick.alias("_i")).join(numbered.select("_i", "a", F.col("b").alias("bb")), "_i")
-    lam = attenuation(drawn, "a", "bb", ("b",))
-    return lam.agg(F.percentile("lambda", F.lit(0.025)).alias("low"), F.percentile("lambda", F.lit(0.975)).alias("high"), F.count("*").alias("n_boot"))
+    return attenuation(drawn, "a", "bb", ("b",)).select("b", "lambda")
 
 
 def interpolate_crossing(grid: DataFrame, x: str = "beta", y: str = "power", at: float = 0.8) -> DataFrame:

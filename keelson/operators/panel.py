@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, flag, log_performance
 from ..schemas import require_columns
+from .ranks import quantiles
 
 
 def build_panel(funds: DataFrame, metrics: DataFrame | None = None, perf: str = "tvpi", log: bool = True, predecessor: str | None = None) -> DataFrame:
@@ -59,29 +60,20 @@ def families_min_size(panel: DataFrame, least: int = 3, family: str = "firm_id")
 
 def winsorise(sample: DataFrame, low: float, high: float) -> DataFrame:
     """Clips y and y_lag to common quantiles of both together."""
-    both = sample.select(F.explode(F.array("y", "y_lag")).alias("v")).agg(F.percentile("v", F.lit(low)).alias("_lo"), F.percentile("v", F.lit(high)).alias("_hi"))
+    both = quantiles(sample.select(F.explode(F.array("y", "y_lag")).alias("v")), "v", (low, high))
     # one row
     clipped = sample.crossJoin(F.broadcast(both))
-    return clipped.withColumns({c: clamp(F.col(c), F.col("_lo"), F.col("_hi")) for c in ("y", "y_lag")}).drop("_lo", "_hi")
-
-
-def average_rank(value: str, group: str) -> Column:
-    """Percentile rank within the group, ties sharing their average."""
-    order = Window.partitionBy(group).orderBy(value)
-    return (F.rank().over(order) + (F.count("*").over(Window.partitionBy(group, value)) - 1) / 2) / F.count("*").over(Window.partitionBy(group))
+    return clipped.withColumns({c: clamp(F.col(c), F.col("q0"), F.col("q1")) for c in ("y", "y_lag")}).drop("q0", "q1")
 
 
 def quartile(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    """Quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values.
-
-    The cuts are aggregates, combined before the shuffle and joined back, so no
-    task holds a group's rows.
-    """
-    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    cuts = df.groupBy(F.col(group).alias("_group")).agg(F.percentile(value, quarters).alias("_cuts"), F.countDistinct(value).alias("_kinds"))
-    marked = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")))
-    above = [(F.col(value) > F.col("_cuts")[i]).cast("int") for i in range(3)]
-    return marked.withColumn(out, F.when((F.col("_kinds") >= 4) & F.col(value).isNotNull(), 1 + above[0] + above[1] + above[2])).drop("_group", "_cuts", "_kinds")
+    """Quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values."""
+    kinds = df.filter(F.col(value).isNotNull()).groupBy(group, value).count().groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_kinds"))
+    cuts = quantiles(df, value, (0.25, 0.5, 0.75), (group,)).withColumnRenamed(group, "_cut_group")
+    cuts = cuts.join(kinds, F.col("_cut_group").eqNullSafe(F.col("_group"))).drop("_cut_group")
+    marked = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left")
+    above = [(F.col(value) > F.col(f"q{i}")).cast("int") for i in range(3)]
+    return marked.withColumn(out, F.when((F.col("_kinds") >= 4) & F.col(value).isNotNull(), 1 + above[0] + above[1] + above[2])).drop("_group", "_kinds", "q0", "q1", "q2")
 
 
 def transitions(sample: DataFrame, group: str = "vintage") -> DataFrame:

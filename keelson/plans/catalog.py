@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import numbers as M
 from ..functions import parsing as P
-from ..operators import entity, panel
+from ..operators import entity, panel, ranks
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,8 +226,9 @@ def estimation_sample(spark, sf):
 
 @query("outcome_censoring", "SELECT fund_id FROM (SELECT fund_id, tvpi, quantile_cont(tvpi, 0.25) OVER (PARTITION BY vintage) AS q FROM snap) WHERE tvpi > q")
 def outcome_censoring(spark, sf):
-    q = F.percentile("tvpi", F.lit(0.25)).over(Window.partitionBy("vintage"))
-    return V.snap(spark, sf).withColumn("_q", q).filter("tvpi > _q").select("fund_id")
+    s = V.snap(spark, sf)
+    # one row for each vintage
+    return s.join(ranks.quantiles(s, "tvpi", (0.25,), ("vintage",)), "vintage").filter("tvpi > q0").select("fund_id")
 
 
 @query("nonzero_flow", "SELECT fund_id, as_of FROM snapshots WHERE CASE WHEN fund_id % 4 > 0 THEN contributions END IS NULL OR contributions <> 0")
@@ -303,15 +304,9 @@ def _faults(p):
     return entity.override_faults(o)
 
 
-@query("override_faults", """WITH o AS (SELECT p_size AS k, p_size % 7 + 40 AS c, CASE WHEN p_partkey % 50 = 0 THEN 'other' ELSE 'merge' END AS d FROM part WHERE p_partkey < 60)
+@query("override_faults", """WITH o AS (SELECT p_size AS k, p_size % 7 + 40 AS c, CASE WHEN p_partkey % 50 = 0 THEN 'other' ELSE 'merge' END AS d FROM part)
 SELECT 'repeated' AS fault, k AS key FROM o GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'decision', k FROM o WHERE d NOT IN ('merge', 'keep_separate') UNION ALL SELECT DISTINCT 'chained', c FROM o WHERE d = 'merge' AND c IN (SELECT k FROM o WHERE d = 'merge')""")
 def override_faults(spark, sf):
-    return _faults(V.table(spark, sf, "part").filter("p_partkey < 60"))
-
-
-@query("override_faults_whole", """WITH o AS (SELECT p_size AS k, p_size % 7 + 40 AS c, CASE WHEN p_partkey % 50 = 0 THEN 'other' ELSE 'merge' END AS d FROM part)
-SELECT 'repeated' AS fault, k AS key FROM o GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'decision', k FROM o WHERE d NOT IN ('merge', 'keep_separate') UNION ALL SELECT DISTINCT 'chained', c FROM o WHERE d = 'merge' AND c IN (SELECT k FROM o WHERE d = 'merge')""")
-def override_faults_whole(spark, sf):
     return _faults(V.table(spark, sf, "part"))
 
 
@@ -381,7 +376,7 @@ def overlap_report(spark, sf):
 @query("column_stack", "SELECT round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.99), 6) AS high FROM (SELECT y AS v FROM sample UNION ALL SELECT y_lag FROM sample)")
 def column_stack(spark, sf):
     s = panel.estimation_sample(panel.build_panel(V.snap(spark, sf)))
-    return s.select(F.explode(F.array("y", "y_lag")).alias("v")).agg(r6(F.percentile("v", F.lit(0.01))).alias("low"), r6(F.percentile("v", F.lit(0.99))).alias("high"))
+    return s.select(F.explode(F.array("y", "y_lag")).alias("v")).transform(ranks.quantiles, "v", (0.01, 0.99)).select(r6("q0").alias("low"), r6("q1").alias("high"))
 
 
 @query("set_difference", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -463,8 +458,9 @@ def share_class_report(spark, sf):
 
 @query("vintage_coverage", "SELECT vintage, count(*) AS n, round(median(tvpi), 6) AS median_tvpi, round(median(nav / total_value), 6) AS median_unrealised FROM snap GROUP BY 1")
 def vintage_coverage(spark, sf):
-    half = F.lit(0.5)
-    return V.snap(spark, sf).groupBy("vintage").agg(F.count("*").alias("n"), r6(F.percentile("tvpi", half)).alias("median_tvpi"), r6(F.percentile(F.col("nav") / F.col("total_value"), half)).alias("median_unrealised"))
+    s = V.snap(spark, sf).withColumn("unrealised", F.col("nav") / F.col("total_value"))
+    median = lambda c: ranks.quantiles(s, c, (0.5,), ("vintage",)).select("vintage", r6("q0").alias(f"median_{c}"))
+    return s.groupBy("vintage").agg(F.count("*").alias("n")).join(median("tvpi"), "vintage", "left").join(median("unrealised"), "vintage", "left")
 
 
 @query("decade_summary", "SELECT (vintage // 10 * 10)::INT AS decade, count(*) AS n, round(sum(total_value) / sum(contributions), 6) AS pooled FROM snap GROUP BY 1")
@@ -485,8 +481,10 @@ def weighted_mean(spark, sf):
 
 @query("describe", "SELECT count(tvpi) AS n, round(avg(tvpi), 6) AS mean, round(stddev_samp(tvpi), 6) AS sd, round(min(tvpi), 6) AS low, round(quantile_cont(tvpi, 0.25), 6) AS q1, round(median(tvpi), 6) AS q2, round(quantile_cont(tvpi, 0.75), 6) AS q3, round(max(tvpi), 6) AS high FROM snap")
 def describe(spark, sf):
-    q = lambda p: r6(F.percentile("tvpi", F.lit(p)))
-    return V.snap(spark, sf).agg(F.count("tvpi").alias("n"), r6(F.avg("tvpi")).alias("mean"), r6(F.stddev_samp("tvpi")).alias("sd"), r6(F.min("tvpi")).alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), r6(F.max("tvpi")).alias("high"))
+    s = V.snap(spark, sf)
+    # one row each
+    quarters = ranks.quantiles(s, "tvpi", (0.25, 0.5, 0.75)).select(*(r6(f"q{i}").alias(f"q{i + 1}") for i in (0, 1, 2)))
+    return s.agg(F.count("tvpi").alias("n"), r6(F.avg("tvpi")).alias("mean"), r6(F.stddev_samp("tvpi")).alias("sd"), r6(F.min("tvpi")).alias("low"), r6(F.max("tvpi")).alias("high")).crossJoin(F.broadcast(quarters))
 
 
 @query("funnel", "SELECT unnest(['funds', 'numbered', 'lagged', 'adjacent', 'mature']) AS step, unnest([count(*), count(fund_number), count(y_lag), sum((fund_number_gap = 1)::INT)::BIGINT, sum((fund_number_gap = 1 AND NOT not_meaningful)::INT)::BIGINT]) AS n FROM panel")
@@ -509,8 +507,8 @@ def variance_corr(spark, sf):
 
 @query("quantiles", "SELECT vintage, round(quantile_cont(tvpi, 0.5), 6) AS q50, round(quantile_cont(tvpi, 0.9), 6) AS q90, round(quantile_cont(tvpi, 0.975), 6) AS q975 FROM snap GROUP BY 1")
 def quantiles(spark, sf):
-    q = F.percentile("tvpi", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.975)))
-    return V.snap(spark, sf).groupBy("vintage").agg(q.alias("q")).select("vintage", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "q975"))))
+    q = ranks.quantiles(V.snap(spark, sf), "tvpi", (0.5, 0.9, 0.975), ("vintage",))
+    return q.select("vintage", *(r6(f"q{i}").alias(n) for i, n in enumerate(("q50", "q90", "q975"))))
 
 
 @query("argmax_row", "SELECT firm_id, arg_max(fund_id, (abs(tvpi - 1), -fund_id)) AS fund_id FROM snap GROUP BY 1")
@@ -579,7 +577,7 @@ def group_size_nunique(spark, sf):
 @query("pct_rank_avg", "SELECT fund_id, round((rank() OVER (PARTITION BY vintage ORDER BY k) + (count(*) OVER (PARTITION BY vintage, k) - 1) / 2) / count(*) OVER (PARTITION BY vintage), 6) AS pct FROM (SELECT fund_id, vintage, round(commitment / 1e4) AS k FROM funds)")
 def pct_rank_avg(spark, sf):
     d = V.funds(spark, sf).withColumn("k", F.round(F.col("commitment") / 1e4))
-    return d.select("fund_id", r6(panel.average_rank("k", "vintage")).alias("pct"))
+    return ranks.average_rank(d, "k", "vintage", "pct").select("fund_id", r6("pct").alias("pct"))
 
 
 _QUARTILES = "SELECT *, 1 + (y > quantile_cont(y, 0.25) OVER v)::INT + (y > quantile_cont(y, 0.5) OVER v)::INT + (y > quantile_cont(y, 0.75) OVER v)::INT AS q_now, 1 + (y_lag > quantile_cont(y_lag, 0.25) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.5) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.75) OVER v)::INT AS q_prev FROM sample WINDOW v AS (PARTITION BY vintage)"

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import parsing as P
-from ..operators import cashflow, entity, inference, panel, simulate
+from ..operators import cashflow, entity, inference, panel, review, simulate
 from ..sources import disclosures, manifest
 from . import views as V
 from .catalog import query, r6
 
-B, SEED = 99, 20240813
+SEED = 20240813
 
 
 def _sample(spark, sf, **options):
@@ -219,44 +219,6 @@ def leave_one_sponsor_out(spark, sf):
     return inference.leave_one_out(_sample(spark, sf), "sponsor_id").select("dropped", r6("beta").alias("beta"), "n")
 
 
-_SMALL = "firm_id % 10 = 1"
-
-
-@query("wild_cluster_bootstrap", f"""WITH m AS (SELECT firm_id, vintage, y - avg(y) OVER v AS ty, y_lag - avg(y_lag) OVER v AS tx FROM sample WHERE {_SMALL} WINDOW v AS (PARTITION BY vintage)),
-r AS (SELECT b, firm_id, vintage, tx, CASE WHEN b = 0 THEN 1 WHEN substr(md5('{SEED}|' || b || '|' || firm_id), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END * ty AS wy FROM m, range(0, {B + 1}) t(b)),
-d AS (SELECT *, wy - avg(wy) OVER (PARTITION BY b, vintage) AS dy, sum(tx * tx) OVER (PARTITION BY b) AS xx FROM r),
-f AS (SELECT *, sum(tx * dy) OVER (PARTITION BY b) / xx AS beta FROM d),
-s AS (SELECT b, firm_id, any_value(beta) AS beta, sum(tx * (dy - beta * tx) / xx) AS s, count(*) AS n FROM f GROUP BY 1, 2),
-t AS (SELECT b, any_value(beta) AS beta, any_value(beta) / sqrt(sum(s * s) * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - (SELECT count(DISTINCT vintage) + 1 FROM m))) AS t FROM s GROUP BY b)
-SELECT round(o.beta, 6) AS beta, round(o.t, 6) AS t, round((1 + sum((abs(t.t) >= abs(o.t))::INT)) / {B + 1}, 6) AS p, count(*) AS n_boot FROM t, (SELECT * FROM t WHERE b = 0) o WHERE t.b > 0 GROUP BY o.beta, o.t""")
-def wild_cluster_bootstrap(spark, sf):
-    out = inference.wild_cluster_bootstrap(_sample(spark, sf).filter(_SMALL), B, SEED)
-    return out.select(r6("beta").alias("beta"), r6("t").alias("t"), r6("p").alias("p"), "n_boot")
-
-
-_RANKED = "(SELECT *, (rank() OVER (PARTITION BY vintage ORDER BY y) + (count(*) OVER (PARTITION BY vintage, y) - 1) / 2) / count(*) OVER (PARTITION BY vintage) AS ry, (rank() OVER (PARTITION BY vintage ORDER BY y_lag) + (count(*) OVER (PARTITION BY vintage, y_lag) - 1) / 2) / count(*) OVER (PARTITION BY vintage) AS rx FROM (SELECT * FROM sample WHERE {where}))"
-_PERMUTED = """slots AS (SELECT *, row_number() OVER (PARTITION BY vintage ORDER BY fund_id) AS slot FROM base),
-dealt AS (SELECT b, vintage, row_number() OVER (PARTITION BY b, vintage ORDER BY md5('{seed}|' || b || '|' || fund_id)) AS slot, {value} AS v FROM slots, range(1, {n}) t(b))"""
-
-
-@query("spearman_within", f"""WITH base AS (SELECT * FROM {_RANKED.format(where=_SMALL)}), {_PERMUTED.format(seed=SEED, value='ry', n=B + 1)},
-o AS (SELECT corr(rx, ry) AS rho, count(*) AS n FROM base), u AS (SELECT b, corr(s.rx, d.v) AS r FROM dealt d JOIN slots s USING (vintage, slot) GROUP BY 1)
-SELECT round(rho, 6) AS rho, round((1 + sum((r >= rho)::INT)) / {B + 1}, 6) AS p, n FROM u, o GROUP BY rho, n""")
-def spearman_within(spark, sf):
-    return inference.spearman_within(_sample(spark, sf).filter(_SMALL), B, SEED).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
-
-
-_Q = "SELECT *, 1 + (y > quantile_cont(y, 0.25) OVER v)::INT + (y > quantile_cont(y, 0.5) OVER v)::INT + (y > quantile_cont(y, 0.75) OVER v)::INT AS q_now, 1 + (y_lag > quantile_cont(y_lag, 0.25) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.5) OVER v)::INT + (y_lag > quantile_cont(y_lag, 0.75) OVER v)::INT AS q_prev FROM (SELECT * FROM sample WHERE firm_id % 10 = 1) WINDOW v AS (PARTITION BY vintage)"
-
-
-@query("transition_permutation_test", f"""WITH base AS ({_Q}), {_PERMUTED.format(seed=SEED, value='q_now', n=B + 1)},
-o AS (SELECT avg((q_prev = q_now)::INT) AS diagonal, count(*) AS n FROM base), u AS (SELECT b, avg((s.q_prev = d.v)::INT) AS d FROM dealt d JOIN slots s USING (vintage, slot) GROUP BY 1)
-SELECT round(diagonal, 6) AS diagonal, round(avg(d), 6) AS null_diagonal, round((1 + sum((d >= diagonal - 1e-12)::INT)) / {B + 1}, 6) AS p, n FROM u, o GROUP BY diagonal, n""")
-def transition_permutation_test(spark, sf):
-    out = inference.transition_permutation(_sample(spark, sf).filter(_SMALL), B, SEED)
-    return out.select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
-
-
 _ATT = "var_samp(a - b) / 2"
 
 
@@ -266,36 +228,26 @@ def attenuation(spark, sf):
     return out.select("n_pairs", r6("var_error", 8).alias("var_error"), r6("var_true", 8).alias("var_true"), r6("lambda").alias("lambda"), r6("mean_abs_diff").alias("mean_abs_diff"), r6("median_pct_diff").alias("median_pct_diff"))
 
 
-@query("bootstrap_lambda", f"""WITH n AS (SELECT a, b AS bb, row_number() OVER (ORDER BY fund_id) - 1 AS i FROM reports WHERE fund_id % 20 = 0), c AS (SELECT count(*) AS n FROM n),
-p AS (SELECT t.b, ('0x' || substr(md5('{SEED}|' || t.b || '|' || n.i), 1, 12))::BIGINT % c.n AS i FROM n, c, range(1, {B + 1}) t(b)),
-l AS (SELECT p.b, var_samp(a - bb) / 2 AS e, greatest(var_samp((a + bb) / 2) - var_samp(a - bb) / 4, 0) AS v FROM p JOIN n USING (i) GROUP BY 1)
-SELECT round(quantile_cont(v / (v + e), 0.025), 6) AS low, round(quantile_cont(v / (v + e), 0.975), 6) AS high, count(*) AS n_boot FROM l""")
-def bootstrap_lambda(spark, sf):
-    return inference.bootstrap_lambda(V.reports(spark, sf).filter("fund_id % 20 = 0"), B, SEED).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
-
+# Over whole tables with 9999 draws SQL is too slow for these four; tests/test_whole.py has them against brute force.
 
-# The four above keep to subsets and 99 draws, as their SQL does. Here they are over all
-# rows with the operators' own number of draws; SQL is too slow for that, so tests/test_whole.py
-# has them against brute force.
 
-
-@query("wild_cluster_bootstrap_whole")
-def wild_cluster_bootstrap_whole(spark, sf):
+@query("wild_cluster_bootstrap")
+def wild_cluster_bootstrap(spark, sf):
     return inference.wild_cluster_bootstrap(_sample(spark, sf)).select(r6("beta").alias("beta"), r6("t").alias("t"), r6("p").alias("p"), "n_boot")
 
 
-@query("spearman_within_whole")
-def spearman_within_whole(spark, sf):
+@query("spearman_within")
+def spearman_within(spark, sf):
     return inference.spearman_within(_sample(spark, sf)).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
 
 
-@query("transition_permutation_test_whole")
-def transition_permutation_test_whole(spark, sf):
+@query("transition_permutation_test")
+def transition_permutation_test(spark, sf):
     return inference.transition_permutation(_sample(spark, sf)).select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
 
 
-@query("bootstrap_lambda_whole")
-def bootstrap_lambda_whole(spark, sf):
+@query("bootstrap_lambda")
+def bootstrap_lambda(spark, sf):
     return inference.bootstrap_lambda(V.reports(spark, sf)).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
 
 
@@ -321,17 +273,48 @@ def beta_correction(spark, sf):
 # ---- reviews, parsers, sources ---------------------------------------------
 
 
-@query("family_review", f"""WITH s AS (SELECT fund_id, vintage, commitment, upper(p.fund_name) AS stem FROM (SELECT n.*, regexp_replace(fund_name, ' Partners.*', '') AS base FROM names n) x JOIN (SELECT fund_id, regexp_replace(fund_name, ' Partners.*', '') AS fund_name FROM names) p USING (fund_id))
-SELECT stem, count(*) AS n, count(DISTINCT vintage) AS vintages, count(*) - count(DISTINCT vintage) > 0 AS clash, greatest(count(*) - 1, 0) AS pairs, min(vintage) AS first, max(vintage) AS last FROM s GROUP BY 1""")
+_STEM = r"trim(upper(trim(regexp_replace(regexp_replace(regexp_replace({}, '[,\.]', '', 'g'), '\s+(?:L\.?P\.?|LLC|Ltd|Fund|Partners)?\s*$', ''), '\s+(?:[IVXLC]+|\d+)\s*$', ''))))"
+_ROMANS = repr([N.roman(n) for n in range(1, N.MAX_FUND_NUMBER + 1)])
+_ORPHAN = r"coalesce(list_filter(regexp_split_to_array({}, '\s+')[2:], lambda t: list_contains(" + _ROMANS + r", split_part(t, '-', 1)) OR coalesce(try_cast(nullif(regexp_extract(split_part(t, '-', 1), '^\d{{1,9}}$'), '') AS INT) BETWEEN 1 AND 60, false))[1], '')"
+_REVIEWED = f"(SELECT *, {_STEM.format('fund_name')} AS raw FROM (SELECT p_partkey AS fund_id, split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 9 = 0 THEN ' Growth' WHEN p_partkey % 14 = 0 THEN ' and' ELSE '' END || ' Partners ' || ({[N.roman(n) for n in range(1, 13)]!r})[p_partkey % 12 + 1] || ({list(V.SUFFIXES)!r})[p_partkey % 5 + 1] AS fund_name, p_partkey % 12 + 1 AS number, (1990 + p_size % 30)::INT AS vintage, CASE WHEN p_partkey % 3 = 0 THEN '{V.B}' ELSE '{V.A}' END AS source FROM part))"
+
+
+def _reviewed(spark, sf):
+    """Funds named by the first word of a part, so that families have several."""
+    k = F.col("p_partkey")
+    numeral = F.element_at(F.array(*(F.lit(N.roman(n)) for n in range(1, 13))), (k % 12 + 1).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, V.SUFFIXES)), (k % 5 + 1).cast("int"))
+    middle = F.when(k % 9 == 0, " Growth").when(k % 14 == 0, " and").otherwise("")
+    name = F.concat(F.split("p_name", " ")[0], middle, F.lit(" Partners "), numeral, suffix)
+    one = V.table(spark, sf, "part").select(k.alias("fund_id"), name.alias("fund_name"), (F.lit(1990) + F.col("p_size") % 30).cast("int").alias("vintage"), F.when(k % 3 == 0, V.B).otherwise(V.A).alias("source"))
+    return review.load_universe([one.filter(F.col("source") == V.A), one.filter(F.col("source") == V.B)])
+
+
+@query("load_universe", f"SELECT raw, source, count(*) AS n FROM {_REVIEWED} GROUP BY 1, 2")
+def load_universe(spark, sf):
+    return _reviewed(spark, sf).groupBy(F.col("firm_id_raw").alias("raw"), "source").agg(F.count("*").alias("n"))
+
+
+@query("family_review", f"""WITH f AS (SELECT *, CASE WHEN length(raw) % 4 = 0 THEN split_part(raw, ' ', 1) ELSE raw END AS final FROM {_REVIEWED}),
+t AS (SELECT raw, bool_or(plans = 1 OR numbers > 1) AS clash FROM (SELECT raw, vintage, count(*) AS n, count(DISTINCT number) AS numbers, count(DISTINCT source) AS plans FROM f GROUP BY 1, 2) WHERE n > 1 GROUP BY 1),
+s AS (SELECT DISTINCT raw FROM f), p AS (SELECT a.raw AS a, b.raw AS b FROM s a JOIN s b ON starts_with(b.raw, a.raw || ' ')),
+near AS (SELECT a AS raw, string_agg(b, ' | ' ORDER BY b) AS near FROM (SELECT a, b FROM p UNION SELECT b, a FROM p) GROUP BY 1),
+g AS (SELECT raw, string_agg(DISTINCT final, '|' ORDER BY final) AS final, count(*) AS n, count(DISTINCT upper(fund_name) LIKE '%GROWTH%') AS sidecars, string_agg(vintage::VARCHAR, ';' ORDER BY vintage, fund_name) AS vintages, string_agg(fund_name, ' | ' ORDER BY vintage, fund_name) AS fund_names FROM f GROUP BY 1),
+o AS (SELECT g.*, t.clash, coalesce(near.near, '') AS near, {_ORPHAN.format('g.raw')} AS orphan, coalesce(z.n, 0) AS n_final FROM g LEFT JOIN t USING (raw) LEFT JOIN near USING (raw) LEFT JOIN (SELECT final, count(*) AS n FROM f GROUP BY 1) z ON z.final = g.final),
+x AS (SELECT *, array_to_string(list_filter([CASE WHEN sidecars > 1 THEN '{review.SIDECAR}' END, CASE WHEN orphan <> '' THEN replace('{review.STRANDED.replace("'", "''")}', '%s', orphan) END, CASE WHEN regexp_matches(raw, '(?:[-&/]|\\bNO|\\bTHE|\\bAND|\\bOF)\\s*$') THEN '{review.DANGLING}' END, CASE WHEN orphan <> '' AND near <> '' THEN '{review.SIBLING}' END, CASE WHEN clash THEN '{review.CLASH}' WHEN clash IS NOT NULL THEN '{review.DUPLICATE}' END], lambda s: s IS NOT NULL), ' ; ') AS flags, CASE WHEN length(raw) % 3 = 0 THEN 'keep_separate' ELSE 'unreviewed' END AS decision FROM o)
+SELECT raw AS firm_id_raw, final AS firm_id_final, n AS n_funds_raw, vintages, fund_names, orphan AS orphan_number, near AS neighbour_stems, flags, decision, CASE WHEN length(raw) % 3 = 0 THEN 'checked' ELSE '' END AS reason, n_final AS n_funds_final, decision = 'unreviewed' AND flags <> '' AS needs_review FROM x""")
 def family_review(spark, sf):
-    n = V.names(spark, sf).withColumn("stem", F.upper(F.regexp_replace("fund_name", " Partners.*", "")))
-    return n.groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("vintage").alias("vintages"), (F.count("*") - F.countDistinct("vintage") > 0).alias("clash"), F.greatest(F.count("*") - 1, F.lit(0)).alias("pairs"), F.min("vintage").alias("first"), F.max("vintage").alias("last"))
+    raw = F.col("firm_id_raw")
+    f = _reviewed(spark, sf).withColumn("firm_id", F.when(F.length(raw) % 4 == 0, F.split(raw, " ")[0]).otherwise(raw))
+    overrides = f.filter(F.length(raw) % 3 == 0).select("firm_id_raw").distinct().select("firm_id_raw", F.lit("keep_separate").alias("decision"), F.lit("checked").alias("reason"))
+    return review.family_review(f, overrides)
 
 
-@query("numeral_diagnostic", "SELECT p_partkey % 5 AS suffix, count(*) AS n, sum(CASE WHEN p_partkey % 5 IN (0, 4) THEN 1 ELSE 0 END)::BIGINT AS clean FROM part GROUP BY 1")
+@query("numeral_diagnostic", f"""WITH f AS (SELECT source, fund_name, raw AS stem, regexp_replace(fund_name, '[,\\.]', '', 'g') AS plain, {_ORPHAN.format('raw')} AS orphan FROM {_REVIEWED}),
+t AS (SELECT *, CASE WHEN starts_with(upper(trim(plain)), stem) THEN trim(substr(upper(trim(plain)), length(stem) + 1)) ELSE '' END AS tail FROM f WHERE orphan <> '')
+SELECT source, fund_name, stem, tail AS removed_tail, orphan AS stranded_number, CASE WHEN trim(regexp_replace(tail, '\\b(?:LP|LLC|LTD)\\b', '', 'g')) IN ('I', 'V', 'X', 'L', 'C') THEN 'CONSUMED+STRANDED' ELSE 'STRANDED' END AS failure FROM t""")
 def numeral_diagnostic(spark, sf):
-    d = V.names(spark, sf).select((F.col("fund_id") % 5).alias("suffix"), (~N.family_stem(F.col("fund_name")).rlike(r"(\s[IVX]+(\s|-|$)|\()")).alias("clean"))
-    return d.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"))
+    return review.diagnose_names(_reviewed(spark, sf))
 
 
 @query("calpers_as_of", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 > 0 THEN o_orderdate::DATE END AS as_of FROM orders")
@@ -408,13 +391,8 @@ def _scanned(p):
     return rows.filter("row > 0").select("path", "row", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("size"))
 
 
-@query("html_table_scan", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part WHERE p_partkey < 200")
+@query("html_table_scan", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part")
 def html_table_scan(spark, sf):
-    return _scanned(V.table(spark, sf, "part").filter("p_partkey < 200"))
-
-
-@query("html_table_scan_whole", "SELECT p_partkey AS path, 1 AS \"row\", p_name AS name, p_size::VARCHAR AS size FROM part")
-def html_table_scan_whole(spark, sf):
     return _scanned(V.table(spark, sf, "part"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.operators import inference, simulate
+from keelson.operators import inference, ranks, simulate
 from keelson.plans import catalog, regimes, statistics  # noqa: F401
 from keelson.plans import views as V
 
@@ -52,9 +52,10 @@ def clustered(y, x, vintage, firm):
 def test_wild_cluster_bootstrap_draws_over_every_family(spark, small, sample):
     y, x, vintage, firm = (sample[c].to_numpy() for c in ("y", "y_lag", "vintage", "firm_id"))
     beta, t, residual = clustered(y[:, None], x, vintage, firm)
-    signs = {f: np.array([1.0 if digest(b, f)[0] in "02468ace" else -1.0 for b in range(1, DRAWS + 1)]) for f in np.unique(firm)}
+    bits = {f: "".join(f"{int(digest(0, block, f), 16):0128b}" for block in range(79))[:DRAWS] for f in np.unique(firm)}
+    signs = {f: np.array([1.0 if bit == "1" else -1.0 for bit in b]) for f, b in bits.items()}
     _, null, _ = clustered(residual * np.array([signs[f] for f in firm]), x, vintage, firm)
-    got = catalog.QUERIES["wild_cluster_bootstrap_whole"](spark, small).collect()[0]
+    got = catalog.QUERIES["wild_cluster_bootstrap"](spark, small).collect()[0]
     assert got.n_boot == DRAWS
     assert (got.beta, got.t) == (pytest.approx(beta[0], abs=2e-6), pytest.approx(t[0], abs=2e-6))
     # all signs equal, of which few families have many draws, give the same t, and that may round either way
@@ -62,22 +63,68 @@ def test_wild_cluster_bootstrap_draws_over_every_family(spark, small, sample):
     assert p[0] - 1e-6 <= got.p <= p[1] + 1e-6
 
 
+def test_wild_cluster_bootstrap_adds_up_chunks(spark, small, monkeypatch):
+    s = statistics._sample(spark, small)
+    run = lambda: [round(x, 9) for x in inference.wild_cluster_bootstrap(s, 199).collect()[0]]
+    whole = run()
+    for name, n in (("TASK", 2), ("STEP", 1), ("FAN_IN", 2)):
+        monkeypatch.setattr(inference, name, n)
+    assert run() == whole
+
+
+def test_draws_without_a_finite_t_do_not_count(spark):
+    rows = [(i, i % 2, 2000, 1.0, float(i % 2)) for i in range(8)]
+    got = inference.wild_cluster_bootstrap(spark.createDataFrame(rows, "fund_id int, firm_id int, vintage int, y double, y_lag double"), 19).collect()[0]
+    # a constant outcome has no slope and no variance in any draw
+    assert got.n_boot == 0 and got.p is None
+
+
 def dealt(sample, values):
     """Values dealt anew within each vintage, a row for each draw."""
     out = np.empty((DRAWS, len(sample)))
+    groups = [rows.sort_values("fund_id").index.to_numpy() for _, rows in sorted(sample.groupby("vintage"))]
+    for b in range(1, DRAWS + 1):
+        rng = np.random.default_rng([statistics.SEED, b])
+        for at in groups:
+            out[b - 1, at] = rng.permutation(values[at])
+    return out
+
+
+def dealt_by_md5(sample, values, draws):
+    """The same for rows too many to be broadcast."""
+    out = np.empty((draws, len(sample)))
     for _, rows in sample.groupby("vintage"):
         funds, at = rows.fund_id.tolist(), rows.index.to_numpy()
-        for b in range(1, DRAWS + 1):
+        for b in range(1, draws + 1):
             out[b - 1, at] = values[at[sorted(range(len(funds)), key=lambda i: digest(b, funds[i]))]]
     return out
 
 
+def test_many_rows_are_dealt_by_md5(spark, small, sample, monkeypatch):
+    monkeypatch.setattr(inference, "VECTOR_ROWS", 1)
+    rank = lambda c: sample.groupby("vintage")[c].rank(pct=True).to_numpy()
+    rx, ry = rank("y_lag"), rank("y")
+    null = dealt_by_md5(sample, ry, 49)
+    rho = np.corrcoef(rx, ry)[0, 1]
+    r = np.array([np.corrcoef(rx, v)[0, 1] for v in null])
+    got = inference.spearman_within(statistics._sample(spark, small), 49).collect()[0]
+    assert (1 + (r > rho + 1e-9).sum()) / 50 - 1e-9 <= got.p <= (1 + (r > rho - 1e-9).sum()) / 50 + 1e-9
+    pairs = V.reports(spark, small)
+    frame = pairs.toPandas().sort_values("fund_id")
+    n = len(frame)
+    picks = np.array([[int(digest(r, i)[:12], 16) % n for i in range(n)] for r in range(1, 50)])
+    error = (frame.a - frame.b).to_numpy()[picks].var(1, ddof=1) / 2
+    true = np.maximum(((frame.a + frame.b) / 2).to_numpy()[picks].var(1, ddof=1) - error / 2, 0)
+    got = inference.bootstrap_lambda(pairs, 49).collect()[0]
+    assert (got.low, got.high) == tuple(pytest.approx(x, abs=1e-9) for x in np.quantile(true / (true + error), [0.025, 0.975]))
+
+
 def test_spearman_within_ranks_every_family(spark, small, sample):
     rank = lambda c: sample.groupby("vintage")[c].rank(pct=True).to_numpy()
     rx, ry = rank("y_lag"), rank("y")
     rho, null = np.corrcoef(rx, ry)[0, 1], dealt(sample, ry)
     r = (null - null.mean(1, keepdims=True)) @ (rx - rx.mean()) / (rx.std() * null.std(1) * len(rx))
-    got = catalog.QUERIES["spearman_within_whole"](spark, small).collect()[0]
+    got = catalog.QUERIES["spearman_within"](spark, small).collect()[0]
     assert (got.rho, got.n) == (pytest.approx(rho, abs=2e-6), len(sample))
     # equal correlations may round either way
     assert (1 + (r > rho + 1e-9).sum()) / (DRAWS + 1) - 1e-6 <= got.p <= (1 + (r > rho - 1e-9).sum()) / (DRAWS + 1) + 1e-6
@@ -91,7 +138,7 @@ def test_transitions_permute_every_family(spark, small, sample):
     assert (sample.groupby("vintage")[["y", "y_lag"]].nunique() >= 4).all(axis=None)
     prev, now = quartile("y_lag"), quartile("y")
     diagonal, null = (prev == now).mean(), (dealt(sample, now) == prev).mean(1)
-    got = catalog.QUERIES["transition_permutation_test_whole"](spark, small).collect()[0]
+    got = catalog.QUERIES["transition_permutation_test"](spark, small).collect()[0]
     assert (got.diagonal, got.n) == (pytest.approx(diagonal, abs=2e-6), len(sample))
     assert got.null_diagonal == pytest.approx(null.mean(), abs=2e-6)
     assert got.p == pytest.approx((1 + (null >= diagonal - 1e-12).sum()) / (DRAWS + 1), abs=2e-6)
@@ -100,11 +147,11 @@ def test_transitions_permute_every_family(spark, small, sample):
 def test_bootstrap_lambda_draws_from_every_pair(spark, small):
     pairs = V.reports(spark, small).toPandas().sort_values("fund_id")
     a, b, n = pairs.a.to_numpy(), pairs.b.to_numpy(), len(pairs)
-    picks = np.array([[int(digest(r, i)[:12], 16) % n for i in range(n)] for r in range(1, DRAWS + 1)])
+    picks = np.array([np.random.default_rng([statistics.SEED, r]).integers(n, size=n) for r in range(1, DRAWS + 1)])
     error = (a - b)[picks].var(1, ddof=1) / 2
     true = np.maximum(((a + b) / 2)[picks].var(1, ddof=1) - error / 2, 0)
     low, high = np.quantile(true / (true + error), [0.025, 0.975])
-    got = catalog.QUERIES["bootstrap_lambda_whole"](spark, small).collect()[0]
+    got = catalog.QUERIES["bootstrap_lambda"](spark, small).collect()[0]
     assert (got.low, got.high, got.n_boot) == (pytest.approx(low, abs=2e-6), pytest.approx(high, abs=2e-6), DRAWS)
 
 
@@ -136,6 +183,23 @@ def test_power_adds_up_chunks_of_clusters(spark, small, monkeypatch):
     assert run() == whole
 
 
+@pytest.mark.parametrize("ranges", [2, 256])
+def test_ranks_and_quantiles_of_ties(spark, monkeypatch, ranges):
+    monkeypatch.setattr(ranks, "RANGES", ranges)
+    rng = np.random.default_rng(1)
+    rows = [(int(g), None if v == 9 else float(v)) for g, v in zip(rng.integers(0, 3, 300), rng.integers(0, 10, 300), strict=True)] + [(None, 1.0), (None, 2.0), (7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    pdf = df.toPandas()
+    want = pdf.groupby("g", dropna=False)["v"].quantile([0.1, 0.5, 0.9]).unstack()
+    got = {r.g: (r.q0, r.q1, r.q2) for r in ranks.quantiles(df, "v", (0.1, 0.5, 0.9), ("g",)).collect()}
+    assert got == {None if np.isnan(g) else int(g): tuple(map(pytest.approx, row)) for g, row in zip(want.index, want.to_numpy(), strict=True) if not np.isnan(row).any()}
+    assert ranks.quantiles(df, "v", (0.25,)).collect()[0].q0 == pytest.approx(pdf.v.quantile(0.25))
+    assert ranks.quantiles(df.limit(0), "v", (0.25,)).collect()[0].q0 is None
+    pdf["r"] = pdf.groupby("g", dropna=False)["v"].rank(pct=True)
+    ranked = sorted((repr(r.g), repr(r.v), round(r.r, 9) if r.r is not None else None) for r in ranks.average_rank(df, "v", "g", "r").collect())
+    assert ranked == sorted((repr(None if np.isnan(g) else int(g)), repr(None if np.isnan(v) else v), None if np.isnan(r) else round(r, 9)) for g, v, r in pdf.itertuples(index=False))
+
+
 @pytest.fixture
 def parts(spark, tmp_path):
     """300 parts with keys beyond those of the smallest tables; the last alone has size 1000."""
@@ -146,13 +210,13 @@ def parts(spark, tmp_path):
 
 def test_every_part_is_scanned(spark, parts):
     to, rows = parts
-    got = {(r.path, r.row, r["name"], r.size) for r in catalog.QUERIES["html_table_scan_whole"](spark, to).collect()}
+    got = {(r.path, r.row, r["name"], r.size) for r in catalog.QUERIES["html_table_scan"](spark, to).collect()}
     assert got == {(k, 1, name, str(size)) for k, name, size in rows}
 
 
 def test_faults_of_every_override(spark, parts):
     to, rows = parts
-    got = sorted(tuple(r) for r in catalog.QUERIES["override_faults_whole"](spark, to).collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["override_faults"](spark, to).collect())
     sizes, merged = [size for *_, size in rows], {size for k, _, size in rows if k % 50}
     want = [("repeated", s) for s in set(sizes) if sizes.count(s) > 1] + [("decision", size) for k, _, size in rows if k % 50 == 0] + [("chained", c) for c in {s % 7 + 40 for s in merged} & merged]
     assert got == sorted(want)
