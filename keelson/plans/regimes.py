@@ -37,7 +37,7 @@ def append_only_sink(spark, sf):
     return spark.read.parquet(path).groupBy("as_of").agg(F.count("*").alias("n"))
 
 
-@query("archive_scan")
+@query("archive_scan", "SELECT as_of, count(*) AS n, round(sum(nav), 4) AS nav FROM snapshots GROUP BY 1")
 def archive_scan(spark, sf):
     path = readers.scratch_dir(spark, "snaps")
     s = V.snapshots(spark, sf)
@@ -47,11 +47,31 @@ def archive_scan(spark, sf):
     return readers.archive_scan(spark, f"{path}/*.csv").groupBy("as_of").agg(F.count("*").alias("n"), F.round(F.sum("nav"), 4).alias("nav"))
 
 
-@query("manifest_build")
-def manifest_build(spark, sf):
+def _archived(spark, sf):
+    """Three files of funds, named by Spark."""
     path = readers.scratch_dir(spark, "files")
-    V.funds(spark, sf).select("fund_id").repartition(3, "fund_id").write.csv(path)
-    return manifest.build(spark, f"{path}/*.csv", "snapshot").select("kind", "source", "as_of", F.length("sha256").alias("digits"), "rows")
+    part = (F.col("fund_id") % 3).alias("part")
+    V.funds(spark, sf).select("fund_id", part).repartition(3, "part").write.partitionBy("part").option("header", True).csv(path)
+    return path
+
+
+_FILES = "SELECT 'snapshot' AS kind, '' AS source, '' AS as_of, 64 AS digits, count(*)::VARCHAR AS rows FROM funds GROUP BY fund_id % 3"
+
+
+@query("manifest_build", _FILES)
+def manifest_build(spark, sf):
+    return manifest.build(spark, f"{_archived(spark, sf)}/*/*.csv", "snapshot").select("kind", "source", "as_of", F.length("sha256").alias("digits"), "rows")
+
+
+@query("manifest_sink", f"SELECT *, false AS changed FROM ({V.with_views(_FILES)})")
+def manifest_sink(spark, sf):
+    """The manifest is written twice; the second writing changes nothing."""
+    path = _archived(spark, sf)
+    # as many rows as files
+    before = [tuple(r) for r in manifest.write(spark, f"{path}/*/*.csv", f"{path}-manifest").orderBy("file").collect()]
+    again = manifest.write(spark, f"{path}/*/*.csv", f"{path}-manifest")
+    changed = before != [tuple(r) for r in again.orderBy("file").collect()]
+    return again.select("kind", "source", "as_of", F.length("sha256").alias("digits"), "rows", F.lit(changed).alias("changed"))
 
 
 @query("benchmark_scan", "SELECT date, level FROM idx WHERE level > 0 ORDER BY date")

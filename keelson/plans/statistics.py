@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..operators import cashflow, entity, inference, panel, review, simulate
-from ..sources import disclosures, manifest
+from ..sources import disclosures, manifest, readers
 from . import views as V
-from .catalog import query, r6
+from .catalog import ORACLES, query, r6
 
 SEED = 20240813
 
@@ -87,7 +87,10 @@ def ln_pme(spark, sf):
     return cashflow.pme(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf)).select("fund_id", r6("ln_pme").alias("ln_pme"))
 
 
-@query("summarise_panel")
+_PARTS = [f"({ORACLES[name]})" for name in ("multiples", "fund_irr", "ks_pme", "direct_alpha", "ln_pme")]
+
+
+@query("summarise_panel", f"SELECT * FROM {_PARTS[0]} m " + " ".join(f"LEFT JOIN {part} p{i} USING (fund_id)" for i, part in enumerate(_PARTS[1:])))
 def summarise_panel(spark, sf):
     out = cashflow.summarise(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf))
     return out.select("fund_id", *(r6(c).alias(c) for c in out.columns if c != "fund_id"))
@@ -366,9 +369,33 @@ def calpers_parse(spark, sf):
     return out.select("fund_id", "vintage", "contributions", "distributions", "total_value", "nav", r6("tvpi_reported").alias("tvpi_reported"), r6("net_irr").alias("net_irr"), "not_meaningful")
 
 
-@query("discover_links", """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
+@query("discover_links", """WITH l AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN printf('/x/%d/OPERF-Private-Equity-Portfolio-Quarter-%d-%d.pdf', y + 1, q, y) WHEN 1 THEN printf('/x/PrivateEquity-Q%d-%d.PDF', q, y) WHEN 2 THEN printf('/x/OPERF_Private_Equity_Portfolio_-_Quarter_%d_%d.pdf', q, y) END AS href, y::INT AS year, q::INT AS quarter FROM (SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders) WHERE o_orderkey % 5 < 3)
+SELECT 'https://www.oregon.gov' || href AS url, split_part(href, '/', -1) AS file, year, quarter FROM l""")
 def discover_links(spark, sf):
-    return disclosures.links(V.table(spark, sf, "pages"))
+    """Pages link to reports under three names, to another asset's report and to a file without a quarter."""
+    k, y, q = F.col("o_orderkey"), F.year("o_orderdate"), F.quarter("o_orderdate")
+    href = F.when(k % 5 == 0, F.format_string("/x/%d/OPERF-Private-Equity-Portfolio-Quarter-%d-%d.pdf", y + 1, q, y)).when(k % 5 == 1, F.format_string("/x/PrivateEquity-Q%d-%d.PDF", q, y)).when(k % 5 == 2, F.format_string("/x/OPERF_Private_Equity_Portfolio_-_Quarter_%d_%d.pdf", q, y)).when(k % 5 == 3, F.format_string("/x/Fixed-Income-Quarter-%d-%d.pdf", q, y)).otherwise("/x/private-equity-notes.pdf")
+    return disclosures.report_links(V.table(spark, sf, "orders").select(F.concat(F.lit('<p><a href="'), href, F.lit('">report</a>')).alias("html")))
+
+
+@query("calpers_load", "SELECT 'CALPERS::' || p_name AS fund_id, 2001 AS vintage, (p_size + 1)::DOUBLE AS contributions, p_size::DOUBLE AS distributions, DATE '2024-06-30' AS as_of FROM part")
+def calpers_load(spark, sf):
+    """One page with a small table before the large one."""
+    p = V.table(spark, sf, "part")
+    cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("p_name")), cell(F.lit("2001")), cell(F.lit("$9")), cell(F.col("p_size") + 1), cell(F.col("p_size")), cell(F.col("p_size") * 2), cell(F.lit("N/M")), cell(F.lit("1.0x")), F.lit("</tr>"))
+    head = "<p>As of June 30, 2024</p><table><tr><td>x</td></tr></table><table><tr>" + "".join(f"<th>{c.replace('&', '&amp;')}</th>" for c in disclosures.CALPERS_COLUMNS) + "</tr>"
+    page = p.groupBy(F.col("p_partkey").alias("path")).agg(F.concat(F.lit(head), F.max(row), F.lit("</table>")).alias("html"))
+    return disclosures.calpers_load(page).select("fund_id", "vintage", "contributions", "distributions", "as_of")
+
+
+@query("oregon_load", "SELECT 'OPERF::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, o_orderkey % 5 = 0 AS not_meaningful, DATE '2024-03-31' AS as_of FROM orders WHERE o_orderkey % 50 > 0")
+def oregon_load(spark, sf):
+    """A report's text is written and read again; its date is the report's."""
+    path = readers.scratch_dir(spark, "report")
+    lines = _report_lines(spark, sf).select(F.col("line").alias("value"))
+    spark.createDataFrame([("Private equity",), ("As of March 31, 2024",)], "value string").unionByName(lines).write.text(path)
+    return disclosures.oregon_load(spark, path).select("fund_id", "vintage", "not_meaningful", "as_of")
 
 
 @query("quarter_url", f"SELECT o_orderkey AS k, printf('{disclosures.OREGON_URL}', year(o_orderdate), quarter(o_orderdate), year(o_orderdate)) AS url FROM orders")
@@ -436,7 +463,8 @@ def sim_validation(spark, sf):
     return inference.ols_fe(sample, keys=("skill_sd", "true_beta")).select("skill_sd", "true_beta", r6("beta").alias("beta"), r6("se").alias("se"), "n")
 
 
-@query("sim_index")
+@query("sim_index", f"""WITH u AS (SELECT i, (('0x' || substr(md5('{simulate.Universe.seed}|r|' || i), 1, 12))::BIGINT + 0.5) / 281474976710656 AS r, (('0x' || substr(md5('{simulate.Universe.seed}|a|' || i), 1, 12))::BIGINT + 0.5) / 281474976710656 AS a FROM range(0, 140) t(i))
+SELECT last_day(DATE '1995-03-31' + to_months((3 * i)::INT)) AS date, round(100 * exp(sum((0.085 - 0.5 * 0.16 * 0.16) / 4 + 0.08 * sqrt(-2 * ln(r)) * cos(2 * pi() * a)) OVER (ORDER BY i)), 6) AS level FROM u""")
 def sim_index(spark, sf):
     return simulate.index_path(spark).select("date", r6("level").alias("level"))
 

@@ -27,8 +27,12 @@ OREGON_URL = (
     "Invested-for-OR-Performance-and-Holdings/%d/"
     "OPERF_Private_Equity_Portfolio_-_Quarter_%d_%d.pdf"
 )
+OREGON_SITE = "https://www.oregon.gov"
 FACTOR_MISSING = (-99.0, -99.99, -999.0)
 MILLIONS = 1e6
+# The grammar of a report's line (flag, vintage, name, four amounts, rest) and of its file's name.
+REPORT_NAME = r"(?i)Q(?:uarter)?[-_ ]?([1-4])[-_ ]((?:19|20)\d{2})"
+REPORT_KIND = r"(?i)private[-_ ]?equity"
 REPORT_LINE = rf"^(\*\s+)?((?:19|20)\d{{2}})\s+(.+?)\s+({P.MONEY_TOKEN})\s+({P.MONEY_TOKEN})\s+({P.MONEY_TOKEN})\s+({P.MONEY_TOKEN})(.*)$"
 
 
@@ -84,14 +88,19 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), 1)).alias("href")).distinct()
 
 
-def report_links(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
-    """(url, year, quarter) of the private-equity reports a page links to, newest first; the quarter is the file name's."""
-    found = links(pages, html).filter(F.lower("href").endswith(".pdf") & F.lower("href").rlike("private[^a-z]*equity"))
-    url = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("href", "^/+", "")))
-    name = F.element_at(F.split("href", "/"), -1)
-    quarter = F.regexp_extract(name, r"(?i)q(?:uarter)?[-_ %20]*([1-4])", 1).try_cast("int")
-    year = F.regexp_extract(name, r"((?:19|20)\d{2})", 1).try_cast("int")
-    return found.select(url.alias("url"), year.alias("year"), quarter.alias("quarter")).dropDuplicates(["url"]).orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("quarter"), "url")
+def report_links(pages: DataFrame, base: str = OREGON_SITE, html: str = "html") -> DataFrame:
+    """(url, file, year, quarter) of the private-equity reports that pages link to, newest first.
+
+    Year and quarter are those of the file's name, whatever folder holds it;
+    a file whose name has no quarter is left out.
+    """
+    href = F.explode(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]+\.pdf)"'), 1))
+    found = pages.select(href.alias("href")).distinct().filter(F.col("href").rlike(REPORT_KIND))
+    url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim("href", F.lit("/"))))
+    named = found.select(url.alias("url")).distinct().withColumn("file", F.substring_index("url", "/", -1))
+    part = lambda i: F.regexp_extract("file", REPORT_NAME, i).try_cast("int")
+    dated = named.withColumns({"year": part(2), "quarter": part(1)}).filter("quarter is not null")
+    return dated.orderBy(F.desc("year"), F.desc("quarter"), "url")
 
 
 def quarter_url(year: Column, quarter: Column) -> Column:
@@ -106,5 +115,30 @@ def factors(lines: DataFrame, line: str = "value") -> DataFrame:
     return df.select(F.last_day(F.to_date(F.col("p")[0], "yyyyMM")).alias("date"), *(value(i).alias(n) for i, n in ((1, "mkt_rf"), (2, "smb"), (3, "hml"), (4, "rf"))))
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+def pdf_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of reports' text, in reading order; reports come as the text that a PDF tool took from them."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n|\f").alias("_l"))
+    return files.select("path", F.posexplode("_l").alias("line_no", "line"))
+
+
+def oregon_load(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """A report's snapshot, dated by the report itself unless ``as_of`` is given; a report without a date is an error."""
+    lines = pdf_lines(spark, path)
+    # one row
+    date = as_of or report_as_of(lines).first()["as_of"]
+    if date is None:
+        raise ValueError(f"{path} has no reporting date; pass as_of")
+    return report_lines(lines, as_of=F.lit(date).cast("date"))
+
+
+def calpers_load(pages: DataFrame, as_of: str | None = None, html: str = "html", key: str = "path") -> DataFrame:
+    """The snapshot in a page's widest table, dated by the page unless ``as_of`` is given; a page without a date is an error."""
+    # one row
+    date = as_of or pages.agg(F.max(P.banner_date(F.col(html))).alias("as_of")).first()["as_of"]
+    if date is None:
+        raise ValueError("the page has no reporting date; pass as_of, for the day of download would misalign plans")
+    rows = widest_table(html_tables(pages, html, key), key)
+    heads = rows.filter("row = 0").select(key, F.col("cells").alias("_names"))
+    # rows of another width than their head are no funds
+    named = rows.filter("row > 0").join(heads, key).filter("size(cells) = size(_names)").withColumn("_m", F.map_from_arrays("_names", "cells"))
+    return calpers_parse(named.select(*(F.col("_m")[c].alias(c) for c in CALPERS_COLUMNS)), F.lit(date).cast("date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ def file_as_of(name: Column) -> Column:
 def build(spark: SparkSession, pattern: str, kind: str, old: DataFrame | None = None) -> DataFrame:
     """One row per file; the capture time stays while the bytes do."""
     files = spark.read.format("binaryFile").load(pattern)
-    name = F.element_at(F.split("path", "/"), -1)
+    # named by their place below the pattern's fixed folder, so that folders may hold files of one name
+    root = spark._jvm.org.apache.hadoop.fs.Path(re.split(r"[*?\[{]", pattern)[0].rpartition("/")[0]).toUri().getPath()
+    file, name = F.substring("path", F.instr("path", f"{root}/") + len(root) + 1, F.length("path")), F.element_at(F.split("path", "/"), -1)
     lines = F.when(F.lit(kind == "snapshot"), F.greatest(F.length(F.col("content").cast("string")) - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"))) - 1, F.lit(0)).cast("string")).otherwise("")
-    now = files.select(F.lit(kind).alias("kind"), name.alias("file"), file_source(name).alias("source"), file_as_of(name).alias("as_of"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_utc"), F.sha2("content", 256).alias("sha256"), lines.alias("rows")).filter("file <> 'MANIFEST.csv'")
+    now = files.select(F.lit(kind).alias("kind"), file.alias("file"), file_source(name).alias("source"), file_as_of(name).alias("as_of"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_utc"), F.sha2("content", 256).alias("sha256"), lines.alias("rows")).filter(~F.col("file").rlike(r"(^|/)MANIFEST\.csv(/|$)"))
     if old is None:
         return now
     before = old.select("file", F.col("sha256").alias("_sha"), F.col("captured_utc").alias("_at"))
@@ -45,3 +49,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).option("header", True).csv(path).na.fill("")
+
+
+def archive(spark: SparkSession, snapshots: str, raw: str | None = None, old: DataFrame | None = None) -> DataFrame:
+    """The manifest of an archive: its snapshots, and the raw files they were made from."""
+    found = build(spark, snapshots, "snapshot", old)
+    return found if raw is None else found.unionByName(build(spark, raw, "raw", old))
+
+
+def write(spark: SparkSession, snapshots: str, path: str, raw: str | None = None) -> DataFrame:
+    """Rebuilds and saves the manifest at ``path``; what has not changed keeps its capture time, so a second call changes nothing.
+
+    The new manifest is complete before it takes the old one's place.
+    """
+    archive(spark, snapshots, raw, read(spark, path)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}.new")
+    made, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    if not store.rename(made, target):
+        raise OSError(f"cannot move the manifest to {path}")
+    return read(spark, path)

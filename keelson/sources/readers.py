@@ -89,11 +89,16 @@ def csv_sink(df: DataFrame, path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; it goes when the driver's JVM ends."""
+    """A new folder below the one that driver and executors share; it goes when the driver's JVM ends. Only local mode needs no spark.checkpoint.dir."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/keelson-{uuid.uuid4().hex}/{name}")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(path.getParent())

@@ -78,6 +78,30 @@ def test_report_links(frame):
     assert [(r.url, r.year, r.quarter) for r in got] == [("https://h/PrivateEquity-Q3-2023.pdf", 2023, 3), ("https://h/x/Private-Equity-Quarter-1-2021.pdf", 2021, 1)]
 
 
+def test_undated_pages_are_an_error(spark, frame, tmp_path):
+    with pytest.raises(ValueError, match="date"):
+        disclosures.calpers_load(frame("path string, html string", [("a", "<table></table>")]))
+    (tmp_path / "r.txt").write_text("Private equity\n2001 Fund A $1 $1 $1 $1 1.0x 2%\n")
+    with pytest.raises(ValueError, match="date"):
+        disclosures.oregon_load(spark, str(tmp_path / "r.txt"))
+    assert disclosures.oregon_load(spark, str(tmp_path / "r.txt"), "2024-03-31").count() == 1
+
+
+def test_a_review_sheet(frame):
+    from keelson.operators import review
+
+    rows = [("A", "A", "Acme Partners II, L.P.", 2001, "x"), ("A", "A", "Acme Growth Partners II", 2001, "y"), ("B II", "B", "B II (A)", 2002, "x"), ("B", "B", "B I", None, "x"), ("C AND", "C AND", "C and III", 2003, "x"), ("C AND", "C AND", "C and IV", 2003, "x")]
+    funds = frame("firm_id_raw string, firm_id string, fund_name string, vintage int, source string", rows)
+    decided = frame("firm_id_raw string, decision string, reason string", [("C AND", "merge", "known")])
+    got = {r.firm_id_raw: r for r in review.family_review(funds, decided).collect()}
+    assert got["A"].flags == " ; ".join((review.OVERMERGE, review.SIDECAR, review.DUPLICATE)) and got["A"].needs_review
+    assert got["B II"].flags == " ; ".join((review.STRANDED % "II", review.SIBLING)) and got["B II"].neighbour_stems == "B" and got["B II"].n_funds_final == 2
+    assert got["C AND"].flags == " ; ".join((review.DANGLING, review.CLASH)) and not got["C AND"].needs_review and got["C AND"].reason == "known"
+    assert got["B"].flags == "" and got["B"].vintages == ""
+    found = {r.fund_name: r.failure for r in review.diagnose_names(funds).collect()}
+    assert found == {"B II (A)": "STRANDED"}
+
+
 def test_bad_layout_is_an_error(frame):
     with pytest.raises(ValueError, match="missing"):
         disclosures.calpers_parse(frame("Something string", [("x",)]))

@@ -30,18 +30,18 @@ def test_numeral_class_of_the_stem(frame):
 
 @pytest.mark.parametrize(
     ("name", "number"),
-    [("Blackstone Capital Partners V", 5), ("Triton Fund 6 SCSp", 6), ("Advent International GPE VII-C", 7), ("CVC Capital Partners IX (A)", 9), ("57 Stars Global Opportunities Fund 2", 2), ("Genstar XI Opportunities Fund I", 11), ("KKR 2006 Fund", None), ("The Rise Fund", None), ("Acme Fund L.P.", None), (None, None)],
+    [("Harbour Capital Partners V", 5), ("Osprey Fund 6 SCSp", 6), ("Larch International GPE VII-C", 7), ("BVB Capital Partners IX (A)", 9), ("41 Lamps Global Opportunities Fund 2", 2), ("Mistral XI Opportunities Fund I", 11), ("QQR 2006 Fund", None), ("The Tide Fund", None), ("Acme Fund L.P.", None), (None, None)],
 )
 def test_fund_number(frame, name, number):
     assert values(frame, N.fund_number, [name]) == [number]
 
 
 def test_stranded_token(frame):
-    assert values(frame, N.stranded_number, ["CVC Capital Partners IX (A)", "Acme Growth"]) == ["IX", ""]
+    assert values(frame, N.stranded_number, ["BVB Capital Partners IX (A)", "Acme Growth"]) == ["IX", ""]
 
 
 def test_sponsor(frame):
-    assert values(frame, N.sponsor_token, ["THE RISE FUND", "SILVER LAKE PARTNERS", "THE", "", None]) == ["RISE", "SILVER", "THE", "", None]
+    assert values(frame, N.sponsor_token, ["THE TIDE FUND", "COPPER POND PARTNERS", "THE", "", None]) == ["TIDE", "COPPER", "THE", "", None]
 
 
 def test_money_and_percent(frame):

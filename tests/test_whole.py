@@ -241,4 +241,25 @@ def test_vintage_panels_hold_their_slope_and_shifts(spark):
 def test_sim_validation_lands_on_six_true_slopes(spark):
     got = catalog.QUERIES["sim_validation"](spark, SF).collect()
     assert sorted(r.skill_sd for r in got) == [0.0, 0.08, 0.14, 0.18, 0.24, 0.30]
-    assert all(abs(r.beta - r.true_beta) < 4 * r.se and r.n == 260 * 5 for r in got)
+    assert all(abs(r.beta - r.true_beta) < 4 * r.se for r in got)
+    # without a threshold every firm goes on to the last vintage or its sixth fund
+    assert len({r.n for r in got}) == 1 and got[0].n > 260 * 2
+
+
+def test_a_universe_follows_its_rules(spark):
+    u = simulate.Universe(firms=40)
+    level = {r.date: r.level for r in simulate.index_path(spark, u).collect()}
+    rows = simulate.simulate(spark, u).collect()
+    last = {}
+    for r in rows:
+        calls, pays = -sum(f.amount for f in r.flows if f.amount < 0), sum(f.amount for f in r.flows if f.amount > 0)
+        assert 0.05 <= r.tvpi <= 12 and 1995 <= r.vintage <= 2016 and r.nav_date.year == r.vintage + 11
+        # flows are net of a quarter's call and payout, the last value is reported with noise
+        assert calls <= r.commitment and (pays + r.nav) / calls == pytest.approx(r.tvpi, rel=0.3)
+        dates = sorted(level)
+        market = np.log(level[dates[min(4 * (r.vintage - 1995 + 12) - 1, len(dates) - 1)]] / level[dates[4 * (r.vintage - 1995)]])
+        assert simulate.market_return(u, r.vintage) == pytest.approx(market, abs=1e-9)
+        last[r.firm_id] = max(last.get(r.firm_id, r), r, key=lambda x: x.sequence)
+    # a firm stops below the threshold, after six funds, or when time is up
+    assert all(r.interim >= 1.05 or r is last[r.firm_id] for r in rows)
+    assert all(r.interim < 1.05 or r.sequence == 6 or r.vintage + 4 > 2016 for r in last.values())
