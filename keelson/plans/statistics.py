@@ -90,7 +90,7 @@ def ln_pme(spark, sf):
 _PARTS = [f"({ORACLES[name]})" for name in ("multiples", "fund_irr", "ks_pme", "direct_alpha", "ln_pme")]
 
 
-@query("summarise_panel", f"SELECT * FROM {_PARTS[0]} m " + " ".join(f"LEFT JOIN {part} p{i} USING (fund_id)" for i, part in enumerate(_PARTS[1:])))
+@query("summarise_panel", f"SELECT * FROM {_PARTS[0]} m " + " ".join(f"LEFT JOIN {part} p{i} USING (fund_id)" for i, part in enumerate([*_PARTS[1:], "(" + V.with_views("SELECT fund_id, round(sum(greatest(-amount, 0)), 6) AS paid_in, round(sum(greatest(amount, 0)), 6) AS distributed, round(any_value(nav), 6) AS nav FROM flows JOIN navs USING (fund_id) GROUP BY 1") + ")"])))
 def summarise_panel(spark, sf):
     out = cashflow.summarise(V.flows(spark, sf), V.navs(spark, sf), V.index(spark, sf))
     return out.select("fund_id", *(r6(c).alias(c) for c in out.columns if c != "fund_id"))
