@@ -52,7 +52,7 @@ from pyspark.sql import types as T
 
 from .common import Cache, Workspace, table
 from .urlfilter import host_path
-from .words import Words, digests, signed
+from .words import digests, hash_words, signed
 
 #: Templates of all hosts up to this stored size are broadcast; beyond it pages are joined with salts.
 BROADCAST_BYTES, SALTS = 8 << 20, 64
@@ -331,7 +331,7 @@ def block_digest(text: str) -> int:
     return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
 
 
-def observe(pages: list[tuple[str, str | None, float]], known: Words) -> tuple[list, ...]:
+def observe(pages: list[tuple[str, str | None, float]]) -> tuple[list, ...]:
     """Columns host, node, kind, what, value, n: what some pages tell of their hosts' trees.
 
     ``what`` is s (presentation), w (a word's or an article's pages), v (words,
@@ -377,7 +377,8 @@ def observe(pages: list[tuple[str, str | None, float]], known: Words) -> tuple[l
     columns = tuple(list(c) for c in zip(*counts, strict=True)) if counts else ([], [], [], [], [])
     columns = (*columns, list(counts.values()))
     if texts:
-        hashed, ends = known.hashes(texts)
+        hashed, ends = hash_words(texts)
+        hashed = hashed[:, 0]
         place = np.repeat(np.arange(len(texts)), np.diff(ends))
         values, word = np.unique(hashed, return_inverse=True)
         n = len(values)
@@ -398,11 +399,11 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str, space: Workspace)
     """(host, low, off, spared, blocks) of every host, and (kind, low, off, spared) over all hosts."""
 
     def run(batches):
-        kinds, known = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()], Words()
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()]
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             for lo in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(observe(rows[lo : lo + 256], known), kinds, strict=True)], ["host", "node", "kind", "what", "value", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(observe(rows[lo : lo + 256]), kinds, strict=True)], ["host", "node", "kind", "what", "value", "n"])
 
     # copies of a page count as one page; only those that have any are looked up
     digest = F.unhex(F.md5(F.coalesce(F.col(html_col), F.lit(""))))

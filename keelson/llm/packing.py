@@ -71,7 +71,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.words = Words(room=self.room)
+        self.words = Words()
         self.at = self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 from .components import connected_components
-from .words import Words, chunks, every_run, mix, signed
+from .words import chunks, every_run, hash_words, mix, signed
 
 SKETCH_BITS, CHUNK_BITS = 18, 14
 ROUNDS = 3
@@ -68,11 +68,12 @@ PREFIX_WORDS64 = 4
 
 class Shingler:
     def __init__(self, size: int) -> None:
-        self.size, self.words = size, Words(lower=True)
+        self.size = size
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
-        hashes, ends = self.words.hashes(texts)
+        hashes, ends = hash_words(texts, lower=True)
+        hashes = hashes[:, 0]
         every = every_run(hashes, self.size)
         out = []
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

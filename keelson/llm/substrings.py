@@ -11,7 +11,7 @@ What is packed and sent is only what can matter:
 * a minimiser that occurs once in the corpus has no repeated window;
 * of equal super-k-mers one is sent, with their number; if there are several,
   all their windows are repeated. They are told apart by 128 bits that are
-  made from 128-bit digests of their words;
+  made from 128-bit hashes of their words;
 * the many different super-k-mers of a hot minimiser (the edges of a passage
   that a third of all documents share) are dealt into blocks. A block settles
   the windows that occur twice in it; of each other window it tells a 128-bit
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, Workspace, table
-from .words import Words, chunks, every_run, mix, runs_of, signed, sliding_min
+from .words import Words, chunks, every_run, hash_words, mix, runs_of, signed, sliding_min
 
 BLOCK = 256
 #: Windows of one text that are cut into super-k-mers at a time.
@@ -56,18 +56,18 @@ class Cutter:
     """Super-k-mers of many texts."""
 
     def __init__(self, window: int, mmer: int) -> None:
-        self.window, self.mmer, self.words = window, mmer, Words()
+        self.window, self.mmer = window, mmer
 
     def __call__(self, texts: list[str | None]):
         """Columns text number, start in the text, windows, minimiser, its occurrences, and two fingerprints, piece by piece."""
-        ids, ends = self.words(texts)
-        if len(ids) <= PIECE:
-            yield from self._cut(0, 0, self.words.table[ids], ends)
+        hashes, ends = hash_words(texts)
+        if len(hashes) <= PIECE:
+            yield from self._cut(0, 0, hashes, ends)
             return
         for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             for at in range(lo, hi - self.window + 1, PIECE):
                 end = min(hi, at + PIECE + self.window - 1)
-                yield from self._cut(i, at - lo, self.words.table[ids[at:end]], np.array([0, end - at]))
+                yield from self._cut(i, at - lo, hashes[at:end], np.array([0, end - at]))
 
     def _cut(self, text_before: int, words_before: int, hashes: np.ndarray, ends: np.ndarray):
         counts = np.maximum(np.diff(ends) - self.window + 1, 0)
@@ -184,7 +184,6 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
         names = [*SKM, "spans", "w1", "w2", "n", "nth"]
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         ids = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        known = Words()
 
         def answer(bucket):
             again, first = count_bucket([r[7] for r in bucket], [r[5] for r in bucket], window)
@@ -198,8 +197,7 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
                     at = np.flatnonzero(f)
                     if len(at):
                         k = len(at)
-                        numbers, _ = known.numbered([r[7]])
-                        one, two = (h[at] for h in window_hashes(known.table[numbers], window))
+                        one, two = (h[at] for h in window_hashes(hash_words([r[7].decode("utf-8", "surrogatepass")])[0], window))
                         yield pa.RecordBatch.from_arrays([*(pa.array([v] * k, t) for v, t in zip((r[0], *r[2:5]), ids, strict=True)), pa.nulls(k, span), pa.array(signed(one)), pa.array(signed(two)), pa.array(np.where(a[at], 2, 1)), pa.array(at, pa.int32())], names)
 
         bucket: list[tuple] = []

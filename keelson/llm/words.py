@@ -1,9 +1,9 @@
-"""Words of texts as numbers and hashes, and hashes of runs of words, for many texts at a time.
+"""Hashes of words and of runs of words, for many texts at a time, and exact numbers of words.
 
-Words are the longest runs of anything but ASCII white space. Each word has a
-number within the process, which tells it apart exactly, and the 128 bits of
-its BLAKE2b digest, on which all that crosses processes is built. No hash here
-is a polynomial: each step mixes what it joined before it goes on.
+Words are the longest runs of anything but ASCII white space. A word's 128 bits
+come from eight bytes at a time, each of which goes through two chains that mix
+and feed each other (words beyond ``LONG`` bytes: BLAKE2b); runs of words are
+joined by mixing at every step. Nothing here is a polynomial.
 """
 
 from __future__ import annotations
@@ -28,9 +28,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a word from which on BLAKE2b hashes it.
+LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two unsigned 64-bit integers of each run of bytes."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = end - start
+    a = mix(size.astype(np.uint64) + STEP)
+    b = mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        if not len(left):
+            break
+        lane = lanes[start[left] + at] & _LOW_BYTES[np.minimum(size[left] - at, 8)]
+        x = mix(a[left] ^ lane)
+        y = mix((b[left] + lane) * STEP)
+        a[left], b[left] = x + (y << np.uint64(1)), y ^ (x << np.uint64(32) | x >> np.uint64(32))
+        left = left[size[left] > at + 8]
+    out = np.stack([mix(a ^ mix(b)), mix(b + mix(a ^ np.uint64(0x165667B19E3779F9)))], axis=1)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return out
+
+
+def hash_words(texts: list[str | None], lower: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of all texts' words, and where each text's begin (one entry more than texts).
+
+    ``lower`` lowers A-Z; ``inside`` marks the bytes of words, if others than white space part them.
+    """
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    whole = b" ".join([*raws, b""])
+    # of bytes, only A-Z have a lower case
+    data = np.frombuffer(whole.lower() if lower else whole, np.uint8)
+    start, end = runs_of(data, IN_WORD if inside is None else inside)
+    return hash_runs(data, start, end), np.searchsorted(start, np.append(0, np.cumsum([len(r) + 1 for r in raws])))
+
+
 def digests(words: list[bytes]) -> np.ndarray:
-    """Two unsigned 64-bit integers of each word."""
-    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").astype(np.uint64).reshape(-1, 2)
+    """The two hashes of each word."""
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return hash_runs(np.frombuffer(b"".join(words), np.uint8), ends - np.array([len(w) for w in words], np.int64), ends)
 
 
 class _Numbers(dict):
@@ -42,61 +82,29 @@ class _Numbers(dict):
 
 
 class Words:
-    """Numbers the words of texts; ``table`` has the digests of all words known.
+    """Numbers words as they come, each word apart.
 
-    Numbers hold until the next call, which starts anew when ``room`` words are
-    known. ``spaced`` maps the bytes of a text, so that others than white space
-    can part words.
+    Numbers hold as long as the object; callers start anew when it holds many.
     """
 
-    def __init__(self, lower: bool = False, room: int = 1 << 17, spaced: bytes | None = None) -> None:
-        self.lower, self.room, self.spaced = lower, room, spaced
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers, self.table = _Numbers(), np.zeros((0, 2), np.uint64)
-
-    def raw(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        # of bytes, only A-Z have a lower case
-        return raw.translate(self.spaced) if self.spaced else raw.lower() if self.lower else raw
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
 
     def number(self, raws: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of these bytes, and where each one's begin (one entry more than there are)."""
-        if len(self.numbers) > self.room:
-            self._forget()
-        known, parts, counts, pending = self.numbers.__getitem__, [], [], []
+        known, parts, counts = self.numbers.__getitem__, [np.zeros(0, np.int32)], []
         for raw in raws:
             n = 0
             for words in split(raw):
                 n += len(words)
-                pending += words
-                if len(pending) > 1 << 15:
-                    parts.append(np.fromiter(map(known, pending), np.int32, len(pending)))
-                    pending = []
+                parts.append(np.fromiter(map(known, words), np.int32, len(words)))
             counts.append(n)
-        parts.append(np.fromiter(map(known, pending), np.int32, len(pending)))
         return np.concatenate(parts), np.append(0, np.cumsum(counts, dtype=np.int64))
 
     def unseen(self, known: int) -> list[bytes]:
         """The words whose numbers begin at ``known``."""
         return list(islice(self.numbers, known, None)) if len(self.numbers) > known else []
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts' words, and where each text's begin; ``table`` knows all of them then."""
-        return self.numbered(map(self.raw, texts))
-
-    def numbered(self, raws: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, ends = self.number(raws)
-        if new := self.unseen(len(self.table)):
-            self.table = np.concatenate([self.table, digests(new)])
-        return ids, ends
-
-    def hashes(self, texts: list[str | None], lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits of each word's digest in place of its number."""
-        ids, ends = self(texts)
-        return self.table[ids, lane], ends
-
 
 def split(raw: bytes) -> Iterator[list[bytes]]:
     """The words of a text, block by block if it is very long."""

@@ -20,22 +20,36 @@ def thue_morse(n, a="a", b="b"):
 @pytest.mark.parametrize("block", [W.BLOCK, 7, 1])
 def test_words_of_bytes(monkeypatch, block):
     monkeypatch.setattr(W, "BLOCK", block)
-    rng, words, seen = random.Random(block), W.Words(room=20), {}
+    rng, words, seen = random.Random(block), W.Words(), {}
     for _ in range(200):
         texts = ["".join(rng.choice("ab \n\té\xa0") for _ in range(rng.randint(0, 40))) for _ in range(3)]
         want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in texts]
-        ids, ends = words(texts)
-        assert ends.tolist() == [0, *np.cumsum([len(w) for w in want])]
-        for word, i in zip([w for ws in want for w in ws], ids, strict=True):
-            assert seen.setdefault(word, tuple(words.table[i])) == tuple(words.table[i])
+        ids, ends = words.number(t.encode() for t in texts)
+        hashes, again = W.hash_words(texts)
+        assert ends.tolist() == again.tolist() == [0, *np.cumsum([len(w) for w in want])]
+        for word, i, h in zip([w for ws in want for w in ws], ids.tolist(), hashes.tolist(), strict=True):
+            assert seen.setdefault(word, (i, *h)) == (i, *h)
+            assert W.digests([word]).tolist() == [h]
         for t, w in zip(texts, want, strict=True):
             start, end = W.runs_of(np.frombuffer(t.encode(), np.uint8))
             assert [t.encode()[a:b] for a, b in zip(start, end, strict=True)] == w
-    assert len({a for a, _ in seen.values()}) == len({b for _, b in seen.values()}) == len(seen)
+    assert len(words.numbers) == len(seen) and all(len({x[k] for x in seen.values()}) == len(seen) for k in range(3))
+
+
+def test_words_of_every_length_are_told_apart():
+    rng = random.Random(1)
+    base = bytes(rng.choice(b"abcd") for _ in range(90))
+    words = [base[:n] for n in range(1, 90)]
+    words += [base[:n][:i] + b"z" + base[:n][i + 1 :] for n in (7, 8, 9, 16, 17, 63, 64, 65, 80) for i in range(n)]
+    words += [a * n for a in (b"a", b"\0", b"ab") for n in range(1, 40)]
+    words = list(dict.fromkeys(words))
+    table = W.digests(words)
+    assert len(set(table[:, 0].tolist())) == len(set(table[:, 1].tolist())) == len(words)
 
 
 def test_words_of_texts():
-    hashes, ends = W.Words(lower=True).hashes(["A b", None, "", " É a\x0b", "é"])
+    hashes, ends = W.hash_words(["A b", None, "", " É a\x0b", "é"], lower=True)
+    hashes = hashes[:, 0]
     assert ends.tolist() == [0, 2, 2, 2, 4, 5]
     assert hashes[0] == hashes[3] and hashes[2] != hashes[4]
 
@@ -45,7 +59,8 @@ def test_no_polynomial(n):
     one, two = ("".join(x) for x in thue_morse(n))
     table = W.digests([one.encode(), two.encode()])
     assert (table[0] != table[1]).all()
-    hashes, ends = W.Words().hashes([" ".join(x) for x in thue_morse(n)])
+    hashes, ends = W.hash_words([" ".join(x) for x in thue_morse(n)])
+    hashes = hashes[:, 0]
     assert W.every_run(hashes[:n], n) != W.every_run(hashes[n:], n)
 
 
