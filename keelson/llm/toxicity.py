@@ -150,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
         return empty
     # what is collected are words of at most max_positive texts
     gap = F.col("pos") / n_pos - F.col("unl") / n_unl
-    spread = F.sqrt((F.col("pos") / n_pos + 1 / n_pos) / n_pos + (F.col("unl") / n_unl + 1 / n_unl) / n_unl)
+    # the variance of a share p of n is p (1 - p) / n
+    variance = lambda c, n: (F.col(c) / n * (1 - F.col(c) / n) + 1 / n) / n
+    spread = F.sqrt(variance("pos", n_pos) + variance("unl", n_unl))
     counted = sample.mapInArrow(count, "feature string, unl long, pos long").groupBy("feature").agg(F.sum("unl").alias("unl"), F.sum("pos").alias("pos"))
     chosen = counted.filter((F.col("pos") >= min_positive) & (F.col("pos") / n_pos > 3 * F.col("unl") / n_unl)).withColumn("z", gap / spread).filter("z > 3").orderBy("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(chosen)}
