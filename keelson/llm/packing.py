@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, table
-from .words import Words, chunks
+from .words import chunks, hash_runs, runs_of
 
 #: Characters on which the tokenizer's normaliser and Python's lower() agree and
 #: that either is white space to both or to neither; texts with others go through it whole.
@@ -50,14 +50,15 @@ class WordTokenizer:
     """Token ids of whole texts, as ``Tokenizer.encode`` gives them without special tokens.
 
     No token crosses white space, so ids are remembered by what stands between
-    white space, under the word's own number. Words not met before are encoded
-    together with a mark after each that no such word contains.
+    white space, in a direct-mapped table under the word's 128 bits (see
+    ``words``), which numpy reads for all words of a chunk at once. Words not met
+    before are encoded together with a mark after each that no such word contains.
     """
 
     MARK = "\u2014"
     _open: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, room: int = 1 << 18) -> None:
+    def __init__(self, path: str, slots: int = 1 << 19, room: int = 1 << 22) -> None:
         from tokenizers import Tokenizer, normalizers
 
         self.inner = Tokenizer.from_file(path)
@@ -67,13 +68,12 @@ class WordTokenizer:
         self.mark = mark[0]
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.room = room
+        self.slots, self.room = slots, room
         self._forget()
 
     def _forget(self) -> None:
-        self.words = Words()
-        self.at = self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.at, self.count = np.zeros((self.slots, 2), np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @classmethod
     def at_path(cls, path: str) -> WordTokenizer:
@@ -88,14 +88,24 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.used > self.room:
+            self._forget()
         # the characters of plain texts that are white space to the tokenizer part words here, and no others
         plain = [not UNLIKE.search(t) and "<|" not in t for t in texts]
-        if len(self.words.numbers) > self.room:
-            self._forget()
-        number, ends = self.words.number(t.encode() for t, p in zip(texts, plain, strict=True) if p)
-        if new := self.words.unseen(len(self.at)):
-            self._learn([w.decode() for w in new])
-        at, count = self.at[number], self.count[number]
+        raws = [t.encode() for t, p in zip(texts, plain, strict=True) if p]
+        data = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+        start, end = runs_of(data)
+        hashes = hash_runs(data, start, end)
+        slot = (hashes[:, 0] & np.uint64(self.slots - 1)).astype(np.int64)
+        at, count = self.at[slot], self.count[slot]
+        missing = np.flatnonzero((self.keys[slot] != hashes).any(1))
+        if len(missing):
+            _, first, which = np.unique(hashes[missing].view("V16").ravel(), return_index=True, return_inverse=True)
+            place = missing[first]
+            new_at, new_count = self._learn([data[a:b].tobytes().decode() for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)])
+            at[missing], count[missing] = new_at[which], new_count[which]
+            self.keys[slot[place]], self.at[slot[place]], self.count[slot[place]] = hashes[place], new_at, new_count
+        ends = np.searchsorted(start, np.append(0, np.cumsum([len(r) + 1 for r in raws])))
         before = np.append(0, np.cumsum(count))
         flat = self.ids[np.repeat(at - before[:-1], count) + np.arange(before[-1])].astype("<u4").tobytes()
         cuts = (4 * before[ends]).tolist()
@@ -105,16 +115,20 @@ class WordTokenizer:
             i += p
         return out
 
-    def _learn(self, words: list[str], at_once: int = 128) -> None:
-        """Appends the ids of further words."""
+    def _learn(self, words: list[str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words' ids are kept from now on, and how many they are."""
         after = f" {self.MARK} "
         groups = [after.join(words[i : i + at_once]).lower() + after for i in range(0, len(words), at_once)]
         ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in self.bare.encode_batch_fast(groups, add_special_tokens=False)])
         marks = np.flatnonzero(ids == self.mark)
         count = np.diff(marks, prepend=-1) - 1
-        self.at = np.append(self.at, len(self.ids) + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.ids = np.append(self.ids, np.delete(ids, marks))
+        ids = np.delete(ids, marks)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(ids)), np.uint32)])
+        at = self.used + np.cumsum(count) - count
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return at, count
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
