@@ -6,6 +6,7 @@ from .decontam import op3_decontam
 from .htmltext import op10_html
 from .langid import op5_langid
 from .packing import op2_packing
+from .prefixtrie import OP11_SQL, op11_prefix_trie
 from .quality import OP7_SQL, op7_quality
 from .signatures import OP8_SQL, op8_jaccard
 from .substrings import OP4_SQL, op4_substrings
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_html": op10_html,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLES = {"op8_jaccard": OP8_SQL, "op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_quality": OP7_SQL}
+ORACLES = {"op8_jaccard": OP8_SQL, "op4_substrings": OP4_SQL, "op6_warc": OP6_SQL, "op7_quality": OP7_SQL, "op11_prefix_trie": OP11_SQL}
