@@ -27,13 +27,16 @@ COLUMNS = {
     "op8_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op9_urls": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_html": "page_id bigint, url string, text string, n_chars bigint",
+    "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_phrases": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op13_variants": "word string, n bigint, n_near bigint, form string, form_n bigint, root string",
 }
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -59,7 +62,7 @@ def test_all_are_registered():
 def test_columns_and_rows(results, duck, name):
     df, rows = results(name)
     assert ", ".join(f"{c} {k}" for c, k in df.dtypes) == COLUMNS[name]
-    if name not in ("op2_packing", "op3_decontam"):
+    if name not in ("op2_packing", "op3_decontam", "op11_prefix_trie", "op13_variants"):
         table = "pages" if df.columns[0] == "page_id" else "documents"
         assert sorted(r[0] for r in rows) == sorted(x[0] for x in duck.execute(f"select {df.columns[0]} from {table}").fetchall())
 
