@@ -34,3 +34,26 @@ def normal_two_sided(z: Column) -> Column:
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return poly * F.exp(-x * x)
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """x at so many places, halves of the binary value to even: 2.675 is less than it looks and gives 2.67.
+
+    The product with the power of ten is taken with its rounding error (Dekker's
+    split), so a product that only looks like a half is told from one that is.
+    """
+    scale = 10.0**digits
+    # both factors in halves of 26 bits, whose products are exact
+    split = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    high_scale = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low_scale = scale - high_scale
+    product = x * scale
+    high = split(x)
+    low = x - high
+    error = ((high * high_scale - product) + high * low_scale + low * high_scale) + low * low_scale
+    below = F.floor(product).cast("double")
+    rest = product - below
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(below, F.lit(2.0)) == 1))))
+    rounded = (below + up.cast("double")) / scale
+    # beyond 2^52 a product has no places left
+    return F.when(F.abs(product) < 4503599627370496.0, rounded).otherwise(x)

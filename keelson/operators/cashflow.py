@@ -146,6 +146,23 @@ def compound_index(returns: DataFrame, base: float = 100.0, date: str = "date",
     return returns.select(F.col(date).alias("date"), checked.alias("_r")).select("date", (base * F.exp(F.sum(F.ln(1 + F.col("_r"))).over(w))).alias("level"))
 
 
+def first_missing(rows: DataFrame, values: tuple[str, ...], date: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, missing, first): rows, those that lack a value, and the first such date."""
+    lacks = F.lit(False)
+    for v in values:
+        lacks |= F.col(v).isNull()
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(lacks).alias("missing"), F.min(F.when(lacks, F.col(date))).alias("first"))
+
+
+def market_total_return(factors: DataFrame) -> DataFrame:
+    """(date, r): excess return plus the risk-free; a month without either is an error, as an index must not have a hole."""
+    # one row
+    bad = first_missing(factors, ("mkt_rf", "rf")).first()["first"]
+    if bad is not None:
+        raise ValueError(f"no factors at {bad}; cannot compound")
+    return factors.select("date", (F.col("mkt_rf") + F.col("rf")).alias("r"))
+
+
 def index_guard(index: DataFrame) -> DataFrame:
     """Levels that are not positive, or move by more than half in one step."""
     step = F.abs(F.col("level") / F.lag("level").over(Window.orderBy("date")) - 1)

@@ -7,8 +7,7 @@ clusters, where h is the demeaned regressor over its sum of squares. Both follow
 from sums over (effect, cluster) cells, so every step is a grouped sum, keyed by
 specification or replicate, and hundreds of fits are one query.
 
-Random signs come from md5 of (seed, draw, key), shuffles and picks from a
-generator for each draw over ordered rows: results do not depend on
+Random signs come from md5 of (seed, draw, key), so results do not depend on
 partitioning or row order.
 """
 
@@ -23,16 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normal_two_sided
+from .resample import added_up
 
 ONE = "_one"
 #: Clusters whose signs one task holds at a time in the power study, and simulations it goes through.
 CLUSTERS, SIMULATIONS = 20_000, 10
 #: Clusters of a task of the wild bootstrap, and of one product with their signs; chunks whose sums are added up at once.
 TASK, STEP, FAN_IN = 4_000, 500, 32
-#: Rows whose ranks or pairs are broadcast for resampling (16 bytes each); beyond it draws are keyed rows.
-VECTOR_ROWS = 1 << 22
-#: Draws of one task over broadcast rows.
-DRAWS = 128
 
 
 def _sums(columns: tuple[str, ...]) -> dict[str, Column]:
@@ -63,44 +59,62 @@ def _div(a, b) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.nullif(F.col(b) if isinstance(b, str) else b, F.lit(0.0)))
 
 
-def ols_fe(sample: DataFrame, keys: tuple[str, ...] = (), fixed: str | None = "vintage", clusters: tuple[str, ...] = ("firm_id",), control: str | None = None) -> DataFrame:
+def swept(moments: DataFrame, names: Sequence[str], pivots: int, entry, scale) -> DataFrame:
+    """Adds ``_g_i_u`` and ``_a_u_v``: the coefficient of each of the first ``pivots`` names in the others' regressions on them, and what is left of the products; ``_rank`` is that of the pivots.
+
+    Gauss-Jordan steps on the symmetric matrix of products, one for each pivot,
+    so every key's small system is solved where its row is. A pivot of which no
+    more than rounding is left hangs on earlier ones and gets no coefficient.
+    ``entry(u, v)`` is a product's column and ``scale(u)`` the sum of squares
+    that rounding follows.
+    """
+    at = {(i, j): f"_a_{i}_{j}" for i in range(len(names)) for j in range(len(names))}
+    own = {c: entry(names[i], names[j]) for (i, j), c in at.items()}
+    rows = moments.withColumns({**own, "_rank": F.lit(0), **{f"_least_{k}": F.greatest(1e-9 * entry(names[k], names[k]), 1e-12 * scale(names[k])) for k in range(pivots)}})
+    for k in range(pivots):
+        live = F.col(at[k, k]) > F.col(f"_least_{k}")
+        factor = {i: F.when(live, F.col(at[i, k]) / F.col(at[k, k])).otherwise(0.0) for i in range(len(names)) if i != k}
+        rows = rows.withColumns({f"_f_{i}": f for i, f in factor.items()} | {"_live": live})
+        rows = rows.withColumns({at[i, j]: F.col(at[i, j]) - F.col(f"_f_{i}") * F.col(at[k, j]) for i in factor for j in range(len(names))} | {"_rank": F.col("_rank") + F.col("_live").cast("int"), f"_live_{k}": F.col("_live")})
+    coefficient = {f"_g_{k}_{u}": F.when(F.col(f"_live_{k}"), F.col(at[k, u]) / F.col(at[k, k])).otherwise(0.0) for k in range(pivots) for u in range(pivots, len(names))}
+    return rows.withColumns(coefficient)
+
+
+def ols_fe(sample: DataFrame, keys: tuple[str, ...] = (), fixed: str | None = "vintage", clusters: tuple[str, ...] = ("firm_id",), controls: tuple[str, ...] = ()) -> DataFrame:
     """beta, se, t, p, r2, n, n_firms and clusters used, one row per key.
 
     The sample is read once, into sums over (keys, fixed effect, clusters)
     cells that are combined before any shuffle; no task ever holds a key's or
-    an effect's rows. With two clusters the variance is V1 + V2 - V12; where
-    that is not positive, the first cluster alone counts and ``fallback`` is
-    true.
+    an effect's rows. Controls are partialled out of the sums; one that hangs on
+    the effects and on earlier controls takes no part. With two clusters the
+    variance is V1 + V2 - V12; where that is not positive, the first cluster
+    alone counts and ``fallback`` is true.
     """
     rows = sample.withColumn(ONE, F.lit(1))
     keys_, effect = list(keys) or [ONE], fixed or ONE
-    columns = ("y", "y_lag", *([control] if control else []))
+    # equal names would be one column twice
+    controls = tuple(dict.fromkeys(controls))
+    columns = ("y", "y_lag", *controls)
     finest = list(dict.fromkeys([*keys_, effect, *clusters, "firm_id"]))
     cell = demeaned_cells(cells(rows, finest, columns), keys_, effect, columns)
     d = lambda u, v: f"_d_{u}_{v}" if columns.index(u) <= columns.index(v) else f"_d_{v}_{u}"
     pairs = sorted({d(u, v) for u in columns for v in columns})
-    total = cell.groupBy(*keys_).agg(*(F.sum(c).alias(f"_t{c}") for c in pairs), F.sum("_n").alias("n"), F.sum("_s_y").alias("_sy"), F.sum("_s_y_y").alias("_syy"), F.countDistinct("firm_id").alias("n_firms"), F.countDistinct(effect).alias("_levels"))
-    t = lambda u, v: F.col(f"_t{d(u, v)}")
-    if control:
-        total = total.withColumns({"_gx": F.coalesce(_div(t("y_lag", control), t(control, control)), F.lit(0.0)), "_gy": F.coalesce(_div(t("y", control), t(control, control)), F.lit(0.0))})
-
-    def partial(get) -> tuple[Column, Column, Column]:
-        """Products xx, xy, yy after the control's share."""
-        xx, xy, yy = get("y_lag", "y_lag"), get("y", "y_lag"), get("y", "y")
-        if control:
-            gx, gy, zz = F.col("_gx"), F.col("_gy"), get(control, control)
-            xx = xx - 2 * gx * get("y_lag", control) + gx * gx * zz
-            xy = xy - gx * get("y", control) - gy * get("y_lag", control) + gx * gy * zz
-            yy = yy - 2 * gy * get("y", control) + gy * gy * zz
-        return xx, xy, yy
-
-    xx, xy, yy = partial(t)
-    total = total.withColumns({"_xx": xx, "_xy": xy, "_yy": yy}).withColumn("beta", _div("_xy", "_xx"))
-    total = total.select(*keys_, "n", "n_firms", "_levels", "_xx", "beta", (F.col("_yy") - F.col("beta") * F.col("_xy")).alias("_sse"), (F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")).alias("_sst"), *(["_gx", "_gy"] if control else []))
-    own = cell.join(total.select(*keys_, "_xx", "beta", *(["_gx", "_gy"] if control else [])), keys_)
-    xx, xy, _ = partial(lambda u, v: F.col(d(u, v)))
-    scored = own.withColumn("_score", _div(xy - F.col("beta") * xx, "_xx"))
-    k = F.col("_levels") + 1 + (1 if control else 0)
+    total = cell.groupBy(*keys_).agg(*(F.sum(c).alias(f"_t{c}") for c in pairs), *(F.sum(f"_s_{c}_{c}").alias(f"_raw_{c}") for c in controls), F.sum("_n").alias("n"), F.sum("_s_y").alias("_sy"), F.sum("_s_y_y").alias("_syy"), F.countDistinct("firm_id").alias("n_firms"), F.countDistinct(effect).alias("_levels"))
+    m, names = len(controls), [*controls, "y_lag", "y"]
+    total = swept(total, names, m, lambda u, v: F.col(f"_t{d(u, v)}"), lambda u: F.col(f"_raw_{u}"))
+    left = lambda u, v: F.col(f"_a_{names.index(u)}_{names.index(v)}")
+    total = total.withColumns({"_xx": left("y_lag", "y_lag"), "_xy": left("y_lag", "y"), "_yy": left("y", "y")}).withColumn("beta", _div("_xy", "_xx"))
+    shares = [f"_g_{k}_{u}" for k in range(m) for u in (m, m + 1)]
+    total = total.select(*keys_, "n", "n_firms", "_levels", "_rank", "_xx", "beta", (F.col("_yy") - F.col("beta") * F.col("_xy")).alias("_sse"), (F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")).alias("_sst"), *shares)
+    own = cell.join(total.select(*keys_, "_xx", "beta", *shares), keys_)
+
+    def product(u: int, v: int) -> Column:
+        """Of a cell's y_lag (m) or y (m + 1), each less its controls' share."""
+        a, b = ([(names[w], F.lit(1.0)), *((c, -F.col(f"_g_{k}_{w}")) for k, c in enumerate(controls))] for w in (u, v))
+        return sum((x * y * F.col(d(p, q)) for p, x in a for q, y in b), F.lit(0.0))
+
+    scored = own.withColumn("_score", _div(product(m, m + 1) - F.col("beta") * product(m, m), "_xx"))
+    k = F.col("_levels") + 1 + F.col("_rank")
     dims = [(clusters[0],), *([(clusters[1],), clusters] if len(clusters) > 1 else [])]
     out = total
     for i, dim in enumerate(dims):
@@ -144,20 +158,6 @@ def leave_one_out(sample: DataFrame, by: str, fixed: str | None = "vintage", clu
     return joined.select("dropped", F.try_divide(F.col("XY") + F.col("_dxy"), F.nullif(F.col("XX") + F.col("_dxx"), F.lit(0.0))).alias("beta"), (F.col("N") - F.col("_dn")).alias("n"))
 
 
-def draw_sign(seed: int, replicate: Column, key: Column) -> Column:
-    """+1 or -1 by the parity of an md5 digest."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key.cast("string")))
-    return F.when(F.substring(digest, 1, 1).isin(*"02468ace"), 1.0).otherwise(-1.0)
-
-
-def shuffle_key(seed: int, replicate: Column, key: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key.cast("string")))
-
-
-def replicates(spark, n: int) -> DataFrame:
-    return spark.range(1, n + 1).select(F.col("id").cast("int").alias("b"))
-
-
 def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20240813, fixed: str = "vintage", cluster: str = "firm_id") -> DataFrame:
     """beta, t, p of H0: no persistence, with Rademacher signs by cluster.
 
@@ -238,12 +238,26 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
     """
     rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
     cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_nf").cast("double").alias("nf"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
-    # n_sims rows
-    signed = cell.crossJoin(F.broadcast(replicates(sample.sparkSession, n_sims))).withColumn("y", F.col("y") * draw_sign(seed, F.col("b"), F.col("c")))
-    means = signed.groupBy("b", "f").agg((F.sum("y") / F.first("nf")).alias("m")).toPandas()
-    mean = means.pivot(index="b", columns="f", values="m")
-    effects, of = list(mean.columns), dict(zip(mean.index, mean.to_numpy(), strict=True))
+    # fixed effects are few: the operator estimates one parameter for each
+    told = {r["f"]: r["nf"] for r in cell.groupBy("f").agg(F.first("nf").alias("nf")).collect()}
+    effects, nf = sorted(told), np.array([told[f] for f in sorted(told)])
     k, chunks = len(effects), cell.select("c").distinct().count() // CLUSTERS + 1
+    dealt = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks)))
+
+    def cluster_sign(b: int, c: str) -> float:
+        return 1.0 if hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest()[0] in "02468ace" else -1.0
+
+    def by_effect(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's sums of signed outcomes by simulation and effect."""
+        at, keys = pd.factorize(pdf["c"])
+        y = np.zeros((len(keys), k))
+        y[at, pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()] = pdf["y"]
+        signs = np.array([[cluster_sign(b, c) for c in keys] for b in range(1, n_sims + 1)])
+        return pd.DataFrame({"sums": [(signs @ y).ravel()]})
+
+    # one row
+    sums = added_up(dealt.groupBy("chunk").applyInPandas(lambda p: by_effect(p), "sums array<double>"), n_sims * k).first()["sums"]
+    of = dict(zip(range(1, n_sims + 1), np.array(sums).reshape(n_sims, k) / nf, strict=True))
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sums over a chunk's clusters for some simulations."""
@@ -262,7 +276,7 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
         fixed_sums = np.concatenate([[xx.sum(), xx @ xx, len(keys)], n.sum(0), xx @ x, (x.T @ x).ravel()])
         out = []
         for b in range(first := int(pdf["block"].iloc[0]) * SIMULATIONS + 1, min(first + SIMULATIONS, n_sims + 1)):
-            v = np.array([1.0 if hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest()[0] in "02468ace" else -1.0 for c in keys])
+            v = np.array([cluster_sign(b, c) for c in keys])
             own, cross = v[:, None] * y - n * of[b], v * xy.sum(1) - x @ of[b]
             signs = np.vstack([np.ones(len(keys)), np.array([draw_signs(seed, b, c, n_boot) for c in keys]).T])
             drawn = signs @ np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
@@ -289,101 +303,11 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
 
     # n_sims / SIMULATIONS rows
     blocks = F.broadcast(sample.sparkSession.range(-(-n_sims // SIMULATIONS)).withColumnRenamed("id", "block"))
-    many = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks))).crossJoin(blocks)
+    many = dealt.crossJoin(blocks)
     added = many.groupBy("block", "chunk").applyInPandas(lambda p: partial(p), "b int, sums array<double>")
     return added.groupBy("b").applyInPandas(lambda p: finish(p), "true_beta double, rejected double").groupBy("true_beta").agg(F.avg("rejected").alias("power"), F.count("*").alias("n"))
 
 
-def permuted(sample: DataFrame, value: str, n: int, seed: int, group: str = "vintage", key: str = "fund_id") -> DataFrame:
-    """(b, group, slot, value): values dealt anew within each group, for b = 1..n; slot is the row's number in its group."""
-    w = Window.partitionBy(group).orderBy(key)
-    slots = sample.withColumn("slot", F.row_number().over(w)).select(group, "slot", F.col(key).alias("_key"), F.col(value).alias("value"))
-    # n rows
-    many = slots.crossJoin(F.broadcast(replicates(sample.sparkSession, n)))
-    order = Window.partitionBy("b", group).orderBy(shuffle_key(seed, F.col("b"), F.col("_key")))
-    return many.withColumn("slot", F.row_number().over(order)).select("b", group, "slot", "value")
-
-
-def _slotted(sample: DataFrame, group: str, key: str) -> DataFrame:
-    return sample.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key)))
-
-
-def _vectors(rows: DataFrame, columns: list[str], order: list[str], group: str | None = None) -> list[np.ndarray] | None:
-    """The columns in order, and where groups begin; none if the rows are too many to be broadcast."""
-    if rows.count() > VECTOR_ROWS:
-        return None
-    pdf = rows.select(*order, *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns))).toPandas().sort_values(order, ignore_index=True)
-    starts = np.flatnonzero(np.append(True, pdf[group].to_numpy()[1:] != pdf[group].to_numpy()[:-1])) if group and len(pdf) else np.zeros(1, np.int64)
-    return [*(pdf[f"_x{i}"].to_numpy(dtype=float) for i in range(len(columns))), starts]
-
-
-def _draws(spark, n: int, statistic, schema: str) -> DataFrame:
-    """The statistic of every draw's own generator, blocks of draws in tasks."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.concat([pd.DataFrame([statistic(int(b)) for b in range(int(block) * DRAWS + 1, min(n, (int(block) + 1) * DRAWS) + 1)], columns=[c.split()[0] for c in schema.split(", ")]) for block in pdf["id"]])
-
-    blocks = -(-n // DRAWS)
-    return spark.range(0, blocks, 1, min(blocks, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
-
-
-def _shuffled(values: np.ndarray, starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Values dealt anew within each group, in the groups' order."""
-    return np.concatenate([rng.permutation(part) for part in np.split(values, starts[1:])])
-
-
-def permuted_statistics(rows: DataFrame, moved: str, held: str, n: int, seed: int, group: str, key: str, agreement: bool) -> DataFrame:
-    """(b, r) of each draw: the correlation of ``held`` with ``moved`` dealt anew within groups, or the share of rows on which they agree.
-
-    Draw b uses numpy's default generator seeded with (seed, b) on rows ordered
-    by group and key. Rows too many to be broadcast are dealt as keyed rows by
-    md5: the same statistic of other random numbers.
-    """
-    vectors = _vectors(rows, [moved, held], [group, key], group)
-    if vectors is None:
-        joined = permuted(rows, moved, n, seed, group, key).join(_slotted(rows, group, key).select(group, "slot", F.col(held).alias("_held")), [group, "slot"])
-        return joined.groupBy("b").agg((F.avg((F.col("_held") == F.col("value")).cast("double")) if agreement else F.corr("_held", "value")).alias("r"))
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(vectors)
-
-    def statistic(b: int) -> tuple[int, float | None]:
-        x, y, starts = shared.value
-        drawn = _shuffled(x, starts, np.random.default_rng([seed, b]))
-        if agreement:
-            return b, float((drawn == y).mean())
-        spread = x.std() * y.std()
-        return b, float(((drawn - x.mean()) @ (y - y.mean())) / len(x) / spread) if spread else None
-
-    return _draws(spark, n, statistic, "b int, r double")
-
-
-def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, group: str = "vintage", key: str = "fund_id") -> DataFrame:
-    """Correlation of within-group percentile ranks and its one-sided permutation p; null below eight rows."""
-    from .ranks import average_rank
-
-    ranked = average_rank(average_rank(sample.select(group, key, "y", "y_lag"), "y_lag", group, "rx"), "y", group, "ry")
-    observed = ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
-    null = permuted_statistics(ranked, "ry", "rx", n, seed, group, key, agreement=False)
-    # one row; equal correlations are sums in another order
-    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("rho").alias("_rho"), F.first("n").alias("n"), ((1 + F.sum((F.col("r") >= F.col("rho") - 1e-12).cast("int"))) / (n + 1)).alias("_p"))
-    enough = F.col("n") >= 8
-    return p.select(F.when(enough, F.col("_rho")).alias("rho"), F.when(enough, F.col("_p")).alias("p"), "n")
-
-
-def transition_permutation(sample: DataFrame, n: int = 9999, seed: int = 20240813, group: str = "vintage", key: str = "fund_id") -> DataFrame:
-    """Share of funds in their predecessor's quartile, its mean under shuffling, and the one-sided p."""
-    from .panel import quartile
-
-    both = quartile(quartile(sample.select(group, key, "y", "y_lag"), "y_lag", group, "q_prev"), "y", group, "q_now").filter("q_prev is not null and q_now is not null")
-    observed = both.agg(F.avg((F.col("q_prev") == F.col("q_now")).cast("double")).alias("diagonal"), F.count("*").alias("n"))
-    null = permuted_statistics(both, "q_now", "q_prev", n, seed, group, key, agreement=True)
-    # one row
-    p = null.crossJoin(F.broadcast(observed)).groupBy().agg(F.first("diagonal").alias("_d"), F.first("n").alias("n"), F.avg("r").alias("_null"), ((1 + F.sum((F.col("r") >= F.col("diagonal") - 1e-12).cast("int"))) / (n + 1)).alias("_p"))
-    enough = F.col("n") >= 4
-    return p.select(F.when(enough, F.col("_d")).alias("diagonal"), F.when(enough, F.col("_null")).alias("null_diagonal"), F.when(enough, F.col("_p")).alias("p"), "n")
-
-
 def attenuation(pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = ()) -> DataFrame:
     """Reliability of two noisy reports of the same value."""
     from .ranks import quantiles
@@ -414,40 +338,6 @@ def numbered_rows(df: DataFrame, key: str, ranges: int = 1024, out: str = "_i")
     return split.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
-def bootstrap_lambda(pairs: DataFrame, n: int = 9999, seed: int = 20240813, key: str = "fund_id") -> DataFrame:
-    """Pair-bootstrap percentile interval of the reliability."""
-    vectors = _vectors(pairs, ["a", "b"], [key])
-    if vectors is None:
-        lam = _keyed_lambdas(pairs, n, seed, key)
-    else:
-        spark = pairs.sparkSession
-        shared = spark.sparkContext.broadcast(vectors)
-
-        def statistic(b: int) -> tuple[int, float | None]:
-            one, two, _ = shared.value
-            pick = np.random.default_rng([seed, b]).integers(len(one), size=len(one))
-            if len(one) < 2:
-                return b, None
-            error = (one - two)[pick].var(ddof=1) / 2
-            true = max(((one + two) / 2)[pick].var(ddof=1) - error / 2, 0.0)
-            return b, float(true / (true + error)) if true + error else None
-
-        lam = _draws(spark, n, statistic, "b int, lambda double")
-    # n rows
-    return lam.agg(F.percentile("lambda", F.lit(0.025)).alias("low"), F.percentile("lambda", F.lit(0.975)).alias("high"), F.count("*").alias("n_boot"))
-
-
-def _keyed_lambdas(pairs: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """(b, lambda) of draws with replacement as keyed rows, by md5."""
-    numbered = numbered_rows(pairs, key)
-    total = numbered.agg(F.count("*").alias("_n"))
-    # one row; n rows
-    slots = numbered.select(F.col("_i").alias("_j")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(replicates(pairs.sparkSession, n)))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("_j").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("_n")
-    drawn = slots.select("b", pick.alias("_i")).join(numbered.select("_i", "a", F.col("b").alias("bb")), "_i")
-    return attenuation(drawn, "a", "bb", ("b",)).select("b", "lambda")
-
-
 def interpolate_crossing(grid: DataFrame, x: str = "beta", y: str = "power", at: float = 0.8) -> DataFrame:
     """Where y first reaches ``at``, by linear interpolation; null if it never does."""
     w = Window.orderBy(x)

@@ -35,6 +35,11 @@ def build_panel(funds: DataFrame, metrics: DataFrame | None = None, perf: str =
     return df.withColumns(gaps)
 
 
+def irr_panel(funds: DataFrame, irr: str = "net_irr") -> DataFrame:
+    """A panel of returns in levels; a fund without one is nobody's predecessor either."""
+    return build_panel(funds.filter(F.col(irr).isNotNull()), perf=irr, log=False)
+
+
 def estimation_sample(panel: DataFrame, controls: tuple[str, ...] = (), clusters: tuple[str, ...] = ("firm_id",), fixed: str | None = "vintage", max_gap: int | None = None, drop_anomalies: bool = False) -> DataFrame:
     """Rows complete in all the model uses; unknown gaps fail a ``max_gap``."""
     needed = ["y", "y_lag", *controls, *clusters, *([fixed] if fixed else [])]
@@ -66,18 +71,27 @@ def winsorise(sample: DataFrame, low: float, high: float) -> DataFrame:
     return clipped.withColumns({c: clamp(F.col(c), F.col("q0"), F.col("q1")) for c in ("y", "y_lag")}).drop("q0", "q1")
 
 
+def quartiles(df: DataFrame, columns: dict[str, str], group: str) -> DataFrame:
+    """Each value's quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values.
+
+    ``columns`` maps names to values, which are ranked together in one pass.
+    """
+    values = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns.values())))
+    stacked = df.select(group, F.explode(values).alias("e")).select(group, "e.which", "e.v")
+    cuts = quantiles(stacked, "v", (0.25, 0.5, 0.75), (group, "which"), kinds="kinds")
+    own = cuts.groupBy(F.col(group).alias("_group")).agg(*(F.max(F.when(F.col("which") == i, F.struct("q0", "q1", "q2", "kinds"))).alias(f"_cut{i}") for i in range(len(columns))))
+    marked = df.join(own, F.col(group).eqNullSafe(F.col("_group")), "left")
+    above = lambda i, c: sum(((F.col(c) > F.col(f"_cut{i}.q{k}")).cast("int") for k in range(3)), F.lit(1))
+    named = {out: F.when((F.col(f"_cut{i}.kinds") >= 4) & F.col(c).isNotNull(), above(i, c)) for i, (out, c) in enumerate(columns.items())}
+    return marked.withColumns(named).drop("_group", *(f"_cut{i}" for i in range(len(columns))))
+
+
 def quartile(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    """Quartile 1 to 4 by linearly interpolated cuts within the group; null below four different values."""
-    kinds = df.filter(F.col(value).isNotNull()).groupBy(group, value).count().groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_kinds"))
-    cuts = quantiles(df, value, (0.25, 0.5, 0.75), (group,)).withColumnRenamed(group, "_cut_group")
-    cuts = cuts.join(kinds, F.col("_cut_group").eqNullSafe(F.col("_group"))).drop("_cut_group")
-    marked = df.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left")
-    above = [(F.col(value) > F.col(f"q{i}")).cast("int") for i in range(3)]
-    return marked.withColumn(out, F.when((F.col("_kinds") >= 4) & F.col(value).isNotNull(), 1 + above[0] + above[1] + above[2])).drop("_group", "_kinds", "q0", "q1", "q2")
+    return quartiles(df, {out: value}, group)
 
 
 def transitions(sample: DataFrame, group: str = "vintage") -> DataFrame:
     """(q_prev, q_now, n, share of the row) of the quartile transition table."""
-    both = quartile(quartile(sample, "y_lag", group, "q_prev"), "y", group, "q_now").filter("q_prev is not null and q_now is not null")
+    both = quartiles(sample, {"q_prev": "y_lag", "q_now": "y"}, group).filter("q_prev is not null and q_now is not null")
     counts = both.groupBy("q_prev", "q_now").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("q_prev")))

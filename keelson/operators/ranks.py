@@ -35,16 +35,16 @@ def cumulated(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
     return rows.join(sizes.alias("b"), same).select(*(F.col(f"a.{o}") for o in own), "_v", "_c", (F.col("_inside") + F.col("_before")).alias("_below"), "_n")
 
 
-def quantiles(df: DataFrame, value: str, at: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """(group columns, q0, q1, ...): linearly interpolated quantiles of each group; one row without groups, of nulls if there are no values."""
-    rows, out = cumulated(df, value, groups), []
+def quantiles(df: DataFrame, value: str, at: Sequence[float], groups: Sequence[str] = (), kinds: str | None = None) -> DataFrame:
+    """(group columns, q0, q1, ...): linearly interpolated quantiles of each group; one row without groups, of nulls if there are no values. ``kinds`` names a count of different values."""
+    rows, out = cumulated(df, value, groups), [F.count("*").alias("_kinds")]
     reached = F.col("_below") + F.col("_c")
     for i, p in enumerate(at):
         place = (F.col("_n") - 1) * F.lit(float(p))
         out += [F.min(F.when(reached > F.floor(place), F.col("_v"))).alias(f"_lo{i}"), F.min(F.when(reached > F.ceil(place), F.col("_v"))).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
     own = [f"_g{i}" for i in range(len(groups))]
     found = rows.groupBy(*own).agg(*out)
-    return found.select(*(F.col(o).alias(g) for o, g in zip(own, groups, strict=True)), *((F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(at))))
+    return found.select(*(F.col(o).alias(g) for o, g in zip(own, groups, strict=True)), *((F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(at))), *([F.col("_kinds").alias(kinds)] if kinds else []))
 
 
 def average_rank(df: DataFrame, value: str, group: str, out: str) -> DataFrame:

@@ -131,11 +131,12 @@ def stranded_number(spark, sf):
     return V.names(spark, sf).select("fund_id", N.stranded_number(F.col("fund_name")).alias("token"))
 
 
-@query("roman_to_int", f"SELECT n::INT AS n, ({_ROMANS})[n] AS numeral, list_position({_ROMANS}, ({_ROMANS})[n])::INT AS value FROM range(1, 61) t(n)")
+@query("roman_to_int", f"SELECT fund_id, numeral, CASE WHEN list_contains({_ROMANS}, numeral) THEN list_position({_ROMANS}, numeral)::INT END AS value FROM (SELECT p_partkey AS fund_id, CASE WHEN p_partkey % 5 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE ({_ROMANS})[p_partkey % 60 + 1] END AS numeral FROM part)")
 def roman_to_int(spark, sf):
-    numerals = F.array(*(F.lit(N.roman(n)) for n in range(1, 61)))
-    d = spark.range(1, 61).select(F.col("id").cast("int").alias("n"), F.element_at(numerals, F.col("id").cast("int")).alias("numeral"))
-    return d.withColumn("value", N.roman_value(F.col("numeral")))
+    """Numerals of all funds, and words that are none."""
+    k, numerals = F.col("p_partkey"), F.array(*(F.lit(N.roman(n)) for n in range(1, 61)))
+    numeral = F.when(k % 5 == 0, F.upper(F.split("p_name", " ")[0])).otherwise(F.element_at(numerals, (k % 60 + 1).cast("int")))
+    return V.table(spark, sf, "part").select(k.alias("fund_id"), numeral.alias("numeral")).withColumn("value", N.roman_value(F.col("numeral")))
 
 
 @query("sponsor_token", """WITH s AS (SELECT fund_id, CASE WHEN fund_id % 3 = 0 THEN 'THE ' || upper(fund_name) ELSE upper(fund_name) END AS family FROM names)

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import numbers as M
 from ..operators import cashflow, entity, inference, panel, simulate
-from ..sources import manifest, readers
+from ..schemas import FAMILY_OVERRIDES, SPONSOR_OVERRIDES
+from ..sources import archive, manifest, readers
 from . import views as V
 from .catalog import _OVERRIDES, _overrides, query, r6
 from .statistics import _fit, _ols_sql, _sample
@@ -27,14 +28,35 @@ def csv_scan(spark, sf):
     return readers.csv_scan(spark, path, _FLAT)
 
 
-@query("append_only_sink", "SELECT as_of, count(*) AS n FROM snapshots GROUP BY 1")
+@query("append_only_sink", "SELECT as_of, count(*) AS n, round(sum(nav), 4) AS nav FROM snapshots GROUP BY 1")
 def append_only_sink(spark, sf):
-    """A second write of other rows leaves the archive as it was."""
+    """Every other date first; then all dates, the known ones with other values, which the archive does not take."""
     path = readers.scratch_dir(spark, "archive")
     dated = V.snapshots(spark, sf).withColumn("source", F.lit("plan"))
-    readers.append_only_sink(dated, path)
-    readers.append_only_sink(dated.limit(1), path)
-    return spark.read.parquet(path).groupBy("as_of").agg(F.count("*").alias("n"))
+    known = F.floor(F.date_diff("as_of", F.lit("1970-01-01").cast("date")) / 7) % 2 == 0
+    archive.append_only_sink(dated.filter(known), path)
+    archive.append_only_sink(dated.withColumn("nav", F.when(known, -1.0).otherwise(F.col("nav"))), path)
+    return archive.read_archive(spark, path, dated.schema).groupBy("as_of").agg(F.count("*").alias("n"), F.round(F.sum("nav"), 4).alias("nav"))
+
+
+@query("override_scan", "SELECT c_custkey::VARCHAR AS firm_id_raw, (c_custkey % 7 - 10)::VARCHAR AS firm_id_canonical, CASE WHEN c_custkey % 3 = 0 THEN 'keep_separate' ELSE 'merge' END AS decision, CASE WHEN c_custkey % 2 = 0 THEN 'high' ELSE '' END AS confidence, 'of \"' || c_custkey || '\", by hand' AS reason FROM customer")
+def override_scan(spark, sf):
+    """A mapping of every customer is written with comments and quotes, and checked as it is read."""
+    path = readers.scratch_dir(spark, "overrides")
+    k = F.col("c_custkey")
+    rows = V.table(spark, sf, "customer").select(k.cast("string").alias("firm_id_raw"), (k % 7 - 10).cast("string").alias("firm_id_canonical"), F.when(k % 3 == 0, "keep_separate").otherwise("merge").alias("decision"), F.when(k % 2 == 0, "high").alias("confidence"), F.concat(F.lit('of "'), k.cast("string"), F.lit('", by hand')).alias("reason"))
+    said = rows.limit(1).select(F.lit("# reviewed").alias("firm_id_raw"), *(F.lit("x").alias(c) for c in rows.columns[1:]))
+    # a writer that takes another sign for comments leaves this one unquoted
+    rows.unionByName(said).write.option("header", True).option("escape", '"').option("comment", "%").csv(path)
+    return readers.override_scan(spark, path, FAMILY_OVERRIDES)
+
+
+@query("override_scan_sponsors", "SELECT s_suppkey::VARCHAR AS firm_id, 'S' || s_nationkey AS sponsor_id, '' AS confidence, s_name AS reason FROM supplier")
+def override_scan_sponsors(spark, sf):
+    path = readers.scratch_dir(spark, "sponsors")
+    rows = V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("firm_id"), F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("sponsor_id"), F.lit(None).cast("string").alias("confidence"), F.col("s_name").alias("reason"))
+    readers.csv_sink(rows, path)
+    return readers.override_scan(spark, path, SPONSOR_OVERRIDES)
 
 
 @query("archive_scan", "SELECT as_of, count(*) AS n, round(sum(nav), 4) AS nav FROM snapshots GROUP BY 1")
@@ -47,20 +69,29 @@ def archive_scan(spark, sf):
     return readers.archive_scan(spark, f"{path}/*.csv").groupBy("as_of").agg(F.count("*").alias("n"), F.round(F.sum("nav"), 4).alias("nav"))
 
 
+#: Funds of one archived file.
+_FILE = 4096
+
+
 def _archived(spark, sf):
-    """Three files of funds, named by Spark."""
+    """Files of funds, one for each range of ids, named by Spark."""
     path = readers.scratch_dir(spark, "files")
-    part = (F.col("fund_id") % 3).alias("part")
-    V.funds(spark, sf).select("fund_id", part).repartition(3, "part").write.partitionBy("part").option("header", True).csv(path)
+    part = F.floor(F.col("fund_id") / _FILE).alias("part")
+    V.funds(spark, sf).select("fund_id", part).repartition("part").sortWithinPartitions("part", "fund_id").write.partitionBy("part").option("header", True).csv(path)
     return path
 
 
-_FILES = "SELECT 'snapshot' AS kind, '' AS source, '' AS as_of, 64 AS digits, count(*)::VARCHAR AS rows FROM funds GROUP BY fund_id % 3"
+# a file's name holds a random number, so its folder stands for it
+_FILES = f"SELECT 'part=' || (fund_id // {_FILE}) AS folder, 'snapshot' AS kind, '' AS source, '' AS as_of, sha256('fund_id' || chr(10) || string_agg(fund_id || chr(10), '' ORDER BY fund_id)) AS sha256, count(*)::VARCHAR AS rows FROM funds GROUP BY fund_id // {_FILE}"
+
+
+def _told(files):
+    return files.select(F.split("file", "/")[0].alias("folder"), "kind", "source", "as_of", "sha256", "rows")
 
 
 @query("manifest_build", _FILES)
 def manifest_build(spark, sf):
-    return manifest.build(spark, f"{_archived(spark, sf)}/*/*.csv", "snapshot").select("kind", "source", "as_of", F.length("sha256").alias("digits"), "rows")
+    return _told(manifest.build(spark, f"{_archived(spark, sf)}/*/*.csv", "snapshot"))
 
 
 @query("manifest_sink", f"SELECT *, false AS changed FROM ({V.with_views(_FILES)})")
@@ -71,7 +102,7 @@ def manifest_sink(spark, sf):
     before = [tuple(r) for r in manifest.write(spark, f"{path}/*/*.csv", f"{path}-manifest").orderBy("file").collect()]
     again = manifest.write(spark, f"{path}/*/*.csv", f"{path}-manifest")
     changed = before != [tuple(r) for r in again.orderBy("file").collect()]
-    return again.select("kind", "source", "as_of", F.length("sha256").alias("digits"), "rows", F.lit(changed).alias("changed"))
+    return _told(again).withColumn("changed", F.lit(changed))
 
 
 @query("benchmark_scan", "SELECT date, level FROM idx WHERE level > 0 ORDER BY date")
@@ -96,17 +127,28 @@ def raw_table(spark, sf):
 
 @query("stream_flows", "SELECT fund_id, as_of AS date, round(d - c, 6) AS amount FROM (SELECT fund_id, as_of, greatest(coalesce(contributions - lag(contributions) OVER w, contributions), 0) AS c, greatest(coalesce(distributions - lag(distributions) OVER w, distributions), 0) AS d FROM snapshots WINDOW w AS (PARTITION BY fund_id ORDER BY as_of)) WHERE d - c <> 0")
 def stream_flows(spark, sf):
-    """Snapshots arrive file by file; the flows are those of the batch."""
-    from ..streaming.differencing import stream_flows as differenced
+    """Snapshots arrive in three parts, and the query stops and starts again between them; the flows are those of the batch."""
+    from ..streaming import differencing
 
     path = readers.scratch_dir(spark, "stream")
     rows = V.snapshots(spark, sf).select("fund_id", "as_of", "contributions", "distributions")
-    rows.coalesce(1).write.parquet(f"{path}/in")
-    arriving = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    running = differenced(arriving).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema("fund_id long, date date, amount double").parquet(f"{path}/out").select("fund_id", "date", r6("amount").alias("amount"))
-
+    # a row for each date
+    days = sorted(r[0] for r in rows.select("as_of").distinct().collect())
+    cuts = [days[len(days) * i // 3] for i in (1, 2)] if days else []
+    part = F.lit(0) + sum(((F.col("as_of") >= c).cast("int") for c in cuts), F.lit(0))
+    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{path}/all")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(jvm.Path(f"{path}/in"))
+    with differencing.with_state(spark, spark.sparkContext.defaultParallelism):
+        for i in range(3):
+            if not store.exists(jvm.Path(f"{path}/all/part={i}")):
+                continue
+            store.rename(jvm.Path(f"{path}/all/part={i}"), jvm.Path(f"{path}/in/{i}"))
+            arriving = spark.readStream.schema(rows.schema).parquet(f"{path}/in/*")
+            running = differencing.stream_flows(arriving).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            running.awaitTermination()
+    return spark.read.schema(differencing.OUT).parquet(f"{path}/out").select("fund_id", "date", r6("amount").alias("amount"))
 
 # ---- filters and projections of the overlap study --------------------------
 
@@ -166,8 +208,8 @@ def build_regime(spark, sf):
 @query("irr_panel", _ols_sql(sample="(SELECT *, lag(y) OVER w AS y_lag FROM (SELECT *, nav / contributions - 0.5 AS y FROM snap WHERE fund_id % 6 > 0) WINDOW w AS (PARTITION BY firm_id ORDER BY sequence, fund_id) QUALIFY lag(y) OVER w IS NOT NULL)"))
 def irr_panel(spark, sf):
     """A return in levels instead of a log multiple."""
-    s = V.snap(spark, sf).filter("fund_id % 6 > 0").withColumn("net_irr", F.col("nav") / F.col("contributions") - 0.5)
-    return _fit(inference.ols_fe(panel.estimation_sample(panel.build_panel(s, perf="net_irr", log=False))))
+    s = V.snap(spark, sf).withColumn("net_irr", F.when(F.col("fund_id") % 6 > 0, F.col("nav") / F.col("contributions") - 0.5))
+    return _fit(inference.ols_fe(panel.estimation_sample(panel.irr_panel(s))))
 
 
 @query("resolution_pipeline", "SELECT count(*) AS funds, count(DISTINCT firm_id) AS families FROM (SELECT firm_id, fund_number, 1 AS n FROM (SELECT *, min(source) OVER (PARTITION BY firm_id, fund_number) AS best FROM plans WHERE fund_number IS NOT NULL) WHERE source = best GROUP BY ALL UNION ALL SELECT firm_id, NULL, fund_id FROM plans WHERE fund_number IS NULL)")
@@ -198,10 +240,23 @@ def transition_heatmap(spark, sf):
     return panel.transitions(_sample(spark, sf)).select("q_prev", "q_now", F.round("share", 4).alias("share"))
 
 
-@query("round_row", f"SELECT spec, round(beta, 4) AS beta, round(se, 4) AS se, n FROM ({_ols_sql(sample='(SELECT *, CASE WHEN vintage < 1998 THEN 1 ELSE 2 END AS spec FROM sample)', key='spec')})")
+def _row_sql(places):
+    """The published row: every number by half-even rounding of its binary value, which C's %f does."""
+    return ", ".join(f"printf('%.{d}f', {c})::DOUBLE AS {c}" for c, d in places.items())
+
+
+@query("round_row", f"SELECT spec, {_row_sql({'beta': 4, 'se': 4})}, n FROM ({_ols_sql(sample='(SELECT *, CASE WHEN vintage < 1998 THEN 1 ELSE 2 END AS spec FROM sample)', key='spec')})")
 def round_row(spark, sf):
     s = _sample(spark, sf).withColumn("spec", F.when(F.col("vintage") < 1998, 1).otherwise(2))
-    return inference.ols_fe(s, keys=("spec",)).select("spec", F.round(r6("beta"), 4).alias("beta"), F.round(r6("se"), 4).alias("se"), "n")
+    return inference.ols_fe(s, keys=("spec",)).select("spec", M.round_half_even(r6("beta"), 4).alias("beta"), M.round_half_even(r6("se"), 4).alias("se"), "n")
+
+
+@query("round_half_even", f"SELECT k, x, {_row_sql({'two': 2, 'three': 3})} FROM (SELECT k, x, x AS two, x AS three FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_quantity * l_tax / 8 AS x FROM lineitem))")
+def round_half_even(spark, sf):
+    """Many products lie on a half of the second or third place, or look as if they did."""
+    x = F.col("l_quantity") * F.col("l_tax") / 8
+    rows = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), x.alias("x"))
+    return rows.select("k", "x", M.round_half_even(F.col("x"), 2).alias("two"), M.round_half_even(F.col("x"), 3).alias("three"))
 
 
 @query("vintage_error_study")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import parsing as P
-from ..operators import cashflow, entity, inference, panel, review, simulate
+from ..operators import cashflow, entity, inference, panel, resample, review, simulate
 from ..sources import disclosures, manifest, readers
 from . import views as V
 from .catalog import ORACLES, query, r6
@@ -116,17 +116,21 @@ def flow_invariants(spark, sf):
 # ---- regressions -----------------------------------------------------------
 
 
-def _ols_sql(sample: str = "sample", where: str = "", fixed: str = "vintage", extra_k: int = 1, clusters: tuple[str, ...] = ("firm_id",), key: str = "", control: str = "") -> str:
+def _ols_sql(sample: str = "sample", where: str = "", fixed: str = "vintage", extra_k: int = 1, clusters: tuple[str, ...] = ("firm_id",), key: str = "", controls: tuple[str, ...] = ()) -> str:
     part = ", ".join(x for x in (key, fixed) if x)
     over = f"OVER (PARTITION BY {part})" if part else "OVER ()"
     by = f"OVER (PARTITION BY {key})" if key else "OVER ()"
     lead = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
     using = f"USING ({key})" if key else "ON true"
-    columns = ["y", "y_lag"] + ([control] if control else [])
+    columns = ["y", "y_lag", *controls]
     dm = ", ".join(f"{c} - avg({c}) {over} AS d_{c}" for c in columns)
-    z = f"d_{control}"
-    part_out = f"d_y - sum({z} * d_y) {by} / sum({z} * {z}) {by} * {z} AS ty, d_y_lag - sum({z} * d_y_lag) {by} / sum({z} * {z}) {by} * {z} AS tx" if control else "d_y AS ty, d_y_lag AS tx"
+    # one control after another leaves the columns that are left
+    steps, source = [], "m"
+    for i, z in enumerate(controls):
+        later = [c for c in columns if c not in controls[: i + 1]]
+        steps.append(f"z{i} AS (SELECT * REPLACE ({', '.join(f'd_{c} - sum(d_{z} * d_{c}) {by} / sum(d_{z} * d_{z}) {by} * d_{z} AS d_{c}' for c in later)}) FROM {source}), ")
+        source = f"z{i}"
     dims = [(clusters[0],)] + ([(clusters[1],), clusters] if len(clusters) > 1 else [])
     ctes, joins, terms = [], "", []
     for i, dim in enumerate(dims):
@@ -135,8 +139,8 @@ def _ols_sql(sample: str = "sample", where: str = "", fixed: str = "vintage", ex
         terms.append(f"v{i} * g{i} / (g{i} - 1) * (n - 1) / (n - k)")
     var = f"CASE WHEN {terms[0]} + {terms[1]} - {terms[2]} > 0 THEN {terms[0]} + {terms[1]} - {terms[2]} ELSE {terms[0]} END" if len(dims) == 3 else terms[0]
     levels = f"count(DISTINCT {fixed})" if fixed else "1"
-    return f"""WITH m AS (SELECT *, {dm} FROM {sample} {where}), t AS (SELECT *, {part_out} FROM m), x AS (SELECT *, sum(tx * tx) {by} AS xx, sum(tx * ty) {by} / sum(tx * tx) {by} AS beta FROM t), e AS (SELECT *, ty - beta * tx AS e FROM x),
-b AS (SELECT {lead}any_value(beta) AS beta, count(*) AS n, count(DISTINCT firm_id) AS n_firms, {levels} + {extra_k + (1 if control else 0)} AS k FROM e {group}),
+    return f"""WITH m AS (SELECT *, {dm} FROM {sample} {where}), {"".join(steps)}t AS (SELECT *, d_y AS ty, d_y_lag AS tx FROM {source}), x AS (SELECT *, sum(tx * tx) {by} AS xx, sum(tx * ty) {by} / sum(tx * tx) {by} AS beta FROM t), e AS (SELECT *, ty - beta * tx AS e FROM x),
+b AS (SELECT {lead}any_value(beta) AS beta, count(*) AS n, count(DISTINCT firm_id) AS n_firms, {levels} + {extra_k + len(controls)} AS k FROM e {group}),
 {", ".join(ctes)}
 SELECT {lead}round(beta, 6) AS beta, round(sqrt({var}), 6) AS se, n, n_firms FROM b{joins}"""
 
@@ -155,9 +159,25 @@ def ols_plain(spark, sf):
     return _fit(inference.ols_fe(_sample(spark, sf), fixed=None))
 
 
-@query("ols_control", _ols_sql(control="log_commitment"))
+@query("ols_control", _ols_sql(controls=("log_commitment",)))
 def ols_control(spark, sf):
-    return _fit(inference.ols_fe(_sample(spark, sf, controls=("log_commitment",)), control="log_commitment"))
+    return _fit(inference.ols_fe(_sample(spark, sf, controls=("log_commitment",)), controls=("log_commitment",)))
+
+
+_CONTROLS = ("log_commitment", "sequence", "vintage_gap")
+
+
+@query("ols_controls", _ols_sql(controls=_CONTROLS[:2]))
+def ols_controls(spark, sf):
+    """Fund size and place in the series together."""
+    return _fit(inference.ols_fe(_sample(spark, sf, controls=_CONTROLS[:2]), controls=_CONTROLS[:2]))
+
+
+@query("specification_rows_controls", _ols_sql(sample="(SELECT *, CASE WHEN vintage < 1995 THEN 'early' ELSE 'late' END AS spec FROM sample)", key="spec", clusters=("firm_id", "vintage"), controls=_CONTROLS))
+def specification_rows_controls(spark, sf):
+    """Three controls in each half of the vintages, both clusterings."""
+    halves = _sample(spark, sf, controls=_CONTROLS).withColumn("spec", F.when(F.col("vintage") < 1995, "early").otherwise("late"))
+    return _fit(inference.ols_fe(halves, keys=("spec",), clusters=("firm_id", "vintage"), controls=_CONTROLS), "spec")
 
 
 @query("ols_two_way", _ols_sql(clusters=("firm_id", "vintage")))
@@ -231,7 +251,7 @@ def attenuation(spark, sf):
     return out.select("n_pairs", r6("var_error", 8).alias("var_error"), r6("var_true", 8).alias("var_true"), r6("lambda").alias("lambda"), r6("mean_abs_diff").alias("mean_abs_diff"), r6("median_pct_diff").alias("median_pct_diff"))
 
 
-# Over whole tables with 9999 draws SQL is too slow for these four; tests/test_whole.py has them against brute force.
+# Over whole tables with 9999 draws SQL is too slow for these four; tests/test_whole.py and tests/test_resample.py have them against brute force.
 
 
 @query("wild_cluster_bootstrap")
@@ -241,17 +261,17 @@ def wild_cluster_bootstrap(spark, sf):
 
 @query("spearman_within")
 def spearman_within(spark, sf):
-    return inference.spearman_within(_sample(spark, sf)).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
+    return resample.spearman_within(_sample(spark, sf)).select(r6("rho").alias("rho"), r6("p").alias("p"), "n")
 
 
 @query("transition_permutation_test")
 def transition_permutation_test(spark, sf):
-    return inference.transition_permutation(_sample(spark, sf)).select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
+    return resample.transition_permutation(_sample(spark, sf)).select(r6("diagonal").alias("diagonal"), r6("null_diagonal").alias("null_diagonal"), r6("p").alias("p"), "n")
 
 
 @query("bootstrap_lambda")
 def bootstrap_lambda(spark, sf):
-    return inference.bootstrap_lambda(V.reports(spark, sf)).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
+    return resample.bootstrap_lambda(V.reports(spark, sf)).select(r6("low").alias("low"), r6("high").alias("high"), "n_boot")
 
 
 @query("overlap_keyed", f"SELECT count(*) AS n, round(corr(ln(a.tvpi), ln(b.tvpi)), 6) AS r FROM plans a JOIN plans b ON a.firm_id = b.firm_id AND a.fund_number = b.fund_number AND a.vintage = b.vintage WHERE a.source = '{V.A}' AND b.source = '{V.B}' AND a.tvpi > 0 AND b.tvpi > 0")
@@ -261,10 +281,12 @@ def overlap_keyed(spark, sf):
     return a.join(b, ["firm_id", "fund_number", "vintage"]).agg(F.count("*").alias("n"), r6(F.corr(F.ln("tvpi"), F.ln("tvpi_b"))).alias("r"))
 
 
-@query("interpolate_mde", "WITH g AS (SELECT k / 20 AS beta, 1 - exp(-k * k / 40) AS power FROM range(0, 9) t(k)), s AS (SELECT beta, power, lag(beta) OVER (ORDER BY beta) AS b0, lag(power) OVER (ORDER BY beta) AS p0 FROM g) SELECT round(arg_min(b0 + (0.8 - p0) * (beta - b0) / (power - p0), beta), 6) AS crossing FROM s WHERE power >= 0.8")
+@query("interpolate_mde", "WITH g AS (SELECT o_custkey % 40 / 40 AS beta, avg((o_orderkey // 8 % 40 < o_custkey % 40)::INT) AS power FROM orders GROUP BY 1), s AS (SELECT beta, power, lag(beta) OVER (ORDER BY beta) AS b0, lag(power) OVER (ORDER BY beta) AS p0 FROM g) SELECT round(arg_min(CASE WHEN p0 IS NULL OR power = p0 THEN beta ELSE b0 + (0.8 - p0) * (beta - b0) / (power - p0) END, beta), 6) AS crossing FROM s WHERE power >= 0.8")
 def interpolate_mde(spark, sf):
-    k = F.col("id").cast("double")
-    return inference.interpolate_crossing(spark.range(9).select((k / 20).alias("beta"), (1 - F.exp(-k * k / 40)).alias("power"))).select(r6("crossing").alias("crossing"))
+    """The shares of orders of forty slopes are the powers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 40
+    grid = V.table(spark, sf, "orders").groupBy((c / 40).alias("beta")).agg(F.avg((F.floor(k / 8) % 40 < c).cast("int")).alias("power"))
+    return inference.interpolate_crossing(grid).select(r6("crossing").alias("crossing"))
 
 
 @query("beta_correction", f"SELECT round(f.beta / l.lambda, 6) AS corrected FROM ({_ols_sql()}) f, (SELECT v / (v + e) AS lambda FROM (SELECT {_ATT} AS e, greatest(var_samp((a + b) / 2) - {_ATT} / 2, 0) AS v FROM reports)) l")
@@ -344,10 +366,12 @@ def oregon_parse_lines(spark, sf):
     return out.select("fund_id", "vintage", r6("commitment").alias("commitment"), r6("nav").alias("nav"), r6("reported_multiple").alias("multiple"), r6("net_irr").alias("irr"), "not_meaningful", "sold_secondary")
 
 
-@query("oregon_as_of", "SELECT DATE '2024-03-31' AS as_of")
+@query("oregon_as_of", "SELECT o_custkey AS path, arg_min(o_orderdate, o_orderkey) FILTER (o_orderkey % 3 > 0)::DATE AS as_of FROM orders GROUP BY 1")
 def oregon_as_of(spark, sf):
-    lines = spark.createDataFrame([(1, "Private equity"), (2, "As of sometime"), (3, "As of March 31, 2024"), (4, "As of June 30, 2024")], "line_no int, line string")
-    return disclosures.report_as_of(lines)
+    """Reports of a few lines, some of which have dates."""
+    k, d = F.col("o_orderkey"), F.date_format("o_orderdate", "MMMM d, yyyy")
+    said = F.when(k % 3 == 0, "As of sometime").otherwise(F.concat(F.lit("As of "), d))
+    return disclosures.report_as_of(V.table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), k.alias("line_no"), said.alias("line")), key="path")
 
 
 @query("calpers_parse", """SELECT 'CALPERS::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, (o_orderkey % 900 + 100)::DOUBLE AS contributions, (o_orderkey % 700)::DOUBLE AS distributions, (o_orderkey % 700 + o_orderkey % 300)::DOUBLE AS total_value, (o_orderkey % 300)::DOUBLE AS nav,
@@ -378,24 +402,47 @@ def discover_links(spark, sf):
     return disclosures.report_links(V.table(spark, sf, "orders").select(F.concat(F.lit('<p><a href="'), href, F.lit('">report</a>')).alias("html")))
 
 
-@query("calpers_load", "SELECT 'CALPERS::' || p_name AS fund_id, 2001 AS vintage, (p_size + 1)::DOUBLE AS contributions, p_size::DOUBLE AS distributions, DATE '2024-06-30' AS as_of FROM part")
+@query("calpers_load", "SELECT 'CALPERS::' || p_name AS fund_id, 2001 AS vintage, (p_size + 1)::DOUBLE AS contributions, p_size::DOUBLE AS distributions, make_date((2000 + p_partkey % 20)::INT, 6, 30) AS as_of FROM part")
 def calpers_load(spark, sf):
-    """One page with a small table before the large one."""
+    """Pages with a small table before the large one, each with its own date."""
     p = V.table(spark, sf, "part")
     cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(F.col("p_name")), cell(F.lit("2001")), cell(F.lit("$9")), cell(F.col("p_size") + 1), cell(F.col("p_size")), cell(F.col("p_size") * 2), cell(F.lit("N/M")), cell(F.lit("1.0x")), F.lit("</tr>"))
-    head = "<p>As of June 30, 2024</p><table><tr><td>x</td></tr></table><table><tr>" + "".join(f"<th>{c.replace('&', '&amp;')}</th>" for c in disclosures.CALPERS_COLUMNS) + "</tr>"
-    page = p.groupBy(F.col("p_partkey").alias("path")).agg(F.concat(F.lit(head), F.max(row), F.lit("</table>")).alias("html"))
+    banner = F.concat(F.lit("<p>As of June 30, "), (2000 + F.col("p_partkey") % 20).cast("string"), F.lit("</p>"))
+    head = "<table><tr><td>x</td></tr></table><table><tr>" + "".join(f"<th>{c.replace('&', '&amp;')}</th>" for c in disclosures.CALPERS_COLUMNS) + "</tr>"
+    page = p.groupBy(F.col("p_partkey").alias("path")).agg(F.concat(F.max(banner), F.lit(head), F.max(row), F.lit("</table>")).alias("html"))
     return disclosures.calpers_load(page).select("fund_id", "vintage", "contributions", "distributions", "as_of")
 
 
-@query("oregon_load", "SELECT 'OPERF::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, o_orderkey % 5 = 0 AS not_meaningful, DATE '2024-03-31' AS as_of FROM orders WHERE o_orderkey % 50 > 0")
+#: Lines of one report.
+_REPORT = 4096
+
+
+@query("oregon_load", f"SELECT 'OPERF::Fund ' || o_orderkey AS fund_id, year(o_orderdate)::INT AS vintage, o_orderkey % 5 = 0 AS not_meaningful, make_date((2000 + o_orderkey // {_REPORT} % 20)::INT, 3, 31) AS as_of FROM orders WHERE o_orderkey % 50 > 0")
 def oregon_load(spark, sf):
-    """A report's text is written and read again; its date is the report's."""
+    """Reports' texts are written, a file for each range of orders, and read in one go; each file has its own date."""
     path = readers.scratch_dir(spark, "report")
-    lines = _report_lines(spark, sf).select(F.col("line").alias("value"))
-    spark.createDataFrame([("Private equity",), ("As of March 31, 2024",)], "value string").unionByName(lines).write.text(path)
-    return disclosures.oregon_load(spark, path).select("fund_id", "vintage", "not_meaningful", "as_of")
+    lines = _report_lines(spark, sf).select(F.floor(F.col("line_no") / _REPORT).alias("report"), "line_no", F.col("line").alias("value"))
+    day = F.concat(F.lit("As of March 31, "), (2000 + F.col("report") % 20).cast("string"))
+    heads = lines.select("report").distinct().select("report", F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("line_no"), F.lit("Private equity").alias("value")), F.struct(F.lit(-1).cast("long").alias("line_no"), day.alias("value")))).alias("e")).select("report", "e.*")
+    lines.unionByName(heads).repartition("report").sortWithinPartitions("report", "line_no").select("report", "value").write.partitionBy("report").text(path)
+    return disclosures.oregon_load(spark, f"{path}/report=*").select("fund_id", "vintage", "not_meaningful", "as_of")
+
+
+@query("pdf_lines", f"SELECT o_orderkey // {_REPORT} AS report, count(*) AS lines, sum(o_orderkey) AS total, (max(n) + max(n) // 50)::INT AS last, (max(n) // 50)::INT AS page FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // {_REPORT} ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY 1")
+def pdf_lines(spark, sf):
+    """Orders' keys as the lines of reports of fifty lines a page; numbers and pages are each report's own."""
+    path = readers.scratch_dir(spark, "pages")
+    k = F.col("o_orderkey")
+    keyed = V.table(spark, sf, "orders").select(F.floor(k / _REPORT).alias("report"), k.alias("k"))
+    nth = F.row_number().over(Window.partitionBy("report").orderBy("k")) - 1
+    feed = F.when((nth > 0) & (nth % 50 == 0), "\f").otherwise("")
+    # a feed is written at the end of the line before, and ends one of its own
+    lines = keyed.withColumn("_feed", feed).withColumn("value", F.concat(F.col("k").cast("string"), F.coalesce(F.lead("_feed").over(Window.partitionBy("report").orderBy("k")), F.lit(""))))
+    lines.sortWithinPartitions("report", "k").select("report", "value").write.partitionBy("report").text(path)
+    read = disclosures.pdf_lines(spark, f"{path}/report=*").filter("line <> ''")
+    report = F.regexp_extract("path", r"report=(\d+)", 1).cast("long")
+    return read.groupBy(report.alias("report")).agg(F.count("*").alias("lines"), F.sum(F.col("line").cast("long")).alias("total"), F.max("line_no").alias("last"), F.max("page").alias("page"))
 
 
 @query("quarter_url", f"SELECT o_orderkey AS k, printf('{disclosures.OREGON_URL}', year(o_orderdate), quarter(o_orderdate), year(o_orderdate)) AS url FROM orders")
@@ -403,13 +450,28 @@ def quarter_url(spark, sf):
     return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), disclosures.quarter_url(F.year("o_orderdate"), F.quarter("o_orderdate")).alias("url"))
 
 
-@query("factor_scan", "SELECT last_day(make_date(2000 + k // 12, k % 12 + 1, 1)) AS date, CASE WHEN k % 7 > 0 THEN round((k % 9 - 4) / 100, 6) END AS mkt_rf, round(0.1 / 100, 6) AS rf FROM (SELECT k::INT AS k FROM range(0, 120) t(k))")
+_FACTORS = "SELECT o_orderkey AS k, last_day(o_orderdate::DATE) AS date, CASE WHEN o_orderkey % 7 > 0 THEN round((o_orderkey % 9 - 4) / 100, 6) END AS mkt_rf, CASE WHEN o_orderkey % 11 > 0 THEN round(0.1 / 100, 6) END AS rf FROM orders"
+
+
+def _factor_lines(spark, sf):
+    """A line of factors for each order, among prose and annual figures."""
+    k = F.col("o_orderkey")
+    monthly = F.concat_ws(",", F.date_format("o_orderdate", "yyyyMM"), F.when(k % 7 == 0, "-99.99").otherwise(F.concat((k % 9 - 4).cast("string"), F.lit(".0"))), F.lit(" 1.0"), F.lit("0.5"), F.when(k % 11 == 0, "-999").otherwise("0.1"))
+    annual = F.concat_ws(",", F.year("o_orderdate").cast("string"), F.lit("1.0"), F.lit("1.0"), F.lit("1.0"), F.lit("1.0"))
+    lines = F.array(monthly, annual, F.lit("This file was made from prices"), F.lit(",Mkt-RF,SMB,HML,RF"), F.lit(""))
+    return V.table(spark, sf, "orders").select(F.explode(lines).alias("value"))
+
+
+@query("factor_scan", f"SELECT date, mkt_rf, rf, count(*) AS n FROM ({_FACTORS}) GROUP BY ALL")
 def factor_scan(spark, sf):
-    k = F.col("id").cast("int")
-    month = F.concat((2000 + F.floor(k / 12)).cast("string"), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
-    monthly = spark.range(120).select(F.concat_ws(",", month, F.when(k % 7 == 0, "-99.99").otherwise(F.concat((k % 9 - 4).cast("string"), F.lit(".0"))), F.lit(" 1.0"), F.lit("0.5"), F.lit("0.1")).alias("value"))
-    prose = spark.createDataFrame([("This file was made from prices",), ("",), (",Mkt-RF,SMB,HML,RF",), (" Annual Factors",), ("2000,1.0,1.0,1.0,1.0",)], "value string")
-    return disclosures.factors(monthly.unionByName(prose)).select("date", r6("mkt_rf").alias("mkt_rf"), r6("rf").alias("rf"))
+    return disclosures.factors(_factor_lines(spark, sf)).groupBy("date", r6("mkt_rf").alias("mkt_rf"), r6("rf").alias("rf")).agg(F.count("*").alias("n"))
+
+
+@query("missing_guard", f"SELECT year(date)::INT AS year, count(*) AS n, count(*) FILTER (mkt_rf IS NULL OR rf IS NULL) AS missing, min(date) FILTER (mkt_rf IS NULL OR rf IS NULL) AS first FROM ({_FACTORS}) GROUP BY 1")
+def missing_guard(spark, sf):
+    """The months at which an index would have a hole, by year."""
+    rows = disclosures.factors(_factor_lines(spark, sf)).withColumn("year", F.year("date"))
+    return cashflow.first_missing(rows, ("mkt_rf", "rf"), keys=("year",))
 
 
 def _scanned(p):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions.numbers import ratio
 from ..schemas import require_columns
+from .reportfiles import report_lines_of
 
 # Published column names, source names, URL form, missing codes.
 CALPERS_COLUMNS = {
@@ -57,25 +58,29 @@ def widest_table(rows: DataFrame, key: str = "path") -> DataFrame:
 def calpers_parse(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
     """The canonical snapshot from the published string table."""
     require_columns(raw, CALPERS_COLUMNS, "CalPERS table")
-    df = raw.select(*(F.col(f"`{a}`").alias(b) for a, b in CALPERS_COLUMNS.items()))
+    df = raw.select(*(F.col(f"`{a}`").alias(b) for a, b in CALPERS_COLUMNS.items()), *([as_of.alias("_day")] if as_of is not None else []))
     df = df.withColumn("fund_name", F.trim("fund_name")).filter("fund_name <> 'Fund'")
     df = df.withColumn("not_meaningful", F.coalesce(F.lower("net_irr").contains("n/m"), F.lit(False)))
     df = df.withColumns({c: P.money_us(F.col(c)) for c in ("commitment", "contributions", "distributions", "total_value")})
     df = df.withColumn("vintage", F.trim("vintage").try_cast("int")).withColumn("net_irr", P.percent(F.col("net_irr")))
     df = df.na.drop(subset=["vintage", "contributions"]).filter("contributions > 0")
-    return df.select(F.concat(F.lit("CALPERS::"), "fund_name").alias("fund_id"), "fund_name", "vintage", "commitment", "contributions", "distributions", "total_value", (F.col("total_value") - F.col("distributions")).alias("nav"), ratio(F.col("total_value"), F.col("contributions")).alias("tvpi_reported"), "net_irr", "not_meaningful", F.lit(CALPERS_SOURCE).alias("source"), (as_of if as_of is not None else F.lit(None).cast("date")).alias("as_of"))
+    return df.select(F.concat(F.lit("CALPERS::"), "fund_name").alias("fund_id"), "fund_name", "vintage", "commitment", "contributions", "distributions", "total_value", (F.col("total_value") - F.col("distributions")).alias("nav"), ratio(F.col("total_value"), F.col("contributions")).alias("tvpi_reported"), "net_irr", "not_meaningful", F.lit(CALPERS_SOURCE).alias("source"), (F.col("_day") if as_of is not None else F.lit(None).cast("date")).alias("as_of"))
 
 
-def report_as_of(lines: DataFrame, line: str = "line", number: str = "line_no") -> DataFrame:
-    """The first line's date that parses."""
-    dated = lines.select(number, P.line_date(F.col(line)).alias("_d"))
-    return dated.agg(F.min_by("_d", F.when(F.col("_d").isNotNull(), F.col(number))).alias("as_of"))
+def report_as_of(lines: DataFrame, line: str = "line", number: str = "line_no", key: str = "path") -> DataFrame:
+    """(key, as_of): the date of each report's first line that has one; null if none has."""
+    day = P.line_date(F.col(line))
+    return lines.groupBy(key).agg(F.min_by(day, F.when(day.isNotNull(), F.col(number))).alias("as_of"))
+
+
+def is_fund_line(line: Column) -> Column:
+    text = F.trim(line)
+    return (text != "") & ~F.lower(text).startswith("total") & text.rlike(REPORT_LINE)
 
 
 def report_lines(lines: DataFrame, line: str = "line", as_of: Column | None = None) -> DataFrame:
     """The canonical snapshot from a report's text lines."""
-    text = F.trim(line)
-    df = lines.withColumn("_l", text).filter((F.col("_l") != "") & ~F.lower("_l").startswith("total") & F.col("_l").rlike(REPORT_LINE))
+    df = lines.withColumn("_l", F.trim(line)).filter(is_fund_line(F.col("_l")))
     group = lambda i: F.regexp_extract("_l", REPORT_LINE, i)
     df = df.withColumns({"_star": group(1), "vintage": group(2).cast("int"), "fund_name": F.trim(group(3)), "_tail": group(8), **{c: P.money_paren(group(i)) * MILLIONS for i, c in ((4, "commitment"), (5, "contributions"), (6, "distributions"), (7, "nav"))}})
     df = df.filter((F.col("fund_name") != "") & (F.lower("fund_name") != "partnership"))
@@ -83,11 +88,6 @@ def report_lines(lines: DataFrame, line: str = "line", as_of: Column | None = No
     return df.select(F.concat(F.lit("OPERF::"), "fund_name").alias("fund_id"), "fund_name", "vintage", "commitment", "contributions", "distributions", total.alias("total_value"), "nav", ratio(total, F.col("contributions")).alias("tvpi_reported"), P.tail_multiple(F.col("_tail")).alias("reported_multiple"), P.tail_percent(F.col("_tail")).alias("net_irr"), P.not_meaningful(F.col("_tail")).alias("not_meaningful"), (F.col("_star") != "").alias("sold_secondary"), (F.col("contributions") <= 0).alias("fully_uncalled"), F.lit(OREGON_SOURCE).alias("source"), (as_of if as_of is not None else F.lit(None).cast("date")).alias("as_of"))
 
 
-def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Different link targets of all pages."""
-    return pages.select(F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), 1)).alias("href")).distinct()
-
-
 def report_links(pages: DataFrame, base: str = OREGON_SITE, html: str = "html") -> DataFrame:
     """(url, file, year, quarter) of the private-equity reports that pages link to, newest first.
 
@@ -115,30 +115,40 @@ def factors(lines: DataFrame, line: str = "value") -> DataFrame:
     return df.select(F.last_day(F.to_date(F.col("p")[0], "yyyyMM")).alias("date"), *(value(i).alias(n) for i, n in ((1, "mkt_rf"), (2, "smb"), (3, "hml"), (4, "rf"))))
 
 
-def pdf_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of reports' text, in reading order; reports come as the text that a PDF tool took from them."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n|\f").alias("_l"))
-    return files.select("path", F.posexplode("_l").alias("line_no", "line"))
+def pdf_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, page, line_no, line) of reports' text, in reading order; reports come as the text that a PDF tool took from them."""
+    return report_lines_of(spark, pattern)
+
+
+def _dated(rows: DataFrame, dates: DataFrame, key: str, as_of: str | None, what: str) -> DataFrame:
+    """``rows`` with the date of the file each is from; a file without one is an error."""
+    if as_of:
+        return rows.withColumn("_as_of", F.lit(as_of).cast("date"))
+    # at most five rows
+    lacking = [r[0] for r in dates.filter("_as_of is null").select(key).limit(5).collect()]
+    if lacking:
+        raise ValueError(f"{what} without a reporting date; pass as_of, for the day of download would misalign plans: {lacking}")
+    return rows.join(dates, key)
 
 
-def oregon_load(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
-    """A report's snapshot, dated by the report itself unless ``as_of`` is given; a report without a date is an error."""
-    lines = pdf_lines(spark, path)
-    # one row
-    date = as_of or report_as_of(lines).first()["as_of"]
-    if date is None:
-        raise ValueError(f"{path} has no reporting date; pass as_of")
-    return report_lines(lines, as_of=F.lit(date).cast("date"))
+def oregon_load(spark: SparkSession, pattern: str, as_of: str | None = None) -> DataFrame:
+    """The snapshots of all reports, each dated by itself unless ``as_of`` is given; a report without a date or without rows is an error."""
+    lines = pdf_lines(spark, pattern)
+    day = P.line_date(F.col("line"))
+    files = lines.groupBy("path").agg(F.min_by(day, F.when(day.isNotNull(), F.col("line_no"))).alias("_as_of"), F.count_if(is_fund_line(F.col("line"))).alias("_rows"))
+    # at most five rows
+    empty = [r[0] for r in files.filter("_rows = 0").select("path").limit(5).collect()]
+    if empty:
+        raise ValueError(f"reports without a fund: {empty}")
+    return report_lines(_dated(lines, files.select("path", "_as_of"), "path", as_of, "reports"), as_of=F.col("_as_of"))
 
 
 def calpers_load(pages: DataFrame, as_of: str | None = None, html: str = "html", key: str = "path") -> DataFrame:
-    """The snapshot in a page's widest table, dated by the page unless ``as_of`` is given; a page without a date is an error."""
-    # one row
-    date = as_of or pages.agg(F.max(P.banner_date(F.col(html))).alias("as_of")).first()["as_of"]
-    if date is None:
-        raise ValueError("the page has no reporting date; pass as_of, for the day of download would misalign plans")
+    """The snapshots in all pages' widest tables, each dated by its page unless ``as_of`` is given; a page without a date is an error."""
+    dates = pages.groupBy(key).agg(F.max(P.banner_date(F.col(html))).alias("_as_of"))
     rows = widest_table(html_tables(pages, html, key), key)
     heads = rows.filter("row = 0").select(key, F.col("cells").alias("_names"))
     # rows of another width than their head are no funds
     named = rows.filter("row > 0").join(heads, key).filter("size(cells) = size(_names)").withColumn("_m", F.map_from_arrays("_names", "cells"))
-    return calpers_parse(named.select(*(F.col("_m")[c].alias(c) for c in CALPERS_COLUMNS)), F.lit(date).cast("date"))
+    dated = _dated(named, dates, key, as_of, "pages")
+    return calpers_parse(dated.select(*(F.col("_m")[c].alias(c) for c in CALPERS_COLUMNS), "_as_of"), F.col("_as_of"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import quarter_end
 from ..schemas import MANIFEST
 
+#: Bytes of a file that are hashed at a time.
+CHUNK = 1 << 20
+
 
 def file_source(name: Column) -> Column:
     return F.when(F.lower(name).startswith("calpers"), "CalPERS PEP").when(F.lower(name).rlike("^(oregon|operf)"), "Oregon PERS OPERF").otherwise("")
@@ -22,14 +27,38 @@ def file_as_of(name: Column) -> Column:
     return F.coalesce(dated.cast("string"), quarter_end(year, quarter).cast("string"), F.lit(""))
 
 
+def digests(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``path``, ``sha256`` and ``newlines`` of files (path); a file passes through in pieces, whatever its length."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(path)
+                state, newlines = hashlib.sha256(), 0
+                with store.open_input_stream(inner) as stream:
+                    while piece := stream.read(chunk):
+                        state.update(piece)
+                        newlines += piece.count(b"\n")
+                rows.append((path, state.hexdigest(), newlines))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "sha256", "newlines"])
+
+    # files are dealt out one by one, as each may be large
+    return files.select("path").repartition("path").mapInArrow(run, "path string, sha256 string, newlines long")
+
+
 def build(spark: SparkSession, pattern: str, kind: str, old: DataFrame | None = None) -> DataFrame:
     """One row per file; the capture time stays while the bytes do."""
-    files = spark.read.format("binaryFile").load(pattern)
+    # content is not read here
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
     # named by their place below the pattern's fixed folder, so that folders may hold files of one name
     root = spark._jvm.org.apache.hadoop.fs.Path(re.split(r"[*?\[{]", pattern)[0].rpartition("/")[0]).toUri().getPath()
     file, name = F.substring("path", F.instr("path", f"{root}/") + len(root) + 1, F.length("path")), F.element_at(F.split("path", "/"), -1)
-    lines = F.when(F.lit(kind == "snapshot"), F.greatest(F.length(F.col("content").cast("string")) - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"))) - 1, F.lit(0)).cast("string")).otherwise("")
-    now = files.select(F.lit(kind).alias("kind"), file.alias("file"), file_source(name).alias("source"), file_as_of(name).alias("as_of"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_utc"), F.sha2("content", 256).alias("sha256"), lines.alias("rows")).filter(~F.col("file").rlike(r"(^|/)MANIFEST\.csv(/|$)"))
+    listed = files.select("path", file.alias("file"), file_source(name).alias("source"), file_as_of(name).alias("as_of"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_utc")).filter(~F.col("file").rlike(r"(^|/)MANIFEST\.csv(/|$)"))
+    lines = F.greatest(F.col("newlines") - 1, F.lit(0)).cast("string") if kind == "snapshot" else F.lit("")
+    now = listed.join(digests(listed), "path").select(F.lit(kind).alias("kind"), "file", "source", "as_of", "captured_utc", "sha256", lines.alias("rows"))
     if old is None:
         return now
     before = old.select("file", F.col("sha256").alias("_sha"), F.col("captured_utc").alias("_at"))

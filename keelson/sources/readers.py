@@ -13,17 +13,26 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
-def parquet_scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+def override_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Hand-checked mapping with # comments; an absent file is an empty table.
 
+    Families map raw stems, sponsors map families. Missing columns, a key that
+    is mapped twice and, for families, an unknown decision or a merge into a
+    stem that is itself merged are errors.
+    """
+    from ..operators.entity import override_faults
 
-def override_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Hand-checked mapping with # comments; an absent file is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).option("header", True).option("comment", "#").option("escape", '"').option("enforceSchema", False).csv(path)
-    return require_columns(df, schema.fieldNames(), path).na.fill("")
+    as_text = spark.read.option("header", True).option("comment", "#").option("escape", '"')
+    read = require_columns(as_text.csv(path), schema.fieldNames(), path).na.fill("").select(*(F.col(f.name).cast(f.dataType) for f in schema))
+    family = "firm_id_canonical" in schema.fieldNames()
+    faults = override_faults(read, *(("firm_id_raw", "firm_id_canonical") if family else ("firm_id", None)))
+    # at most ten rows
+    told = sorted({tuple(r) for r in faults.limit(10).collect()})
+    if told:
+        raise ValueError(f"{path} has faults: {told}")
+    return read
 
 
 def archive_scan(spark: SparkSession, pattern: str, least: int = 2) -> DataFrame:
@@ -39,12 +48,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def listing(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, file, length, modified) of matching files, content unread."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.col("modificationTime").alias("modified"))
-
-
 def resolve_latest(spark: SparkSession, working: str, pattern: str) -> str:
     """The working copy if there is one, else the last dated file by name."""
     if exists(spark, working):
@@ -57,35 +60,46 @@ def resolve_latest(spark: SparkSession, working: str, pattern: str) -> str:
     return paths[-1]
 
 
-def fetch_text(url: str, timeout: int = 60) -> str:
-    """A page by HTTP; used before a plan, never in one."""
+def _opened(url: str, timeout: int):
     from urllib.request import Request, urlopen
 
-    with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as answer:
+    return urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout)
+
+
+def fetch_text(url: str, timeout: int = 60) -> str:
+    """A page by HTTP; used before a plan, never in one. Bytes that are no UTF-8 are left out."""
+    with _opened(url, timeout) as answer:
         return answer.read().decode("utf-8", "ignore")
 
 
-def download_once(url: str, target: str, timeout: int = 120) -> bool:
-    """Fetches bytes unless the target exists; never overwrites."""
-    import os
-    from urllib.request import Request, urlopen
+def download_once(spark: SparkSession, url: str, target: str, timeout: int = 120) -> bool:
+    """Fetches bytes unless the target exists, in any store that Spark reads; never overwrites.
+
+    The bytes are complete before they take the target's name.
+    """
+    import uuid
 
-    if os.path.exists(target):
+    if exists(spark, target):
         return False
-    with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as answer:
+    with _opened(url, timeout) as answer:
         data = answer.read()
-    with open(target, "xb") as out:
-        out.write(data)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place, part = path(target), path(f"{target}.{uuid.uuid4().hex}.part")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(part, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if exists(spark, target) or not store.rename(part, place):
+        store.delete(part, False)
+        return False
     return True
 
 
-def append_only_sink(df: DataFrame, path: str) -> None:
-    """A dated table, written only if absent."""
-    df.write.mode("ignore").partitionBy("source", "as_of").parquet(path)
-
-
 def csv_sink(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A result table; it replaces an earlier one."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -103,3 +103,17 @@ def test_stream_gives_the_flows_of_the_batch(spark, frame, tmp_path):
     key = lambda df: sorted((r.fund_id, str(r.date), round(r.amount, 6)) for r in df.collect())
     got, want = key(spark.table("flows_out")), key(C.flows_from_snapshots(batch))
     assert got == want and len(want) == 8
+
+
+def test_an_index_with_a_hole_is_refused(frame):
+    import datetime
+
+    from keelson.operators.cashflow import market_total_return
+
+    days = [datetime.date(2020, m, 28) for m in (1, 2, 3)]
+    schema = "date date, mkt_rf double, rf double"
+    whole = frame(schema, [(d, 0.01 * i, 0.001) for i, d in enumerate(days)])
+    assert [round(r.r, 6) for r in market_total_return(whole).orderBy("date").collect()] == [0.001, 0.011, 0.021]
+    with pytest.raises(ValueError, match="2020-02-28"):
+        market_total_return(frame(schema, [(days[2], None, 0.1), (days[1], 0.1, None), (days[0], 0.1, 0.1)]))
+    assert market_total_return(frame(schema, [])).collect() == []

@@ -8,6 +8,7 @@ import pytest
 
 from keelson.operators import inference as I
 from keelson.operators import panel as P
+from keelson.operators import resample as R
 
 
 @pytest.fixture(scope="module")
@@ -74,13 +75,13 @@ def test_two_way_falls_back(spark):
 
 def test_small_samples_have_no_p(spark):
     tiny = spark.createDataFrame([(1, 1, 2000, 1.0, 0.5), (2, 2, 2000, 2.0, 0.1)], "fund_id int, firm_id int, vintage int, y double, y_lag double")
-    assert I.spearman_within(tiny, 9).collect()[0].rho is None
+    assert R.spearman_within(tiny, 9).collect()[0].rho is None
 
 
 def test_monotone_pairs_rank_high(spark):
     rng = random.Random(1)
     rows = [(i, i, 2000, math.exp(3 * x), x) for i in range(200) for x in [rng.gauss(0, 1)]]
-    out = I.spearman_within(spark.createDataFrame(rows, "fund_id int, firm_id int, vintage int, y double, y_lag double"), 19).collect()[0]
+    out = R.spearman_within(spark.createDataFrame(rows, "fund_id int, firm_id int, vintage int, y double, y_lag double"), 19).collect()[0]
     assert out.rho == pytest.approx(1.0) and out.p == pytest.approx(1 / 20)
 
 
@@ -108,3 +109,50 @@ def test_gaps(spark):
     assert P.estimation_sample(p, fixed=None).count() == 20
     assert P.estimation_sample(p, fixed=None, max_gap=1).count() == 10
     assert {(r.fund_number_gap, r.vintage_gap) for r in p.filter("y_lag is not null").collect()} == {(1, 3), (4, 14)}
+
+
+# ---- several controls ------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def controlled(spark):
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        firm, vintage = rng.randint(0, 39), 2000 + rng.randint(0, 5)
+        a, b = rng.gauss(10, 1), rng.gauss(0, 2)
+        x = 0.2 * a + rng.gauss(0, 1)
+        y = 0.4 * x + 0.5 * a - 0.3 * b + 0.1 * vintage + rng.gauss(0, 1)
+        rows.append((i, firm, vintage, y, x, a, b, a - 2 * b, float(vintage), rng.choice([1, 2, 3])))
+    return spark.createDataFrame(rows, "fund_id long, firm_id long, vintage int, y double, y_lag double, a double, b double, ab double, v double, k long")
+
+
+def dense_controls(sample, controls):
+    rows = sample.toPandas()
+    dummies = [(rows.vintage == v).to_numpy(float) for v in sorted(rows.vintage.unique())]
+    x = np.column_stack([rows.y_lag, *(rows[c] for c in controls), *dummies])
+    inverse, rank = np.linalg.pinv(x.T @ x, rcond=1e-10), np.linalg.matrix_rank(x, tol=1e-6)
+    beta = inverse @ x.T @ rows.y.to_numpy()
+    e = rows.y.to_numpy() - x @ beta
+    meat = sum(np.outer(s, s) for g in rows.firm_id.unique() for s in [x[rows.firm_id == g].T @ e[rows.firm_id == g]])
+    n, groups = len(rows), rows.firm_id.nunique()
+    v = inverse @ meat @ inverse * groups / (groups - 1) * (n - 1) / (n - rank)
+    return beta[0], math.sqrt(v[0, 0]), 1 - (e @ e) / ((rows.y - rows.y.mean()) ** 2).sum()
+
+
+@pytest.mark.parametrize("controls", [("a",), ("a", "b"), ("b", "a", "k"), ("a", "b", "ab"), ("ab", "v", "b", "a"), ("v",), ("a", "a", "b")])
+def test_several_controls_against_a_dense_fit(controlled, controls):
+    fit = I.ols_fe(controlled, controls=controls).collect()[0]
+    beta, se, r2 = dense_controls(controlled, tuple(dict.fromkeys(controls)))
+    assert fit.beta == pytest.approx(beta, abs=1e-8)
+    # the closed form counts one parameter for each effect and one more
+    assert fit.se == pytest.approx(se, rel=3e-3) and fit.r2 == pytest.approx(r2, abs=1e-8)
+
+
+def test_controls_by_key_and_in_both_clusterings(controlled):
+    keyed = controlled.withColumn("spec", controlled.firm_id % 2)
+    two = {r.spec: r for r in I.ols_fe(keyed, keys=("spec",), controls=("a", "b")).collect()}
+    for spec, r in two.items():
+        beta, se, _ = dense_controls(keyed.filter(keyed.spec == spec), ("a", "b"))
+        assert (r.beta, r.se) == (pytest.approx(beta, abs=1e-8), pytest.approx(se, rel=6e-3))
+    both = I.ols_fe(controlled, clusters=("firm_id", "vintage"), controls=("a", "b")).collect()[0]
+    assert both.beta == pytest.approx(dense_controls(controlled, ("a", "b"))[0], abs=1e-8)
