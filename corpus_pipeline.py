@@ -32,16 +32,27 @@ def _unfolded(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier holds for toxic go."""
+    """Texts that the classifier holds for toxic go.
+
+    Null and empty texts have the class prior's score and stay; equal texts are
+    judged alike, whatever their ids; without labels or texts nothing is
+    learned and nothing goes; an empty table stays empty.
+    """
     folded = _folded(docs)
     model = toxicity.train(folded, table(spark, sf_dir, "labels"))
     return _unfolded(toxicity.score(folded, model, keep=("text", "_rest")).filter("score < 0.5"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by Jaccard similarity 0.8 of five-word shingles, the one with the least doc_id stays."""
+    """Of texts linked by Jaccard similarity 0.8 of five-word shingles, the one with the least doc_id stays.
+
+    Null, empty and wordless texts link with nothing and stay, one for each id.
+    Of rows that repeat both id and text one stays, whichever; of different
+    texts with one id that are linked, the one with the least MD5; a null id is
+    less than any. An empty table stays empty.
+    """
     small_batches(spark)
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5")))
+    keyed = _folded(docs).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5")))
     classes = Workspace(spark, "classes").keep(signatures.similar_classes(keyed, shingle_words=5, percent=80, id_col="_key").select("_key", (F.col("_key") == F.col("component_id")).alias("first")), "classes")
     kept = keyed.join(classes.filter("first").select("_key").distinct(), "_key", "left_semi")
     repeated = classes.filter("first").groupBy("_key").count().filter("count > 1").select("_key")
@@ -49,11 +60,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         # rows that repeat both id and text
         once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
         kept = kept.join(repeated, "_key", "left_anti").unionByName(once)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _unfolded(kept, docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of fifty words or more that occur elsewhere are cut out."""
+    """Passages of fifty words or more that occur elsewhere are cut out.
+
+    Every copy of a passage goes, those within one text too; null texts stay
+    null, short ones whole, and rows stay even if nothing is left of their
+    text. n_chars follows the text. An empty table stays empty.
+    """
     small_batches(spark)
     cut = substrings.dedup_substrings(_folded(docs), window=WINDOW, keep=("_rest",))
     rows = _unfolded(cut, docs)
@@ -61,13 +77,21 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike; an
+    empty benchmark drops nothing; an empty table stays empty.
+    """
     leaks = decontam.find_leaks(_folded(docs), table(spark, sf_dir, "benchmark"), keep=("text", "_rest"))
     return _unfolded(leaks.filter(F.size("leaks") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents in sequences of 4096."""
+    """Token pieces of the remaining documents in sequences of 4096.
+
+    Null and empty texts are one token, the end mark; equal lengths are packed
+    in any order; repeated rows are packed each; an empty table has no piece.
+    """
     small_batches(spark)
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
