@@ -25,7 +25,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Workspace, table
 
@@ -95,9 +94,22 @@ class Segmenter:
         return tuple(reversed(out))
 
 
+def _cut(text: Column, end: str, kept) -> Column:
+    """The text in parts, each but the last followed by ``end``; ``kept`` says what of those stays. One pass, whatever is left open."""
+    parts = F.split(text, end)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, kept(p)).otherwise(p)), " ")
+
+
+def visible(html: Column) -> Column:
+    """The text without tags, scripts and styles; what is never closed is text."""
+    for name in ("script", "style"):
+        html = _cut(html, rf"(?i)</{name}", lambda p, n=name: F.regexp_replace(p, rf"(?is)<{n}\b.*", " "))
+    return _cut(html, ">", lambda p: F.substring_index(p, "<", 1))
+
+
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n): how often each word that a label could hold is in the pages' visible text."""
-    text = F.lower(F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1", " "), r"<[^>]*>", " "))
+    text = F.lower(visible(F.col(html_col)))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= LONGEST))
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
