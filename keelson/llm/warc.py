@@ -237,9 +237,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     manifest = space.keep(write(plan_revisits(pages, space, id_col, url_col, html_col, least), f"{space.path}/packages"), "manifest")
     width = max(1, manifest.count()) * 2
     records = space.keep(read_records(read_index(manifest).repartition(width)), "records")
-    whole = space.keep(records.filter("record_type = 'response' and id is not null").groupBy(F.col("id").alias("_id")).agg(F.max("payload_bytes").alias("_bytes")), "whole")
+    # an id may have several payloads, so a revisit's is told by the digest as well
+    whole = space.keep(records.filter("record_type = 'response' and id is not null").groupBy(F.col("id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes")), "whole")
     responses = records.filter("record_type = 'response'")
-    revisits = records.filter("record_type = 'revisit'").join(whole, F.col("refers_to") == F.col("_id"), "left").withColumn("payload_bytes", F.col("_bytes")).select(responses.columns)
+    revisits = records.filter("record_type = 'revisit'").join(whole, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").withColumn("payload_bytes", F.col("_bytes")).select(responses.columns)
     return responses.unionByName(revisits).select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
