@@ -77,7 +77,9 @@ def learn(docs: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str
         rows = rows.filter(trainable)
     share = rows.groupBy(F.col(lang_col).alias("_lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
     # one row for each language
-    drawn = rows.join(F.broadcast(share), F.col(lang_col) == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("_lang", text_col)
+    drawn = rows.join(F.broadcast(share), F.col(lang_col) == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    # one text of an id, however often it comes
+    drawn = drawn.groupBy("_lang", id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias("_text")).select("_lang", "_text")
 
     def count(batches):
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}

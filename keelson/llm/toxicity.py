@@ -111,8 +111,8 @@ def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float
 def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
     """Fits a model; ``trainable`` is a filter on the id that both tables pass.
 
-    ``prior`` (share of toxic texts among the unlabelled) is taken from the
-    labels where it is not given. Repeated labels of an id count as toxic if
+    ``prior`` (share of toxic texts among the unlabelled) is that of the labels
+    where it is not given, whatever it is but 0 and 1. Repeated labels of an id count as toxic if
     one of them says so.
     """
     spark = docs.sparkSession
@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     marked = labels.groupBy(id_col).agg((F.max(label_col) > 0).alias("_toxic"))
     total, toxic = marked.agg(F.count("*"), F.coalesce(F.sum(F.col("_toxic").cast("int")), F.lit(0))).first()
     if prior is None:
-        prior = min(max(toxic / total, 1e-3), 0.5) if total else 1e-3
+        # one imagined text keeps it off 0 and 1
+        prior = min(max(toxic, 1) / max(toxic + 1, total), total / (total + 1)) if total else 1e-3
     empty = ToxicityModel({}, np.zeros(0), math.log(prior / (1 - prior)), prior)
     if not toxic:
         return empty
