@@ -17,7 +17,8 @@ names are features of the nodes: an element named like an advert or sidebar
 needs half of its host's weight to be kept, and beside a marked article (or
 main element) a node must weigh more than the article does, weight being
 importance times words. Nodes of low importance are removed from every page,
-and so are text blocks that half of a host's pages carry outside articles.
+and so are text blocks that half of a host's pages, and ``LEAST`` at least,
+carry outside articles.
 
 Nodes on fewer than ``LEAST`` different pages of their host are judged by what
 the hosts' trees say of their kind (tag and name); where no tree says anything,
@@ -54,7 +55,7 @@ from .common import Cache, Workspace, table
 from .urlfilter import host_path
 from .words import digests, hash_words, signed
 
-#: Templates of all hosts up to this stored size are broadcast; beyond it pages are joined with salts.
+#: Trees of all hosts up to this stored size go to every worker; beyond it a host's tree precedes its pages, dealt by salts.
 BROADCAST_BYTES, SALTS = 8 << 20, 64
 #: A node is judged by its host's tree if so many of the host's different pages have it.
 LEAST = 3
@@ -74,9 +75,11 @@ NAMED_TAGS = frozenset("nav footer aside menu".split())
 #: Whole class or id names of adverts, which go from articles too.
 ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising ad-banner ad-container ad-slot sponsored".split())
 #: Whole names of containers that are no part of an article.
-CONTAINERS = frozenset("comments comment-list comments-area menu navbar nav navigation sidebar side-bar cookie cookies cookie-notice cookie-banner cookie-consent notice notices disqus newsletter".split())
+CONTAINERS = frozenset("comments comment-list comments-area respond menu navbar nav navigation sidebar side-bar cookie cookies cookie-notice cookie-banner cookie-consent notice notices disqus newsletter".split())
+#: Names of lists of comments, whatever site they are made for.
+COMMENTS = re.compile(r"(?:(?!has|no|with|without|show|hide)[a-z]+[-_])*(?:comments|commentlist|comment[-_](?:list|section|thread|stream|wrapper|box)|responses)(?:[-_](?:list|area|section|wrapper|container|block|thread))?")
 #: Whole names that mark no article where nothing else is known.
-OUTSIDE = frozenset("banner breadcrumb breadcrumbs comment consent copyright footer gdpr header login main-menu main-nav masthead modal page-footer page-header pagination paywall popup promo related reply respond search share sharing signup site-footer site-header site-nav social sponsor subscribe subscription toolbar topbar widget".split())
+OUTSIDE = frozenset("banner breadcrumb breadcrumbs comment consent copyright footer gdpr header login main-menu main-nav masthead modal page-footer page-header pagination paywall popup promo related reply search share sharing signup site-footer site-header site-nav social sponsor subscribe subscription toolbar topbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 HOLDERS = frozenset("div section ul ol dl table details".split())
 #: What an opening tag ends, as HTML lets end tags be left out.
@@ -125,7 +128,7 @@ def _label(node: Node, attributes: dict[str, str]) -> None:
     if attributes:
         label += "".join(f".{k}={attributes[k]}" for k in ("class", "id", "role") if k in attributes)
         words = [w.lower() for k in ("class", "id") for w in attributes.get(k, "").split()]
-        name = next((w for names in (ADVERTS, CONTAINERS, OUTSIDE) for w in words if w in names), "") or next((r for r in attributes.get("role", "").lower().split() if r in ROLES), "")
+        name = next((w for names in (ADVERTS, CONTAINERS, OUTSIDE) for w in words if w in names), "") or ("comments" if any(map(COMMENTS.fullmatch, words)) else "") or next((r for r in attributes.get("role", "").lower().split() if r in ROLES), "")
     if tag in NAMED_TAGS or tag == "header" and node.parent.section not in ("article", "main"):
         name = tag
     node.own, node.gone = name, tag in GONE_TAGS
@@ -433,7 +436,7 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str, space: Workspace)
     nodes = verdict.groupBy("host").agg(*(F.collect_set(F.when(c, F.col("node"))).alias(name) for name, c in (("low", F.col("low")), ("off", F.col("off") & ~F.col("low")), ("spared", (F.col("named") | (F.col("off_volume") > 0)) & ~F.col("low") & ~F.col("off")))))
     carried = counted.filter(what == "b").select("host", "value", n.alias("_n"))
     size = counted.filter(what == "p").groupBy("host").agg(F.sum(n).alias("_pages"))
-    common = carried.join(size, "host").filter((F.col("_pages") > LEAST - 0.5) & (F.col("_n") >= BLOCK_SHARE * F.col("_pages"))).groupBy("host").agg(F.collect_set("value").alias("blocks"))
+    common = carried.join(size, "host").filter((F.col("_pages") > LEAST - 0.5) & (F.col("_n") > LEAST - 0.5) & (F.col("_n") >= BLOCK_SHARE * F.col("_pages"))).groupBy("host").agg(F.collect_set("value").alias("blocks"))
     return nodes.join(common, "host", "full"), kinds
 
 
@@ -447,31 +450,45 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = kinds.collect()
     shared = {f"kinds_{x}": frozenset(r["kind"] for r in kinds if r[x]) for x in ("low", "off", "spared")}
     tree = space.keep(tree.withColumnRenamed("host", "_host"), "tree")
+    schema = T.StructType([T.StructField(id_col, source.schema["_id"].dataType), T.StructField(url_col, source.schema["_url"].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    sets = ("low", "off", "spared", "blocks")
+
+    def told(ids, urls, out):
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
+
     if space.stored_bytes("tree") <= BROADCAST_BYTES:
-        # checked size: no page is shuffled
-        joined = source.join(F.broadcast(tree), "_host", "left")
-    else:
-        # a host's pages are dealt over SALTS tasks
-        salted = source.withColumn("_salt", F.pmod(F.xxhash64("_html", "_id"), F.lit(SALTS)))
-        copies = tree.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(copies, ["_host", "_salt"], "left")
-    joined = joined.select("_id", "_url", "_html", "_host", "low", "off", "spared", "blocks")
-    schema = T.StructType([T.StructField(id_col, joined.schema["_id"].dataType), T.StructField(url_col, joined.schema["_url"].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+        # checked size: each worker gets the trees once, and no page is shuffled
+        trees = pages.sparkSession.sparkContext.broadcast({r["_host"]: tuple(np.array(r[c] or (), np.int64) for c in sets) for r in tree.collect()})
 
-    def run(batches):
-        known: dict[str, Tree] = {}
+        def beside(batches):
+            known = Cache(lambda host: Tree(*(frozenset(x.tolist()) for x in trees.value.get(host, ())), **shared), 1 << 12)
+            for batch in batches:
+                yield told(batch.column(0), batch.column(1), [main_text(html, known[host], names) for html, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+
+        return source.select("_id", "_url", "_html", "_host").mapInArrow(beside, schema)
+
+    def following(batches):
+        host, own = None, Tree(**shared)
         for batch in batches:
-            out = []
-            sets = [batch.column(i) for i in range(4, 8)]
-            for i, (source, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if host not in known:
-                    if len(known) > 1 << 12:
-                        known.clear()
-                    known[host] = Tree(*(frozenset(c[i].as_py() or ()) for c in sets), **shared)
-                out.append(main_text(source, known[host], names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
-
-    return joined.mapInArrow(run, schema)
+            out, pages_at = [], []
+            hosts, is_page, htmls = (batch.column(i).to_pylist() for i in (3, 4, 2))
+            for i, (name, page, html) in enumerate(zip(hosts, is_page, htmls, strict=True)):
+                if not page:
+                    host, own = name, Tree(*(frozenset(batch.column(k)[i].as_py() or ()) for k in range(5, 9)), **shared)
+                    continue
+                if name != host:
+                    host, own = name, Tree(**shared)
+                out.append(main_text(html, own, names))
+                pages_at.append(i)
+            if out:
+                at = pa.array(pages_at)
+                yield told(batch.column(0).take(at), batch.column(1).take(at), out)
+
+    # a host's pages are dealt over SALTS tasks, each of which reads the tree in one row before them
+    salted = source.select("_id", "_url", "_html", "_host", F.pmod(F.xxhash64("_html", "_id"), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(1).alias("_page"))
+    copies = tree.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_page", F.lit(0))
+    both = salted.unionByName(copies, allowMissingColumns=True).repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "_page")
+    return both.select("_id", "_url", "_html", "_host", "_page", *sets).mapInArrow(following, schema)
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
