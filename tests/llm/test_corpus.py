@@ -154,6 +154,12 @@ def test_round_trip(frame):
     assert warc.round_trip(frame("page_id long, url string, html string", [])).count() == 0
 
 
+def test_an_id_of_two_payloads(frame):
+    a, b = "a" * 2000, "b" * 5000
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(frame("page_id long, url string, html string", [(1, "u", a), (7, "u", a), (7, "u", b)])).collect()}
+    assert got == {(1, 2000, "revisit", 7), (7, 2000, "response", None), (7, 5000, "response", None)}
+
+
 # ---- substrings ------------------------------------------------------------
 
 
@@ -322,6 +328,42 @@ def test_leaks_and_rewordings_are_found(frame):
     assert decontam.find_leaks(frame(DOCS, []), bench).count() == 0
 
 
+@pytest.mark.parametrize(("changed", "least"), [(0.1, 1.0), (0.2, 0.97), (0.3, 0.9)])
+def test_recall_of_rewordings(frame, monkeypatch, changed, least):
+    """Items of 20 to 40 words within longer texts, so many of whose words are others."""
+    monkeypatch.setattr(decontam, "TILE", 7)
+    rng = random.Random(int(100 * changed))
+    items = [(i, " ".join(words(rng, rng.randint(16, 34), 3000)) + ". " + " ".join(words(rng, 6, 3000)) + ".") for i in range(100)]
+    docs, truth = [], set()
+    for i, passage in items:
+        passage = passage.split()
+        for k in rng.sample(range(len(passage)), round(changed * len(passage))):
+            passage[k] = f"v{rng.randint(0, 3000)}"
+        around = words(rng, 200, 3000)
+        docs.append((i, " ".join(around[:100] + passage + around[100:]), "en", "s", 0))
+        truth.add((i, i))
+    docs += [(1000 + i, " ".join(words(rng, 230, 3000)), "en", "s", 0) for i in range(100)]
+    got = {(r.doc_id, x.item_id) for r in decontam.find_leaks(frame(DOCS, docs), frame("item_id long, text string", items)).collect() for x in r.leaks}
+    assert got <= truth and len(got) >= least * len(truth), len(got) / len(truth)
+
+
+def test_a_long_text_and_a_hot_id(frame):
+    rng = random.Random(3)
+    items = [(i, " ".join(words(rng, 25, 3000)) + ".") for i in range(5)]
+    long = words(rng, 200_000, 3000)
+    long[150_000:150_000] = items[2][1].split()
+    # one id of half of all rows
+    docs = [(1, " ".join(long), "en", "s", 0)] + [(2, " ".join(words(rng, 40, 3000)), "en", "s", 0) for _ in range(60)] + [(i, " ".join(words(rng, 40, 3000)), "en", "s", 0) for i in range(3, 60)]
+    got = [(r.doc_id, x.item_id) for r in decontam.find_leaks(frame(DOCS, docs), frame("item_id long, text string", items)).collect() for x in r.leaks]
+    assert got == [(1, 2)]
+
+
+def test_a_benchmark_beyond_the_model_is_an_error(frame, monkeypatch):
+    monkeypatch.setattr(decontam, "MODEL_BYTES", 1 << 20)
+    with pytest.raises(ValueError, match="split the benchmark"):
+        decontam.find_leaks(frame(DOCS, [(1, "a b c", "en", "s", 0)]), frame("item_id long, text string", [(1, "a b c")]))
+
+
 def test_basis_spans_the_leading_directions(spark, frame):
     rng = np.random.default_rng(2)
     left, right = rng.standard_normal((60, 3)), rng.standard_normal((3, 20))
@@ -349,7 +391,7 @@ def test_pipeline(spark, frame, tmp_path):
         labels.append((i, 1, int(i % 10 == 1)))
         docs.append((i, " ".join(text), "en", "s", 1))
     docs += [(200, docs[2][1], "en", "s", 1), (201, docs[2][1] + " tail", "en", "s", 1), (202, " ".join(words(rng, 30, 9000) + passage), "en", "s", 1), (203, " ".join(passage + words(rng, 30, 9000)), "en", "s", 1), (204, " ".join(words(rng, 40, 9000)) + " " + item, "en", "s", 1), (205, None, None, None, None), (2, docs[2][1], "en", "s", 1)]
-    frame(DOCS, docs).withColumn("_key", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(DOCS, docs).withColumn("_key", F.concat(F.lit("key "), F.col("doc_id"))).withColumn("_rest", F.lit(7)).withColumn("score", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
     frame("doc_id long, quality int, toxic int", labels).write.parquet(str(tmp_path / "labels.parquet"))
     frame("item_id long, text string", [(1, item)]).write.parquet(str(tmp_path / "benchmark.parquet"))
     read, state = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
@@ -358,7 +400,8 @@ def test_pipeline(spark, frame, tmp_path):
         read = spark.read.parquet(str(tmp_path / f"out{k}"))
         state[name] = read
         if name != "packing":
-            assert read.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "_key"]
+            assert read.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "_key", "_rest", "score"]
+            assert all((r._key, r._rest, r.score) == (f"key {r.doc_id}", 7, "s") for r in read.collect())
     ids = {n: Counter(r.doc_id for r in d.select("doc_id").collect()) for n, d in state.items()}
     toxic = {i for i in range(120) if i % 10 == 1}
     everyone = Counter(d[0] for d in docs)

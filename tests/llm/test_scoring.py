@@ -354,3 +354,47 @@ def test_copies_of_a_page_are_no_template(frame, article):
     assert [got[i] for i in range(30)] == [f"{copied} About this site"] * 30
     assert [got[100 + i] for i in range(9)] == [f"{b} About this site" for b in bodies]
     assert [got[200 + i] for i in range(10)] == [f"{copied} About this site"] * 10
+
+
+@pytest.mark.parametrize("page", ["<script ", "<style ", "<", "<script>x</style", "a>", "</script "])
+def test_visible_text_of_malformed_pages_takes_linear_time(frame, page):
+    from time import monotonic
+
+    df = frame("page_id long, url string, html string", [(1, "http://host.example/a", "words before " + page * (2_000_000 // len(page)))])
+    began = monotonic()
+    assert {r.w for r in urlfilter.unigrams(df).collect()} >= {"words", "before"}
+    assert monotonic() - began < 20
+
+
+def test_visible_text_is_what_tags_leave(frame):
+    html = "<p>One <b>two</b> <script>var hidden = '<p>';</script>three <STYLE type=x>.gone{}</STYLE> a > b <i\n>four</i> <script>never closed <p>five"
+    got = frame("html string", [(html,)]).select(urlfilter.visible(F.col("html")).alias("t")).first().t.split()
+    assert got == ["One", "two", "three", "a", "b", "four", "never", "closed", "five"]
+    assert frame("html string", [(None,)]).select(urlfilter.visible(F.col("html")).alias("t")).first().t is None
+
+
+def test_learned_models_of_no_rows_and_clashing_names(frame):
+    schema = "doc_id long, text string, lang string"
+    assert langid.learn(frame(schema, [])) == {}
+    rows = [(i, t, lang) for i in range(60) for t, lang in (("the of and in that", "en"), ("der die und das ist", "de"))]
+    plain, wide = langid.learn(frame(schema, rows)), langid.learn(frame(f"{schema}, _lang string, gram string, n string, rank string", [(*r, "x", "x", "x", "x") for r in rows]))
+    assert plain == wide and set(plain) == {"de", "en"}
+    # an id that comes very often is one text
+    often = langid.learn(frame(schema, rows + [(0, "der die und das ist", "en")] * 500))
+    assert set(often) == {"de", "en"}
+
+
+@pytest.mark.parametrize("holder", ["<div class='reader-comments'>", "<ol class='commentlist'>", "<div id='respond'>", "<section class='comment-section'>", "<div class='post-comments-list'>"])
+def test_comments_in_an_article_go_by_any_of_their_names(holder):
+    close = "</" + holder[1:].split()[0] + ">"
+    assert htmltext.main_text(f"<article><p>The text.</p>{holder}<p>Nice one!</p>{close}<p class='has-comments'>More text.</p></article>") == "The text. More text."
+
+
+def test_a_paragraph_of_two_unmarked_articles_stays(frame):
+    rng = random.Random(6)
+    words = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30))
+    shared = words()
+    bodies = [[words(), shared], [shared, words()], [words(), words()], [words(), words()]]
+    rows = [(i, f"http://small.org/{i}", "<body><div class='note'>We use small files</div><div class='text'>" + "".join(f"<p>{p}</p>" for p in b) + "</div></body>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in htmltext.extract(frame("page_id long, url string, html string", rows)).collect()}
+    assert got == {i: " ".join(b) for i, b in enumerate(bodies)}
