@@ -50,8 +50,8 @@ from .substrings import covered, text_key
 from .words import chunks, mix, signed, sliding_min
 
 TRIGGER = 16
-#: Bytes hashed at a time, and units ranked together.
-PIECE, UNITS = 1 << 20, 1024
+#: Bytes hashed at a time, units of one text at a time, and units ranked together.
+PIECE, AT_ONCE, UNITS = 1 << 18, 1 << 15, 1024
 #: Units of a hot anchor in one block.
 BLOCK = 256
 UNIT = ["anchor", "lead", "wins", "fp", "fp2"]
@@ -81,8 +81,10 @@ def hash_spans(lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     at, left = start[order], size[order]
     a = mix(left.astype(np.uint64) + K1)
     b = mix(a ^ K3)
-    for j in range(0, int(left[0]) if len(left) else 0, 8):
-        n, full = np.searchsorted(-left, [-j, -j - 7])
+    lows = np.arange(0, int(left[0]) if len(left) else 0, 8)
+    # how many spans go beyond a lane's start, and how many fill it
+    some, whole = (np.searchsorted(-left, -lows - k).tolist() for k in (0, 7))
+    for j, n, full in zip(lows.tolist(), some, whole, strict=True):
         x = lanes[at[:n] + j]
         x[full:] &= _LOW_BYTES[left[full:n] - j]
         u = (a[:n] ^ x) * K1
@@ -133,10 +135,19 @@ class Parser:
         before[np.concatenate([[True], owner[1:] != owner[:-1]])] = 0
         first = np.maximum(begin, before)
         low, high = np.maximum(first, stop - reach), np.minimum(stop, last)
-        yield from self._units(lanes, begins, owner, low, high, stop, 0)
+        for lo in range(0, len(stop), AT_ONCE):
+            yield from self._units(lanes, begins, *(x[lo : lo + AT_ONCE] for x in (owner, low, high, stop)), 0)
         bare = np.minimum(stop - reach - 1, last)
+        parts, held = [], 0
         for i in np.flatnonzero(bare >= first).tolist():
-            yield from self._bare(lanes, begins, int(owner[i]), int(first[i]), int(bare[i]))
+            for part in self._bare(lanes, int(owner[i]), int(first[i]), int(bare[i])):
+                parts.append(part)
+                held += len(part[0])
+                if held >= AT_ONCE:
+                    yield from self._units(lanes, begins, *(np.concatenate(c) for c in zip(*parts, strict=True)), 1)
+                    parts, held = [], 0
+        if parts:
+            yield from self._units(lanes, begins, *(np.concatenate(c) for c in zip(*parts, strict=True)), 1)
 
     def _units(self, lanes, begins, owner, low, high, anchor, kind):
         """Units of strings from ``low`` to ``high``, in two classes by how far the anchor is."""
@@ -151,8 +162,8 @@ class Parser:
             prints = hash_spans(lanes, a, wins + self.window - 1)
             yield text, a - begins[text], at - a, wins, signed(mix(keys + np.uint64(2 * kind + back))), signed(prints[:, 0]), signed(prints[:, 1])
 
-    def _bare(self, lanes, begins, text, first, last):
-        """Units of strings without a trigger, by the first least value in each."""
+    def _bare(self, lanes, text, first, last):
+        """(text, first string, last, anchor) of units without a trigger, by the first least value in each."""
         reach = self.window - TRIGGER
         for lo in range(first, last + 1, PIECE):
             hi = min(lo + PIECE - 1, last)
@@ -160,8 +171,7 @@ class Parser:
             places = np.arange(len(values), dtype=np.uint64)
             least = sliding_min((values >> np.uint64(24) << np.uint64(24)) | places, reach + 1) & np.uint64((1 << 24) - 1)
             head = np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1)))
-            low, high = head + lo, np.append(head[1:], len(least)) - 1 + lo
-            yield from self._units(lanes, begins, np.full(len(head), text), low, high, least[head].astype(np.int64) + lo, 1)
+            yield np.full(len(head), text), head + lo, np.append(head[1:], len(least)) - 1 + lo, least[head].astype(np.int64) + lo
 
 
 def units(docs: DataFrame, window: int, phrase: int | None) -> DataFrame:
