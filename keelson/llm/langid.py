@@ -6,15 +6,15 @@ smallest out-of-place distance to its own. Texts are lower-cased; runs of
 anything but letters count as one space.
 
 An n-gram is one 64-bit integer, 21 bits a code point. Profiles are learned
-from at most about ``per_language`` texts of each language, picked by a hash
-of the id; prediction reads every whole text.
+from at most about ``per_language`` ids of each language, picked by a hash, and
+one text of each; prediction reads every whole text.
 
 Defined results: null text, or text without a letter, is ``und`` with score
 0; with no training text at all every text is ``und``; ties go to the
-language that sorts first, ties of n-grams to the lesser; repeated rows are
-trained on each and have equal results; texts of any length are read whole; an
-empty table gives an empty table; further columns, also named like those of
-the result, do not matter.
+language that sorts first, ties of n-grams to the lesser; of an id's texts in a
+language that with the least hash is trained on, and repeated rows have equal
+results; texts of any length are read whole; an empty table gives an empty
+table; further columns, also named like those of the result, do not matter.
 """
 
 from __future__ import annotations

@@ -20,9 +20,12 @@ do not matter, whatever their names.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,24 +97,42 @@ class Segmenter:
         return tuple(reversed(out))
 
 
-def _cut(text: Column, end: str, kept) -> Column:
-    """The text in parts, each but the last followed by ``end``; ``kept`` says what of those stays. One pass, whatever is left open."""
-    parts = F.split(text, end)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, kept(p)).otherwise(p)), " ")
+#: What opens and ends an element whose content is no text.
+UNSEEN = [(re.compile(rf"<{t}\b", re.I), re.compile(rf"</{t}", re.I)) for t in ("script", "style")]
+LETTERS = regex.compile(r"\p{L}+")
+#: Different words that a task counts before it passes the counts on.
+HELD = 1 << 18
 
 
-def visible(html: Column) -> Column:
-    """The text without tags, scripts and styles; what is never closed is text."""
-    for name in ("script", "style"):
-        html = _cut(html, rf"(?i)</{name}", lambda p, n=name: F.regexp_replace(p, rf"(?is)<{n}\b.*", " "))
-    return _cut(html, ">", lambda p: F.substring_index(p, "<", 1))
+def visible(html: str | None) -> str:
+    """The text without tags, scripts and styles, in one pass for each; what is never closed is text."""
+    html = html or ""
+    for opens, ends in UNSEEN:
+        *closed, rest = ends.split(html)
+        html = " ".join([*(p[: m.start()] if (m := opens.search(p)) else p for p in closed), rest])
+    *tagged, rest = html.split(">")
+    return " ".join([*(p.partition("<")[0] for p in tagged), rest])
 
 
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n): how often each word that a label could hold is in the pages' visible text."""
-    text = F.lower(visible(F.col(html_col)))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        total: Counter[str] = Counter()
+
+        def told():
+            words = [w for w in total if len(w) <= LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], ["w", "n"])
+
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                total.update(LETTERS.findall(visible(html).lower()))
+                if len(total) >= HELD:
+                    yield told()
+                    total.clear()
+        yield told()
+
+    return pages.select(html_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _tokens(text: Column) -> Column:
