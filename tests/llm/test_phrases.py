@@ -64,6 +64,7 @@ def test_hot_anchors_in_blocks(frame, monkeypatch):
 
 def test_units_hold_every_string_once(monkeypatch):
     monkeypatch.setattr(phrases, "PIECE", 64)
+    monkeypatch.setattr(phrases, "AT_ONCE", 16)
     for window, phrase in ((40, 8), (55, 64), (80, 4)):
         raws = [(t or "").encode() for _, t in corpus(9)]
         seen = Counter()
