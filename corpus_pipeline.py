@@ -34,9 +34,10 @@ def _unfolded(rows: DataFrame, like: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier holds for toxic go.
 
-    Null and empty texts have the class prior's score and stay; equal texts are
-    judged alike, whatever their ids; without labels or texts nothing is
-    learned and nothing goes; an empty table stays empty.
+    Null and empty texts score the model's bias, which is below one half unless
+    most labelled texts are toxic; equal texts are judged alike, whatever their
+    ids; without toxic labels nothing is learned and nothing goes; an empty
+    table stays empty.
     """
     folded = _folded(docs)
     model = toxicity.train(folded, table(spark, sf_dir, "labels"))
