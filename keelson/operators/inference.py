@@ -29,6 +29,8 @@ ONE = "_one"
 CLUSTERS, SIMULATIONS = 20_000, 10
 #: Clusters of a task of the wild bootstrap, and of one product with their signs; chunks whose sums are added up at once.
 TASK, STEP, FAN_IN = 4_000, 500, 32
+#: Fixed effects of a bootstrap at most: a task holds 16 bytes for each and draw, and 8 for each pair.
+EFFECTS = 2_000
 
 
 def _sums(columns: tuple[str, ...]) -> dict[str, Column]:
@@ -158,6 +160,12 @@ def leave_one_out(sample: DataFrame, by: str, fixed: str | None = "vintage", clu
     return joined.select("dropped", F.try_divide(F.col("XY") + F.col("_dxy"), F.nullif(F.col("XX") + F.col("_dxx"), F.lit(0.0))).alias("beta"), (F.col("N") - F.col("_dn")).alias("n"))
 
 
+def _few(effects: list[str]) -> list[str]:
+    if len(effects) > EFFECTS:
+        raise ValueError(f"more than {EFFECTS} fixed effects; the bootstrap holds all of them for each draw")
+    return effects
+
+
 def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20240813, fixed: str = "vintage", cluster: str = "firm_id") -> DataFrame:
     """beta, t, p of H0: no persistence, with Rademacher signs by cluster.
 
@@ -170,7 +178,7 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
     rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
     cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
     # fixed effects are few: the operator estimates one parameter for each
-    effects = sorted(r["f"] for r in cell.select("f").distinct().collect())
+    effects = _few(sorted(r["f"] for r in cell.select("f").distinct().limit(EFFECTS + 1).collect()))
     k = len(effects)
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,8 +247,8 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
     rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
     cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_nf").cast("double").alias("nf"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
     # fixed effects are few: the operator estimates one parameter for each
-    told = {r["f"]: r["nf"] for r in cell.groupBy("f").agg(F.first("nf").alias("nf")).collect()}
-    effects, nf = sorted(told), np.array([told[f] for f in sorted(told)])
+    told = {r["f"]: r["nf"] for r in cell.groupBy("f").agg(F.first("nf").alias("nf")).limit(EFFECTS + 1).collect()}
+    effects, nf = _few(sorted(told)), np.array([told[f] for f in sorted(told)])
     k, chunks = len(effects), cell.select("c").distinct().count() // CLUSTERS + 1
     dealt = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks)))
 

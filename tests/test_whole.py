@@ -79,6 +79,13 @@ def test_draws_without_a_finite_t_do_not_count(spark):
     assert got.n_boot == 0 and got.p is None
 
 
+def test_many_effects_are_an_error(spark, small, monkeypatch):
+    monkeypatch.setattr(inference, "EFFECTS", 3)
+    for run in (lambda s: inference.wild_cluster_bootstrap(s, 9), lambda s: inference.power_at(s, [0.0], 2, 9)):
+        with pytest.raises(ValueError, match="3 fixed effects"):
+            run(statistics._sample(spark, small))
+
+
 def dealt(sample, values):
     """Values dealt anew within each vintage, a row for each draw."""
     out = np.empty((DRAWS, len(sample)))
