@@ -21,8 +21,10 @@ it can matter only:
   it is above one. They are told apart by 128 bits;
 * what is left meets by anchor and is ranked exactly, many anchors at a time; a
   hot anchor's units (the edges of a passage that a third of all texts share)
-  are dealt into blocks. A block settles the strings that occur twice in it; of
-  each other one it tells a 128-bit hash, and these are counted over all blocks.
+  are dealt into blocks. A block settles the strings that occur twice in it. Of
+  the others it first tells 128-bit hashes of what ``CELL`` neighbouring strings
+  have in common; only where that comes from several rows are the strings' own
+  hashes counted over all blocks.
 
 Texts are told apart by their MD5, so copies are worked on once, and missing or
 repeated ids do no harm.
@@ -52,8 +54,8 @@ from .words import chunks, mix, signed, sliding_min
 TRIGGER = 16
 #: Bytes hashed at a time, units of one text at a time, and units ranked together.
 PIECE, AT_ONCE, UNITS = 1 << 18, 1 << 15, 1024
-#: Units of a hot anchor in one block.
-BLOCK = 256
+#: Units of a hot anchor in one block, and splits of a unit's strings that share a core.
+BLOCK, CELL = 256, 16
 UNIT = ["anchor", "lead", "wins", "fp", "fp2"]
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
@@ -263,13 +265,16 @@ def _ranges(flags: np.ndarray) -> list[dict]:
 def _settled(packed: DataFrame, window: int) -> DataFrame:
     """Rows (unit, spans) of units with strings repeated in their block.
 
-    Of hot anchors also rows (w1, w2, n, nth): each kind of string of the block,
-    with n = 2 if it is repeated in it, else with its place. A block's rows come
-    one after another.
+    Of hot anchors also rows (unit, cell, c1, c2, firsts, agains): the strings
+    of a unit whose splits fall into one cell of ``CELL`` share their core, the
+    bytes that all such strings have, of which c1 and c2 are the hashes. The
+    bits of ``firsts`` mark strings that are the first of their kind in the
+    block, those of ``agains`` which of them are repeated in it.
     """
-    names = [*UNIT, "spans", "w1", "w2", "n", "nth"]
+    names = [*UNIT, "spans", "cell", "c1", "c2", "firsts", "agains"]
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     own = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    core = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def answer(rows, bucket):
         leads, wins, weights = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 6))
@@ -277,16 +282,19 @@ def _settled(packed: DataFrame, window: int) -> DataFrame:
         ends = np.cumsum(wins)
         hits = [((r[0], *r[2:6]), _ranges(x)) for r, x in zip(rows, np.split(again, ends[:-1]), strict=True) if x.any()]
         if hits:
-            k = len(hits)
-            yield pa.RecordBatch.from_arrays([*(pa.array([h[i] for h, _ in hits], t) for i, t in enumerate(own)), pa.array([s for _, s in hits], span), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names)
-        hot = np.repeat([r[7] for r in rows], wins)
-        at = np.flatnonzero(first & hot)
+            yield pa.RecordBatch.from_arrays([*(pa.array([h[i] for h, _ in hits], t) for i, t in enumerate(own)), pa.array([s for _, s in hits], span), *(pa.nulls(len(hits), t) for t in core)], names)
+        at = np.flatnonzero(first & np.repeat([r[7] for r in rows], wins))
         if len(at):
             unit = np.searchsorted(ends, at, "right")
-            nth = at - (ends - wins)[unit]
+            split = leads[unit] - (at - (ends - wins)[unit])
+            cells, of = np.unique(unit * (window // CELL + 1) + split // CELL, return_inverse=True)
+            bit = np.int64(1) << split % CELL
+            firsts, agains = (np.bincount(of, w).astype(np.int64) for w in (bit, bit * again[at]))
+            unit, cell = np.divmod(cells, window // CELL + 1)
             sizes = np.array([len(r[8]) for r in rows], np.int64)
-            prints = hash_spans(lanes_of(np.frombuffer(b"".join([r[8] for r in rows]), np.uint8)), (np.cumsum(sizes) - sizes)[unit] + nth, np.full(len(at), window))
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], t).take(pa.array(unit)) for j, t in zip((0, 2, 3, 4, 5), own, strict=True)), pa.nulls(len(at), span), pa.array(signed(prints[:, 0])), pa.array(signed(prints[:, 1])), pa.array(np.where(again[at], 2, 1)), pa.array(nth, pa.int32())], names)
+            prints = hash_spans(lanes_of(np.frombuffer(b"".join([r[8] for r in rows]), np.uint8)), (np.cumsum(sizes) - sizes)[unit] + leads[unit] - cell * CELL, np.full(len(unit), window - CELL + 1))
+            told = (cell, signed(prints[:, 0]), signed(prints[:, 1]), firsts, agains)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], t).take(pa.array(unit)) for j, t in zip((0, 2, 3, 4, 5), own, strict=True)), pa.nulls(len(unit), span), *(pa.array(c, t) for c, t in zip(told, core, strict=True))], names)
 
     def run(batches):
         rows: list[tuple] = []
@@ -303,7 +311,32 @@ def _settled(packed: DataFrame, window: int) -> DataFrame:
             yield from answer(rows, bucket)
 
     ordered = packed.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    return ordered.mapInArrow(run, "anchor long, lead int, wins int, fp long, fp2 long, spans array<struct<lo:int,hi:int>>, w1 long, w2 long, n long, nth int")
+    return ordered.mapInArrow(run, "anchor long, lead int, wins int, fp long, fp2 long, spans array<struct<lo:int,hi:int>>, cell int, c1 long, c2 long, firsts int, agains int")
+
+
+def _strings(joined: DataFrame, window: int) -> DataFrame:
+    """(unit, w1, w2, n, nth) of the marked strings of (unit, packed, cells); n is 2 for what is repeated in its block."""
+    own = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        for batch in batches:
+            row, place, base, n, data = [], [], [], [], []
+            size = 0
+            for i, (lead, raw, cells) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 5, 6)), strict=True)):
+                for c in cells:
+                    for k in range(CELL):
+                        if c["firsts"] >> k & 1:
+                            row.append(i)
+                            place.append(lead - c["cell"] * CELL - k)
+                            base.append(size)
+                            n.append(1 + (c["agains"] >> k & 1))
+                data.append(raw)
+                size += len(raw)
+            if row:
+                prints = hash_spans(lanes_of(np.frombuffer(b"".join(data), np.uint8)), np.array(base) + place, np.full(len(row), window))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row)).cast(t) for j, t in enumerate(own)), pa.array(signed(prints[:, 0])), pa.array(signed(prints[:, 1])), pa.array(n, pa.int64()), pa.array(place, pa.int32())], [*UNIT, "w1", "w2", "n", "nth"])
+
+    return joined.select(*UNIT, "packed", "cells").mapInArrow(run, "anchor long, lead int, wins int, fp long, fp2 long, w1 long, w2 long, n long, nth int")
 
 
 def repeated_strings(docs: DataFrame, space: Workspace, window: int, phrase: int | None = None) -> DataFrame:
@@ -319,14 +352,18 @@ def repeated_strings(docs: DataFrame, space: Workspace, window: int, phrase: int
     packed = space.keep(_packed(docs.join(wanted, "key").select("key", "text", "wanted"), window), "packed")
     space.drop("wanted")
     settled = space.keep(_settled(packed, window), "settled")
-    space.drop("packed")
-    open_strings = settled.filter("w1 is not null")
+    # of hot anchors, strings whose core is in one row alone have no match in another block
+    cores = settled.filter("cell is not null")
+    shared = space.keep(cores.groupBy("c1", "c2").agg(F.count("*").alias("_n")).filter("_n > 1").select("c1", "c2"), "shared")
+    cells = cores.join(shared, ["c1", "c2"], "left_semi").groupBy(*UNIT).agg(F.collect_list(F.struct("cell", "firsts", "agains")).alias("cells"))
+    open_strings = space.keep(_strings(packed.filter("hot").join(cells, UNIT), window), "strings")
+    space.drop("packed", "shared")
     twice = space.keep(open_strings.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").select("w1", "w2"), "twice")
     across = open_strings.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select(*UNIT, F.array(F.struct(F.col("nth").alias("lo"), (F.col("nth") + 1).alias("hi"))).alias("spans"))
     whole = kinds.filter("n > 1").select(*UNIT, F.array(F.struct(F.lit(0).alias("lo"), F.col("wins").alias("hi"))).alias("spans"))
-    partly = settled.filter("w1 is null").select(*UNIT, "spans").unionByName(across).groupBy(*UNIT).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    partly = settled.filter("cell is null").select(*UNIT, "spans").unionByName(across).groupBy(*UNIT).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     marks = space.keep(whole.unionByName(partly.join(kinds.filter("n > 1").select(*UNIT), UNIT, "left_anti")), "marks")
-    space.drop("settled", "twice")
+    space.drop("settled", "strings", "twice")
     hit = could.join(marks, UNIT).groupBy("key", "start").agg(F.first("spans").alias("spans"))
     shifted = hit.select("key", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi"))).alias("spans"))
     out = space.keep(shifted.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
