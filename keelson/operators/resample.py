@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .panel import quartiles
 from .ranks import cumulated
 
-#: Places, draws and numbers that a task holds at a time.
-PLACES, DRAWS, HELD = 1 << 16, 16, 1 << 20
+#: Places, draws and numbers that a task holds at a time, and draws of one row of work.
+PLACES, DRAWS, HELD, SHARE = 1 << 16, 16, 1 << 20, 256
 #: Buckets of the bootstrap, and rows of a block; neither grows with the rows.
 BUCKETS, BLOCK = 256, 512
-#: Tied values of a group at most: 16 bytes each in every task that has the group.
-TIES = 1 << 22
+#: Tied values of a group at most: 16 bytes each in every row of work that has the group.
+TIES = 1 << 18
 ROUNDS = 6
 
 
@@ -171,7 +171,7 @@ def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, grou
     runs = lambda which: F.array_sort(F.collect_list(F.when((F.col("_c") > 1) & (F.col("_g1") == which), F.struct(F.col("_below").alias("below"), F.col("_c").alias("tied"))))).alias(f"t{which}")
     groups = ranks.groupBy("_g0").agg(F.max("_n").alias("size"), runs(0), runs(1))
     part = lambda i, c: F.transform(F.col(f"t{i}"), lambda t: t[c])
-    work = groups.select(F.col("_g0").cast("string").alias("g"), "size", *(part(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("below", "tied")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PLACES).cast("long"))).alias("at")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(DRAWS))))
+    work = groups.select(F.col("_g0").cast("string").alias("g"), "size", *(part(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("below", "tied")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PLACES).cast("long"))).alias("at")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(SHARE))))
 
     def run(batches):
         total = np.zeros(n)
@@ -179,10 +179,11 @@ def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, grou
             for r in pdf.itertuples(index=False):
                 (x_below, x_tied), (y_below, y_tied) = ((np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in ((r.below0, r.tied0), (r.below1, r.tied1)))
                 places = np.arange(r.at, min(r.at + PLACES, r.size))
-                many = min(DRAWS, n - r.draw)
-                dealt = Permutations(generator(seed, "ranks", r.g, r.draw), int(r.size), many)
                 x = rank_at(places, r.size, x_below, x_tied)
-                total[r.draw : r.draw + many] += rank_at(dealt(places).astype(np.int64), r.size, y_below, y_tied) @ x
+                for lo in range(r.draw, min(r.draw + SHARE, n), DRAWS):
+                    hi = min(lo + DRAWS, n)
+                    dealt = Permutations(generator(seed, "ranks", r.g, lo), int(r.size), hi - lo)
+                    total[lo:hi] += rank_at(dealt(places).astype(np.int64), r.size, y_below, y_tied) @ x
         yield pd.DataFrame({"sums": [total]})
 
     spread = (seen["sd_r0"] or 0) * (seen["sd_r1"] or 0)
