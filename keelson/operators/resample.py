@@ -6,7 +6,7 @@ Each statistic needs less than a draw's rows, and that is what is drawn:
   so a draw is a chain of hypergeometric counts for each group;
 * ranks are known from their place, but for ties, so a draw of a rank
   correlation is a sum over places under a keyed permutation (a Feistel network
-  that walks until it lands inside the group), place by place;
+  on a grid that walks until it lands inside the group), place by place;
 * a bootstrap draw is a multinomial count of each row. Counts are split over
   buckets of rows by a tree of binomials that every task walks by itself, then
   over the rows of its bucket, block by block, and only sums come back.
@@ -20,6 +20,7 @@ nor on the order of rows, and one path serves every size.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from .panel import quartiles
 from .ranks import cumulated
 
-#: Places, draws and numbers that a task holds at a time, and draws of one row of work.
-PLACES, DRAWS, HELD, SHARE = 1 << 16, 16, 1 << 20, 256
+#: Places, draws of one generator and numbers that a task holds at a time; draws of one row of work, and its blocks of places.
+PLACES, DRAWS, HELD, SHARE, STRETCH = 1 << 16, 16, 1 << 20, 256, 16
+#: Entries of a table of ranks at most, and places that are shuffled as they are.
+CELLS, FEW = 1 << 21, 256
 #: Buckets of the bootstrap, and rows of a block; neither grows with the rows.
 BUCKETS, BLOCK = 256, 512
 #: Tied values of a group at most: 16 bytes each in every row of work that has the group.
@@ -107,35 +110,67 @@ def transition_permutation(sample: DataFrame, n: int = 9999, seed: int = 2024081
 class Permutations:
     """Permutations of 0 .. size-1, one for each of ``many`` draws.
 
-    A network of ``ROUNDS`` rounds with random tables permutes the numbers of
-    so many bits; what falls outside is permuted again until it lands inside.
+    A place is a cell of a grid just large enough. ``ROUNDS`` times its row moves
+    by a keyed hash of its column, then its column by one of its row, modulo the
+    grid's sides; what falls beyond the last place is permuted again until it
+    lands inside. Up to ``FEW`` numbers, of which a network would have too few
+    permutations, are shuffled.
     """
 
     def __init__(self, rng: np.random.Generator, size: int, many: int) -> None:
-        # below 256 numbers a network would have too few permutations
-        bits = max(8, (size - 1).bit_length())
-        self.size, self.left, self.right = size, bits // 2, bits - bits // 2
-        self.kind = np.uint32 if bits <= 32 else np.uint64
-        self.tables = rng.integers(0, 1 << self.right, (ROUNDS, many << self.right), self.kind)
-
-    def _once(self, x: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        a, b = self.left, self.right
-        left, right = x >> self.kind(b), x & self.kind((1 << b) - 1)
-        for table in self.tables:
-            left, right = right, left ^ (table[draw + right.astype(np.int64)] & self.kind((1 << a) - 1))
-            a, b = b, a
-        return (left << self.kind(b)) | right
+        self.size, self.many = size, many
+        self.shuffled = rng.permuted(np.tile(np.arange(size), (many, 1)), axis=1) if size <= FEW else None
+        self.rows = math.isqrt(max(0, size - 1)) + 1
+        self.columns = -(-size // self.rows)
+        # halves of a number hold a side of the grid, the whole a place
+        self.kind = np.uint32 if self.rows < 1 << 15 else np.uint64
+        self.half = self.kind(np.iinfo(self.kind).bits // 2)
+        self.keys = rng.integers(0, np.iinfo(self.kind).max, (many, ROUNDS, 3), self.kind, endpoint=True)
+        self.keys[..., ::2] |= self.kind(1)
+
+    def _once(self, row: np.ndarray, column: np.ndarray, draw: int, held: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        for i, (factor, add, again) in enumerate(self.keys[draw]):
+            source, moved, side = (column, row, self.kind(self.rows)) if i % 2 == 0 else (row, column, self.kind(self.columns))
+            np.multiply(source, factor, out=held)
+            np.add(held, add, out=held)
+            np.right_shift(held, self.half, out=spare)
+            np.bitwise_xor(held, spare, out=held)
+            np.multiply(held, again, out=held)
+            np.right_shift(held, self.half, out=held)
+            np.multiply(held, side, out=held)
+            np.right_shift(held, self.half, out=held)
+            np.add(moved, held, out=moved)
+            # below zero numbers wrap, so the least is the remainder
+            np.subtract(moved, side, out=held)
+            np.minimum(moved, held, out=moved)
+        np.multiply(row, self.kind(self.columns), out=held)
+        np.add(held, column, out=held)
+        return held
+
+    def at(self, places: np.ndarray):
+        """A function of the draw: where it sends these places, until the next call."""
+        if self.shuffled is not None:
+            return lambda draw: self.shuffled[draw, places]
+        cells = [v.astype(self.kind) for v in np.divmod(places, self.columns)]
+        held, spare, row, column = (np.empty(len(places), self.kind) for _ in range(4))
+        sent = np.empty(len(places), np.int64)
+
+        def of(draw: int) -> np.ndarray:
+            row[:], column[:] = cells
+            np.copyto(sent, self._once(row, column, draw, held, spare), casting="unsafe")
+            out = np.flatnonzero(sent >= self.size)
+            while len(out):
+                x = [v.astype(self.kind) for v in np.divmod(sent[out], self.columns)]
+                sent[out] = again = self._once(*x, draw, np.empty_like(x[0]), np.empty_like(x[0])).astype(np.int64)
+                out = out[again >= self.size]
+            return sent
+
+        return of
 
     def __call__(self, places: np.ndarray) -> np.ndarray:
         """Where each draw sends these places: draws x places."""
-        many = self.tables.shape[1] >> self.right
-        draw = np.repeat(np.arange(many, dtype=np.int64) << self.right, len(places))
-        x = self._once(np.tile(places.astype(self.kind), many), draw)
-        out = np.flatnonzero(x >= self.size)
-        while len(out):
-            x[out] = again = self._once(x[out], draw[out])
-            out = out[again >= self.size]
-        return x.reshape(many, -1)
+        of = self.at(places)
+        return np.array([of(draw).copy() for draw in range(self.many)])
 
 
 def rank_at(places: np.ndarray, size: int, below: np.ndarray, tied: np.ndarray) -> np.ndarray:
@@ -148,6 +183,39 @@ def rank_at(places: np.ndarray, size: int, below: np.ndarray, tied: np.ndarray)
     return rank / size
 
 
+class Ranks:
+    """Twice the ranks of places in any order, as :func:`rank_at` has them.
+
+    A table of at most ``CELLS`` numbers: of places while they are so few, else
+    of the stretch (tied values or untied ones between) that each cell of places begins in.
+    """
+
+    def __init__(self, size: int, below: np.ndarray, tied: np.ndarray) -> None:
+        start = np.unique(np.concatenate([[0], below, below + tied])).astype(np.int64)
+        start = start[start < max(1, size)]
+        run = np.searchsorted(below, start, "right") - 1
+        inside = (run >= 0) & (start < (below + tied)[run]) if len(below) else np.zeros(len(start), bool)
+        level, slope = np.full(len(start), 2), np.full(len(start), 2)
+        level[inside], slope[inside] = (2 * below + tied + 1)[run[inside]], 0
+        self.shift = max(0, (max(1, size - 1) // CELLS).bit_length())
+        first = np.arange(((size - 1) >> self.shift) + 1, dtype=np.int64) << self.shift
+        cell = np.searchsorted(start, first, "right") - 1
+        if not self.shift:
+            self.ranks = (level[cell] + slope[cell] * first).astype(np.int32 if size < 1 << 30 else np.int64)
+            return
+        self.cell, self.after, self.level, self.slope = cell, np.append(start[1:], size), level, slope
+        last = np.searchsorted(start, np.minimum(first + (1 << self.shift), size) - 1, "right") - 1
+        self.steps = int((last - cell).max())
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        if not self.shift:
+            return self.ranks.take(places, mode="clip")
+        at = self.cell.take(places >> self.shift, mode="clip")
+        for _ in range(self.steps):
+            at += places >= self.after.take(at, mode="clip")
+        return self.level.take(at, mode="clip") + self.slope.take(at, mode="clip") * places
+
+
 def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, group: str = "vintage") -> DataFrame:
     """Correlation of within-group percentile ranks and its one-sided permutation p; null below eight rows.
 
@@ -171,19 +239,22 @@ def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, grou
     runs = lambda which: F.array_sort(F.collect_list(F.when((F.col("_c") > 1) & (F.col("_g1") == which), F.struct(F.col("_below").alias("below"), F.col("_c").alias("tied"))))).alias(f"t{which}")
     groups = ranks.groupBy("_g0").agg(F.max("_n").alias("size"), runs(0), runs(1))
     part = lambda i, c: F.transform(F.col(f"t{i}"), lambda t: t[c])
-    work = groups.select(F.col("_g0").cast("string").alias("g"), "size", *(part(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("below", "tied")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PLACES).cast("long"))).alias("at")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(SHARE))))
+    work = groups.select(F.col("_g0").cast("string").alias("g"), "size", *(part(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("below", "tied")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PLACES * STRETCH).cast("long"))).alias("at")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(SHARE))))
 
     def run(batches):
         total = np.zeros(n)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 (x_below, x_tied), (y_below, y_tied) = ((np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in ((r.below0, r.tied0), (r.below1, r.tied1)))
-                places = np.arange(r.at, min(r.at + PLACES, r.size))
-                x = rank_at(places, r.size, x_below, x_tied)
-                for lo in range(r.draw, min(r.draw + SHARE, n), DRAWS):
-                    hi = min(lo + DRAWS, n)
-                    dealt = Permutations(generator(seed, "ranks", r.g, lo), int(r.size), hi - lo)
-                    total[lo:hi] += rank_at(dealt(places).astype(np.int64), r.size, y_below, y_tied) @ x
+                size, ranks = int(r.size), Ranks(int(r.size), y_below, y_tied)
+                draws = [(lo, Permutations(generator(seed, "ranks", r.g, lo), size, min(lo + DRAWS, n) - lo)) for lo in range(r.draw, min(r.draw + SHARE, n), DRAWS)]
+                for at in range(r.at, min(r.at + PLACES * STRETCH, size), PLACES):
+                    places = np.arange(at, min(at + PLACES, size))
+                    x = rank_at(places, size, x_below, x_tied) / (2 * size)
+                    for lo, dealt in draws:
+                        sent = dealt.at(places)
+                        for i in range(dealt.many):
+                            total[lo + i] += x @ ranks(sent(i)).astype(float)
         yield pd.DataFrame({"sums": [total]})
 
     spread = (seen["sd_r0"] or 0) * (seen["sd_r1"] or 0)
