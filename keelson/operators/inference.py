@@ -51,7 +51,8 @@ def cells(sample: DataFrame, by: list[str], columns: tuple[str, ...] = ("y", "y_
 def demeaned_cells(cell: DataFrame, keys: list[str], fixed: str, columns: tuple[str, ...] = ("y", "y_lag")) -> DataFrame:
     """Adds to cells the products ``_d_u_v`` and sums ``_d_u`` of columns less their means in (keys, fixed)."""
     groups = cell.groupBy(*keys, fixed).agg(*_added(columns)).select(*keys, fixed, F.col("_n").alias("_nf"), *((F.col(f"_s_{u}") / F.col("_n")).alias(f"_m_{u}") for u in columns))
-    rows = cell.join(groups, [*keys, fixed])
+    # keys x fixed effects rows, the model's parameters; few hold most cells, so cells stay where they are
+    rows = cell.join(F.broadcast(groups), [*keys, fixed])
     n = F.col("_n")
     product = {f"_d_{u}_{v}": F.col(f"_s_{u}_{v}") - F.col(f"_m_{u}") * F.col(f"_s_{v}") - F.col(f"_m_{v}") * F.col(f"_s_{u}") + n * F.col(f"_m_{u}") * F.col(f"_m_{v}") for i, u in enumerate(columns) for v in columns[i:]}
     return rows.withColumns(product | {f"_d_{u}": F.col(f"_s_{u}") - n * F.col(f"_m_{u}") for u in columns})
@@ -108,7 +109,8 @@ def ols_fe(sample: DataFrame, keys: tuple[str, ...] = (), fixed: str | None = "v
     total = total.withColumns({"_xx": left("y_lag", "y_lag"), "_xy": left("y_lag", "y"), "_yy": left("y", "y")}).withColumn("beta", _div("_xy", "_xx"))
     shares = [f"_g_{k}_{u}" for k in range(m) for u in (m, m + 1)]
     total = total.select(*keys_, "n", "n_firms", "_levels", "_rank", "_xx", "beta", (F.col("_yy") - F.col("beta") * F.col("_xy")).alias("_sse"), (F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")).alias("_sst"), *shares)
-    own = cell.join(total.select(*keys_, "_xx", "beta", *shares), keys_)
+    # one row for each fit
+    own = cell.join(F.broadcast(total.select(*keys_, "_xx", "beta", *shares)), keys_)
 
     def product(u: int, v: int) -> Column:
         """Of a cell's y_lag (m) or y (m + 1), each less its controls' share."""

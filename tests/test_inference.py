@@ -156,3 +156,16 @@ def test_controls_by_key_and_in_both_clusterings(controlled):
         assert (r.beta, r.se) == (pytest.approx(beta, abs=1e-8), pytest.approx(se, rel=6e-3))
     both = I.ols_fe(controlled, clusters=("firm_id", "vintage"), controls=("a", "b")).collect()[0]
     assert both.beta == pytest.approx(dense_controls(controlled, ("a", "b"))[0], abs=1e-8)
+
+
+def test_cells_are_not_dealt_by_specification_or_effect(controlled, spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # no table passes for small of itself
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fit = I.ols_fe(controlled.withColumn("spec", controlled.vintage % 2), keys=("spec",), clusters=("firm_id", "vintage"), controls=("a",))
+        plan = fit._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # the three variances meet the fits, one row each; a shuffle of cells by two specifications would fill two tasks
+    assert plan.count("SortMergeJoin") == 3
