@@ -6,12 +6,18 @@ positive. Years are days / 365.25 from the first flow.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 
 LOW, HIGH, STEPS = -0.9999, 100.0, 100
+#: Flows whose funds are halved together.
+FLOWS = 1 << 15
 
 
 def flows_from_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -73,24 +79,52 @@ def npv(flows: Column, rate: Column) -> Column:
     return F.aggregate(flows, F.lit(0.0), lambda acc, f: acc + f["a"] / F.pow(1 + rate, f["t"]))
 
 
+def roots(times: Sequence[np.ndarray], amounts: Sequence[np.ndarray]) -> np.ndarray:
+    """The bisections of some funds side by side, until no interval moves; NaN without a root."""
+    out, sizes = np.full(len(times), np.nan), np.array([len(t) for t in times], np.int64)
+    some = np.flatnonzero(sizes >= 2)
+    if not len(some):
+        return out
+    sizes, t, a = sizes[some], np.concatenate([times[i] for i in some]), np.concatenate([amounts[i] for i in some])
+    begin = np.cumsum(sizes) - sizes
+
+    def sign(rate: np.ndarray) -> np.ndarray:
+        return np.sign(np.add.reduceat(a * np.exp(np.repeat(-np.log1p(rate), sizes) * t), begin))
+
+    with np.errstate(all="ignore"):
+        lo, hi = np.full(len(some), LOW), np.full(len(some), HIGH)
+        low = sign(lo)
+        found = (np.maximum.reduceat(a, begin) > 0) & (np.minimum.reduceat(a, begin) < 0) & (low * sign(hi) <= 0)
+        for _ in range(STEPS):
+            middle = (lo + hi) / 2
+            below = sign(middle) == low
+            moved = np.where(below, middle, lo), np.where(below, hi, middle)
+            if (moved[0] == lo).all() and (moved[1] == hi).all():
+                break
+            lo, hi = moved
+    out[some] = np.where(found, (lo + hi) / 2, np.nan)
+    return out
+
+
 def xirr(timed: Column) -> Column:
     """Root of the present value on (-0.9999, 100) by bisection; null without a sign change.
 
-    ``timed`` is a column of arrays of structs (t, a). One expression, no
-    Python. The sign at the low end travels in the accumulator, so a step
-    evaluates the present value once.
+    ``timed`` is a column of arrays of structs (t, a). Funds come to tasks in
+    batches and are halved together, ``FLOWS`` flows or one fund at a time.
     """
-    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.signum(npv(timed, F.lit(LOW))).alias("s"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        middle = (acc["lo"] + acc["hi"]) / 2
-        below = F.signum(npv(timed, middle)) == acc["s"]
-        return F.when(below, F.struct(middle.alias("lo"), acc["hi"].alias("hi"), acc["s"].alias("s"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi"), acc["s"].alias("s")))
+    @F.pandas_udf("double")
+    def solve(times: pd.Series, amounts: pd.Series) -> pd.Series:
+        out = np.full(len(times), np.nan)
+        # None for an unknown array or value
+        t, a = ([np.zeros(0) if x is None else np.asarray(x, float) for x in column] for column in (times, amounts))
+        ends = np.cumsum([len(x) for x in t]) // FLOWS
+        for part in np.split(np.arange(len(out)), np.flatnonzero(np.diff(ends)) + 1):
+            out[part] = roots([t[i] for i in part], [a[i] for i in part])
+        return pd.Series(out)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    signs = F.exists(timed, lambda f: f["a"] > 0) & F.exists(timed, lambda f: f["a"] < 0)
-    bracketed = F.signum(npv(timed, F.lit(LOW))) * F.signum(npv(timed, F.lit(HIGH))) <= 0
-    return F.when((F.size(timed) >= 2) & signs & bracketed, found)
+    found = solve(F.transform(timed, lambda f: f["t"].cast("double")), F.transform(timed, lambda f: f["a"].cast("double")))
+    return F.nanvl(found, F.lit(None).cast("double"))
 
 
 def timed_flows(flows: DataFrame) -> DataFrame:
@@ -116,7 +150,7 @@ def fund_irr(flows: DataFrame, navs: DataFrame) -> DataFrame:
 
 
 def pme(flows: DataFrame, navs: DataFrame, index: DataFrame) -> DataFrame:
-    """ks_pme, direct_alpha and ln_pme of every fund."""
+    """irr, ks_pme, direct_alpha and ln_pme of every fund, from one gathering of its flows."""
     w = Window.partitionBy("fund_id")
     dated = timed_flows(asof_level(terminal_flows(flows, navs), index))
     dated = dated.withColumn("_end", F.max_by("level", "date").over(w)).withColumn("_last", F.max("date").over(w))
@@ -126,17 +160,17 @@ def pme(flows: DataFrame, navs: DataFrame, index: DataFrame) -> DataFrame:
     a, level = F.col("amount"), F.col("level")
     both = dated.groupBy("fund_id").agg(
         ratio(F.sum(F.when(a > 0, a / level).otherwise(0.0)), F.sum(F.when(a < 0, -a / level).otherwise(0.0))).alias("ks_pme"),
+        F.collect_list(F.struct("t", a.alias("a"))).alias("_flows"),
         F.collect_list(F.struct("t", F.col("_grown").alias("a"))).alias("_direct"),
         F.collect_list(F.struct("t", F.col("_ln").alias("a"))).alias("_long"),
         F.max_by("_ln", "date").alias("_residual"),
     )
-    return both.select("fund_id", "ks_pme", xirr(F.col("_direct")).alias("direct_alpha"), F.when(F.col("_residual") > 0, xirr(F.col("_long"))).alias("ln_pme"))
+    return both.select("fund_id", xirr(F.col("_flows")).alias("irr"), "ks_pme", xirr(F.col("_direct")).alias("direct_alpha"), F.when(F.col("_residual") > 0, xirr(F.col("_long"))).alias("ln_pme"))
 
 
 def summarise(flows: DataFrame, navs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The metrics table: multiples, IRR and, given an index, the market equivalents."""
-    out = multiples(flows, navs).join(fund_irr(flows, navs), "fund_id", "left")
-    return out if index is None else out.join(pme(flows, navs, index), "fund_id", "left")
+    return multiples(flows, navs).join(fund_irr(flows, navs) if index is None else pme(flows, navs, index), "fund_id", "left")
 
 
 def compound_index(returns: DataFrame, base: float = 100.0, date: str = "date", value: str = "r") -> DataFrame:

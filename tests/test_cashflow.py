@@ -117,3 +117,28 @@ def test_an_index_with_a_hole_is_refused(frame):
     with pytest.raises(ValueError, match="2020-02-28"):
         market_total_return(frame(schema, [(days[2], None, 0.1), (days[1], 0.1, None), (days[0], 0.1, 0.1)]))
     assert market_total_return(frame(schema, [])).collect() == []
+
+
+def test_funds_are_halved_together_as_alone(frame, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    funds = [(np.sort(rng.uniform(0, 12, n)), rng.normal(size=n) * 100) for n in (2, 3, 40, 1, 0, 7, 300)]
+    funds += [(np.array([0.0, 1.0]), np.array([-1.0, 1.0])), (np.array([0.0, 1.0]), np.array([1.0, 2.0])), (np.array([0.0, 1.0]), np.array([-1.0, np.nan]))]
+
+    def plain(t, a):
+        value = lambda r: np.sign(sum(x / (1 + r) ** y for x, y in zip(a, t, strict=True)))
+        lo, hi, low = C.LOW, C.HIGH, value(C.LOW)
+        if len(t) < 2 or not (a > 0).any() or not (a < 0).any() or not low * value(hi) <= 0:
+            return None
+        for _ in range(C.STEPS):
+            lo, hi = ((lo + hi) / 2, hi) if value((lo + hi) / 2) == low else (lo, (lo + hi) / 2)
+        return (lo + hi) / 2
+
+    want = [plain(*f) for f in funds]
+    assert sum(w is not None for w in want) >= 3
+    assert C.roots([t for t, _ in funds], [a for _, a in funds]) == pytest.approx([np.nan if w is None else w for w in want], abs=1e-9, nan_ok=True)
+    monkeypatch.setattr(C, "FLOWS", 50)
+    rows = frame("i int, flows array<struct<t: double, a: double>>", [(i, [(float(x), float(y)) for x, y in zip(t, a, strict=True)]) for i, (t, a) in enumerate(funds)] + [(99, None)])
+    got = {r.i: r.v for r in rows.select("i", C.xirr(rows.flows).alias("v")).collect()}
+    assert got[99] is None and [got[i] for i in range(len(funds))] == [w if w is None else pytest.approx(w, abs=1e-9) for w in want]
