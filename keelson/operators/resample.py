@@ -31,7 +31,7 @@ from .panel import quartiles
 from .ranks import cumulated
 
 #: Places, draws of one generator and numbers that a task holds at a time; draws of one row of work, and its blocks of places.
-PLACES, DRAWS, HELD, SHARE, STRETCH = 1 << 16, 16, 1 << 20, 256, 16
+PLACES, DRAWS, HELD, SHARE, STRETCH = 1 << 16, 16, 1 << 17, 256, 16
 #: Entries of a table of ranks at most, and places that are shuffled as they are.
 CELLS, FEW = 1 << 21, 256
 #: Buckets of the bootstrap, and rows of a block; neither grows with the rows.
@@ -291,7 +291,12 @@ def picked_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarray
     step = max(1, HELD // max(rows, int(counts.max(initial=1))))
     for lo in range(0, len(counts), step):
         some = counts[lo : lo + step]
-        at = np.repeat(np.arange(len(some)) * rows, some) + rng.integers(rows, size=int(some.sum()))
+        n, at = int(some.sum()), np.repeat(np.arange(len(some)) * rows, some)
+        if rows <= 1 << 16 and rows & (rows - 1) == 0:
+            # the low bits of 16 are uniform, and one number has four of them
+            at += rng.integers(1 << 64, size=-(-n // 4), dtype=np.uint64).view(np.uint16)[:n] & np.uint16(rows - 1)
+        else:
+            at += rng.integers(rows, size=n)
         out[lo : lo + step] = np.bincount(at, minlength=len(some) * rows).reshape(-1, rows) @ values
     return out
 
