@@ -13,6 +13,7 @@ partitioning or row order.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -201,8 +202,9 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
             n, x, y, xy, xx = (dense(c, lo, hi) for c in ("n", "x", "y", "xy", "xx"))
             xy, xx = xy.sum(1), xx.sum(1)
             total += np.concatenate([[xx.sum(), xx @ xx, xy @ xy], n.sum(0), xx @ x, (x.T @ x).ravel()])
-            signs = np.vstack([np.ones(hi - lo), np.array([draw_signs(seed, 0, c, n_boot) for c in keys[lo:hi]]).T])
-            drawn += signs @ np.hstack([xy[:, None], (xy * xx)[:, None], y, xy[:, None] * x])
+            columns = np.hstack([xy[:, None], (xy * xx)[:, None], y, xy[:, None] * x])
+            drawn[0] += columns.sum(0)
+            drawn[1:] += draw_signs(seed, 0, keys[lo:hi], n_boot).T @ columns
         return pd.DataFrame({"clusters": [len(keys)], "total": [total], "drawn": [drawn.ravel()]})
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -229,10 +231,20 @@ def wild_cluster_bootstrap(sample: DataFrame, n_boot: int = 9999, seed: int = 20
     return added.groupBy().applyInPandas(lambda p: finish(p), "beta double, t double, p double, n_boot long")
 
 
-def draw_signs(seed: int, simulation: int, key: str, n: int) -> np.ndarray:
-    """n signs of a cluster: the bits of the md5 digests of (seed, simulation, block, key)."""
-    raw = b"".join(hashlib.md5(f"{seed}|{simulation}|{block}|{key}".encode()).digest() for block in range(-(-n // 128)))
-    return np.unpackbits(np.frombuffer(raw, np.uint8))[:n] * 2.0 - 1.0
+def _digests(heads: Sequence[str], keys: Sequence[str]) -> np.ndarray:
+    """The md5 digests of each head followed by each key: keys x bytes."""
+    starts, md5 = [h.encode() for h in heads], functools.partial(hashlib.md5, usedforsecurity=False)
+    raw = b"".join([md5(start + key).digest() for key in [k.encode() for k in keys] for start in starts])
+    return np.frombuffer(raw, np.uint8).reshape(len(keys), -1)
+
+
+def draw_signs(seed: int, simulation: int, keys: Sequence[str], n: int) -> np.ndarray:
+    """n signs of each cluster: the bits of the md5 digests of (seed, simulation, block, key)."""
+    raw = _digests([f"{seed}|{simulation}|{block}|" for block in range(-(-n // 128))], keys)
+    signs = np.unpackbits(raw, axis=1, count=n).astype(float)
+    signs *= 2.0
+    signs -= 1.0
+    return signs
 
 
 def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boot: int = 499, seed: int = 20240813, fixed: str = "vintage", cluster: str = "firm_id") -> DataFrame:
@@ -254,16 +266,16 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
     k, chunks = len(effects), cell.select("c").distinct().count() // CLUSTERS + 1
     dealt = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks)))
 
-    def cluster_sign(b: int, c: str) -> float:
-        return 1.0 if hashlib.md5(f"{seed}|{b}|{c}".encode()).hexdigest()[0] in "02468ace" else -1.0
+    def cluster_signs(b: int, keys: Sequence[str]) -> np.ndarray:
+        # even first hexadecimal digits are positive
+        return 1.0 - 2.0 * (_digests([f"{seed}|{b}|"], keys)[:, 0] >> 4 & 1)
 
     def by_effect(pdf: pd.DataFrame) -> pd.DataFrame:
         """A chunk's sums of signed outcomes by simulation and effect."""
         at, keys = pd.factorize(pdf["c"])
         y = np.zeros((len(keys), k))
         y[at, pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()] = pdf["y"]
-        signs = np.array([[cluster_sign(b, c) for c in keys] for b in range(1, n_sims + 1)])
-        return pd.DataFrame({"sums": [(signs @ y).ravel()]})
+        return pd.DataFrame({"sums": [np.concatenate([cluster_signs(b, keys) @ y for b in range(1, n_sims + 1)])]})
 
     # one row
     sums = added_up(dealt.groupBy("chunk").applyInPandas(lambda p: by_effect(p), "sums array<double>"), n_sims * k).first()["sums"]
@@ -286,10 +298,13 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
         fixed_sums = np.concatenate([[xx.sum(), xx @ xx, len(keys)], n.sum(0), xx @ x, (x.T @ x).ravel()])
         out = []
         for b in range(first := int(pdf["block"].iloc[0]) * SIMULATIONS + 1, min(first + SIMULATIONS, n_sims + 1)):
-            v = np.array([cluster_sign(b, c) for c in keys])
+            v = cluster_signs(b, keys)
             own, cross = v[:, None] * y - n * of[b], v * xy.sum(1) - x @ of[b]
-            signs = np.vstack([np.ones(len(keys)), np.array([draw_signs(seed, b, c, n_boot) for c in keys]).T])
-            drawn = signs @ np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
+            columns = np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
+            drawn = np.vstack([columns.sum(0), np.zeros((n_boot, columns.shape[1]))])
+            # some clusters at a time, so that their signs stay in the cache
+            for lo in range(0, len(keys), STEP):
+                drawn[1:] += draw_signs(seed, b, keys[lo : lo + STEP], n_boot).T @ columns[lo : lo + STEP]
             out.append((b, np.concatenate([fixed_sums, [xx @ cross, cross @ cross], drawn.ravel()])))
         return pd.DataFrame(out, columns=["b", "sums"])
 

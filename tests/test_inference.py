@@ -169,3 +169,20 @@ def test_cells_are_not_dealt_by_specification_or_effect(controlled, spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     # the three variances meet the fits, one row each; a shuffle of cells by two specifications would fill two tasks
     assert plan.count("SortMergeJoin") == 3
+
+
+def test_signs_of_many_clusters_are_those_of_each():
+    import hashlib
+    import time
+
+    keys = [str(k) for k in range(0, 4000)]
+    signs = I.draw_signs(7, 3, keys, 499)
+    for key in ("0", "17", "3999"):
+        bits = "".join(f"{int(hashlib.md5(f'7|3|{block}|{key}'.encode()).hexdigest(), 16):0128b}" for block in range(4))[:499]
+        assert signs[int(key)].tolist() == [1.0 if b == "1" else -1.0 for b in bits]
+    columns, took = np.ones((500, 32)), []
+    for lo in range(0, 4000, 500):
+        start = time.process_time()
+        I.draw_signs(7, 3, keys[lo : lo + 500], 499).T @ columns
+        took.append(time.process_time() - start)
+    assert min(took) / 500 < 30e-6
