@@ -608,7 +608,8 @@ def crosstab_counts(spark, sf):
 r AS (SELECT *, coalesce(vintage < b, false) OR coalesce(a < vintage, false) AS out_of_order, CASE WHEN n >= 3 AND spread > 0 THEN vintage - (c + s * fund_number) END AS e FROM w)
 SELECT fund_id, out_of_order, round(e, 6) AS trend_residual, out_of_order OR coalesce(abs(e) > 1, false) AS vintage_anomaly FROM r UNION ALL SELECT fund_id, false, NULL, false FROM funds WHERE fund_number IS NULL""")
 def vintage_anomalies(spark, sf):
-    return entity.vintage_anomalies(V.funds(spark, sf), 1.0).select("fund_id", "out_of_order", r6("trend_residual").alias("trend_residual"), "vintage_anomaly")
+    # the SQL's sums run in the order in which the window before left the rows
+    return entity.vintage_anomalies(V.funds(spark, sf), 1.0, ("sequence",)).select("fund_id", "out_of_order", r6("trend_residual").alias("trend_residual"), "vintage_anomaly")
 
 
 @query("clash_same_vintage", "SELECT firm_id, vintage, count(*) AS n FROM funds GROUP BY 1, 2 HAVING count(*) > 1")

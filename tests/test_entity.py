@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 
 from keelson.operators import entity as E
@@ -67,6 +70,25 @@ def test_sequence_and_anomalies(frame):
     assert not any(flags([None, 2], [2015, 2008]))
 
 
+def test_trend_residuals_on_the_threshold_have_the_bits_of_the_sql(frame):
+    rng = random.Random(5)
+    rows, n = [], 0
+    for firm in range(400):
+        vintage = 1995
+        for i in range(rng.randint(1, 12)):
+            vintage += rng.choice([0, 0, 1, 1, 2])
+            rows.append((n := n + 1, firm or None, i // 2 + 1 if firm % 5 == 0 else i + 1 + i // 4, vintage))
+    con = duckdb.connect()
+    con.execute("set threads=1")
+    con.execute("create table f (fund_id bigint, firm_id bigint, fund_number int, vintage int)")
+    con.executemany("insert into f values (?, ?, ?, ?)", rows)
+    # rows enter the frame by id
+    sql = """SELECT fund_id, CASE WHEN n >= 3 AND spread > 0 THEN vintage - (c + s * fund_number) END FROM (SELECT *, count(*) OVER w AS n, max(fund_number) OVER w - min(fund_number) OVER w AS spread,
+      regr_slope(vintage, fund_number) OVER w AS s, regr_intercept(vintage, fund_number) OVER w AS c FROM f WINDOW w AS (PARTITION BY firm_id ORDER BY fund_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+    out = E.vintage_anomalies(frame("fund_id long, firm_id long, fund_number int, vintage int", rows), 1.0, ("fund_id",))
+    assert {r.fund_id: r.trend_residual for r in out.collect()} == dict(con.execute(sql).fetchall())
+
+
 def test_prefix_pairs_are_whole_tokens(frame):
     got = E.prefix_pairs(frame("stem string", [("ACME",), ("ACME GROWTH",), ("ACMES",), ("ACME GROWTH ASIA",)])).collect()
     assert {(r.stem, r.longer) for r in got} == {("ACME", "ACME GROWTH"), ("ACME", "ACME GROWTH ASIA"), ("ACME GROWTH", "ACME GROWTH ASIA")}
