@@ -153,10 +153,10 @@ def trends(rows: DataFrame, key: str, x: str, y: str, order: tuple[str, ...]) ->
     return dealt.select("_key", "_x", "_y").mapInArrow(run, schema)
 
 
-def vintage_anomalies(funds: DataFrame, years: float = TREND_YEARS, order: tuple[str, ...] = ("fund_number", "fund_id")) -> DataFrame:
+def vintage_anomalies(funds: DataFrame, years: float = TREND_YEARS) -> DataFrame:
     """Flags vintages out of order with the fund numbers, or more than ``years`` off the family's trend. Nothing is corrected.
 
-    The trend's sums run in ``order`` (see ``trends``).
+    The trend's sums run by fund number and id (see ``trends``).
     """
     known = F.col("fund_number").isNotNull() & F.col("vintage").isNotNull()
     keyed = funds.filter(known)
@@ -164,7 +164,7 @@ def vintage_anomalies(funds: DataFrame, years: float = TREND_YEARS, order: tuple
     family = Window.partitionBy("firm_id")
     fitted = keyed.withColumn("_before", F.lag("vintage").over(by_number)).withColumn("_after", F.lead("vintage").over(by_number))
     fitted = fitted.withColumn("_n", F.count("*").over(family)).withColumn("_spread", F.max("fund_number").over(family) - F.min("fund_number").over(family))
-    fits = trends(keyed, "firm_id", "fund_number", "vintage", order)
+    fits = trends(keyed, "firm_id", "fund_number", "vintage", ("fund_number", "fund_id"))
     fitted = fitted.join(fits, F.col("firm_id").eqNullSafe(F.col("_key")), "left")
     residual = F.when((F.col("_n") >= 3) & (F.col("_spread") > 0), F.col("vintage") - (F.col("_level") + F.col("_slope") * F.col("fund_number")))
     out_of_order = flag(F.col("vintage") < F.col("_before")) | flag(F.col("_after") < F.col("vintage"))

@@ -82,10 +82,9 @@ def test_trend_residuals_on_the_threshold_have_the_bits_of_the_sql(frame):
     con.execute("set threads=1")
     con.execute("create table f (fund_id bigint, firm_id bigint, fund_number int, vintage int)")
     con.executemany("insert into f values (?, ?, ?, ?)", rows)
-    # rows enter the frame by id
     sql = """SELECT fund_id, CASE WHEN n >= 3 AND spread > 0 THEN vintage - (c + s * fund_number) END FROM (SELECT *, count(*) OVER w AS n, max(fund_number) OVER w - min(fund_number) OVER w AS spread,
-      regr_slope(vintage, fund_number) OVER w AS s, regr_intercept(vintage, fund_number) OVER w AS c FROM f WINDOW w AS (PARTITION BY firm_id ORDER BY fund_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
-    out = E.vintage_anomalies(frame("fund_id long, firm_id long, fund_number int, vintage int", rows), 1.0, ("fund_id",))
+      regr_slope(vintage, fund_number) OVER w AS s, regr_intercept(vintage, fund_number) OVER w AS c FROM f WINDOW w AS (PARTITION BY firm_id ORDER BY fund_number, fund_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+    out = E.vintage_anomalies(frame("fund_id long, firm_id long, fund_number int, vintage int", rows), 1.0)
     assert {r.fund_id: r.trend_residual for r in out.collect()} == dict(con.execute(sql).fetchall())
 
 
