@@ -3,14 +3,18 @@
 Passages are windows of words, and so are the benchmark items. Both become
 TF-IDF vectors over the benchmark's words and hashed buckets for all others,
 with document frequencies of the whole corpus. A distributed randomised SVD
-(Halko et al. 2011) of a bounded sample of corpus passages and all item
-windows gives a latent space, in which every passage of every text looks for
-items by cosine. A candidate is confirmed by the longest common subsequence of
+(Halko et al. 2011) of all passages of the corpus and all item windows gives a
+latent space, in which every passage of every text looks for items by cosine. A candidate is confirmed by the longest common subsequence of
 the item's words and the text around the passage, for the whole item and for
 its answer (its last sentence, or the last quarter of its words), so that
 reworded copies count and texts that merely share a topic don't.
 
-Everything but the SVD's sample covers all rows.
+The SVD reads the corpus as a linear sketch: each partition deals its passages
+in turn to ``sketch`` rows and adds them up there under random signs. Every
+passage counts, and the sums of products of terms, which alone make the SVD,
+are right on average; up to ``sketch`` passages a partition they are exact. All
+passages together weigh as much as those of ``corpus_docs`` average documents,
+so that the items are not drowned in a large corpus.
 
 Words are the runs of ASCII letters, digits and all characters beyond ASCII in
 the lower-cased text.
@@ -30,15 +34,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, sampled_ids, table
+from .common import Workspace, table
 from .words import chunks, digests, hash_words
 
 #: Item windows that passages are compared with at a time, and bytes of term vectors that are sent to tasks at most.
 TILE, MODEL_BYTES = 4096, 1 << 30
+#: Bytes of a partition's sketch and of a batch of dense rows at most, and tasks of a pass of the SVD.
+DENSE_BYTES, SUMS = 1 << 26, 16
 #: Bytes that belong to words; all others become spaces.
 IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 SPACED = bytes(b if IN_WORD[b] else 32 for b in range(256))
@@ -52,7 +59,8 @@ class Settings:
     oversample: int = 16
     power: int = 2
     buckets: int = 4096
-    sample_docs: int = 500
+    corpus_docs: int = 500
+    sketch: int = 256
     item_weight: float = 8.0
     cosine: float = 0.65
     lcs: float = 0.6
@@ -205,13 +213,13 @@ class Latent:
 
 
 def _sum_blocks(partial: DataFrame, shape: tuple[int, int], block: int) -> np.ndarray:
-    """Sums (block, bytes) rows of float64 blocks on the executors; the shape is that of the model."""
+    """Sums (block, bytes) rows of float32 blocks on the executors; the shape is that of the model."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.float64)
+                x = np.frombuffer(raw, np.float32).astype(np.float64)
                 total[b] = total[b] + x if b in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "raw"])
 
@@ -229,9 +237,15 @@ def randomized_basis(rows: DataFrame, terms: int, rank: int, oversample: int, po
     width = min(rank + oversample, terms)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     product = q
-    for _ in range(power + 1):
-        q = np.linalg.qr(product)[0]
-        product = _sum_blocks(_gram(rows, q, block), (terms, width), block)
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = conf.get(key)
+    conf.set(key, str(max(1, DENSE_BYTES // (8 * terms))))
+    try:
+        for _ in range(power + 1):
+            q = np.linalg.qr(product)[0]
+            product = _sum_blocks(_gram(rows, q, block), (terms, width), block)
+    finally:
+        conf.set(key, known)
     values, vectors = np.linalg.eigh(q.T @ product)
     order = np.argsort(-values)[:rank]
     return q @ vectors[:, order[values[order] > 1e-9 * max(values.max(), 1e-30)]]
@@ -241,17 +255,33 @@ def _gram(rows: DataFrame, q: np.ndarray, block: int) -> DataFrame:
     def run(batches):
         total = np.zeros_like(q)
         for batch in batches:
-            for ids, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, w = np.array(ids, np.int64), np.array(weights)
-                total[at] += np.outer(w, w @ q[at])
+            ids, weights, n = batch.column(0), batch.column(1), batch.num_rows
+            dense = np.zeros((n, len(q)))
+            dense[np.repeat(np.arange(n), ids.value_lengths().to_numpy()), ids.flatten().to_numpy()] = weights.flatten().to_numpy()
+            total += dense.T @ (dense @ q)
         for b, lo in enumerate(range(0, len(q), block)):
             if total[lo : lo + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total[lo : lo + block].tobytes()], pa.binary())], ["block", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total[lo : lo + block].astype(np.float32).tobytes()], pa.binary())], ["block", "raw"])
 
-    return rows.mapInArrow(run, "block int, raw binary")
+    # a few tasks, each of whose sums has the model's size
+    return rows.coalesce(SUMS).mapInArrow(run, "block int, raw binary")
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Latent:
+def weighted_terms(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the unit TF-IDF vectors of rows of words; numbers beyond ``idf`` fill up."""
+    flat = np.sort(words, axis=1)
+    fresh = np.ones(flat.shape, bool)
+    fresh[:, 1:] = flat[:, 1:] != flat[:, :-1]
+    start = np.flatnonzero(fresh)
+    count = np.diff(np.append(start, flat.size))
+    row, term = start // words.shape[1], flat.ravel()[start]
+    real = term < len(idf)
+    row, term = row[real], term[real]
+    weight = count[real] * idf[term]
+    return row, term, weight / np.sqrt(np.bincount(row, weight * weight, minlength=len(words)))[row]
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Latent:
     """Statistics of all documents, and the latent space. The benchmark is the query set and is held whole."""
     spark = docs.sparkSession
     items = [i for r in benchmark.select(item_col, item_text_col).collect() if (i := item_of(r[0], r[1])).words]
@@ -262,9 +292,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     texts = docs.select(F.col(text_col).alias("text"))
 
     def frequencies(batches):
-        own, total, n = Terms(vocabulary, buckets), np.zeros(size + 1, np.int64), 0
+        own, total, n, read = Terms(vocabulary, buckets), np.zeros(size + 1, np.int64), 0, 0
         for batch in batches:
             column = batch.column(0).to_pylist()
+            read += len(column)
             for lo, hi in chunks(column, 1 << 18):
                 _, _, words = padded(*own(column[lo:hi]), window, size)
                 words.sort(axis=1)
@@ -273,40 +304,57 @@ def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
                 total += np.bincount(words[fresh], minlength=size + 1)
                 n += len(words)
         some = np.flatnonzero(total[:size])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], n), pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]), pa.int32()), pa.array(np.append(total[some], [n, read]), pa.int64())], ["term", "n"])
 
     df = np.zeros(size)
-    passages = 0
+    passages = rows_read = 0
     # one row for each term
     for r in texts.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
+        if r["term"] == -1:
             passages = r["n"]
+        elif r["term"] == -2:
+            rows_read = r["n"]
         else:
             df[r["term"]] = r["n"]
     idf = np.log((passages + 1) / (df + 1)) + 0.1
 
-    def sparse(batches):
-        own = Terms(vocabulary, buckets)
-        for batch in batches:
-            ids_out, weights_out = [], []
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, _ = own([text])
-                for at in range(0, len(ids), window):
-                    found, counts = np.unique(ids[at : at + window], return_counts=True)
-                    v = counts * idf[found]
-                    ids_out.append(found.tolist())
-                    weights_out.append((weight * v / np.linalg.norm(v)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids_out, pa.list_(pa.int32())), pa.array(weights_out, pa.list_(pa.float64()))], ["ids", "weights"])
-
     if not items:
         return Latent([], {}, np.zeros((buckets + 1, 1), np.float32), settings)
-    ids = sampled_ids(docs, id_col, settings.sample_docs)
-    # sample_docs rows; one text of an id, however often it comes
-    drawn = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias("text")).select("text", F.lit(1.0).alias("weight"))
-    queries = benchmark.select(F.col(item_text_col).alias("text"), F.lit(settings.item_weight).alias("weight"))
-    rows = Workspace(spark, "decontam").keep(drawn.unionByName(queries).repartition(8).mapInArrow(sparse, "ids array<int>, weights array<double>"), "sample")
     if (size + 1) * settings.rank * 4 > MODEL_BYTES:
         raise ValueError(f"{len(vocabulary)} words of the benchmark; with rank {settings.rank}, {MODEL_BYTES // settings.rank // 4} terms are held at most: split the benchmark")
+    weight = min(1.0, settings.corpus_docs / max(1, rows_read)) ** 0.5
+    held = max(1, min(settings.sketch, DENSE_BYTES // (4 * size)))
+
+    def sketched(batches):
+        own, total, n = Terms(vocabulary, buckets), np.zeros((held, size), np.float32), 0
+        rng = np.random.default_rng([7, TaskContext.get().partitionId()])
+        for batch in batches:
+            column = batch.column(0).to_pylist()
+            for lo, hi in chunks(column, 1 << 18):
+                _, _, words = padded(*own(column[lo:hi]), window, size)
+                row, term, w = weighted_terms(words, idf)
+                signs = rng.choice([-weight, weight], len(words))
+                np.add.at(total.reshape(-1), (n + row) % held * size + term, (w * signs[row]).astype(np.float32))
+                n += len(words)
+        for r in range(min(held, n)):
+            some = np.flatnonzero(total[r])
+            yield vectors([some], [total[r, some]])
+
+    def windows(batches):
+        own = Terms(vocabulary, buckets)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                _, _, words = padded(*own([text]), window, size)
+                row, term, w = weighted_terms(words, idf)
+                cuts = np.flatnonzero(np.diff(row)) + 1
+                yield vectors(np.split(term, cuts), np.split(settings.item_weight * w, cuts))
+
+    def vectors(ids, weights):
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in weights], pa.list_(pa.float32()))], ["ids", "weights"])
+
+    kind = "ids array<int>, weights array<float>"
+    queries = benchmark.select(F.col(item_text_col).alias("text")).mapInArrow(windows, kind)
+    rows = Workspace(spark, "decontam").keep(texts.mapInArrow(sketched, kind).unionByName(queries), "sketch")
     basis = randomized_basis(rows, size, settings.rank, settings.oversample, settings.power)
     weighted = np.zeros((size + 1, basis.shape[1]), np.float32)
     weighted[:size] = basis * idf[:, None]
@@ -315,7 +363,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``leaks`` (item, cosine, lcs, answer, word) of every document."""
-    model = fit(docs, benchmark, settings, id_col, text_col, item_col, item_text_col)
+    model = fit(docs, benchmark, settings, text_col, item_col, item_text_col)
     # terms x rank numbers and the benchmark itself, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast((model.items, model.vocabulary, model.rows))
     item_type = benchmark.schema[item_col].dataType

@@ -358,6 +358,31 @@ def test_a_long_text_and_a_hot_id(frame):
     assert got == [(1, 2)]
 
 
+def test_every_passage_counts_in_the_latent_space(frame, monkeypatch):
+    """The SVD's rows hold each text's terms, with the corpus's share of the weight, beyond any number of documents."""
+    rng = random.Random(4)
+    # 1200 documents, each with a word of the benchmark that no other has
+    docs = [(i, " ".join([f"only{i}", *words(rng, 31, 2000)]), "en", "s", 0) for i in range(1200)]
+    items = [(i, " ".join(f"only{j}" for j in range(40 * i, 40 * i + 40))) for i in range(30)]
+    seen = {}
+
+    def basis(rows, terms, rank, *rest, **more):
+        seen["rows"], seen["terms"] = rows.collect(), terms
+        return np.eye(terms, rank)
+
+    monkeypatch.setattr(decontam, "randomized_basis", basis)
+    for sketch in (16, 2000):
+        model = decontam.fit(frame(DOCS, docs), frame("item_id long, text string", items), decontam.Settings(sketch=sketch))
+        a = np.zeros((len(seen["rows"]), seen["terms"]))
+        for k, r in enumerate(seen["rows"]):
+            a[k, r.ids] = r.weights
+        corpus = a[np.linalg.norm(a, axis=1) < 7.9]
+        assert (corpus != 0).any(0)[[model.vocabulary[f"only{i}"] for i in range(1200)]].all()
+        assert len(corpus) == (1200 if sketch == 2000 else 16 * 4)
+        # as much as 500 documents of one passage each; signs make it so on average
+        assert (corpus**2).sum() == pytest.approx(500, rel=1e-4 if sketch == 2000 else 0.1)
+
+
 def test_a_benchmark_beyond_the_model_is_an_error(frame, monkeypatch):
     monkeypatch.setattr(decontam, "MODEL_BYTES", 1 << 20)
     with pytest.raises(ValueError, match="split the benchmark"):
