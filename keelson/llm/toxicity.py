@@ -5,10 +5,11 @@ unlabelled, whatever its label says. A linear classifier over word and
 word-prefix features is fitted in numpy by minimising the class-prior-corrected
 risk ``prior * R_p+ + max(0, R_u- - prior * R_p-)`` (Kiryo et al. 2017).
 
-The fit uses a bounded sample (``max_positive`` and ``max_unlabelled`` ids,
-picked by a hash, and one text of each id); every feature of the sampled
-positives that is ``min_positive`` times among them and significantly commoner
-than among the unlabelled counts. Scoring covers every whole text.
+The fit uses every training text, one of each id. A feature counts that is
+``min_positive`` times among the positives and significantly commoner there than
+among the unlabelled. Texts then matter only by the features they hold: equal
+sets are one row with a count, and full-batch steps sum over these rows, on the
+driver while they are few and by a Spark job for each step beyond that.
 
 Defined results: null or empty text scores the model's bias; with no positive
 example at all, or none that differs, the model has no feature and scores the
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, Workspace, fold, sampled_ids, table
+from .common import Cache, Workspace, fold, table
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
+#: Different sets of features that the driver holds at most.
+HELD_SETS = 1 << 17
 
 
 @dataclass
@@ -80,42 +83,74 @@ class Rows:
         return np.bincount(self.column, slope[self.row], minlength=self.shape[1])
 
 
-def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def risk_sums(x: Rows, n: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Sums over rows, each counted ``n`` times: the loss as negatives, then its gradient."""
+    z = x.dot(theta[:-1]) + theta[-1]
+    slope = n / (1 + np.exp(-np.clip(z, -40, 40)))
+    return np.concatenate([[n @ np.logaddexp(0, z)], x.sums(slope), [slope.sum()]])
+
+
+def descend(means, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear nnPU classifier with logistic loss.
 
-    Full-batch Adam. When the corrected negative risk falls below zero, the
-    step climbs out of it instead of fitting the positives away.
+    ``means(theta)`` are the ``risk_sums`` a row of the unlabelled and of the
+    positives, ``positive`` the mean positive row and a one. Full-batch Adam.
+    When the corrected negative risk falls below zero, the step climbs out of
+    it instead of fitting the positives away.
     """
-    theta = np.zeros(x.shape[1] + 1)
+    theta = np.zeros(len(positive))
     theta[-1] = math.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
     m = v = np.zeros_like(theta)
-    xp, xu = x.take(positive), x.take(unlabelled)
-
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def grad(rows, slope):
-        return np.append(rows.sums(slope), slope.sum()) / max(rows.shape[0], 1)
-
     for t in range(1, steps + 1):
-        zp, zu = xp.dot(theta[:-1]) + theta[-1], xu.dot(theta[:-1]) + theta[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = grad(xu, sigmoid(zu)) - prior * grad(xp, sigmoid(zp))
-        g = -g_negative if negative < 0 else prior * grad(xp, sigmoid(zp) - 1) + g_negative
+        unl, pos = means(theta)
+        g = prior * pos[1:] - unl[1:] if unl[0] < prior * pos[0] else unl[1:] - prior * positive
         g[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
+def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float, n: np.ndarray | None = None, **more) -> tuple[np.ndarray, float]:
+    """``descend`` over rows that are held, each counted ``n`` times."""
+    n = np.ones(x.shape[0]) if n is None else n
+    xu, nu, xp, count_p = x.take(unlabelled), n[unlabelled], x.take(positive), n[positive]
+    most = max(count_p.sum(), 1)
+    return descend(lambda theta: (risk_sums(xu, nu, theta) / max(nu.sum(), 1), risk_sums(xp, count_p, theta) / most), np.append(xp.sums(count_p), count_p.sum()) / most, prior, **more)
+
+
+def held_rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, Rows, np.ndarray]:
+    """Kind, features and count of (kind, found, n) rows."""
+    found = batch.column(1)
+    return batch.column(0).to_numpy(), Rows(np.repeat(np.arange(len(found)), found.value_lengths().to_numpy()), found.flatten().to_numpy(), (len(found), width)), batch.column(2).to_numpy().astype(float)
+
+
+def fit_sets(sets: DataFrame, width: int, n_pos: int, n_unl: int, prior: float) -> tuple[np.ndarray, float]:
+    """``descend`` over rows (kind, found, n) of any number, a Spark job for each step."""
+
+    def totals(theta: np.ndarray | None) -> np.ndarray:
+        def run(batches):
+            out = np.zeros((2, width + 2))
+            for batch in batches:
+                kind, x, n = held_rows(batch, width)
+                for k in (0, 1):
+                    part = x.take(at := np.flatnonzero(kind == k))
+                    out[k] += np.concatenate([[0.0], part.sums(n[at]), [n[at].sum()]]) if theta is None else risk_sums(part, n[at], theta)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["raw"])
+
+        # in one order, whichever task ends first
+        return sum(np.frombuffer(raw).reshape(2, -1) for raw in sorted(bytes(r[0]) for r in sets.mapInArrow(run, "raw binary").collect()))
+
+    sizes = np.array([[max(n_unl, 1)], [max(n_pos, 1)]])
+    return descend(lambda theta: totals(theta) / sizes, totals(None)[1, 1:] / max(n_pos, 1), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
     """Fits a model; ``trainable`` is a filter on the id that both tables pass.
 
     ``prior`` (share of toxic texts among the unlabelled) is that of the labels
     where it is not given, whatever it is but 0 and 1. Repeated labels of an id count as toxic if
     one of them says so.
     """
-    spark = docs.sparkSession
     docs, labels = docs.select(id_col, text_col), labels.select(id_col, label_col)
     docs, labels = docs.filter(F.col(id_col).isNotNull()), labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if trainable is not None:
@@ -128,57 +163,92 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     empty = ToxicityModel({}, np.zeros(0), math.log(prior / (1 - prior)), prior)
     if not toxic:
         return empty
-    ids = sampled_ids(marked.filter("_toxic"), id_col, max_positive).withColumn("_kind", F.lit(1)).unionByName(sampled_ids(docs, id_col, max_unlabelled).withColumn("_kind", F.lit(0)))
-    # both limits bound this side, and one text of each id the rows
-    sample = Workspace(spark, "toxicity").keep(docs.join(F.broadcast(ids), id_col).groupBy("_kind", id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col)).select("_kind", text_col), "sample")
+    space = Workspace(docs.sparkSession, "toxicity")
+    repeated = docs.groupBy(id_col).count().filter("count > 1").select(id_col)
+    if not repeated.isEmpty():
+        once = docs.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col))
+        docs = docs.join(repeated, id_col, "left_anti").unionByName(once)
+    positives = space.keep(docs.join(marked.filter("_toxic"), id_col, "left_semi").select(text_col), "positives")
+    n_pos, n_unl = positives.count(), docs.count()
+    if not n_pos:
+        return empty
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, int] = {}
         for batch in batches:
-            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 for f in {f for w in text_words(text) for f in word_features(w)}:
-                    seen.setdefault(f, [0, 0])[kind] += 1
+                    seen[f] = seen.get(f, 0) + 1
             if len(seen) > 1 << 20:
                 yield flush(seen)
                 seen = {}
         yield flush(seen)
 
     def flush(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([a for a, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], ["feature", "unl", "pos"])
-
-    n_unl, n_pos = (r := sample.agg(F.coalesce(F.sum(1 - F.col("_kind")), F.lit(0)), F.coalesce(F.sum("_kind"), F.lit(0))).first())[0], r[1]
-    if not n_pos or not n_unl:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "pos"])
+
+    def telling(pos, unl):
+        """Whether a feature is three times as common among the positives, and by more than three standard errors."""
+        p, u = pos / n_pos, unl / n_unl
+        # the variance of a share p of n is p (1 - p) / n
+        spread = np.sqrt((p * (1 - p) + 1 / n_pos) / n_pos + (u * (1 - u) + 1 / n_unl) / n_unl)
+        return (p > 3 * u) & (p - u > 3 * spread)
+
+    # positives are among the unlabelled, so what can't tell even if no other text holds it never does
+    counted = positives.mapInArrow(count, "feature string, pos long").groupBy("feature").agg(F.sum("pos").alias("pos")).filter(F.col("pos") >= min_positive).orderBy("feature").collect()
+    counted = [(r["feature"], r["pos"]) for r in counted if telling(r["pos"], r["pos"])]
+    if not counted:
         return empty
-    # what is collected are words of at most max_positive texts
-    gap = F.col("pos") / n_pos - F.col("unl") / n_unl
-    # the variance of a share p of n is p (1 - p) / n
-    variance = lambda c, n: (F.col(c) / n * (1 - F.col(c) / n) + 1 / n) / n
-    spread = F.sqrt(variance("pos", n_pos) + variance("unl", n_unl))
-    counted = sample.mapInArrow(count, "feature string, unl long, pos long").groupBy("feature").agg(F.sum("unl").alias("unl"), F.sum("pos").alias("pos"))
-    chosen = counted.filter((F.col("pos") >= min_positive) & (F.col("pos") / n_pos > 3 * F.col("unl") / n_unl)).withColumn("z", gap / spread).filter("z > 3").orderBy("feature").collect()
-    index = {r["feature"]: i for i, r in enumerate(chosen)}
+
+    def holding(index):
+        def run(batches):
+            known = Cache(lambda w: tuple(index[f] for f in word_features(w) if f in index))
+            for batch in batches:
+                found = [sorted({i for hit in map(known.__getitem__, text_words(t)) if hit for i in hit}) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
+
+        return run
+
+    found = space.keep(docs.select(text_col).mapInArrow(holding({f: i for i, (f, _) in enumerate(counted)}), "found array<int>"), "found")
+
+    def tally(batches):
+        unl = np.zeros(len(counted), np.int64)
+        for batch in batches:
+            unl += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(unl))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(unl), pa.int64()), pa.array(unl[unl > 0], pa.int64())], ["feature", "unl"])
+
+    unl = np.zeros(len(counted), np.int64)
+    for r in found.mapInArrow(tally, "feature long, unl long").groupBy("feature").agg(F.sum("unl").alias("unl")).collect():
+        unl[r["feature"]] = r["unl"]
+    chosen = np.flatnonzero(telling(np.array([n for _, n in counted]), unl))
+    index = {counted[i][0]: k for k, i in enumerate(chosen)}
     if not index:
         return empty
+    number = np.full(len(counted), -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
 
-    def rows(batches):
+    def narrowed(batches):
         for batch in batches:
-            found = [sorted({index[f] for w in text_words(t) for f in word_features(w) if f in index}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["kind", "found"])
-
-    got = sample.mapInArrow(rows, "kind int, found array<int>").groupBy("kind", "found").count().collect()
-    x, kinds = [], []
-    for r in sorted(got, key=lambda r: (r["kind"], r["found"])):
-        x += [r["found"]] * r["count"]
-        kinds += [r["kind"]] * r["count"]
-    kinds = np.array(kinds)
-    weights, bias = fit_nnpu(Rows.of(x, len(index)), np.flatnonzero(kinds == 1), np.flatnonzero(kinds == 0), prior)
-    return ToxicityModel(index, weights, bias, prior, {"n_positive": int(n_pos), "n_unlabelled": int(n_unl)})
+            lists = batch.column(0)
+            new = number[lists.flatten().to_numpy()]
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[new >= 0]
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(new[new >= 0]))], ["found"])
+
+    kinds = ((0, found.mapInArrow(narrowed, "found array<int>")), (1, positives.mapInArrow(holding(index), "found array<int>")))
+    zero, one = (d.groupBy("found").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "found", "n") for k, d in kinds)
+    sets = space.keep(zero.unionByName(one), "sets")
+    params = {"n_positive": n_pos, "n_unlabelled": n_unl, "n_sets": sets.count()}
+    if params["n_sets"] > HELD_SETS:
+        return ToxicityModel(index, *fit_sets(sets, len(index), n_pos, n_unl, prior), prior, params)
+    kind, x, n = held_rows(sets.orderBy("kind", "found").toArrow().combine_chunks().to_batches()[0], len(index))
+    return ToxicityModel(index, *fit_nnpu(x, np.flatnonzero(kind == 1), np.flatnonzero(kind == 0), prior, n), prior, params)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``score`` of each whole text."""
     weights, bias = model.weights, model.bias
-    # features of at most max_positive texts travel with the task
+    # the model's features travel with the task
     index = model.features
     source = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])

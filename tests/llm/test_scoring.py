@@ -82,6 +82,21 @@ def test_a_repeated_id_trains_once(frame):
     assert model.params["n_positive"] == sum(t for _, _, t in labels) and model.params["n_unlabelled"] == 400
 
 
+def test_every_text_trains(frame, monkeypatch):
+    """More texts than any sample of 9000, and toxic ones beyond 3000; sets of features beyond the driver's give the same model."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(["plain", "word", "here", "there", "again"], k=3) + (["vile"] if i < 3200 and i % 2 else []) + (["grim"] if i < 3200 and i % 3 else [])), "en", "s", 0) for i in range(12000)]
+    d, lab = frame(DOCS, docs), frame("doc_id long, quality int, toxic int", [(i, 1, int(i < 3200)) for i in range(0, 12000)])
+    model = toxicity.train(d, lab)
+    assert model.params["n_positive"] == 3200 and model.params["n_unlabelled"] == 12000 and model.features
+    monkeypatch.setattr(toxicity, "HELD_SETS", 0)
+    monkeypatch.setattr(toxicity.descend, "__defaults__", (20, 0.05, 1e-4))
+    spread = toxicity.train(d, lab)
+    monkeypatch.setattr(toxicity, "HELD_SETS", 1 << 17)
+    held = toxicity.train(d, lab)
+    assert spread.features == held.features and np.allclose(np.append(spread.weights, spread.bias), np.append(held.weights, held.bias))
+
+
 def test_nnpu_risk_corrects_the_prior():
     rng = np.random.default_rng(0)
     n = 4000
