@@ -38,6 +38,8 @@ TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 #: Different sets of features that the driver holds at most.
 HELD_SETS = 1 << 17
+#: Tasks that count features, each of which adds a row for every feature.
+TALLIES = 8
 
 
 @dataclass
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(unl), pa.int64()), pa.array(unl[unl > 0], pa.int64())], ["feature", "unl"])
 
     unl = np.zeros(len(counted), np.int64)
-    for r in found.mapInArrow(tally, "feature long, unl long").groupBy("feature").agg(F.sum("unl").alias("unl")).collect():
+    for r in found.coalesce(TALLIES).mapInArrow(tally, "feature long, unl long").groupBy("feature").agg(F.sum("unl").alias("unl")).collect():
         unl[r["feature"]] = r["unl"]
     chosen = np.flatnonzero(telling(np.array([n for _, n in counted]), unl))
     index = {counted[i][0]: k for k, i in enumerate(chosen)}

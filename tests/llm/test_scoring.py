@@ -97,6 +97,30 @@ def test_every_text_trains(frame, monkeypatch):
     assert spread.features == held.features and np.allclose(np.append(spread.weights, spread.bias), np.append(held.weights, held.bias))
 
 
+def test_counts_come_from_few_tasks(spark, frame, monkeypatch):
+    """However many tasks read the texts, the rows of counts don't grow with them."""
+    docs, labels = toxic_corpus()
+    lab = frame("doc_id long, quality int, toxic int", labels)
+    whole = toxicity.train(frame(DOCS, docs), lab)
+    d, tasks = frame(DOCS, docs).repartition(40), []
+    run = type(d).mapInArrow
+
+    def watched(self, func, *more):
+        if func.__name__ == "tally":
+            tasks.append(self.rdd.getNumPartitions())
+        return run(self, func, *more)
+
+    monkeypatch.setattr(type(d), "mapInArrow", watched)
+    # a task for each file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+    try:
+        model = toxicity.train(d, lab)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(tasks) == 1 and tasks[0] <= 8
+    assert model.features == whole.features and (model.weights == whole.weights).all()
+
+
 def test_nnpu_risk_corrects_the_prior():
     rng = np.random.default_rng(0)
     n = 4000
