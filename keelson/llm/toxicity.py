@@ -9,7 +9,10 @@ The fit uses every training text, one of each id. A feature counts that is
 ``min_positive`` times among the positives and significantly commoner there than
 among the unlabelled. Texts then matter only by the features they hold: equal
 sets are one row with a count, and full-batch steps sum over these rows, on the
-driver while they are few and by a Spark job for each step beyond that.
+driver while they are few and by a Spark job for each step beyond that. The
+positives are found by sending their ids to the texts while they are few; what a
+text holds is kept as one number for each word, as a word's features follow from
+the most special of them.
 
 Defined results: null or empty text scores the model's bias; with no positive
 example at all, or none that differs, the model has no feature and scores the
@@ -40,6 +43,8 @@ PREFIXES = (4, 5, 6)
 HELD_SETS = 1 << 17
 #: Tasks that count features, each of which adds a row for every feature.
 TALLIES = 8
+#: Ids that go to every task at most; beyond that the texts are shuffled to them.
+SENT_IDS = 1 << 20
 
 
 @dataclass
@@ -56,6 +61,11 @@ def word_features(word: str) -> list[str]:
     return ["w" + word, *(f"{n}{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
+def covered_features(feature: str) -> list[str]:
+    """The features of each word that has this one and none more special."""
+    return word_features(feature[1:]) if feature[0] == "w" else [f"{n}{feature[1 : n + 1]}" for n in PREFIXES if n <= int(feature[0])]
+
+
 def text_words(text: str | None) -> set[str]:
     return set(TOKEN.findall(text.lower())) if text else set()
 
@@ -146,6 +156,11 @@ def fit_sets(sets: DataFrame, width: int, n_pos: int, n_unl: int, prior: float)
     return descend(lambda theta: totals(theta) / sizes, totals(None)[1, 1:] / max(n_pos, 1), prior)
 
 
+def sent(ids: DataFrame, n: int) -> DataFrame:
+    """``n`` ids to be joined, without moving the texts while they are few."""
+    return F.broadcast(ids) if n <= SENT_IDS else ids
+
+
 def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_positive: int = 3, prior: float | None = None) -> ToxicityModel:
     """Fits a model; ``trainable`` is a filter on the id that both tables pass.
 
@@ -167,10 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
         return empty
     space = Workspace(docs.sparkSession, "toxicity")
     repeated = docs.groupBy(id_col).count().filter("count > 1").select(id_col)
-    if not repeated.isEmpty():
+    if n_repeated := repeated.count():
+        repeated = sent(repeated, n_repeated)
         once = docs.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col))
         docs = docs.join(repeated, id_col, "left_anti").unionByName(once)
-    positives = space.keep(docs.join(marked.filter("_toxic"), id_col, "left_semi").select(text_col), "positives")
+    positives = space.keep(docs.join(sent(marked.filter("_toxic").select(id_col), toxic), id_col, "left_semi").select(text_col), "positives")
     n_pos, n_unl = positives.count(), docs.count()
     if not n_pos:
         return empty
@@ -202,21 +218,34 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     if not counted:
         return empty
 
-    def holding(index):
-        def run(batches):
-            known = Cache(lambda w: tuple(index[f] for f in word_features(w) if f in index))
-            for batch in batches:
-                found = [sorted({i for hit in map(known.__getitem__, text_words(t)) if hit for i in hit}) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
+    candidates = {f: i for i, (f, _) in enumerate(counted)}
+
+    def coded(batches):
+        """Each word by its most special candidate, the word itself or its longest prefix, from which the others follow."""
+
+        def special(word):
+            whole, *prefixes = word_features(word)
+            return next((candidates[f] for f in (whole, *reversed(prefixes)) if f in candidates), -1)
+
+        known = Cache(special)
+        for batch in batches:
+            found = [sorted({*map(known.__getitem__, text_words(t))} - {-1}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
 
-        return run
+    def expanded(lists: pa.ListArray, covers: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and features, ascending, of lists of most special ones."""
+        codes = lists.flatten().to_numpy()
+        each = covers.take(codes)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[each.row]
+        return np.divmod(np.unique(row * covers.shape[1] + each.column), covers.shape[1])
 
-    found = space.keep(docs.select(text_col).mapInArrow(holding({f: i for i, (f, _) in enumerate(counted)}), "found array<int>"), "found")
+    found = space.keep(docs.select(text_col).mapInArrow(coded, "found array<int>"), "found")
+    covers = Rows.of([[candidates[f] for f in covered_features(special) if f in candidates] for special, _ in counted], len(counted))
 
     def tally(batches):
         unl = np.zeros(len(counted), np.int64)
         for batch in batches:
-            unl += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(unl))
+            unl += np.bincount(expanded(batch.column(0), covers)[1], minlength=len(unl))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(unl), pa.int64()), pa.array(unl[unl > 0], pa.int64())], ["feature", "unl"])
 
     unl = np.zeros(len(counted), np.int64)
@@ -226,18 +255,18 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     index = {counted[i][0]: k for k, i in enumerate(chosen)}
     if not index:
         return empty
-    number = np.full(len(counted), -1, np.int32)
+    number = np.full(len(counted), -1)
     number[chosen] = np.arange(len(chosen))
+    new = number[covers.column]
+    narrow = Rows(covers.row[new >= 0], new[new >= 0], (len(counted), len(index)))
 
     def narrowed(batches):
         for batch in batches:
-            lists = batch.column(0)
-            new = number[lists.flatten().to_numpy()]
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[new >= 0]
-            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(new[new >= 0]))], ["found"])
+            row, feature = expanded(batch.column(0), narrow)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["found"])
 
-    kinds = ((0, found.mapInArrow(narrowed, "found array<int>")), (1, positives.mapInArrow(holding(index), "found array<int>")))
+    kinds = ((0, found.mapInArrow(narrowed, "found array<int>")), (1, positives.mapInArrow(lambda batches: narrowed(coded(batches)), "found array<int>")))
     zero, one = (d.groupBy("found").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "found", "n") for k, d in kinds)
     sets = space.keep(zero.unionByName(one), "sets")
     params = {"n_positive": n_pos, "n_unlabelled": n_unl, "n_sets": sets.count()}

@@ -121,6 +121,61 @@ def test_counts_come_from_few_tasks(spark, frame, monkeypatch):
     assert model.features == whole.features and (model.weights == whole.weights).all()
 
 
+def prefix_corpus(n=600, seed=4):
+    """Words that share prefixes of 4, 5 and 6 letters, some of them toxic."""
+    rng = random.Random(seed)
+    words = [a + b + c for a in ("abcd", "abce", "xyzu") for b in ("", "e", "ef", "efg") for c in ("", "g", "h", "hh", "ij")]
+    docs = [(i, " ".join(rng.choices(words, k=6) + (rng.choices(["vileness", "vileful", "viler", "vilest", "vile"], k=2) if i % 4 == 0 else [])), "en", "s", 0) for i in range(n)]
+    return docs, [(i, 1, int(i % 4 == 0)) for i in range(0, n, 2)]
+
+
+def test_features_are_those_of_a_plain_count(frame, monkeypatch):
+    docs, labels = prefix_corpus()
+    toxic = {i for i, _, t in labels if t}
+    held = {i: {f for w in re.findall(r"\w+", text) for f in ["w" + w, *(f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k)]} for i, text, *_ in docs}
+    pos, unl = Counter(f for i in toxic for f in held[i]), Counter(f for h in held.values() for f in h)
+    n_pos, n_unl = len(toxic), len(docs)
+    chosen = []
+    for f in sorted(pos):
+        p, u = pos[f] / n_pos, unl[f] / n_unl
+        if pos[f] >= 3 and p > 3 * u and p - u > 3 * math.sqrt((p * (1 - p) + 1 / n_pos) / n_pos + (u * (1 - u) + 1 / n_unl) / n_unl):
+            chosen.append(f)
+    kept = {}
+    keep = toxicity.Workspace.keep
+    monkeypatch.setattr(toxicity.Workspace, "keep", lambda self, df, name: kept.setdefault(name, keep(self, df, name)))
+    model = toxicity.train(frame(DOCS, docs).repartition(5), frame("doc_id long, quality int, toxic int", labels))
+    assert list(model.features) == chosen and chosen
+    sets = Counter((0, tuple(k for k, f in enumerate(chosen) if f in h)) for h in held.values()) + Counter((1, tuple(k for k, f in enumerate(chosen) if f in held[i])) for i in toxic)
+    assert {(r.kind, tuple(r.found)): r.n for r in kept["sets"].collect()} == sets
+    # a number a word, not one for each of its features
+    assert sum(len(r.found) for r in kept["found"].collect()) <= sum(len({*text.split()}) for _, text, *_ in docs)
+
+
+def test_texts_stay_where_they_are(spark, frame, monkeypatch):
+    """Ids go to the texts even where Spark would not send them; a shuffle of both gives the same model."""
+    docs, labels = toxic_corpus()
+    d, lab = frame(DOCS, docs + docs[:9]), frame("doc_id long, quality int, toxic int", labels)
+    plans = {}
+    keep = toxicity.Workspace.keep
+
+    def watched(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(toxicity.Workspace, "keep", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = toxicity.train(d, lab)
+        assert "BroadcastHashJoin" in plans["positives"] and not any("SortMergeJoin" in p for p in plans.values())
+        monkeypatch.setattr(toxicity, "SENT_IDS", 0)
+        other = toxicity.train(d, lab)
+        assert "SortMergeJoin" in plans["positives"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert model.params["n_unlabelled"] == len(docs)
+    assert model.features == other.features and (model.weights == other.weights).all() and model.bias == other.bias
+
+
 def test_nnpu_risk_corrects_the_prior():
     rng = np.random.default_rng(0)
     n = 4000
