@@ -218,6 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
     if not counted:
         return empty
 
+    # those that share a prefix are neighbours
+    counted.sort(key=lambda c: (c[0][1:], c[0]))
     candidates = {f: i for i, (f, _) in enumerate(counted)}
 
     def coded(batches):
@@ -232,42 +234,50 @@ def train(docs: DataFrame, labels: DataFrame, trainable=None, id_col: str = "doc
             found = [sorted({*map(known.__getitem__, text_words(t))} - {-1}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
 
-    def expanded(lists: pa.ListArray, covers: Rows) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and features, ascending, of lists of most special ones."""
-        codes = lists.flatten().to_numpy()
-        each = covers.take(codes)
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[each.row]
-        return np.divmod(np.unique(row * covers.shape[1] + each.column), covers.shape[1])
-
     found = space.keep(docs.select(text_col).mapInArrow(coded, "found array<int>"), "found")
-    covers = Rows.of([[candidates[f] for f in covered_features(special) if f in candidates] for special, _ in counted], len(counted))
+    # a most special candidate's own features, by kind
+    kinds = ["w", *map(str, PREFIXES)]
+    covers = np.full((len(kinds), len(counted)), -1)
+    for i, (special, _) in enumerate(counted):
+        for f in covered_features(special):
+            covers[kinds.index(f[0]), i] = candidates.get(f, -1)
+
+    def placed(batch):
+        lists = batch.column(0)
+        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
 
     def tally(batches):
         unl = np.zeros(len(counted), np.int64)
         for batch in batches:
-            unl += np.bincount(expanded(batch.column(0), covers)[1], minlength=len(unl))
+            row, code = placed(batch)
+            for of in covers:
+                feature = of[code]
+                r, f = row[feature >= 0], feature[feature >= 0]
+                # a text's words that share one are neighbours
+                first = np.append(True, (f[1:] != f[:-1]) | (r[1:] != r[:-1]))[: len(f)]
+                unl += np.bincount(f[first], minlength=len(unl))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(unl), pa.int64()), pa.array(unl[unl > 0], pa.int64())], ["feature", "unl"])
 
     unl = np.zeros(len(counted), np.int64)
     for r in found.coalesce(TALLIES).mapInArrow(tally, "feature long, unl long").groupBy("feature").agg(F.sum("unl").alias("unl")).collect():
         unl[r["feature"]] = r["unl"]
-    chosen = np.flatnonzero(telling(np.array([n for _, n in counted]), unl))
+    chosen = np.array(sorted(np.flatnonzero(telling(np.array([n for _, n in counted]), unl)), key=lambda i: counted[i][0]), int)
     index = {counted[i][0]: k for k, i in enumerate(chosen)}
     if not index:
         return empty
     number = np.full(len(counted), -1)
     number[chosen] = np.arange(len(chosen))
-    new = number[covers.column]
-    narrow = Rows(covers.row[new >= 0], new[new >= 0], (len(counted), len(index)))
+    narrow = np.where(covers < 0, -1, number[covers])
 
     def narrowed(batches):
         for batch in batches:
-            row, feature = expanded(batch.column(0), narrow)
+            row, code = placed(batch)
+            row, feature = np.divmod(np.unique(np.concatenate([(row * len(index) + of[code])[of[code] >= 0] for of in narrow])), len(index))
             ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["found"])
 
-    kinds = ((0, found.mapInArrow(narrowed, "found array<int>")), (1, positives.mapInArrow(lambda batches: narrowed(coded(batches)), "found array<int>")))
-    zero, one = (d.groupBy("found").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "found", "n") for k, d in kinds)
+    parts = ((0, found.mapInArrow(narrowed, "found array<int>")), (1, positives.mapInArrow(lambda batches: narrowed(coded(batches)), "found array<int>")))
+    zero, one = (d.groupBy("found").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "found", "n") for k, d in parts)
     sets = space.keep(zero.unionByName(one), "sets")
     params = {"n_positive": n_pos, "n_unlabelled": n_unl, "n_sets": sets.count()}
     if params["n_sets"] > HELD_SETS:

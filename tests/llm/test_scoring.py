@@ -122,10 +122,11 @@ def test_counts_come_from_few_tasks(spark, frame, monkeypatch):
 
 
 def prefix_corpus(n=600, seed=4):
-    """Words that share prefixes of 4, 5 and 6 letters, some of them toxic."""
+    """Words that share prefixes of 4, 5 and 6 letters, some of them toxic, some in one text only."""
     rng = random.Random(seed)
     words = [a + b + c for a in ("abcd", "abce", "xyzu") for b in ("", "e", "ef", "efg") for c in ("", "g", "h", "hh", "ij")]
-    docs = [(i, " ".join(rng.choices(words, k=6) + (rng.choices(["vileness", "vileful", "viler", "vilest", "vile"], k=2) if i % 4 == 0 else [])), "en", "s", 0) for i in range(n)]
+    once = lambda i: [f"{a}{i}{b}" for a, b in rng.sample([("abcd", ""), ("abcde", "q"), ("abcdef", "q"), ("abcdefg", ""), ("xyzue", "z"), ("xyzuef", "")], k=3)]
+    docs = [(i, " ".join(rng.choices(words, k=6) + once(i) + ([*rng.choices(["vileness", "vileful", "viler", "vilest", "vile"], k=2), f"vile{i}q"] if i % 4 == 0 else [])), "en", "s", 0) for i in range(n)]
     return docs, [(i, 1, int(i % 4 == 0)) for i in range(0, n, 2)]
 
 
