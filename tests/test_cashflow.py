@@ -105,6 +105,24 @@ def test_stream_gives_the_flows_of_the_batch(spark, frame, tmp_path):
     assert got == want and len(want) == 8
 
 
+def test_stream_replaces_only_the_default_store(spark):
+    from keelson.streaming import differencing as D
+
+    before = spark.conf.get(D.STORE_KEY, None)
+    arriving = spark.readStream.format("rate").load().selectExpr("value AS fund_id", "date(timestamp) AS as_of", "1.0D AS contributions", "0.0D AS distributions")
+    try:
+        for own, then in ((None, D.STORE), (D.PLAIN, D.STORE), ("own.Provider", "own.Provider")):
+            spark.conf.set(D.STORE_KEY, own) if own else spark.conf.unset(D.STORE_KEY)
+            D.stream_flows(arriving)
+            assert spark.conf.get(D.STORE_KEY) == then
+        spark.conf.set(D.STORE_KEY, D.PLAIN)
+        with D.with_state(spark):
+            D.stream_flows(arriving)
+        assert spark.conf.get(D.STORE_KEY) == D.PLAIN
+    finally:
+        spark.conf.set(D.STORE_KEY, before) if before else spark.conf.unset(D.STORE_KEY)
+
+
 def test_an_index_with_a_hole_is_refused(frame):
     import datetime
 
