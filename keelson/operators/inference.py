@@ -19,15 +19,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import normal_two_sided
+from ..sources.readers import scratch_dir
 from .resample import added_up
 
 ONE = "_one"
-#: Clusters whose signs one task holds at a time in the power study, and simulations it goes through.
-CLUSTERS, SIMULATIONS = 20_000, 10
+#: Clusters whose cells one task holds at a time in the power study, simulations it goes through, and tasks that share the clusters.
+CLUSTERS, SIMULATIONS, PARTS = 20_000, 10, 8
 #: Clusters of a task of the wild bootstrap, and of one product with their signs; chunks whose sums are added up at once.
 TASK, STEP, FAN_IN = 4_000, 500, 32
 #: Fixed effects of a bootstrap at most: a task holds 16 bytes for each and draw, and 8 for each pair.
@@ -254,59 +257,75 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
     effect) plus its residuals with one sign for a whole cluster, so dependence
     within clusters stays. All betas share the signs, as all of them start from
     one seed. The fits and variances of all draws follow from sums over clusters
-    that are linear in the draws' signs; clusters are added up in chunks, so no
-    task holds them all. The means of the simulated outcomes, one for each
-    simulation and effect, come to the driver.
+    that are linear in the draws' signs. The clusters are written once, a row
+    for each, and every block of simulations reads them there: nothing is
+    shuffled for it but the sums of ``PARTS`` tasks. The means of the simulated
+    outcomes, one for each simulation and effect, come to the driver.
     """
+    spark = sample.sparkSession
     rows = demeaned_cells(cells(sample.withColumn(ONE, F.lit(1)), [ONE, fixed, cluster]), [ONE], fixed)
-    cell = rows.select(F.col(cluster).cast("string").alias("c"), F.col(fixed).cast("string").alias("f"), F.col("_n").cast("double").alias("n"), F.col("_nf").cast("double").alias("nf"), F.col("_d_y_lag").alias("x"), F.col("_d_y").alias("y"), F.col("_d_y_y_lag").alias("xy"), F.col("_d_y_lag_y_lag").alias("xx"))
+    values = {"n": F.col("_n").cast("double"), "nf": F.col("_nf").cast("double"), "x": F.col("_d_y_lag"), "y": F.col("_d_y"), "xy": F.col("_d_y_y_lag"), "xx": F.col("_d_y_lag_y_lag")}
+    cell = F.struct(F.col(fixed).cast("string").alias("f"), *(v.alias(c) for c, v in values.items()))
+    path = scratch_dir(spark, "clusters")
+    # a cluster has a cell for each fixed effect at most
+    rows.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.array_sort(F.collect_list(cell)).alias("cells")).write.parquet(path)
+    clusters = spark.read.parquet(path)
     # fixed effects are few: the operator estimates one parameter for each
-    told = {r["f"]: r["nf"] for r in cell.groupBy("f").agg(F.first("nf").alias("nf")).limit(EFFECTS + 1).collect()}
+    each = clusters.select(F.explode("cells").alias("cell")).select("cell.f", "cell.nf")
+    told = {r["f"]: r["nf"] for r in each.groupBy("f").agg(F.first("nf").alias("nf")).limit(EFFECTS + 1).collect()}
     effects, nf = _few(sorted(told)), np.array([told[f] for f in sorted(told)])
-    k, chunks = len(effects), cell.select("c").distinct().count() // CLUSTERS + 1
-    dealt = cell.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunks)))
+    k = len(effects)
 
     def cluster_signs(b: int, keys: Sequence[str]) -> np.ndarray:
         # even first hexadecimal digits are positive
         return 1.0 - 2.0 * (_digests([f"{seed}|{b}|"], keys)[:, 0] >> 4 & 1)
 
-    def by_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A chunk's sums of signed outcomes by simulation and effect."""
-        at, keys = pd.factorize(pdf["c"])
-        y = np.zeros((len(keys), k))
-        y[at, pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()] = pdf["y"]
-        return pd.DataFrame({"sums": [np.concatenate([cluster_signs(b, keys) @ y for b in range(1, n_sims + 1)])]})
+    def dense(batch: pa.RecordBatch, *names: str):
+        """Some clusters at a time: their keys, and a value of each effect for every name."""
+        for lo in range(0, batch.num_rows, CLUSTERS):
+            some = batch.slice(lo, CLUSTERS)
+            held = some.column("cells")
+            at, flat = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()), held.flatten()
+            effect = pc.index_in(flat.field("f"), pa.array(effects, pa.string())).to_numpy()
+            out = np.zeros((len(names), len(held), k))
+            for i, name in enumerate(names):
+                out[i, at, effect] = flat.field(name).to_numpy()
+            yield some.column("c").to_pylist(), *out
+
+    def by_effect(batches):
+        """Sums of signed outcomes by simulation and effect."""
+        total = np.zeros((n_sims, k))
+        for batch in batches:
+            for keys, y in dense(batch, "y"):
+                total += [cluster_signs(b, keys) @ y for b in range(1, n_sims + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
 
     # one row
-    sums = added_up(dealt.groupBy("chunk").applyInPandas(lambda p: by_effect(p), "sums array<double>"), n_sims * k).first()["sums"]
+    sums = added_up(clusters.mapInArrow(by_effect, "sums array<double>"), n_sims * k).first()["sums"]
     of = dict(zip(range(1, n_sims + 1), np.array(sums).reshape(n_sims, k) / nf, strict=True))
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sums over a chunk's clusters for some simulations."""
-        at, keys = pd.factorize(pdf["c"])
-        effect = pdf["f"].map({f: i for i, f in enumerate(effects)}).to_numpy()
-
-        def dense(column: str) -> np.ndarray:
-            out = np.zeros((len(keys), k))
-            out[at, effect] = pdf[column]
-            return out
-
-        n, x, y, xy, xx = map(dense, ("n", "x", "y", "xy", "xx"))
-        xx = xx.sum(1)
-        # a simulated outcome is beta * (x, xx) + (own, cross)
-        slope = [xx[:, None], (xx * xx)[:, None], x, xx[:, None] * x]
-        fixed_sums = np.concatenate([[xx.sum(), xx @ xx, len(keys)], n.sum(0), xx @ x, (x.T @ x).ravel()])
-        out = []
-        for b in range(first := int(pdf["block"].iloc[0]) * SIMULATIONS + 1, min(first + SIMULATIONS, n_sims + 1)):
-            v = cluster_signs(b, keys)
-            own, cross = v[:, None] * y - n * of[b], v * xy.sum(1) - x @ of[b]
-            columns = np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
-            drawn = np.vstack([columns.sum(0), np.zeros((n_boot, columns.shape[1]))])
-            # some clusters at a time, so that their signs stay in the cache
-            for lo in range(0, len(keys), STEP):
-                drawn[1:] += draw_signs(seed, b, keys[lo : lo + STEP], n_boot).T @ columns[lo : lo + STEP]
-            out.append((b, np.concatenate([fixed_sums, [xx @ cross, cross @ cross], drawn.ravel()])))
-        return pd.DataFrame(out, columns=["b", "sums"])
+    def partial(batches):
+        """Sums over some clusters for a block of simulations."""
+        added = {}
+        for batch, block in ((batch, block) for batch in batches for block in batch.column("block").unique()):
+            first = block.as_py() * SIMULATIONS + 1
+            for keys, n, x, y, xy, xx in dense(batch.filter(pc.equal(batch.column("block"), block)), "n", "x", "y", "xy", "xx"):
+                xx = xx.sum(1)
+                # a simulated outcome is beta * (x, xx) + (own, cross)
+                slope = [xx[:, None], (xx * xx)[:, None], x, xx[:, None] * x]
+                fixed_sums = np.concatenate([[xx.sum(), xx @ xx, len(keys)], n.sum(0), xx @ x, (x.T @ x).ravel()])
+                for b in range(first, min(first + SIMULATIONS, n_sims + 1)):
+                    v = cluster_signs(b, keys)
+                    own, cross = v[:, None] * y - n * of[b], v * xy.sum(1) - x @ of[b]
+                    columns = np.hstack([*slope, cross[:, None], (cross * xx)[:, None], own, cross[:, None] * x])
+                    total, drawn = added.setdefault(b, (np.zeros(len(fixed_sums) + 2), np.zeros((n_boot + 1, columns.shape[1]))))
+                    total += np.concatenate([fixed_sums, [xx @ cross, cross @ cross]])
+                    drawn[0] += columns.sum(0)
+                    # some clusters at a time, so that their signs stay in the cache
+                    for lo in range(0, len(keys), STEP):
+                        drawn[1:] += draw_signs(seed, b, keys[lo : lo + STEP], n_boot).T @ columns[lo : lo + STEP]
+        for b, (total, drawn) in added.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.concatenate([total, drawn.ravel()])], pa.list_(pa.float64()))], ["b", "sums"])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         """Whether each beta is rejected in a simulation."""
@@ -326,10 +345,10 @@ def power_at(sample: DataFrame, betas: Sequence[float], n_sims: int = 300, n_boo
             out.append((beta, float(p < 0.05)))
         return pd.DataFrame(out, columns=["true_beta", "rejected"])
 
-    # n_sims / SIMULATIONS rows
-    blocks = F.broadcast(sample.sparkSession.range(-(-n_sims // SIMULATIONS)).withColumnRenamed("id", "block"))
-    many = dealt.crossJoin(blocks)
-    added = many.groupBy("block", "chunk").applyInPandas(lambda p: partial(p), "b int, sums array<double>")
+    # a task for each part of the clusters and each block, which read their rows where they are written
+    blocks = spark.range(0, -(-n_sims // SIMULATIONS), 1, -(-n_sims // SIMULATIONS)).withColumnRenamed("id", "block")
+    many = clusters.coalesce(PARTS).hint("shuffle_replicate_nl").crossJoin(blocks)
+    added = many.mapInArrow(partial, "b int, sums array<double>")
     return added.groupBy("b").applyInPandas(lambda p: finish(p), "true_beta double, rejected double").groupBy("true_beta").agg(F.avg("rejected").alias("power"), F.count("*").alias("n"))
 
 

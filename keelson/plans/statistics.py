@@ -540,6 +540,9 @@ def displace(spark, sf):
 @query("power_at")
 def power_at(spark, sf):
     """Power of the wild cluster bootstrap over the reference's grid, for both clusterings of the whole sample."""
-    s = _sample(spark, sf)
+    # the sample is built once
+    path = readers.scratch_dir(spark, "sample")
+    _sample(spark, sf).select("y", "y_lag", "vintage", "firm_id", "sponsor_id").write.parquet(path)
+    s = spark.read.parquet(path)
     by = [inference.power_at(s, [i / 10 for i in range(9)], cluster=c).withColumn("clustered_on", F.lit(c)) for c in ("firm_id", "sponsor_id")]
     return by[0].unionByName(by[1]).select("clustered_on", "true_beta", r6("power").alias("power"), "n")

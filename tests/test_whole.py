@@ -167,6 +167,27 @@ def test_power_adds_up_chunks_of_clusters(spark, small, monkeypatch):
     assert run() == whole
 
 
+def test_power_shuffles_no_copies_of_the_cells_for_its_simulations(spark):
+    rows = [(i, i // 4, 2000 + i % 4, float(i % 7) + i % 3, float(i % 5)) for i in range(24_000)]
+    s = spark.createDataFrame(rows, "fund_id int, firm_id int, vintage int, y double, y_lag double").cache()
+    assert s.count() == 24_000
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    def run(n_sims):
+        before = shuffled()
+        assert inference.power_at(s, [0.0], n_sims, 2).collect()[0].n == n_sims
+        return shuffled() - before
+
+    few, many = run(10), run(300)
+    # the sums of 300 simulations are 3 * 20 numbers each and part, but the cells went 30 times
+    assert many - few < 300 * 60 * 8 * 8 * 1.5
+    s.unpersist()
+
+
 @pytest.mark.parametrize("ranges", [2, 256])
 def test_ranks_and_quantiles_of_ties(spark, monkeypatch, ranges):
     monkeypatch.setattr(ranks, "RANGES", ranges)
