@@ -5,8 +5,9 @@ Each statistic needs less than a draw's rows, and that is what is drawn:
 * shuffles within a group change a table of quartiles only through its margins,
   so a draw is a chain of hypergeometric counts for each group;
 * ranks are known from their place, but for ties, so a draw of a rank
-  correlation is a sum over places under a keyed permutation (a Feistel network
-  on a grid that walks until it lands inside the group), place by place;
+  correlation is a sum over places under keyed permutations (a Feistel network
+  on a grid that walks until it lands inside the group), place by place. Both
+  columns are permuted, ``DRAWS`` times each, and every pair of theirs is a draw;
 * a bootstrap draw is a multinomial count of each row. Counts are split over
   buckets of rows by a tree of binomials that every task walks by itself, then
   over the rows of its bucket, block by block, and only sums come back.
@@ -27,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import scratch_dir
 from .panel import quartiles
 from .ranks import cumulated
 
-#: Places, draws of one generator and numbers that a task holds at a time; draws of one row of work, and its blocks of places.
-PLACES, DRAWS, HELD, SHARE, STRETCH = 1 << 16, 16, 1 << 17, 256, 16
+#: Places, permutations of a column and numbers that a task holds at a time; draws of one row of work, and its blocks of places.
+PLACES, DRAWS, HELD, SHARE, STRETCH = 1 << 16, 16, 1 << 17, 16 * 16, 16
 #: Entries of a table of ranks at most, and places that are shuffled as they are.
 CELLS, FEW = 1 << 21, 256
 #: Buckets of the bootstrap, and rows of a block; neither grows with the rows.
@@ -216,14 +218,46 @@ class Ranks:
         return self.level.take(at, mode="clip") + self.slope.take(at, mode="clip") * places
 
 
+def crossed(left: Permutations, right: Permutations, x: Ranks, y: Ranks, first: int, last: int) -> np.ndarray:
+    """Sums over the places from ``first`` to before ``last`` of x at a left permutation times y at a right one: left x right.
+
+    Over all places, x under one permutation and y under another are y shuffled
+    against x by a uniform permutation, as either is. Two such pairs that differ
+    on a side are independent, as that side's permutations are, whatever the
+    other side has; so a share over all pairs has the mean and the variance of a
+    share over as many independent shuffles.
+    """
+    out = np.zeros((left.many, right.many))
+    for at in range(first, last, PLACES):
+        places = np.arange(at, min(at + PLACES, last))
+        values = []
+        for dealt, ranks in ((left, x), (right, y)):
+            sent, held = dealt.at(places), np.empty((dealt.many, len(places)))
+            for i in range(dealt.many):
+                held[i] = ranks(sent(i))
+            values.append(held)
+        out += values[0] @ values[1].T
+    return out
+
+
 def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, group: str = "vintage") -> DataFrame:
     """Correlation of within-group percentile ranks and its one-sided permutation p; null below eight rows.
 
-    Each group's tied values come to the tasks that have it, ``TIES`` at most; more are an error.
+    Draws come in shares of ``SHARE``, all pairs of as many permutations of
+    either column (see :func:`crossed`); shares are independent. The rows and
+    their ranks are written once. Each group's tied values come to the tasks
+    that have it, ``TIES`` at most; more are an error.
     """
-    rows = sample.filter("y is not null and y_lag is not null").select(group, "y_lag", "y")
+    spark = sample.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_dir(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = kept(sample.filter("y is not null and y_lag is not null").select(group, "y_lag", "y"), "rows")
     stacked = rows.select(group, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("y_lag").alias("v")), F.struct(F.lit(1).alias("which"), F.col("y").alias("v")))).alias("e")).select(group, "e.which", "e.v")
-    ranks = cumulated(stacked, "v", (group, "which"))
+    ranks = kept(cumulated(stacked, "v", (group, "which")), "ranks")
     share = (F.col("_below") + (F.col("_c") + 1) / 2) / F.col("_n")
     of = lambda which: ranks.filter(F.col("_g1") == which).select(F.col("_g0").alias(f"_g{which}x"), F.col("_v").alias(f"_v{which}x"), share.alias(f"_r{which}"))
     own = lambda which, c: F.col(group).eqNullSafe(F.col(f"_g{which}x")) & (F.col(c) == F.col(f"_v{which}x"))
@@ -246,15 +280,11 @@ def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, grou
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 (x_below, x_tied), (y_below, y_tied) = ((np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in ((r.below0, r.tied0), (r.below1, r.tied1)))
-                size, ranks = int(r.size), Ranks(int(r.size), y_below, y_tied)
-                draws = [(lo, Permutations(generator(seed, "ranks", r.g, lo), size, min(lo + DRAWS, n) - lo)) for lo in range(r.draw, min(r.draw + SHARE, n), DRAWS)]
-                for at in range(r.at, min(r.at + PLACES * STRETCH, size), PLACES):
-                    places = np.arange(at, min(at + PLACES, size))
-                    x = rank_at(places, size, x_below, x_tied) / (2 * size)
-                    for lo, dealt in draws:
-                        sent = dealt.at(places)
-                        for i in range(dealt.many):
-                            total[lo + i] += x @ ranks(sent(i)).astype(float)
+                size, many = int(r.size), min(SHARE, n - r.draw)
+                left, right = (Permutations(generator(seed, "ranks", r.g, r.draw, side), size, k) for side, k in (("x", -(-many // DRAWS)), ("y", min(DRAWS, many))))
+                sums = crossed(left, right, Ranks(size, x_below, x_tied), Ranks(size, y_below, y_tied), r.at, min(r.at + PLACES * STRETCH, size))
+                # ranks are doubled numbers of rows
+                total[r.draw : r.draw + many] += sums.ravel()[:many] / (2 * size) ** 2
         yield pd.DataFrame({"sums": [total]})
 
     spread = (seen["sd_r0"] or 0) * (seen["sd_r1"] or 0)
@@ -267,7 +297,7 @@ def spearman_within(sample: DataFrame, n: int = 9999, seed: int = 20240813, grou
                 p = (1 + int(((sums / seen["n"] - seen["mean_r0"] * seen["mean_r1"]) / spread >= rho - 1e-12).sum())) / (n + 1) if rho is not None else None
                 yield pd.DataFrame({"rho": [rho], "p": [p], "n": [seen["n"]]}).astype({"rho": float, "p": float})
 
-    dealt = work.repartition(4 * sample.sparkSession.sparkContext.defaultParallelism)
+    dealt = work.repartition(4 * spark.sparkContext.defaultParallelism)
     return added_up(dealt.mapInPandas(run, "sums array<double>"), n).mapInPandas(finish, "rho double, p double, n long").select(*(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("rho", "p")), "n")
 
 

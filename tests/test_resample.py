@@ -140,6 +140,52 @@ def test_a_draw_of_a_place_costs_tens_of_nanoseconds():
     assert min(took) / len(places) < 150e-9
 
 
+def pairs(seed, size, left, right):
+    """Sums of all pairs of permutations of 1 to size, as one share of draws."""
+    none = np.array([], np.int64)
+    ranks = R.Ranks(size, none, none)
+    dealt = [R.Permutations(R.generator(seed, side), size, many) for side, many in (("x", left), ("y", right))]
+    return R.crossed(*dealt, ranks, ranks, 0, size) / 4
+
+
+def test_pairs_of_permutations_are_uniform_and_independent_by_two():
+    runs = 6000
+    seen = np.array([pairs(seed, 3, 2, 2) for seed in range(runs)])
+    # 1*1 + 2*2 + 3*3 and the five other orders
+    chance = {10: 1 / 6, 11: 2 / 6, 13: 2 / 6, 14: 1 / 6}
+    for i, j in ((0, 1), (1, 0), (1, 1)):
+        together = Counter(zip(seen[:, 0, 0], seen[:, i, j], strict=True))
+        chi = sum((together[a, b] - runs * p * q) ** 2 / (runs * p * q) for a, p in chance.items() for b, q in chance.items())
+        # 15 degrees of freedom: one in ten thousand is above 44
+        assert chi < 44
+
+
+@pytest.mark.parametrize("size", [12, 700])
+def test_a_share_of_all_pairs_spreads_like_independent_draws(size, monkeypatch):
+    monkeypatch.setattr(R, "PLACES", 256)
+    rng, at = np.random.default_rng(12), np.arange(1.0, size + 1)
+    sums = np.array([rng.permutation(at) @ at for _ in range(20_000)])
+    cut = np.quantile(sums, 0.9)
+    want, runs = (sums >= cut).mean(), 400
+    counts = np.array([(pairs(seed, size, 16, 16) >= cut).sum() for seed in range(runs)])
+    spread = 256 * want * (1 - want)
+    assert counts.mean() == pytest.approx(256 * want, abs=4 * math.sqrt(spread / runs) + 256 * 4 * math.sqrt(want * (1 - want) / 20_000))
+    assert counts.var() == pytest.approx(spread, rel=0.4)
+
+
+def test_a_draw_of_a_place_costs_a_few_nanoseconds():
+    size = 1_200_000
+    below = np.arange(0, size, 60)
+    ranks, took = R.Ranks(size, below, np.full(len(below), 60)), []
+    left, right = (R.Permutations(np.random.default_rng(i), size, 16) for i in (1, 2))
+    for _ in range(4):
+        start = time.process_time()
+        R.crossed(left, right, ranks, ranks, 0, R.PLACES)
+        took.append(time.process_time() - start)
+    # 13 ns when every draw had a permutation of its own
+    assert min(took) / R.PLACES / 256 < 8e-9
+
+
 def test_small_and_constant_samples(frame):
     assert R.spearman_within(frame(SAMPLE, panel(1, (5,))), 9).collect()[0] == (None, None, 5)
     constant = R.spearman_within(frame(SAMPLE, [(i, 2000, 1.0, float(i)) for i in range(12)]), 9).collect()[0]
