@@ -222,10 +222,10 @@ def crossed(left: Permutations, right: Permutations, x: Ranks, y: Ranks, first:
     """Sums over the places from ``first`` to before ``last`` of x at a left permutation times y at a right one: left x right.
 
     Over all places, x under one permutation and y under another are y shuffled
-    against x by a uniform permutation, as either is. Two such pairs that differ
-    on a side are independent, as that side's permutations are, whatever the
-    other side has; so a share over all pairs has the mean and the variance of a
-    share over as many independent shuffles.
+    against x by a uniform permutation, as either is. Any three such pairs are
+    independent, as one of them has a permutation that the others have not; four
+    from two permutations of each side are not. So a share over all pairs has the
+    mean and the variance of a share over as many independent shuffles.
     """
     out = np.zeros((left.many, right.many))
     for at in range(first, last, PLACES):
